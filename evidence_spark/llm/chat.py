@@ -116,8 +116,8 @@ def row_events(rows: DataFrame) -> DataFrame:
     Every row is a message of its own that one delta fills; equal rows stay separate messages, rows with
     equal turns are ordered by role, then text. Null turns come first.
     """
+    rows = rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
     n = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
     copies = n.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
-    text = F.coalesce("text", F.lit(""))
-    message = F.struct(F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), "copy")
+    message = F.struct("turn", "role", "text", "copy")
     return copies.select("conv_id", F.col("turn").cast("long").alias("seq"), message.alias("message"), "role", F.lit("delta").alias("kind"), "text")

@@ -9,7 +9,9 @@ from .common import written
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each linked node reaches. Nodes without links have no row.
+    """(node, component): the smallest node that each linked node reaches.
+
+    Smallest nodes themselves and nodes without links have no row: they are their own component.
 
     Large-star and small-star rounds (Kiveris et al., 2014) on the shared folder's tables: every round
     is two sums and two joins by node, and the number of links never grows. Links of a node to

@@ -9,25 +9,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, written
 
 
 class Ftrl:
     """FTRL-proximal with per-coordinate rates (McMahan et al., 2013). The last weight is the intercept."""
 
-    def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float):
+    def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float, evidence_only: bool = False):
         self.z, self.n, self.w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.alpha, self.beta, self.l1, self.l2, self.evidence_only = alpha, beta, l1, l2, evidence_only
 
-    def step(self, slots: np.ndarray, values: np.ndarray, label: float) -> None:
+    def step(self, slots: np.ndarray, values: np.ndarray, label: float, weight: float = 1.0) -> None:
         p = 1 / (1 + np.exp(-np.clip(self.w[slots] @ values, -35, 35)))
-        g = (p - label) * values
+        g = weight * (p - label) * values
         n = self.n[slots]
         more = n + g * g
         self.z[slots] += g - (np.sqrt(more) - np.sqrt(n)) / self.alpha * self.w[slots]
         self.n[slots] = more
         z = self.z[slots]
-        free = np.abs(z) - np.where(slots == len(self.w) - 1, 0.0, self.l1)
+        bias = slots == len(self.w) - 1
+        free = np.abs(z) - np.where(bias, 0.0, self.l1)
+        if self.evidence_only:  # no feature but the intercept speaks against label 1
+            free = np.where(bias | (z < 0), free, -1.0)
         self.w[slots] = np.where(free <= 0, 0.0, -np.sign(z) * free / ((self.beta + np.sqrt(more)) / self.alpha + self.l2))
 
 
@@ -48,29 +51,33 @@ def train(
     sample: DataFrame,
     features: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]],
     size: int,
-    shards: int = 8,
+    shard_rows: int = 3_000,
     epochs: int = 3,
     alpha: float = 0.5,
     beta: float = 1.0,
     l1: float = 0.5,
     l2: float = 0.0,
+    positive: float = 1.0,
+    evidence_only: bool = False,
 ) -> np.ndarray:
-    """Weights and, last, the intercept. Each of `shards` tasks trains on its part of the sample; the models are averaged.
+    """Weights and, last, the intercept. The sample is dealt to a task for each `shard_rows` rows; their models are averaged.
 
     What comes to the driver is one sum for each non-zero weight: `size` + 1 numbers at most. Rows are visited
-    in the order of a hash of their id, so reruns agree. An empty sample gives weights of 0.
+    in the order of a hash of their id, so reruns agree; rows of label 1 count `positive` times. An empty sample gives weights of 0.
     """
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_order", kind="stable")
         made = features([t or "" for t in rows["text"]])
-        model = Ftrl(size, alpha, beta, l1, l2)
+        model = Ftrl(size, alpha, beta, l1, l2, evidence_only)
         for _ in range(epochs):
             for (slots, values), y in zip(made, rows["y"], strict=True):
-                model.step(np.append(slots, size), np.append(values, 1.0), float(y))
+                model.step(np.append(slots, size), np.append(values, 1.0), float(y), positive if y else 1.0)
         at = np.flatnonzero(model.w)
         return pd.DataFrame({"slot": at.astype(np.int64), "w": model.w[at]})
 
+    sample = written(sample, "labelled")
+    shards = max(1, round(sample.count() / shard_rows))
     dealt = sample.select(
         "text", "y", F.xxhash64(F.lit(7), "_id").alias("_order"), F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(shards)).alias("_shard")
     )

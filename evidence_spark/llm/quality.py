@@ -19,11 +19,15 @@ SCALE = 32.0
 
 
 def _slots(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, slot) of each word and each pair of neighbouring words; runs of punctuation are words of their own."""
+    """(owner, slot) of each word and each pair of neighbouring words; runs of punctuation are words of their own.
+
+    A pair of two equal words is one n-gram whatever the word: a repeated word.
+    """
     counts, words = word_hashes(texts, _KIND)
     owner = np.repeat(np.arange(len(texts)), counts)
     pairs = owner[1:] == owner[:-1]
-    two = mix64(words[:-1] * np.uint64(3) + words[1:])[pairs] if len(words) else words
+    again = words[:-1] == words[1:]
+    two = mix64(np.where(again, np.uint64(1), words[:-1] * np.uint64(3) + words[1:]))[pairs] if len(words) else words
     slot = np.concatenate([words, two]) >> np.uint64(64 - bits)
     return np.concatenate([owner, owner[:-1][pairs]]), slot.astype(np.int64)
 

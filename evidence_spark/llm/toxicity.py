@@ -88,7 +88,7 @@ def _lattice(span: str, spaced: bool) -> list[list[tuple[str, float]]]:
             choices = [(x, math.log(0.8 / max(len(LEET.get(c, "")), 1))) for x in LEET.get(c, "")]
             if j - i > 1 and choices:
                 choices += [(x * 2, p - 1) for x, p in choices]
-            out.append([*choices, ("", math.log(0.2 if choices else 1.0))])
+            out.append([*choices, ("", math.log(0.002 if choices else 1.0))])
         i = j
     return out
 
@@ -183,7 +183,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_ro
             out.append((at, np.ones(len(at))))
         return out
 
-    return train(labelled_sample(docs, labels, "toxic", max_rows), features, 1 << bits, shards=4, epochs=4, alpha=0.3, l1=2.0)
+    return train(labelled_sample(docs, labels, "toxic", max_rows), features, 1 << bits, epochs=6, alpha=0.3, l1=3.0, positive=8.0, evidence_only=True)
 
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray, model: np.ndarray, text_col: str = "text") -> DataFrame:
