@@ -183,7 +183,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_ro
             out.append((at, np.ones(len(at))))
         return out
 
-    return train(labelled_sample(docs, labels, "toxic", max_rows), features, 1 << bits, epochs=6, alpha=0.3, l1=3.0, positive=8.0, evidence_only=True)
+    return train(labelled_sample(docs, labels, "toxic", max_rows), features, 1 << bits, epochs=6, alpha=0.3, l1=8.0, positive=8.0, evidence_only=True)
 
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray, model: np.ndarray, text_col: str = "text") -> DataFrame:
