@@ -15,10 +15,12 @@ from .components import connected_components
 
 HASHES, ROWS, BITS = 256, 6, 2
 BANDS = HASHES // ROWS
-#: Estimates this far under the threshold are passed on to the exact check: over five standard errors.
-SLACK = 0.18
-#: Rows of one side of a block of pairs.
-BLOCK = 128
+#: Estimates this far under the threshold are passed on to the exact check: 4.5 standard errors of the estimate at 0.8.
+SLACK = 0.134
+#: Rows of one side of a block of pairs; buckets of up to FEW rows are paired by a plain join.
+BLOCK, FEW = 128, 8
+#: Slots of the bitmap of wanted ids: 1 MB in all, whatever the input.
+SLOTS = 1 << 23
 _KIND, _FOLD = byte_classes(punctuation=False), fold_table()
 _MUL = mix64(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _ADD = mix64(np.arange(1001, HASHES + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -104,8 +106,22 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, th long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
 
 
+def _wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of `texts` whose id's hash is that of an end of some pair, so that few other texts are shuffled.
+
+    The hashes are gathered into bitmaps of a fixed size; past that size more texts pass, and none is lost.
+    """
+    slot = F.pmod(F.xxhash64("cls"), F.lit(SLOTS))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).select(slot.alias("slot"))
+    maps = ends.groupBy(F.expr("bitmap_bucket_number(slot)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("_bits"))
+    found = texts.withColumn("slot", slot).withColumns({"_bucket": F.expr("bitmap_bucket_number(slot)"), "_at": F.expr("bitmap_bit_position(slot)")})
+    found = found.join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole shingle sets reach the threshold. `texts`: (cls, text), a row for each class."""
+    """The pairs (a, b) of classes whose whole shingle sets reach the threshold. `texts`: (cls, th, text), `th` picks one row of a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +135,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    left = texts.select(F.col("cls").alias("a"), F.col("text").alias("_x"))
-    right = texts.select(F.col("cls").alias("b"), F.col("text").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    texts = written(_wanted(texts, pairs), "pair-texts").dropDuplicates(["cls", "th"])
+    left = texts.select(F.col("cls").alias("a"), F.col("th").alias("ta"), F.col("text").alias("_x"))
+    right = texts.select(F.col("cls").alias("b"), F.col("th").alias("tb"), F.col("text").alias("_y"))
+    return pairs.join(left, ["a", "ta"]).join(right, ["b", "tb"]).select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -143,21 +160,26 @@ def near_duplicates(
     classes = written(classes.select("f1", "f2", "n_shingles", F.col("r.doc_id").alias("cls"), F.col("r.th").alias("th")), "classes")
     named = classes.filter("cls is not null")
     reps = full.join(named.withColumnRenamed("cls", "doc_id").select("doc_id", "f1", "f2", "th"), ["doc_id", "f1", "f2", "th"])
-    reps = reps.select(F.col("doc_id").alias("cls"), "n_shingles", "sig", "bands")
+    reps = reps.select(F.col("doc_id").alias("cls"), "th", "n_shingles", "sig", "bands").dropDuplicates(["cls"])
     texts = docs.select(F.col(id_col).cast("long").alias("cls"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    texts = texts.join(named.select("cls", "th"), ["cls", "th"]).select("cls", "text")
 
     keys = reps.select("cls", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).filter("head < tail")
     members = written(keys.join(heads.select("key", "head"), "key"), "buckets")
     stars = members.filter("cls != head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    links = written(_confirmed(_likely(stars, reps, percent), texts, words, percent), "links")
+    links = written(_confirmed(written(_likely(stars, reps, percent), "pairs"), texts, words, percent), "links")
     label = connected_components(links, "a", "b")
 
     rest = members.join(label, members["cls"] == label["node"], "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
     split = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
     across = rest.join(split.select("key", "n"), "key").join(reps.select("cls", "n_shingles", "sig"), "cls")
-    more = written(_block_pairs(across, percent).distinct(), "pairs")
+    across = written(across, "split-buckets")
+    few = across.filter(F.col("n") <= FEW).select("key", "cls", "comp")
+    few = few.select("key", F.col("cls").alias("a"), F.col("comp").alias("ca")).join(few.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb")), "key")
+    few = _likely(few.filter("a < b and ca != cb").select("a", "b").distinct(), reps, percent)
+    many = _block_pairs(across.filter(F.col("n") > FEW), percent).distinct().join(
+        reps.select(F.col("cls").alias("a"), F.col("th").alias("ta")), "a").join(reps.select(F.col("cls").alias("b"), F.col("th").alias("tb")), "b")
+    more = written(few.unionByName(many).distinct(), "pairs")
     more = _confirmed(more, texts, words, percent)
     label = connected_components(links.union(more), "a", "b")
 
@@ -169,7 +191,7 @@ def near_duplicates(
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the packed signatures and the set sizes do not rule out."""
+    """(a, b, ta, tb): the pairs that packed signatures and set sizes do not rule out, with their texts' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,11 +199,13 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
                 n, m = (batch.column(k).to_numpy() for k in (4, 5))
                 keep = pa.array((estimate(x, y) >= percent / 100 - SLACK) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+                kept = [batch.column(k).filter(keep) for k in (0, 1, 6, 7)]
+                yield pa.RecordBatch.from_arrays(kept, names=["a", "b", "ta", "tb"])
 
-    left = reps.select(F.col("cls").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("n"))
-    right = reps.select(F.col("cls").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("m"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
+    left = reps.select(F.col("cls").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("n"), F.col("th").alias("ta"))
+    right = reps.select(F.col("cls").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("m"), F.col("th").alias("tb"))
+    sides = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m", "ta", "tb")
+    return sides.mapInArrow(run, "a long, b long, ta long, tb long")
 
 
 def _block_pairs(across: DataFrame, percent: int) -> DataFrame:
