@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +14,15 @@ from .components import connected_components
 
 HASHES, ROWS, BITS = 256, 6, 2
 BANDS = HASHES // ROWS
-#: Estimates this far under the threshold are passed on to the exact check: 4.5 standard errors of the estimate at 0.8.
-SLACK = 0.134
-#: Rows of one side of a block of pairs; buckets of up to FEW rows are paired by a plain join.
-BLOCK, FEW = 128, 8
+#: Minima of the longer signatures that are made where stars leave a bucket in several components.
+FINE = 2048
+#: Rows of one side of a block of pairs.
+BLOCK = 128
 #: Slots of the bitmap of wanted ids: 1 MB in all, whatever the input.
 SLOTS = 1 << 23
 _KIND, _FOLD = byte_classes(punctuation=False), fold_table()
-_MUL = mix64(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-_ADD = mix64(np.arange(1001, HASHES + 1001, dtype=np.uint64)).astype(np.uint32)
+_MUL = mix64(np.arange(1, FINE + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_ADD = mix64(np.arange(10_001, FINE + 10_001, dtype=np.uint64)).astype(np.uint32)
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -44,13 +43,14 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each of HASHES hash functions over a set, 32 bits each."""
+def minima(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The least value of each of `hashes` hash functions over a set, 32 bits each."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(low), 256):
-        h = low[i : i + 256, None] * _MUL
-        h += _ADD
+    out = np.full(hashes, 0xFFFFFFFF, np.uint32)
+    step = 65_536 // hashes
+    for i in range(0, len(low), step):
+        h = low[i : i + step, None] * _MUL[:hashes]
+        h += _ADD[:hashes]
         h ^= h >> np.uint32(15)
         np.minimum(out, h.min(axis=0), out=out)
     return out
@@ -67,7 +67,14 @@ def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     planes = differ.reshape(*differ.shape[:-1], BITS, -1)
     wrong = np.bitwise_count(np.bitwise_or.reduce(planes, axis=-2)).sum(axis=-1)
     chance = 0.5**BITS
-    return ((1 - wrong / HASHES) - chance) / (1 - chance)
+    return ((1 - wrong / (8 * planes.shape[-1])) - chance) / (1 - chance)
+
+
+def passing(hashes: int, percent: int) -> float:
+    """The least estimate that is passed on to the exact check: 4.5 standard errors under the threshold."""
+    p, chance = percent / 100, 0.5**BITS
+    agree = p + (1 - p) * chance
+    return p - 4.5 * (agree * (1 - agree) / hashes) ** 0.5 / (1 - chance)
 
 
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,7 +154,7 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept): one row for each row of docs.
 
     Rows are linked if 100 * |intersection| >= percent * |union| of their shingle sets. Rows with equal sets form a class
-    first. Classes that share a band's key are candidates: each with its bucket's least class, and, where a
+    first. Classes that share a band's key are candidates: each with its bucket's head, the class that meets most others, and, where a
     bucket's classes are not in one component after these links, all pairs across components, in blocks,
     that the estimate does not rule out. Every link is confirmed on the whole sets. At a similarity of 0.8 a pair
     shares none of the 42 bands of 6 minima with a chance of 3 in a million.
@@ -164,22 +171,21 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("cls"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
     keys = reps.select("cls", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).filter("head < tail")
-    members = written(keys.join(heads.select("key", "head"), "key"), "buckets")
-    stars = members.filter("cls != head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(keys.join(shared, "key"), "buckets")
+    # a text that others were edited from meets more texts than they meet each other, so it heads its buckets
+    weight = members.groupBy("cls").agg(F.sum("n").alias("weight"))
+    weighed = members.join(weight, "cls")
+    heads = weighed.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "cls")).alias("h")).select("key", F.col("h.cls").alias("head"))
+    stars = members.join(heads, "key").filter("cls != head").select(F.least("head", "cls").alias("a"), F.greatest("head", "cls").alias("b")).distinct()
     links = written(_confirmed(written(_likely(stars, reps, percent), "pairs"), texts, words, percent), "links")
     label = connected_components(links, "a", "b")
 
     rest = members.join(label, members["cls"] == label["node"], "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
     split = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    across = rest.join(split.select("key", "n"), "key").join(reps.select("cls", "n_shingles", "sig"), "cls")
-    across = written(across, "split-buckets")
-    few = across.filter(F.col("n") <= FEW).select("key", "cls", "comp")
-    few = few.select("key", F.col("cls").alias("a"), F.col("comp").alias("ca")).join(few.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb")), "key")
-    few = _likely(few.filter("a < b and ca != cb").select("a", "b").distinct(), reps, percent)
-    many = _block_pairs(across.filter(F.col("n") > FEW), percent).distinct().join(
-        reps.select(F.col("cls").alias("a"), F.col("th").alias("ta")), "a").join(reps.select(F.col("cls").alias("b"), F.col("th").alias("tb")), "b")
-    more = written(few.unionByName(many).distinct(), "pairs")
+    across = rest.join(split.select("key", "n"), "key").join(reps.select("cls", "bands"), "cls")
+    fine = written(_fine(across, texts, reps, words), "long-signatures")
+    more = written(_block_pairs(across.join(fine, "cls"), percent).distinct(), "pairs")
     more = _confirmed(more, texts, words, percent)
     label = connected_components(links.union(more), "a", "b")
 
@@ -198,7 +204,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
                 n, m = (batch.column(k).to_numpy() for k in (4, 5))
-                keep = pa.array((estimate(x, y) >= percent / 100 - SLACK) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+                keep = pa.array((estimate(x, y) >= passing(HASHES, percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
                 kept = [batch.column(k).filter(keep) for k in (0, 1, 6, 7)]
                 yield pa.RecordBatch.from_arrays(kept, names=["a", "b", "ta", "tb"])
 
@@ -208,27 +214,73 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return sides.mapInArrow(run, "a long, b long, ta long, tb long")
 
 
+def _fine(across: DataFrame, texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(cls, th, n_shingles, sig): longer signatures of the classes in `across`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for lo, hi in slices(texts):
+                sets = shingle_sets(texts[lo:hi], words)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(minima(s, FINE)) for s in sets], pa.binary())],
+                    names=["cls", "th", "n_shingles", "sig"],
+                )
+
+    need = across.select("cls").distinct().join(reps.select("cls", "th"), "cls")
+    found = _wanted(texts, need.select(F.col("cls").alias("a"), F.col("cls").alias("b"))).join(need, ["cls", "th"], "left_semi")
+    return found.select("cls", "th", "text").mapInArrow(run, "cls long, th long, n_shingles long, sig binary").dropDuplicates(["cls"])
+
+
 def _block_pairs(across: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key but different components that the estimate passes. A large bucket is cut into blocks of about
-    BLOCK rows, and each pair of blocks is a group of its own, so no task holds a whole bucket."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        cls, comp, n = (rows[c].to_numpy() for c in ("cls", "comp", "n_shingles"))
-        block, lo, hi = rows["block"].to_numpy(), rows["pi"].iloc[0], rows["pj"].iloc[0]
-        a, b = [], []
+    """(a, b, ta, tb): pairs of one key but different components that the estimate passes.
+
+    A large bucket is cut into blocks of about BLOCK rows, and each pair of blocks is a group of its own, so no task
+    holds a whole bucket. Pairs are compared where they meet; only those that pass become rows.
+    """
+    least = passing(FINE, percent)
+
+    def pairs(cls, comp, n, th, sig, bands, key, block, lo, hi) -> Iterator[tuple[np.ndarray, ...]]:
         for i in np.flatnonzero(block == lo):
-            other = np.flatnonzero((block == hi) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            other = (block == hi) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if lo == hi:
-                other = other[cls[other] > cls[i]]
-            if len(other):
-                other = other[estimate(sig[i], sig[other]) >= percent / 100 - SLACK]
-                a.append(np.minimum(cls[i], cls[other]))
-                b.append(np.maximum(cls[i], cls[other]))
-        none = [np.empty(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+                other &= cls > cls[i]
+            j = np.flatnonzero(other)
+            if len(j):
+                j = j[estimate(sig[i], sig[j]) >= least]
+                same = bands[j] == bands[i]
+                j = j[bands[i][same.argmax(axis=1)] == key]  # a pair that shares several keys is found at the first
+                up = cls[j] > cls[i]
+                yield np.where(up, cls[i], cls[j]), np.where(up, cls[j], cls[i]), np.where(up, th[i], th[j]), np.where(up, th[j], th[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names) if name not in ("sig", "bands")}
+            rows["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            rows["bands"] = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, BANDS)
+            if kept is not None:
+                rows = {k: np.concatenate([kept[k], v]) for k, v in rows.items()}
+            edge = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["pi"]) != 0) | (np.diff(rows["pj"]) != 0)) + 1
+            ends = [0, *edge.tolist()]
+            yield from found(rows, ends)
+            kept = {k: v[ends[-1] :] for k, v in rows.items()}
+        if kept is not None:
+            yield from found(kept, [0, len(kept["key"])])
+
+    def found(rows: dict, ends: list[int]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for s, e in zip(ends[:-1], ends[1:], strict=True):
+            part = {k: v[s:e] for k, v in rows.items()}
+            out += pairs(part["cls"], part["comp"], part["n_shingles"], part["th"], part["sig"], part["bands"], part["key"][0], part["block"], part["pi"][0], part["pj"][0])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["a", "b", "ta", "tb"])
 
     cut = across.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("pi"), F.greatest("block", "other").alias("pj"), "block", "cls", "comp", "n_shingles", "sig")
-    return dealt.groupBy("key", "pi", "pj").applyInPandas(run, "a long, b long")
+    dealt = dealt.select("key", F.least("block", "other").alias("pi"), F.greatest("block", "other").alias("pj"), "block", "cls", "comp", "n_shingles", "th", "sig", "bands")
+    parts = int(across.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = dealt.repartition(parts, "key", "pi", "pj").sortWithinPartitions("key", "pi", "pj")
+    return sides.mapInArrow(run, "a long, b long, ta long, tb long")
