@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str, keep: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,18 +41,16 @@ class WordTokens:
         self.flat = np.empty(1 << 20, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.first = np.zeros(keep + (1 << 17) + 1, np.int64)
         self.n = 0
-        self.kept: tuple[int, int] | None = None
 
     def _add(self, words: list[str]) -> None:
-        for word, made in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = made.ids
-            end = self.first[self.n] + len(ids)
-            while end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.first[self.n] : end] = ids
-            self.at[word] = self.n
-            self.n += 1
-            self.first[self.n] = end
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ends = self.first[self.n] + np.cumsum([len(ids) for ids in made])
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.first[self.n] : ends[-1]] = list(chain.from_iterable(made))
+        self.first[self.n + 1 : self.n + 1 + len(words)] = ends
+        self.at.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n += len(words)
 
     def _room(self, new: int) -> bool:
         return self.n + new < len(self.first) - 1
