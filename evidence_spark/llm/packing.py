@@ -30,24 +30,32 @@ class WordTokens:
     small second store that is emptied when it is full. Any other text, or one with `<|`, goes through whole.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         letters, numbers = _ranges(lambda c: c[0] == "L"), _ranges(lambda c: c[0] == "N")
         self.word = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
+        # ids of tokens that end a word, by which the ids of words encoded together come apart
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.keep, self.at = keep, {}
         self.flat = np.empty(1 << 20, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.first = np.zeros(keep + (1 << 17) + 1, np.int64)
         self.n = 0
 
     def _add(self, words: list[str]) -> None:
-        made = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        ends = self.first[self.n] + np.cumsum([len(ids) for ids in made])
+        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.flat.dtype)
+        sizes = np.flatnonzero(self.last[ids]) + 1
+        if len(sizes) != len(words):  # no tokenizer with word ends gives this, so each word is asked for alone
+            made = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            ids, sizes = np.asarray(list(chain.from_iterable(made)), self.flat.dtype), np.cumsum([len(x) for x in made])
+        ends = self.first[self.n] + sizes
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.first[self.n] : ends[-1]] = list(chain.from_iterable(made))
+        self.flat[self.first[self.n] : ends[-1]] = ids
         self.first[self.n + 1 : self.n + 1 + len(words)] = ends
         self.at.update(zip(words, range(self.n, self.n + len(words)), strict=True))
         self.n += len(words)
