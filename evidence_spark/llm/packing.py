@@ -22,6 +22,19 @@ def _ranges(test) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if test(unicodedata.category(chr(c))))
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordTokens:
     """Ids of whole texts, by the tokenizer itself for each distinct word.
 
@@ -41,7 +54,7 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.keep, self.at = keep, {}
+        self.keep, self.at = keep, _Numbers()
         self.flat = np.empty(1 << 20, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.first = np.zeros(keep + (1 << 17) + 1, np.int64)
         self.n = 0
@@ -57,16 +70,12 @@ class WordTokens:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[self.first[self.n] : ends[-1]] = ids
         self.first[self.n + 1 : self.n + 1 + len(words)] = ends
-        self.at.update(zip(words, range(self.n, self.n + len(words)), strict=True))
         self.n += len(words)
 
-    def _room(self, new: int) -> bool:
-        return self.n + new < len(self.first) - 1
-
     def _forget(self) -> None:
-        if self.n > self.keep:
-            self.at = {w: i for w, i in self.at.items() if i < self.keep}
-            self.n = self.keep
+        """Empties the second store, and takes back new words that it had no room for."""
+        self.n = min(self.n, self.keep)
+        self.at = _Numbers((w, i) for w, i in self.at.items() if i < self.n)
 
     def ids(self, text: str) -> np.ndarray:
         if "<|" in text or not _SAFE.match(text):
@@ -74,15 +83,15 @@ class WordTokens:
         words = self.word.findall(text.lower())
         if not words:
             return np.empty(0, np.uint32)
-        new = list({w: 0 for w in words if w not in self.at})
-        if new:
-            if not self._room(len(new)):
-                self._forget()
-                new = list({w: 0 for w in words if w not in self.at})
-            if not self._room(len(new)):  # more new words in one text than the second store holds
-                return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            self._add(new)
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if self.at.new:
+            if len(self.at) >= len(self.first):
+                full = self.n > self.keep
+                self._forget()
+                # more new words in one text than the second store holds: the text goes through whole
+                return self.ids(text) if full else np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            self._add(self.at.new)
+            self.at.new = []
         begin, size = self.first[at], self.first[at + 1] - self.first[at]
         ends = np.cumsum(size)
         out = np.arange(int(ends[-1])) + np.repeat(begin - (ends - size), size)
