@@ -7,27 +7,11 @@ from pyspark.sql import functions as F
 
 from evidence_spark.functions import chunks, text, vectors
 from evidence_spark.operators import evaluation, search, tables
+from evidence_spark.plans import evidence_queries, operation_queries, verify_queries  # noqa: F401  (they register themselves)
+from evidence_spark.plans.base import ORACLES, QUERIES, query, table  # noqa: F401
 from evidence_spark.sources import files
 from evidence_spark.streaming import usage
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def usage_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.select(
