@@ -1 +1,181 @@
 """Queries of retrieval, selection of evidence and chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evidence_spark.functions import structure, text
+from evidence_spark.operators import evidence
+from evidence_spark.plans.base import query, table
+
+_TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+# --- text and structured chunks
+
+
+@query(r"""SELECT doc_id, 'Head ' || doc_id || chr(10) || '# kept_*' || chr(10) || '• ' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^[ \t]{0,3}#{1,6}[ \t]+', '', 'g'), '(?m)^[ \t]{0,3}>[ \t]?', '', 'g'), '(?m)^[ \t]*[-*+][ \t]+', '• ', 'g'), '!\[[^\]\n]*\]\([^)\n]*\)', '', 'g'), '\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g'), '[*_`]', '', 'g') AS plain FROM documents""")
+def txt_markdown_to_text(spark, d):
+    marked = F.concat(F.lit("## *Head* "), F.col("doc_id").cast("string"), F.lit("\n```py\n# kept_*\n```\n- "), "text")
+    return table(spark, d, "documents").select("doc_id", structure.markdown_to_text(marked).alias("plain"))
+
+
+@query()
+def txt_markdown_blocks(spark, d):
+    marked = F.concat(F.lit("# Top\n"), F.replace("text", F.lit(". "), F.lit(".\n\n## Part ")))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(structure.markdown_blocks(marked)).alias("b"))
+    return rows.select("doc_id", "b.block_no", "b.kind", "b.level", "b.text")
+
+
+@query("""SELECT doc_id, trim(source) || ' | ' || CAST(n_chars AS VARCHAR) || CASE WHEN trim(lang) <> '' THEN ' | ' || trim(lang) ELSE '' END AS row_text FROM documents""")
+def txt_table_rows(spark, d):
+    cells = F.array(F.concat(F.lit(" "), "source", F.lit("\n")), F.lit("  "), F.col("n_chars").cast("string"), F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", structure.table_rows_to_text(cells).alias("row_text"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'clicked' WHEN 'view' THEN 'viewed' END AS reply FROM events""")
+def txt_smalltalk(spark, d):
+    said = F.concat(F.lit(" 。"), F.upper("event_type"), F.when(F.col("event_type") == "signup", " and much more").otherwise("！? "))
+    presets = F.create_map(F.lit("click"), F.lit("clicked"), F.lit("view"), F.lit("viewed"))
+    return table(spark, d, "events").select("event_id", F.try_element_at(presets, F.coalesce(structure.smalltalk_key(said), F.lit(""))).alias("reply"))
+
+
+@query("""SELECT doc_id, text AS decoded FROM documents""")
+def txt_decode_bytes(spark, d):
+    return table(spark, d, "documents").select("doc_id", structure.decode_bytes(F.encode("text", "utf-8")).alias("decoded"))
+
+
+def structured(spark, d):
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    blocks = F.transform(lines, lambda t, i: F.struct(
+        i.alias("block_no"), F.when(i % 7 == 0, "heading").when(i % 11 == 5, "code").otherwise("paragraph").alias("kind"),
+        F.when(i % 7 == 0, i % 3 + 1).cast("int").alias("level"), t.alias("text"), (F.floor(i / 5) + 1).cast("int").alias("page")))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(structure.chunk_structured(blocks)).alias("c"))
+    return rows.select("doc_id", "c.*")
+
+
+@query()
+def chk_chunk_structured(spark, d):
+    return structured(spark, d).drop("spans").withColumn("section_path", F.array_join("section_path", " / "))
+
+
+@query("""SELECT doc_id, CAST(sum(length(regexp_replace(b, '\\s', '', 'g'))) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS b FROM documents) WHERE trim(b) <> '' AND length(regexp_replace(b, '\\s', '', 'g')) > 0 GROUP BY doc_id""".replace("\\\\s", r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
+def chk_children_cover(spark, d):
+    """Children hold every character of the blocks that is no white space, once."""
+    kids = structured(spark, d).filter("not is_parent")
+    return kids.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]", ""))).alias("chars"))
+
+
+@query("""SELECT doc_id, 'x' AS problems FROM documents WHERE false""")
+def chk_verify_chunks(spark, d):
+    return evidence.verify_chunks(structured(spark, d), 256, 1024).select("doc_id", F.array_join("problems", ",").alias("problems"))
+
+
+# --- retrieval
+
+_LABEL = """WITH h AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.vec_id % 4 AS member, e.vec_id % 9 AS doc_id, abs(e.vec_id - q.vec_id) AS far FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id < 20)"""
+
+
+def labelled(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    return q.join(e, "label").filter("query_id != vec_id").select("query_id", F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("member"), (F.col("vec_id") % 9).alias("doc_id"), F.abs(F.col("vec_id") - F.col("query_id")).alias("far"))
+
+
+@query(_LABEL + """, a AS (SELECT *, row_number() OVER (PARTITION BY query_id, member ORDER BY far, doc_id, id) AS m FROM h), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, doc_id, id) AS rank FROM a WHERE m <= 8) SELECT query_id, member, id, rank FROM b WHERE rank <= 8""")
+def vec_search_members(spark, d):
+    hits = labelled(spark, d).select("query_id", "member", "doc_id", F.col("id").alias("chunk_index"), (-F.col("far")).alias("score"))
+    return evidence.search_members(hits, 8).select("query_id", "member", F.col("chunk_index").alias("id"), "rank")
+
+
+@query(_LABEL + """, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, id) - 1 AS position FROM h), t AS (SELECT * FROM p WHERE position < 12),
+ s AS (SELECT *, CASE WHEN query_id % 3 > 0 AND position % 2 = 0 THEN id % 7 END AS sc FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC NULLS LAST, position) AS rank FROM s WHERE query_id % 3 = 0 OR sc IS NOT NULL)
+ SELECT query_id, id, rank, CASE WHEN query_id % 3 = 0 THEN 'rerank_unavailable' END AS warning FROM r WHERE rank <= 5""")
+def vec_apply_rerank(spark, d):
+    hits = evidence.best(labelled(spark, d), ["query_id"], ["far", "id"], 12).select("query_id", (F.col("rank") - 1).alias("position"), "id")
+    scores = hits.filter("query_id % 3 > 0 and position % 2 = 0").select("query_id", "position", (F.col("id") % 7).alias("score"))
+    lost = scores.select("query_id", (F.col("position") + 100).alias("position"), "score")
+    return evidence.apply_rerank(hits, scores.unionByName(lost), 5).select("query_id", "id", "rank", "warning")
+
+
+@query("""SELECT event_id, 0 AS position, CAST(value AS DOUBLE) AS score FROM events WHERE event_id % 3 < 2 UNION ALL SELECT event_id, 1, 0.0::DOUBLE FROM events WHERE event_id % 3 < 2""")
+def vec_parse_rerank(spark, d):
+    items = F.concat(F.lit('[{"index":0,"relevance_score":'), F.col("value").cast("string"), F.lit('},{"relevance_score":1},{"index":"1","score":"none"}]'))
+    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"results":'), items, F.lit("}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"output":{"results":'), items, F.lit("}}"))).otherwise("[broken")
+    return table(spark, d, "events").select("event_id", F.explode(evidence.parse_rerank_payload(body)).alias("x")).select("event_id", "x.*")
+
+
+@query(_LABEL + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, id) AS rank FROM h)
+ SELECT query_id, string_agg('[' || rank || '] 《f' || doc_id || '》—— ' || CASE WHEN id % 2 = 0 THEN '第 ' || id || ' 页' ELSE '第 ' || id + 1 || ' 个片段' END || chr(10) || 't' || id, chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 5 GROUP BY query_id""")
+def vec_build_context(spark, d):
+    hits = evidence.best(labelled(spark, d), ["query_id"], ["far", "id"], 5)
+    return evidence.build_context(hits.select("query_id", "rank", F.concat(F.lit("f"), "doc_id").alias("file_name"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("page"), F.col("id").alias("chunk_index"), F.concat(F.lit("t"), "id").alias("text")))
+
+
+@query(f"""WITH t AS (SELECT item_id, text, list_distinct({_TOK} || CASE WHEN contains(text, 'the') THEN ['definite', 'article'] ELSE [] END) AS x FROM benchmark)
+ SELECT item_id, array_to_string(list_sort(x)[1:64], ' ') AS terms, text LIKE '%索引%' OR regexp_matches(text, '(?i)\\bindex(es|ing)?\\b') AS about_index FROM t""")
+def lex_expand_concepts(spark, d):
+    terms = evidence.expand_concepts(F.col("text"), text.words(F.col("text")), {"the": ["definite", "article"], "索引": ["index"]})
+    return table(spark, d, "benchmark").select("item_id", F.array_join(terms, " ").alias("terms"), evidence.index_intent(F.col("text")).alias("about_index"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 1 WHEN doc_id % 5 = 0 THEN 2 WHEN doc_id % 5 = 1 AND NOT list_has_any(t, ['we', 'our']) THEN 0 ELSE CASE WHEN list_has_any(t, ['we', 'our']) AND list_has_any(t, ['apply', 'encode', 'build', 'refresh', 'update', 'offline', 'inference']) THEN 2 WHEN list_has_all(t, ['et', 'al']) AND list_has_any(t, ['their', 'they']) AND NOT list_has_any(t, ['we', 'our']) THEN 0 ELSE 1 END END AS role
+ FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)""")
+def lex_source_role(spark, d):
+    more = F.when(F.col("doc_id") % 5 == 0, " we build").when(F.col("doc_id") % 5 == 1, " et al they").otherwise("")
+    asked = F.when(F.col("doc_id") % 5 == 4, "Which latency?").otherwise("how")
+    return table(spark, d, "documents").select("doc_id", evidence.source_role(asked, text.words(F.concat("text", more))).alias("role"))
+
+
+@query()
+def lex_repair_dense(spark, d):
+    ranked = evidence.best(labelled(spark, d), ["query_id"], ["far", "id"], 40)
+    hits = ranked.select("query_id", F.when(F.col("rank") % 2 == 0, "dense").otherwise("sparse").alias("channel"), "rank", F.col("id").alias("chunk_id"), "doc_id", F.col("doc_id").alias("doc_order"), (F.col("id") % 3 == 0).alias("about_index"))
+    return evidence.repair_dense(hits, 10)
+
+
+# --- bounded evidence
+
+
+@query(_LABEL + " SELECT query_id, id FROM h WHERE doc_id IN (query_id % 9, (query_id + 1) % 9)")
+def fus_scope_filter(spark, d):
+    hits = labelled(spark, d)
+    scopes = hits.select("query_id").distinct().select("query_id", F.explode(F.array(F.col("query_id") % 9, (F.col("query_id") + 1) % 9)).alias("doc_id"))
+    return evidence.scope_filter(hits, scopes).select("query_id", "id")
+
+
+def candidates(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 400 + 1).alias("chars"))
+    places = evidence.best(labelled(spark, d), ["query_id"], ["far", "id"], 20).withColumnRenamed("rank", "place")
+    return places.join(docs, "id").select("query_id", "place", F.col("id").alias("chunk_id"), "doc_id", "chars")
+
+
+@query(_LABEL.replace("WITH", "WITH RECURSIVE") + """, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, id) AS place FROM h), c AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n, id, n_chars % 400 + 1 AS chars FROM p JOIN documents d ON d.doc_id = p.id WHERE place <= 20),
+ w AS (SELECT query_id, 0::BIGINT AS n, 0::BIGINT AS total, 0::BIGINT AS items, ''::VARCHAR AS ids, CASE WHEN query_id % 2 = 0 THEN 800 ELSE 1000 END AS seed FROM (SELECT DISTINCT query_id FROM c)
+ UNION ALL SELECT w.query_id, c.n, CASE WHEN ok THEN total + chars ELSE total END, CASE WHEN ok THEN items + 1 ELSE items END, CASE WHEN ok THEN ids || c.id || ' ' ELSE ids END, seed FROM w JOIN c ON c.query_id = w.query_id AND c.n = w.n + 1, LATERAL (SELECT items < 6 AND total + chars <= 1000 AND (items = 0 OR total + chars <= seed) AS ok))
+ SELECT query_id, trim(ids) AS items, total AS chars FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC) AS z FROM w) WHERE z = 1""")
+def fus_select_evidence(spark, d):
+    hits = candidates(spark, d)
+    got = evidence.select_evidence(hits, 6, 1000, F.col("query_id") % 2 == 0)
+    return got.select("query_id", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"), "chars")
+
+
+@query()
+def fus_expand_parents(spark, d):
+    """Children are sentences, parents the documents; windows hold the chosen sentences and a near one."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.transform(text.sentences(F.col("text")), lambda s, i: F.struct(i.alias("chunk_index"), s.alias("text"))).alias("kids"))
+    got = candidates(spark, d).join(docs.withColumnRenamed("doc_id", "chunk_id"), "chunk_id").filter("size(kids) > 1")
+    chosen = F.array(F.lit(0), F.lit(1))
+    groups = got.select(
+        "query_id", "place", F.col("chunk_id").alias("parent_id"), F.length(F.concat(F.col("kids")[0]["text"], F.col("kids")[1]["text"])).alias("old_chars"), F.length("text").alias("parent_chars"),
+        evidence.compact_windows(F.col("text"), F.col("kids"), chosen).alias("windows"),
+    )
+    totals = groups.groupBy("query_id").agg(F.sum("old_chars").alias("total"))
+    out = evidence.expand_parents(groups.join(totals, "query_id"), 6000)
+    return out.select("query_id", "chars", F.to_json("parents").alias("parents"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(_LABEL + """ SELECT query_id, string_agg('no_context_for_document:' || s, ',' ORDER BY 'no_context_for_document:' || s) AS warnings FROM (SELECT DISTINCT query_id, unnest(range(0, 12)) AS s FROM h) x WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = x.query_id AND h.doc_id = s AND far < 60) GROUP BY query_id""")
+def fus_coverage_warnings(spark, d):
+    hits = labelled(spark, d)
+    scopes = hits.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("doc_id"))
+    return evidence.coverage_warnings(hits.filter("far < 60"), scopes).withColumn("warnings", F.array_join("warnings", ","))

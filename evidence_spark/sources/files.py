@@ -28,3 +28,18 @@ def admit_files(files: DataFrame, allowed: tuple[str, ...], max_bytes: int) -> D
     ext = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
     reason = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "blank name").when(~ext.isin(*allowed), "extension").when(F.col("size") == 0, "empty").when(F.col("size") > max_bytes, "too large")
     return files.withColumn("reason", reason)
+
+
+def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, text) of the .txt, .md and .markdown files below a path; other files are left out."""
+    from evidence_spark.functions.structure import decode_bytes
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.filter(F.lower("path").rlike(r"\.(txt|md|markdown)$")).select(F.col("path").alias("file"), F.col("length").alias("size"), decode_bytes(F.col("content")).alias("text"))
+
+
+def tree_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, sha256) of all files below a path, names relative to it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    root = path.rstrip("/") + "/"
+    return files.select(F.substring_index("path", root, -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
