@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 WINDOW_END = re.compile(r"\n\s*\n|[。！？!?；;.](?=\s|$)")
 
 
+@lru_cache(maxsize=16)  # quotes of a document stand together, so its text is read once
 def squeezed(text: str, fold: bool = False) -> tuple[str, list[int]]:
     """The text in NFKC without white space, and for each of its characters the place it comes from."""
     out, at = [], []

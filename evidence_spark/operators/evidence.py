@@ -181,19 +181,31 @@ def expand_parents(groups: DataFrame, max_chars: int) -> DataFrame:
     return walked.select("query_id", "x.chars", "x.parents", F.array_sort("x.warnings").alias("warnings"))
 
 
+def sibling_windows(parent: str | None, children, chosen) -> list[dict]:
+    """Windows of one parent that hold all chosen children and one sibling, the nearest by index first."""
+    parent = parent or ""
+    at = {c["chunk_index"]: (s, s + len(c["text"])) for c in children if c["text"] and (s := parent.find(c["text"])) >= 0 and parent.find(c["text"], s + 1) < 0}
+    picked = [i for i in chosen if i in at]
+    if not picked or len(picked) < len(chosen):
+        return []
+    left, right = min(at[i][0] for i in picked), max(at[i][1] for i in picked)
+    others = sorted((min(abs(i - j) for j in picked), i) for i in at if i not in set(picked))
+    return [{"start": min(left, at[i][0]), "end": max(right, at[i][1])} for _, i in others]
+
+
 def compact_windows(parent: Column, children: Column, chosen: Column) -> Column:
     """Array of windows (start, end) of a parent that hold all chosen children and one sibling, nearest first; empty if a chosen one is not unique.
 
-    `children`: array of chunk_index and text; `chosen`: array of chunk_index.
+    `children`: array of chunk_index and text; `chosen`: array of chunk_index. A child that stands twice in its parent, also overlapping
+    itself, counts as not unique.
     """
-    once = F.filter(children, lambda c: (F.length(c["text"]) > 0) & (F.length(F.replace(parent, c["text"], F.lit(""))) == F.length(parent) - F.length(c["text"])))
-    at = F.transform(once, lambda c: F.struct(c["chunk_index"].alias("i"), (F.position(c["text"], parent) - 1).alias("s"), F.length(c["text"]).alias("n")))
-    picked = F.filter(at, lambda c: F.array_contains(chosen, c["i"]))
-    left, right = F.array_min(F.transform(picked, lambda c: c["s"])), F.array_max(F.transform(picked, lambda c: c["s"] + c["n"]))
-    others = F.array_sort(F.transform(F.filter(at, lambda c: ~F.array_contains(chosen, c["i"])), lambda c: F.struct(
-        F.array_min(F.transform(chosen, lambda x: F.abs(x - c["i"]))).alias("far"), c["i"].alias("i"), F.least(left, c["s"]).alias("start"), F.greatest(right, c["s"] + c["n"]).alias("end"))))
-    windows = F.transform(others, lambda w: F.struct(w["start"].cast("int").alias("start"), w["end"].cast("int").alias("end")))
-    return F.when(F.size(picked) == F.size(chosen), windows).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for parents, kids, picks in batches:
+            yield pd.Series([sibling_windows(p, [] if k is None else k, [] if c is None else list(c)) for p, k, c in zip(parents, kids, picks)], dtype=object)
+
+    return run(parent, children, chosen)
 
 
 def coverage_warnings(selected: DataFrame, scopes: DataFrame) -> DataFrame:
