@@ -113,21 +113,28 @@ def near_vectors(
     any one direction is far smaller than the whole, so 0.6 misses next to none. In a block, table lookups drop pairs
     whose distance, less what the code leaves out, is over the threshold (no true pair), and the exact cosine decides. Blocks return
     counts of links and a spanning forest of them, so rows do not grow with the square of a group.
-    Null, zero, null-holding and non-finite vectors, and those of another length, link with nothing.
-    Null ids take part but name no component; equal ids are told apart as rows by their vectors only.
+    Equal vectors are searched once, with their number as weight, so copies never meet each other; each copy gets the links of
+    all of them and the other copies.
+    Null, zero, null-holding and non-finite vectors, those of another length than most, and null ids link with nothing.
+    A repeated row is one more copy; an id that stands with several vectors gets the links of all of them.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    good = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-    n = good.count()
-    share = int(1_000_000 * min(1.0, sample_rows / max(n, 1)))
-    picked = good.filter(F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1_000_000)) < share).toArrow()
-    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    named = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    sizes = named.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = sizes["d"] if sizes else 0
-    x, ok = _matrix(picked.filter(pa.array([r is not None and len(r) == d for r in picked["v"].to_pylist()], pa.bool_()))["v"].combine_chunks()) if n else (np.zeros((0, 0)), np.zeros(0, bool))
-    x = x[ok]
-    if not len(x) or not d:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
+    fit = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") == d) & ~odd, F.lit(False))
+    good = written(rows.filter(fit).groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "vectors")
+    n, total = good.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    alone = rows.filter(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    if not n:
+        return alone
+    share = int(1_000_000 * min(1.0, sample_rows / n))
+    picked = good.filter(F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1_000_000)) < share).select("v").toArrow()
+    if not len(picked):  # so few vectors that a hash may pick none
+        picked = good.limit(sample_rows).select("v").toArrow()
+    x = _matrix(picked["v"].combine_chunks())[0]
     order = np.lexsort(x.T[:1])
     made = Quantiser(x[order], int(np.clip(n // per_list, 1, max_lists)), parts, words)
     sent = spark.sparkContext.broadcast(made)
@@ -136,14 +143,9 @@ def near_vectors(
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
         for batch in batches:
-            keep = pa.array([r.as_py() is not None and len(r) == d for r in batch.column(1)], pa.bool_())
-            ids, column = batch.column(0).filter(keep), batch.column(1).filter(keep)
-            if not len(ids):
-                continue
-            x, ok = _matrix(column)
-            ids, x = ids.to_numpy()[ok], x[ok]
+            ids, copies, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))[0]
             for i in range(0, len(x), 512):
-                part, own = x[i : i + 512], ids[i : i + 512]
+                part, own, weight = x[i : i + 512], ids[i : i + 512], copies[i : i + 512]
                 home = _nearest(part, q.coarse)
                 others = q.probes(part, home, probe_share * reach)
                 times = np.array([len(o) for o in others]) + 1
@@ -154,27 +156,27 @@ def near_vectors(
                 codes, left_out = q.encode(part, home)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(own[row]), pa.array(at), pa.array(home[row]), pa.array(first),
+                        pa.array(own[row]), pa.array(weight[row]), pa.array(at), pa.array(home[row]), pa.array(first),
                         pa.array([part[r].tobytes() for r in row], pa.binary()),
                         pa.array([codes[r].tobytes() if f else None for r, f in zip(row, first, strict=True)], pa.binary()),
                         pa.array(left_out[row]),
                     ],
-                    names=["vec_id", "list", "home", "own", "v", "codes", "left_out"],
+                    names=["vec_id", "copies", "list", "home", "own", "v", "codes", "left_out"],
                 )
 
-    dealt = written(good.mapInArrow(deal, "vec_id long, list long, home long, own boolean, v binary, codes binary, left_out double"), "lists")
+    dealt = written(good.select("vec_id", "copies", "v").mapInArrow(deal, "vec_id long, copies long, list long, home long, own boolean, v binary, codes binary, left_out double"), "lists")
     # members of a list are cut into blocks; every probing vector and every member meets each block of members once
     blocks = dealt.filter("own").groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
     cut = dealt.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     probing = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slices"))
     cut = cut.join(probing, "list").withColumn("slice", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.col("slices")).cast("int"))
-    as_member = cut.filter("own").select("list", "block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("member"), "vec_id", "home", "v", "codes", "left_out")
-    as_query = cut.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "slice", F.lit(False).alias("member"), "vec_id", "home", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("left_out"))
+    as_member = cut.filter("own").select("list", "block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("member"), "vec_id", "copies", "home", "v", "codes", "left_out")
+    as_query = cut.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "slice", F.lit(False).alias("member"), "vec_id", "copies", "home", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("left_out"))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         q, at = sent.value, int(g["list"].iloc[0])
         x = np.frombuffer(b"".join(g["v"]), np.float64).reshape(len(g), -1)
-        ids, member, home = (g[c].to_numpy() for c in ("vec_id", "member", "home"))
+        ids, copies, member, home = (g[c].to_numpy() for c in ("vec_id", "copies", "member", "home"))
         m, s = np.flatnonzero(member), np.flatnonzero(~member)
         if not len(m) or not len(s):
             return pd.DataFrame({"vec_id": [], "n": [], "b": []}).astype("int64")
@@ -184,18 +186,19 @@ def near_vectors(
         i, j = np.nonzero(near & (ids[s][:, None] != ids[m][None]))
         keep = np.einsum("ij,ij->i", x[s[i]], x[m[j]]) >= cosine
         i, j = s[i[keep]], m[j[keep]]
-        n = np.bincount(i, minlength=len(g))
+        n = np.bincount(i, copies[j], len(g))
         # a pair across lists also counts for its member here, unless the member probes the other list and so meets it there
         across = home[i] != at
-        k, other = j[across], home[i[across]]
+        q_at, k, other = i[across], j[across], home[i[across]]
         far, own = ((x[k] - q.coarse[other]) ** 2).sum(axis=1), ((x[k] - q.coarse[at]) ** 2).sum(axis=1)
         gap = ((q.coarse[other] - q.coarse[at]) ** 2).sum(axis=1)
-        n += np.bincount(k[~q.crosses(far, own, gap, probe_share * reach)], minlength=len(g))
+        once = ~q.crosses(far, own, gap, probe_share * reach)
+        n += np.bincount(k[once], copies[q_at[once]], len(g))
         at_n = np.flatnonzero(n)
         tree = _forest(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
         return pd.DataFrame({
             "vec_id": np.concatenate([ids[at_n], tree[0]]),
-            "n": np.concatenate([n[at_n], np.zeros(len(tree[0]), np.int64)]),
+            "n": np.concatenate([n[at_n].astype(np.int64), np.zeros(len(tree[0]), np.int64)]),
             "b": np.concatenate([ids[at_n], tree[1]]),
         })
 
@@ -203,10 +206,16 @@ def near_vectors(
     found = written(groups.applyInPandas(compare, "vec_id long, n long, b long"), "vector-links")
     counts = found.filter("n > 0").groupBy("vec_id").agg(F.sum("n").alias("n"))
     label = connected_components(found.filter("n = 0").select(F.col("vec_id").alias("a"), "b"), "a", "b")
-    out = rows.select("vec_id").join(counts, "vec_id", "left")
-    out = out.join(label, out["vec_id"] == label["node"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = good.join(counts, "vec_id", "left").join(label, good["vec_id"] == label["node"], "left")
+    found = out.select("v", "copies", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    found = written(found, "vector-classes")
+    single = found.filter("copies = 1").select("vec_id", "n_links", "component_id")
+    # fewer than 200 vectors have so many copies; they are broadcast, so that no task gets all rows of one
+    many = F.col("copies") > max(1000, total // 200)
+    classes = found.filter("copies > 1").drop("vec_id")
+    hot, rest = F.broadcast(classes.filter(many)), classes.filter(~many)
+    shared = rows.filter(fit).join(hot, "v").unionByName(rows.filter(fit).join(rest, "v")).select("vec_id", "n_links", "component_id")
+    return single.unionByName(shared).withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(alone)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

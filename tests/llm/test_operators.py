@@ -490,6 +490,7 @@ def test_vectors(spark):
     x[400:600] = x[0] + 0.18 * rng.normal(size=(200, 32)) * np.abs(x[0]).mean()
     x[600:] = x[100:200] + 0.1 * rng.normal(size=(100, 32))
     made = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    made += [(8000 + k, made[k // 7][1]) for k in range(140)] + [(8500, made[450][1]), (8501, made[450][1])]  # exact copies
     made += [(9001, None), (9002, [0.0] * 32), (9003, [float("nan")] * 32), (9004, [1.0, None] + [0.0] * 30), (9005, []), (9006, [1.0])]
     want = brute_vectors(made)
     df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
@@ -509,3 +510,6 @@ def test_vectors_edges(spark):
     nulls = spark.createDataFrame([(1, None), (None, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, 4.0])], "vec_id long, embedding array<float>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pq.near_vectors(nulls).collect()}
     assert got == {1: (0, 1, True), None: (0, None, False), 2: (1, 2, True), 3: (1, 2, False)}
+    copies = spark.createDataFrame([(i, [0.0, 1.0]) for i in range(3000)] + [(-1, [-0.0, 1.0]), (5000, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {tuple(r)[1:3] for r in pq.near_vectors(copies).collect() if r.vec_id < 5000}
+    assert got == {(3000, -1)}
