@@ -55,12 +55,12 @@ class Quantiser:
         return codes.astype(np.uint8), np.linalg.norm(rest - made, axis=1)
 
     def distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """(queries, codes) squared distances: one table of part distances for each query, summed over the codes."""
+        """(codes, queries) squared distances: one table of part distances for each query, summed over the codes; whole rows of tables are read."""
         rest = queries - self.coarse[at]
-        out = np.zeros((len(queries), len(codes)))
+        out = np.zeros((len(codes), len(queries)))
         for p, (r, b) in enumerate(zip(np.split(rest, len(self.books), axis=1), self.books, strict=True)):
-            table = (r**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * r @ b.T
-            out += table[:, codes[:, p]]
+            table = (r**2).sum(axis=1)[None] + (b**2).sum(axis=1)[:, None] - 2 * b @ r.T
+            out += table.take(codes[:, p], axis=0)
         return out
 
     def crosses(self, far: np.ndarray, near: np.ndarray, gap: np.ndarray, reach: float) -> np.ndarray:
@@ -68,11 +68,16 @@ class Quantiser:
         return far - near <= 2 * reach * np.sqrt(np.maximum(gap, 1e-24))
 
     def probes(self, x: np.ndarray, at: np.ndarray, reach: float) -> list[np.ndarray]:
-        """Lists whose cell a point within `reach` of each vector can lie in, but for the home list."""
+        """Lists whose cell a point within `reach` of each vector can lie in, but for the home list.
+
+        Of two lists, only one sends its vectors to the other, so a pair of vectors meets once; a list sends to about half of the others.
+        """
         own, size = self.coarse[at], (self.coarse**2).sum(axis=1)
         far = (x**2).sum(axis=1)[:, None] + size[None] - 2 * x @ self.coarse.T
         gap = size[at][:, None] + size[None] - 2 * own @ self.coarse.T
         hit = self.crosses(far, far[np.arange(len(x)), at][:, None], gap, reach)
+        lists = np.arange(len(self.coarse))[None]
+        hit &= (at[:, None] < lists) == ((at[:, None] + lists) % 2 == 0)
         hit[np.arange(len(x)), at] = False
         return [np.flatnonzero(h) for h in hit]
 
@@ -165,7 +170,7 @@ def near_vectors(
                 )
 
     dealt = written(good.select("vec_id", "copies", "v").mapInArrow(deal, "vec_id long, copies long, list long, home long, own boolean, v binary, codes binary, left_out double"), "lists")
-    # members of a list are cut into blocks; every probing vector and every member meets each block of members once
+    # members of a list are cut into blocks; every vector sent to it and every member meets each block of members once
     blocks = dealt.filter("own").groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
     cut = dealt.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     probing = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slices"))
@@ -182,18 +187,14 @@ def near_vectors(
             return pd.DataFrame({"vec_id": [], "n": [], "b": []}).astype("int64")
         codes = np.frombuffer(b"".join(g["codes"].iloc[m]), np.uint8).reshape(len(m), -1)
         left_out = g["left_out"].to_numpy()[m]
-        near = np.sqrt(np.maximum(q.distances(x[s], at, codes), 0)) - left_out[None] <= reach + 1e-6
-        i, j = np.nonzero(near & (ids[s][:, None] != ids[m][None]))
+        near = q.distances(x[s], at, codes) <= ((reach + 1e-6 + left_out) ** 2)[:, None]
+        j, i = np.nonzero(near & (ids[m][:, None] != ids[s][None]))
         keep = np.einsum("ij,ij->i", x[s[i]], x[m[j]]) >= cosine
         i, j = s[i[keep]], m[j[keep]]
         n = np.bincount(i, copies[j], len(g))
-        # a pair across lists also counts for its member here, unless the member probes the other list and so meets it there
+        # a pair across lists meets only here, so it counts for its member too
         across = home[i] != at
-        q_at, k, other = i[across], j[across], home[i[across]]
-        far, own = ((x[k] - q.coarse[other]) ** 2).sum(axis=1), ((x[k] - q.coarse[at]) ** 2).sum(axis=1)
-        gap = ((q.coarse[other] - q.coarse[at]) ** 2).sum(axis=1)
-        once = ~q.crosses(far, own, gap, probe_share * reach)
-        n += np.bincount(k[once], copies[q_at[once]], len(g))
+        n += np.bincount(j[across], copies[i[across]], len(g))
         at_n = np.flatnonzero(n)
         tree = _forest(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
         return pd.DataFrame({
