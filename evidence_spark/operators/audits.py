@@ -151,13 +151,14 @@ def publish_faults(reports: DataFrame, claims: DataFrame, verdicts: DataFrame, a
 def render_comparison(cells: DataFrame, facets: list[str], labels: dict[str, str]) -> DataFrame:
     """(artifact_id, status, gaps, markdown): each artifact's table of documents by facets, with numbered statements.
 
-    `cells`: artifact_id, doc_id, title, facet, state, statement; facets without a cell are missing. Supported statements are
+    `cells`: artifact_id, doc_id, title, facet, state, statement; facets without a cell are missing, cells of other facets are left out. Supported statements are
     numbered in the order of rows and facets; all other states show their label and make a gap. An artifact's table must fit a row.
     """
     place = F.array_position(F.array(*map(F.lit, facets)), F.col("facet"))
+    cells = cells.filter(F.col("facet").isin(*facets))
     good = cells.filter("state = 'supported'").withColumn("n", F.row_number().over(Window.partitionBy("artifact_id").orderBy("doc_id", place)))
-    rows = cells.filter(F.col("facet").isin(*facets)).select("artifact_id", "doc_id", "title", "facet", "state", "statement").join(good.select("artifact_id", "doc_id", "facet", "n"), ["artifact_id", "doc_id", "facet"], "left")
-    label = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    rows = cells.select("artifact_id", "doc_id", "title", "facet", "state", "statement").join(good.select("artifact_id", "doc_id", "facet", "n"), ["artifact_id", "doc_id", "facet"], "left")
+    label = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]).cast("map<string,string>")
     state = lambda f: F.coalesce(F.max(F.when(F.col("facet") == f, F.col("state"))), F.lit("missing"))
     shown = F.concat("statement", F.lit(" ["), F.col("n").cast("string"), F.lit("]"))
     wide = rows.groupBy("artifact_id", "doc_id").agg(F.min("title").alias("title"), *[state(f).alias(f"s_{i}") for i, f in enumerate(facets)], *[F.max(F.when(F.col("facet") == f, shown)).alias(f"t_{i}") for i, f in enumerate(facets)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_spark.operators import audits, comparisons
+from evidence_spark.operators import audits, comparisons, conditions
 from evidence_spark.plans.base import query, table
 from evidence_spark.plans.evidence_queries import _LABEL, labelled
 
@@ -179,3 +179,14 @@ def fus_retrieval_grid(spark, d):
     lo = F.col("query_id") * 7 % 100
     gold = rows.select("query_id").distinct().select("query_id", (F.col("query_id") % 9).alias("doc_id"), F.lit(1).alias("page"), lo.alias("g_start"), (lo + 20).alias("g_end"))
     return comparisons.retrieval_grid(hits, windows, gold, ["near", "far"], ["child", "window"], 10)
+
+
+@query("""SELECT o_orderkey AS claim_id, CASE o_orderkey % 6 WHEN 0 THEN 'passed' WHEN 1 THEN 'missing' WHEN 2 THEN 'unknown' WHEN 3 THEN 'unknown' ELSE 'not_applicable' END AS status,
+ CASE o_orderkey % 6 WHEN 0 THEN 'all_explicit_row_assignments_retained' WHEN 1 THEN 'explicit_row_condition_omitted' WHEN 2 THEN 'condition_occurrence_not_affirmed' WHEN 3 THEN 'numeric_row_not_located' ELSE 'not_a_numeric_result' END AS reason, CASE WHEN o_orderkey % 6 = 1 THEN 'Corpus' || o_orderstatus ELSE '' END AS missing FROM orders""")
+def clm_audit_conditions(spark, d):
+    k, corpus = F.col("o_orderkey") % 6, F.concat(F.lit("Corpus"), "o_orderstatus")
+    number = F.when(k == 3, F.col("o_custkey") + 1_000_000_000).otherwise(F.col("o_custkey"))
+    said = F.when(k == 5, "Net reaches many").otherwise(F.concat(F.lit("Net reaches "), number, F.when(k == 1, "").when(k == 2, F.concat(F.lit(" not on "), corpus)).otherwise(F.concat(F.lit(" on "), corpus))))
+    quote = F.concat(F.lit("Net (X = "), corpus, F.lit(")\r\n  "), "o_custkey", F.lit("\r\n"), F.col("o_totalprice").cast("string"), F.lit("\r\nOther\r\n-1"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), conditions.audit_conditions(F.when(k == 4, "method").otherwise("result"), said, quote).alias("x"))
+    return rows.select("claim_id", "x.status", "x.reason", F.array_join("x.missing", ",").alias("missing"))
