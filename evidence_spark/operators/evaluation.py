@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranking_metrics(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+def ranking_metrics(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...], total: DataFrame | None = None) -> DataFrame:
     """(k, recall, mrr, ndcg, n_queries): means over queries with relevant ids, rounded to six decimals.
 
-    `ranked`: query_id, id, rank from 1; `relevant`: query_id, id.
+    `ranked`: query_id, id, rank from 1; `relevant`: query_id, id. With `total` (query_id, total), the numbers of relevant
+    ids, `relevant` may leave out ids that are not ranked.
     """
-    total = relevant.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    if total is None:
+        total = relevant.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     hits = ranked.join(relevant.distinct(), ["query_id", "id"], "left_semi").select("query_id", "rank")
     cut = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     grid = total.select("query_id", "total", cut)

@@ -13,6 +13,8 @@ from evidence_spark.functions.text import snippet
 
 #: Most bytes of query vectors that are sent to every task at once; larger batches of queries go in several passes.
 QUERY_BYTES = 64 << 20
+#: Most bytes of scores that a task computes at once.
+BLOCK_BYTES = 32 << 20
 
 
 def best(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
@@ -42,32 +44,77 @@ def _topn(q: pd.DataFrame, index: DataFrame, n: int, tenant: str | None) -> Data
     ids = q["query_id"].to_numpy()
     length = q["vector"].map(lambda v: -1 if v is None else len(v)).to_numpy()
 
+    own = q[tenant].to_numpy() if tenant else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, pd.DataFrame] = {}
+        at, name, score = np.empty(0, np.int64), None, np.empty(0)
+        least = np.full(len(ids), -np.inf)  # the score of a query's n-th row so far
         for rows in batches:
             sizes = rows["vector"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+            found = []
             for d in set(sizes.tolist()) & set(length.tolist()) - {-1, 0}:
                 qs, xs = np.flatnonzero(length == d), np.flatnonzero(sizes == d)
-                a, b = (np.stack(c).astype(np.float64) for c in (q["vector"].iloc[qs], rows["vector"].iloc[xs]))
-                a, b = (m / np.where((s := np.linalg.norm(m, axis=1)) > 0, s, 1)[:, None] for m in (a, b))
-                score = a @ b.T
-                own, names = rows["id"].to_numpy()[xs], rows[tenant].to_numpy()[xs] if tenant else None
-                for i, at in enumerate(qs):
-                    ok = np.arange(len(xs)) if tenant is None else np.flatnonzero(names == q[tenant].iloc[at])
-                    s = score[i, ok]
-                    new = pd.DataFrame({"query_id": ids[at], "id": own[ok], "score": s})
-                    if len(s) > n:
-                        new = new[s >= np.partition(s, len(s) - n)[len(s) - n]]
-                    both = pd.concat([kept[at], new]) if at in kept else new
-                    kept[at] = both.sort_values(["score", "id"], ascending=[False, True]).head(n)
-        if kept:
-            yield pd.concat(kept.values())
+                b = _units(rows["vector"].iloc[xs])
+                names = rows[tenant].to_numpy()[xs] if tenant else None
+                step = max(1, BLOCK_BYTES // (8 * len(xs)))
+                for part in (qs[i : i + step] for i in range(0, len(qs), step)):
+                    s = _units(q["vector"].iloc[part]) @ b.T
+                    s[np.isnan(s)] = -np.inf
+                    if tenant:
+                        s[own[part][:, None] != names[None, :]] = -np.inf
+                    floor = least[part]
+                    if len(xs) > n:
+                        floor = np.maximum(floor, np.partition(s, len(xs) - n, axis=1)[:, len(xs) - n])
+                    i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+                    found.append((part[i], rows["id"].to_numpy()[xs[j]], s[i, j]))
+            if found:
+                at, name, score = (np.concatenate([y for y in x if y is not None]) for x in zip((at, name, score), *found))
+                order = np.lexsort((np.unique(name, return_inverse=True)[1], -score, at))
+                at, name, score = at[order], name[order], score[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                least[at[place == n - 1]] = score[place == n - 1]
+                at, name, score = (x[place < n] for x in (at, name, score))
+        if len(at):
+            yield pd.DataFrame({"query_id": ids[at], "id": name, "score": score})
 
     kinds = dict(index.dtypes)
     query_kind = "long" if np.issubdtype(ids.dtype, np.integer) else "string"
     return index.select("id", "vector", *([tenant] if tenant else [])).mapInPandas(run, f"query_id {query_kind}, id {kinds['id']}, score double")
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors).astype(np.float64)
+    norm = np.linalg.norm(m, axis=1)
+    return m / np.where(norm > 0, norm, 1)[:, None]
+
+
+def nearest_ids(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(query_id, id): rows of a query's key with the n next lower and n next higher ids, from each task's rows.
+
+    They hold the n rows of least distance in ids under any order of ties. `queries`: query_id, key; `rows`: id, key.
+    """
+    asked = {k: np.unique(g.to_numpy()) for k, g in queries.toPandas().groupby("key")["query_id"]}
+
+    def places(ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        side, step = np.arange(len(q)), np.arange(n)
+        at = np.hstack([np.searchsorted(ids, q, "left")[:, None] - 1 - step, np.searchsorted(ids, q, "right")[:, None] + step])
+        ok = (at >= 0) & (at < len(ids))
+        return np.broadcast_to(side[:, None], at.shape)[ok], at[ok]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+        for batch in batches:
+            for k, g in batch.groupby("key")["id"]:
+                if k in asked:
+                    ids = np.sort(np.concatenate([kept.get(k, np.empty(0, np.int64)), g.to_numpy()]))
+                    kept[k] = ids[np.unique(places(ids, asked[k])[1])]
+        for k, ids in kept.items():
+            q, at = places(ids, asked[k])
+            yield pd.DataFrame({"query_id": asked[k][q], "id": ids[at]})
+
+    return rows.select("id", "key").mapInPandas(run, "query_id long, id long")
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score) of all chunks with a score, over (query_id, terms array) and (chunk_id, tokens array).
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidence_spark.operators import audits, comparisons, conditions
 from evidence_spark.plans.base import query, table
-from evidence_spark.plans.evidence_queries import _LABEL, labelled
+from evidence_spark.plans.evidence_queries import _LABEL, labels_asked, nearest
 
 
 def _text(c: str):
@@ -168,11 +168,14 @@ def chk_compare_chunkers(spark, d):
  c AS (SELECT policy, context, g.query_id, (SELECT count(DISTINCT x) FROM (SELECT unnest(range(greatest(s, lo), least(e, hi))) AS x FROM top t WHERE t.query_id = g.query_id AND t.policy = a.policy AND t.context = b.context AND t.doc_id = g.doc_id)) = 20 AS ok,
  (SELECT coalesce(sum(e - s), 0) FROM top t WHERE t.query_id = g.query_id AND t.policy = a.policy AND t.context = b.context) AS chars FROM g, (VALUES ('near'), ('far')) a(policy), (VALUES ('child'), ('window')) b(context))
  SELECT policy, context, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) FILTER (ok) AS complete, count(*) AS scored, round(avg(chars), 6) AS chars FROM c GROUP BY CUBE (policy, context)""")
-def fus_retrieval_grid(spark, d):
+def fus_retrieval_grid(spark, d, asked="vec_id < 20"):
     from evidence_spark.operators.search import best
 
-    rows = labelled(spark, d).select("query_id", F.col("id").alias("chunk_id"), "far")
-    hits = best(rows, ["query_id"], ["far", "chunk_id"], 10).withColumn("policy", F.lit("near")).unionByName(best(rows, ["query_id"], [F.desc("far"), "chunk_id"], 10).withColumn("policy", F.lit("far")))
+    e, q = labels_asked(spark, d, asked)
+    ends = best(e, ["label"], ["vec_id"], 11).unionByName(best(e, ["label"], [F.desc("vec_id")], 11)).select("label", F.col("vec_id").alias("chunk_id")).distinct()
+    rows = nearest(spark, d, asked, 10).select("query_id", F.col("id").alias("chunk_id"), "far")
+    away = q.join(ends, "label").filter("query_id != chunk_id").select("query_id", "chunk_id", F.abs(F.col("chunk_id") - F.col("query_id")).alias("far"))
+    hits = best(rows, ["query_id"], ["far", "chunk_id"], 10).withColumn("policy", F.lit("near")).unionByName(best(away, ["query_id"], [F.desc("far"), "chunk_id"], 10).withColumn("policy", F.lit("far")))
     at, wide = F.col("vec_id") % 20 * 10, F.when(F.col("context") == "window", 10).otherwise(0)
     windows = table(spark, d, "embeddings").select("vec_id", F.explode(F.array(F.lit("child"), F.lit("window"))).alias("context"))
     windows = windows.select(F.col("vec_id").alias("chunk_id"), "context", (F.col("vec_id") % 9).alias("doc_id"), F.lit(1).alias("page"), (at - wide).alias("s_start"), (at + 30 + wide).alias("s_end"))

@@ -125,16 +125,16 @@ _COS = """WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings W
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
 
 
-def dense_hits(spark, d, n: int) -> DataFrame:
+def dense_hits(spark, d, n: int, asked: str = "vec_id < 10") -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = e.filter("id < 10").select(F.col("id").alias("query_id"), "vector")
+    q = e.filter(asked.replace("vec_id", "id")).select(F.col("id").alias("query_id"), "vector")
     found = search.cosine_topn(q, e, n + 1).filter("query_id != id").drop("rank")
     return search.best(found, ["query_id"], [F.desc("score"), "id"], n)
 
 
 @query(_COS + " SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 20")
-def vec_cosine_topn(spark, d):
-    return dense_hits(spark, d, 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+def vec_cosine_topn(spark, d, asked="vec_id < 10"):
+    return dense_hits(spark, d, 20, asked).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
@@ -162,11 +162,12 @@ def lex_bm25(spark, d):
     return lexical(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def channel_hits(spark, d) -> DataFrame:
-    dense = dense_hits(spark, d, 20).select("query_id", F.col("id").alias("chunk_id"), F.lit("vector").alias("channel"), (F.col("rank") - 1).alias("rank"))
+def channel_hits(spark, d, asked: str = "vec_id < 10") -> DataFrame:
+    dense = dense_hits(spark, d, 20, asked).select("query_id", F.col("id").alias("chunk_id"), F.lit("vector").alias("channel"), (F.col("rank") - 1).alias("rank"))
     label = table(spark, d, "embeddings").select("vec_id", "label")
-    q = label.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
-    same = q.join(label, "label").filter("vec_id != query_id")
+    q = label.filter(asked).select(F.col("vec_id").alias("query_id"), "label")
+    first = search.best(label, ["label"], ["vec_id"], 21).drop("rank")  # one of them can be the query
+    same = q.join(first, "label").filter("vec_id != query_id")
     lex = search.best(same, ["query_id"], ["vec_id"], 20).select("query_id", F.col("vec_id").alias("chunk_id"), F.lit("lexical").alias("channel"), (F.col("rank") - 1).alias("rank"))
     return dense.unionByName(lex)
 
@@ -177,14 +178,14 @@ _HITS = _COS + """, x AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_numbe
 
 
 @query(_HITS + " SELECT query_id, chunk_id, round(score, 9) AS score, n_channels FROM f")
-def fus_rrf(spark, d):
-    return search.rrf(channel_hits(spark, d)).withColumn("score", F.round("score", 9))
+def fus_rrf(spark, d, asked="vec_id < 10"):
+    return search.rrf(channel_hits(spark, d, asked)).withColumn("score", F.round("score", 9))
 
 
 @query(_HITS + """, g AS (SELECT *, chunk_id % 4 AS doc_id FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, chunk_id) AS round FROM g)
  SELECT query_id, chunk_id, round, row_number() OVER (PARTITION BY query_id ORDER BY round, doc_id) AS place FROM o""")
-def fus_round_robin(spark, d):
-    hits = search.rrf(channel_hits(spark, d)).withColumns({"score": F.round("score", 9), "doc_id": F.col("chunk_id") % 4})
+def fus_round_robin(spark, d, asked="vec_id < 10"):
+    hits = search.rrf(channel_hits(spark, d, asked)).withColumns({"score": F.round("score", 9), "doc_id": F.col("chunk_id") % 4})
     return search.round_robin(hits.withColumn("doc_order", F.col("doc_id"))).select("query_id", "chunk_id", "round", "place")
 
 
@@ -196,11 +197,13 @@ def fus_round_robin(spark, d):
  e AS (SELECT t.query_id, k, total, (SELECT count(*) FROM g WHERE g.query_id = t.query_id AND g.k = ks.k) AS hit, (SELECT min(rank) FROM g WHERE g.query_id = t.query_id AND g.k = ks.k) AS first,
    (SELECT coalesce(sum(1 / log2(rank + 1)), 0) FROM g WHERE g.query_id = t.query_id AND g.k = ks.k) AS dcg, (SELECT sum(1 / log2(i + 1)) FROM range(1, least(total, k) + 1) x(i)) AS ideal FROM t, (SELECT unnest([1, 5, 10]) AS k) ks)
  SELECT k, round(avg(hit / total::DOUBLE), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(dcg / ideal), 6) AS ndcg, count(*) AS n_queries FROM e GROUP BY k""")
-def evl_ranking_metrics(spark, d):
+def evl_ranking_metrics(spark, d, asked="vec_id < 10"):
     label = table(spark, d, "embeddings").select("vec_id", "label")
-    q = label.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = q.join(label, "label").filter("vec_id != query_id").select("query_id", F.col("vec_id").alias("id"))
-    return evaluation.ranking_metrics(dense_hits(spark, d, 20).select("query_id", "id", "rank"), relevant, (1, 5, 10))
+    q = label.filter(asked).select(F.col("vec_id").alias("query_id"), "label")
+    total = q.join(label.groupBy("label").agg((F.count_distinct("vec_id") - 1).alias("total")), "label").filter("total > 0").select("query_id", "total")
+    hits = dense_hits(spark, d, 20, asked).select("query_id", "id", "rank")
+    relevant = hits.join(q, "query_id").join(label.withColumnRenamed("vec_id", "id"), ["id", "label"]).select("query_id", "id")
+    return evaluation.ranking_metrics(hits, relevant, (1, 5, 10), total)
 
 
 @query("""WITH j AS (SELECT d.lang AS query_id, CAST(d.doc_id AS VARCHAR) AS id, l.quality = 1 AS label, d.n_chars AS score FROM documents d JOIN labels l USING (doc_id)),
@@ -337,3 +340,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def w2_retrieve_and_cite(spark, d):
     return flagship(spark, d)
+
+
+from evidence_spark.plans import whole_queries  # noqa: E402, F401  (needs the queries above)
