@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ def _topn(q: pd.DataFrame, index: DataFrame, n: int, tenant: str | None) -> Data
     own = q[tenant].to_numpy() if tenant else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, name, score = np.empty(0, np.int64), None, np.empty(0)
+        at, name, score = np.empty(0, np.int64), np.empty(0), np.empty(0)
         least = np.full(len(ids), -np.inf)  # the score of a query's n-th row so far
         for rows in batches:
             sizes = rows["vector"].map(lambda v: -1 if v is None else len(v)).to_numpy()
@@ -68,12 +69,9 @@ def _topn(q: pd.DataFrame, index: DataFrame, n: int, tenant: str | None) -> Data
                     i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
                     found.append((part[i], rows["id"].to_numpy()[xs[j]], s[i, j]))
             if found:
-                at, name, score = (np.concatenate([y for y in x if y is not None]) for x in zip((at, name, score), *found))
-                order = np.lexsort((np.unique(name, return_inverse=True)[1], -score, at))
-                at, name, score = at[order], name[order], score[order]
-                place = np.arange(len(at)) - np.searchsorted(at, at)
-                least[at[place == n - 1]] = score[place == n - 1]
-                at, name, score = (x[place < n] for x in (at, name, score))
+                at, name, score = _merge([(at, name, score), *found] if len(at) else found, n)
+                full = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == n - 1)
+                least[at[full]] = score[full]
         if len(at):
             yield pd.DataFrame({"query_id": ids[at], "id": name, "score": score})
 
@@ -82,6 +80,15 @@ def _topn(q: pd.DataFrame, index: DataFrame, n: int, tenant: str | None) -> Data
     return index.select("id", "vector", *([tenant] if tenant else [])).mapInPandas(run, f"query_id {query_kind}, id {kinds['id']}, score double")
 
 
+def _merge(parts: list[tuple], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n best of each query, in order, from parts (place of the query, id, score)."""
+    at, name, score = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((np.unique(name, return_inverse=True)[1], -score, at))
+    at, name, score = at[order], name[order], score[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at) < n
+    return at[first], name[first], score[first]
+
+
 def _units(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors).astype(np.float64)
     norm = np.linalg.norm(m, axis=1)
@@ -115,23 +122,76 @@ def nearest_ids(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     return rows.select("id", "key").mapInPandas(run, "query_id long, id long")
 
 
+def asked_words(queries: DataFrame, words: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The ids of the queries, and the places of the queries that ask for a word."""
+    q = queries.select("query_id", F.explode(words).alias("w")).distinct().toPandas()
+    ids, at = np.unique(q["query_id"].to_numpy(), return_inverse=True)
+    return ids, {w: at[rows] for w, rows in q.groupby("w").indices.items()}
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score) of all chunks with a score, over (query_id, terms array) and (chunk_id, tokens array).
 
-    Only tokens that some query asks for are exploded, so frequent other words are never shuffled; chunk lengths
-    travel with them. Sums over a frequent term are pre-aggregated before the shuffle.
+    A chunk is scored for all queries where it is read, so no word is dealt out, however frequent; only numbers of chunks
+    by word are shuffled. Queries and these numbers are sent to the tasks. `chunk_id` is unique.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    wanted = asked.select("term").distinct()
-    tf = chunks.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    tf = tf.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(stats).select("term", "avg_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
-    norm = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scored = tf.join(idf, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    return scored.filter("score > 0")
+    ids, asked = asked_words(queries, "terms")
+    n, avg_len = chunks.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
+    wanted = F.broadcast(queries.select(F.explode("terms").alias("term")).distinct())
+    df = chunks.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").count().collect()
+    idf = {r["term"]: float(np.log(1 + (n - r["count"] + 0.5) / (r["count"] + 0.5))) for r in df}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out, held = [], 0
+            for chunk, text, size in zip(rows["chunk_id"], rows["text"], rows["size"]):
+                tf = Counter(w for w in text.split(" ") if w in idf)
+                if tf:
+                    norm = k1 * (1 - b + b * size / avg_len)
+                    at = [asked[w] for w in tf]
+                    part = np.repeat([idf[w] * c * (k1 + 1) / (c + norm) for w, c in tf.items()], [len(x) for x in at])
+                    score = np.bincount(np.concatenate(at), part, len(ids))
+                    got = np.flatnonzero(score > 0)
+                    out.append((ids[got], [chunk] * len(got), score[got]))
+                    held += len(got)
+                if held > 100_000:
+                    yield _scores(out)
+                    out, held = [], 0
+            if out:
+                yield _scores(out)
+
+    kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
+    words = chunks.filter("size(tokens) > 0").select("chunk_id", F.array_join("tokens", " ").alias("text"), F.size("tokens").alias("size"))
+    return words.mapInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double")
+
+
+def _scores(parts: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": np.concatenate([x[0] for x in parts]), "chunk_id": [c for x in parts for c in x[1]], "score": np.concatenate([x[2] for x in parts])})
+
+
+def most_shared(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, overlap): the n rows that share most distinct words with a query, ties by id; each task keeps its n best. `queries`: query_id, tokens; `rows`: id, tokens."""
+    ids, asked = asked_words(queries, "tokens")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            names, step = batch["id"].to_numpy(), max(1, BLOCK_BYTES // (8 * max(1, len(ids))))
+            for start in range(0, len(batch), step):
+                found = [kept] if kept else []
+                for name, text in zip(names[start : start + step], batch["text"].iloc[start : start + step]):
+                    if at := [asked[w] for w in set(text.split(" ")) if w in asked]:
+                        overlap = np.bincount(np.concatenate(at), minlength=len(ids))
+                        got = np.flatnonzero(overlap)
+                        found.append((got, np.full(len(got), name), overlap[got]))
+                kept = _merge(found, n) if found else None
+        if kept:
+            yield pd.DataFrame({"query_id": ids[kept[0]], "id": kept[1], "overlap": kept[2]})
+
+    kind = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["id"]
+    words = rows.filter("size(tokens) > 0").select("id", F.array_join("tokens", " ").alias("text"))
+    found = words.mapInPandas(run, f"query_id {kind[0]}, id {kind[1]}, overlap long")
+    return best(found, ["query_id"], [F.desc("overlap"), "id"], n).drop("rank")
 
 
 def rrf(hits: DataFrame, k: int = 60) -> DataFrame:

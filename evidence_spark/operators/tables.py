@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidence_spark.operators.search import most_shared
+
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """current with the rows of `new` in place of those with equal keys."""
@@ -40,12 +42,8 @@ def comparison(claims: DataFrame, facets: tuple[str, ...]) -> DataFrame:
 
 
 def relations_for_query(queries: DataFrame, relations: DataFrame, n: int) -> DataFrame:
-    """(query_id, relation_id, overlap): relations that share most words with a query, by a join on words."""
-    q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("word"))
-    r = relations.select("relation_id", F.explode(F.array_distinct("tokens")).alias("word"))
-    hits = r.join(q, "word").groupBy("query_id", "relation_id").agg(F.count(F.lit(1)).alias("overlap"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "relation_id")
-    return hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+    """(query_id, relation_id, overlap): the n relations that share most words with a query, ties by id."""
+    return most_shared(queries, relations.withColumnRenamed("relation_id", "id"), n).withColumnRenamed("id", "relation_id")
 
 
 def two_hop_paths(edges: DataFrame, seeds: DataFrame, degree: int) -> DataFrame:

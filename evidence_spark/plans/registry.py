@@ -142,9 +142,10 @@ def emb_hash_embed(spark, d):
     return table(spark, d, "documents").select("doc_id", F.transform(vectors.hash_embed(F.col("text")), lambda x: F.round(x, 6)).alias("vector"))
 
 
-def lexical(spark, d):
+def lexical(spark, d, words: int | None = 8):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), text.words(F.col("text")).alias("tokens"))
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(text.words(F.col("text")), 1, 8).alias("terms"))
+    terms = text.words(F.col("text"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.slice(terms, 1, words) if words else terms).alias("terms"))
     return search.bm25(q, docs)
 
 
@@ -158,8 +159,8 @@ _BM25 = """WITH c AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text),
 
 
 @query(_BM25 + " SELECT query_id, chunk_id, round(score, 6) AS score FROM r WHERE score > 0")
-def lex_bm25(spark, d):
-    return lexical(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+def lex_bm25(spark, d, words=8):
+    return lexical(spark, d, words).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def channel_hits(spark, d, asked: str = "vec_id < 10") -> DataFrame:
@@ -271,9 +272,9 @@ def clm_comparison_table(spark, d):
  r AS (SELECT doc_id AS relation_id, unnest(list_distinct(regexp_extract_all(lower(substring(text, 1, 80)), '[a-z0-9]+'))) AS word FROM documents),
  h AS (SELECT query_id, relation_id, count(*) AS overlap FROM q JOIN r USING (word) GROUP BY query_id, relation_id)
  SELECT query_id, relation_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, relation_id) AS n FROM h) WHERE n <= 10""")
-def grf_relations_for_query(spark, d):
+def grf_relations_for_query(spark, d, chars=80):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.words(F.col("text")).alias("tokens"))
-    r = table(spark, d, "documents").select(F.col("doc_id").alias("relation_id"), text.words(F.substring("text", 1, 80)).alias("tokens"))
+    r = table(spark, d, "documents").select(F.col("doc_id").alias("relation_id"), text.words(F.substring("text", 1, chars) if chars else F.col("text")).alias("tokens"))
     return tables.relations_for_query(q, r, 10)
 
 

@@ -37,3 +37,7 @@ for _name in (
     "vec_search_members", "vec_apply_rerank", "vec_build_context", "lex_repair_dense", "fus_scope_filter", "fus_select_evidence", "fus_expand_parents", "fus_coverage_warnings", "fus_retrieval_grid",
 ):
     whole(_name, {"vec_id < 20": ASKED}, asked=ASKED)
+
+#: All words of the benchmark and of the documents.
+whole("lex_bm25", {"[1:8]": ""}, words=None)
+whole("grf_relations_for_query", {"substring(text, 1, 80)": "text"}, chars=None)

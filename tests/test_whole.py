@@ -1,5 +1,8 @@
 """Whole forms of queries against brute force; their SQL is compared in test_library."""
 
+import math
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -36,3 +39,17 @@ def test_cosine_ties_batches_and_blocks(spark, monkeypatch):
     v = {r.id: np.array(r.vector) for r in rows.collect()}
     want = [(q, k + 1, i) for q in v if q % 20 == 0 for k, i in enumerate(sorted(v, key=lambda i: (-(v[q] @ v[i]), i))[:9])]
     assert got == sorted(want)
+
+
+def test_whole_texts_count(spark, tmp_path):
+    texts = {1: "a b c d e f g h late", 2: "late late words", 3: "nothing here", 4: "x " * 60 + "late", 5: "a a b"}
+    asked = {7: "a b c d e f g h late words", 8: "here"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = {k: Counter(t.split()) for k, t in texts.items()}
+    mean, n = sum(c.total() for c in words.values()) / 5, {w: sum(w in c for c in words.values()) for w in " ".join(texts.values()).split()}
+    score = lambda q, c: sum(math.log(1 + (5 - n[w] + 0.5) / (n[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w in set(asked[q].split()) if w in c)
+    want = {(q, k): round(score(q, c), 6) for q in asked for k, c in words.items() if score(q, c) > 0}
+    assert {(r.query_id, r.chunk_id): r.score for r in registry.QUERIES["lex_bm25_whole"](spark, str(tmp_path)).collect()} == want
+    shared = {(q, k): len(set(asked[q].split()) & set(c)) for q in asked for k, c in words.items() if set(asked[q].split()) & set(c)}
+    assert shared[7, 4] == 1 and {(r.query_id, r.relation_id): r.overlap for r in registry.QUERIES["grf_relations_for_query_whole"](spark, str(tmp_path)).collect()} == shared
