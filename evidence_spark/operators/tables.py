@@ -46,14 +46,19 @@ def relations_for_query(queries: DataFrame, relations: DataFrame, n: int) -> Dat
     return most_shared(queries, relations.withColumnRenamed("relation_id", "id"), n).withColumnRenamed("id", "relation_id")
 
 
-def two_hop_paths(edges: DataFrame, seeds: DataFrame, degree: int) -> DataFrame:
-    """(seed, mid, node): undirected simple paths of two relations; each node passes on its first `degree` neighbours."""
-    both = edges.select("relation_id", "a", "b").unionByName(edges.select("relation_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    first = Window.partitionBy("a").orderBy("relation_id", "b")
-    near = both.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= degree).drop("_n")
-    one = near.join(seeds.select(F.col("seed").alias("a")), "a", "left_semi").select(F.col("a").alias("seed"), F.col("b").alias("mid"), F.col("relation_id").alias("r1"))
-    two = near.select(F.col("a").alias("mid"), F.col("b").alias("node"), F.col("relation_id").alias("r2"))
-    return one.join(two, "mid").filter("node != seed and node != mid and r1 != r2").select("seed", "mid", "node").distinct()
+def two_hop_paths(edges: DataFrame, seeds: DataFrame, degree: int | None = None) -> DataFrame:
+    """(seed, mid, node): undirected simple paths of two relations, all of them or, with `degree`, those over each node's first neighbours.
+
+    Parallel relations of two nodes are summed up before the join: their least and greatest ids tell if two differ.
+    """
+    near = edges.select("relation_id", "a", "b").unionByName(edges.select("relation_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    if degree is not None:
+        first = Window.partitionBy("a").orderBy("relation_id", "b")
+        near = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= degree).drop("_n")
+    near = near.filter("a != b").groupBy("a", "b").agg(F.min("relation_id").alias("lo"), F.max("relation_id").alias("hi"))
+    one = near.join(seeds.select(F.col("seed").alias("a")), "a", "left_semi").select(F.col("a").alias("seed"), F.col("b").alias("mid"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    two = near.select(F.col("a").alias("mid"), F.col("b").alias("node"), "lo", "hi")
+    return one.join(two, "mid").filter("node != seed and (lo1 != hi or hi1 != lo)").select("seed", "mid", "node")
 
 
 def usage_by_event(logs: DataFrame, since: Column) -> DataFrame:

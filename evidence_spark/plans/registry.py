@@ -281,10 +281,10 @@ def grf_relations_for_query(spark, d, chars=80):
 @query("""WITH e AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS rid, l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), s AS (SELECT rid, a, b FROM e UNION ALL SELECT rid, b, a FROM e),
  n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY rid, b) AS i FROM s) WHERE i <= 5)
  SELECT DISTINCT x.a AS seed, x.b AS mid, y.b AS node FROM n x JOIN n y ON x.b = y.a WHERE x.a >= 0 AND x.a <= 20 AND y.b <> x.a AND y.b <> x.b AND x.rid <> y.rid""")
-def grf_two_hop_paths(spark, d):
+def grf_two_hop_paths(spark, d, asked="p_partkey <= 20", degree=5):
     e = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("relation_id"), F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
-    seeds = table(spark, d, "part").filter("p_partkey <= 20").select(F.col("p_partkey").alias("seed"))
-    return tables.two_hop_paths(e, seeds, 5)
+    seeds = table(spark, d, "part").filter(asked).select(F.col("p_partkey").alias("seed"))
+    return tables.two_hop_paths(e, seeds, degree)
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k, o_orderkey % 11 AS v FROM orders), b AS (SELECT DISTINCT l_orderkey AS k, l_orderkey % 11 + CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END AS v FROM lineitem)

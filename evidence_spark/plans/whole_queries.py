@@ -41,3 +41,6 @@ for _name in (
 #: All words of the benchmark and of the documents.
 whole("lex_bm25", {"[1:8]": ""}, words=None)
 whole("grf_relations_for_query", {"substring(text, 1, 80)": "text"}, chars=None)
+
+#: All parts whose id is divisible by 100, over all neighbours.
+whole("grf_two_hop_paths", {"x.a >= 0 AND x.a <= 20": "x.a IN (SELECT p_partkey FROM part WHERE p_partkey % 100 = 0)", " WHERE i <= 5": ""}, asked="p_partkey % 100 = 0", degree=None)

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from evidence_spark.operators import search
+from evidence_spark.operators import search, tables
 from evidence_spark.plans import registry, whole_queries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
@@ -53,3 +53,13 @@ def test_whole_texts_count(spark, tmp_path):
     assert {(r.query_id, r.chunk_id): r.score for r in registry.QUERIES["lex_bm25_whole"](spark, str(tmp_path)).collect()} == want
     shared = {(q, k): len(set(asked[q].split()) & set(c)) for q in asked for k, c in words.items() if set(asked[q].split()) & set(c)}
     assert shared[7, 4] == 1 and {(r.query_id, r.relation_id): r.overlap for r in registry.QUERIES["grf_relations_for_query_whole"](spark, str(tmp_path)).collect()} == shared
+
+
+def test_hot_node_passes_on_all_neighbours(spark):
+    # a hot node -1, parallel relations, an id shared by two relations, a loop
+    rows = [(i, i, -1) for i in range(1, 41)] + [(50, 1, -2), (51, 2, -2), (52, 2, -2), (60, 1, -3), (60, 3, -3), (70, 5, 5)]
+    edges = spark.createDataFrame(rows, "relation_id long, a long, b long")
+    got = tables.two_hop_paths(edges, spark.createDataFrame([(1,), (5,), (-1,)], "seed long"))
+    both = rows + [(r, b, a) for r, a, b in rows]
+    want = {(a, b, d) for r, a, b in both for s, c, d in both if a in (1, 5, -1) and b == c and r != s and len({a, b, d}) == 3}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and (1, -1, 40) in want and (1, -3, 3) not in want
