@@ -79,6 +79,27 @@ def ranking_rows(judged: DataFrame, keep: int) -> DataFrame:
     return ranked.join(relevant, "query_id", "left").select("query_id", F.coalesce("relevant", F.lit(0)).alias("relevant"), F.array_join(F.transform("r", lambda x: x["id"]), " ").alias("ranked"))
 
 
+def ranking_places(judged: DataFrame, cuts: int = 128) -> DataFrame:
+    """(query_id, place, id, label): all valid ids of each query by score, places from 1.
+
+    Rows go to ranges of (query_id, score, id) between sampled keys; the numbers of the ranges before are added to the place
+    within a range, so a busy query is spread over many tasks.
+    """
+    valid = judged.filter("id is not null and trim(coalesce(text, '')) <> ''").select("query_id", "id", "label", F.coalesce("score", F.lit(0.0)).alias("score"))
+    key = F.struct("query_id", (-F.col("score")).alias("down"), "id")
+    some = max(1, valid.count() // (32 * cuts))
+    keys = [r["k"] for r in valid.filter(F.pmod(F.xxhash64("query_id", "id"), F.lit(some)) == 0).select(key.alias("k")).orderBy("k").collect()]
+    keys = keys[:: max(1, len(keys) // cuts)]
+    bounds = F.array(*[F.struct(F.lit(k["query_id"]).alias("query_id"), F.lit(k["down"]).alias("down"), F.lit(k["id"]).alias("id")) for k in keys])
+    ranged = valid.withColumn("range", F.size(F.filter(bounds, lambda x: x <= key)) if keys else F.lit(0))
+    before = Window.partitionBy("query_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("query_id", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    at = F.row_number().over(Window.partitionBy("query_id", "range").orderBy(F.desc("score"), "id"))
+    sums = F.broadcast(sums.select(F.col("query_id").alias("_q"), F.col("range").alias("_r"), "before"))  # at most queries + cuts rows
+    placed = ranged.withColumn("at", at).join(sums, F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("range") == F.col("_r")))
+    return placed.select("query_id", (F.col("before") + F.col("at")).alias("place"), "id", "label")
+
+
 def reject_queries(judged: DataFrame) -> DataFrame:
     """(query_id, reason) of queries that give no training rows."""
     sums = judged.groupBy("query_id").agg(F.count_if(F.col("label").eqNullSafe(F.lit(True))).alias("pos"), F.count_if(F.col("label").eqNullSafe(F.lit(False))).alias("neg"))

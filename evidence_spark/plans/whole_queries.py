@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from functools import wraps
 
-from evidence_spark.plans.base import ORACLES, QUERIES
+from evidence_spark.operators import review
+from evidence_spark.plans.base import ORACLES, QUERIES, query
+from evidence_spark.plans.verify_queries import _JUDGED, judged
 
 #: All rows whose id is divisible by 100 are queries, against all rows.
 ASKED = "vec_id % 100 = 0"
@@ -44,3 +46,8 @@ whole("grf_relations_for_query", {"substring(text, 1, 80)": "text"}, chars=None)
 
 #: All parts whose id is divisible by 100, over all neighbours.
 whole("grf_two_hop_paths", {"x.a >= 0 AND x.a <= 20": "x.a IN (SELECT p_partkey FROM part WHERE p_partkey % 100 = 0)", " WHERE i <= 5": ""}, asked="p_partkey % 100 = 0", degree=None)
+
+
+@query(_JUDGED + " SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place, id, label FROM j")
+def trn_ranking_rows_whole(spark, d):
+    return review.ranking_places(judged(spark, d))

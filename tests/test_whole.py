@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from evidence_spark.operators import search, tables
+from evidence_spark.operators import review, search, tables
 from evidence_spark.plans import registry, whole_queries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
@@ -63,3 +63,11 @@ def test_hot_node_passes_on_all_neighbours(spark):
     both = rows + [(r, b, a) for r, a, b in rows]
     want = {(a, b, d) for r, a, b in both for s, c, d in both if a in (1, 5, -1) and b == c and r != s and len({a, b, d}) == 3}
     assert sorted(map(tuple, got.collect())) == sorted(want) and (1, -1, 40) in want and (1, -3, 3) not in want
+
+
+def test_every_id_of_a_busy_query_is_ranked(spark):
+    rows = [("hot", str(i), "t", i % 3 == 0, float(i % 7) if i < 300 else 3.0) for i in range(900)] + [("b", "x", "t", None, None), ("b", "y", " ", True, 1.0), ("b", None, "t", True, 2.0), (None, "z", "t", True, 1.0)]
+    got = review.ranking_places(spark.createDataFrame(rows, "query_id string, id string, text string, label boolean, score double"), 16).collect()
+    order = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (-r[4], r[1]))
+    assert sorted((r.query_id, r.place, r.id, r.label) for r in got if r.query_id == "hot") == [("hot", k + 1, r[1], r[3]) for k, r in enumerate(order)]
+    assert [(r.place, r.id) for r in got if r.query_id == "b"] == [(1, "x")] and [(r.place, r.id) for r in got if r.query_id is None] == [(1, "z")]
