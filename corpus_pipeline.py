@@ -17,10 +17,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter("predicted = 1").select(*COLUMNS)
 
 
+#: Keys of rows that their id does not name lie above all ids.
+ABOVE = 1 << 62
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds _key: the id, or a hash above all ids for rows without one and for the further texts of an id that has several."""
+    hashes = docs.select("doc_id", F.xxhash64("text").alias("h")).filter("doc_id is not null")
+    first = hashes.groupBy("doc_id").agg(F.min("h").alias("_first"), F.max("h").alias("_last")).filter("_first != _last").drop("_last")
+    known = docs.join(written(first, "repeated-ids"), "doc_id", "left")
+    other = F.col("doc_id").isNull() | (F.xxhash64("text") != F.col("_first"))
+    key = F.when(other, F.lit(ABOVE) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(ABOVE - 1))).otherwise(F.col("doc_id").cast("long"))
+    return known.withColumn("_key", key).drop("_first")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more. A group without ids keeps one row too."""
+    rows = keyed(docs)
+    kept = minhash.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
+    left = rows.join(kept, "_key", "left_semi")
+    copies = F.col("doc_id").isNull() & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    return left.filter(~copies).select(*COLUMNS).unionByName(left.filter(copies).dropDuplicates(["_key"]).select(*COLUMNS))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,23 @@ def test_registered():
     names = list(e.queries())
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(e.oracle_sql()) <= set(names)
+
+
+def test_near_copies_keep_rows_without_ids(spark):
+    import corpus_pipeline as p
+
+    from test_operators import EDGE, SCHEMA
+
+    edge = spark.createDataFrame(EDGE, SCHEMA)
+    got = p.drop_near_copies(spark, edge, "").collect()
+    said = {r.text for r in got}
+    assert {r.text for r in edge.filter("doc_id is null").collect()} <= said | {r.text for r in edge.filter("doc_id is not null").collect()}
+
+    clean, near = " ".join(f"alone{i}" for i in range(60)), [f"shared{i}" for i in range(60)]
+    twin, other = " ".join(near), " ".join([*near[:-1], "changed"])
+    second = " ".join(f"second{i}" for i in range(60))
+    rows = [(None, clean), (None, twin), (None, twin), (None, other), (4, "an id with two texts " + " ".join(f"w{i}" for i in range(50))), (4, second), (9, second + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in p.drop_near_copies(spark, docs, "").collect()]
+    assert (None, clean) in got and sum(t in (twin, other) for _, t in got) == 1
+    assert rows[4] in got and sum(t.startswith("second0 ") for _, t in got) == 1 and len(got) == 4
