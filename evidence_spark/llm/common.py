@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,26 +14,51 @@ from pyspark.sql import functions as F
 
 SPACE = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session in one local process (tests) gets a folder of its own; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="evidence-spark-"))
-    return folder.rstrip("/")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="evidence-spark-"))
+    return f"{folder.rstrip('/')}/evidence_spark/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it again.
 
-    A lost executor then costs one task of a later stage, never the work before this table.
+    A lost executor then costs one task of a later stage, never the work before this table. The table stays until
+    `discard` or `clear`, as results read it lazily.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/evidence_spark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _PATHS[made] = path
+    return made
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a written table that nothing will read again."""
+    path = _PATHS.pop(table, None)
+    if path:
+        _remove(table.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that this application has written. Call it once the results that read them are stored."""
+    _remove(spark, shared_folder(spark))
 
 
 def word_count(text) -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -30,8 +30,9 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least).distinct(), "links")
+        last, now = now, written(small.union(least).distinct(), "links")
         before, mark = mark, _mark(now)
+        discard(last)
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

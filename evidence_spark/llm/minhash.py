@@ -14,15 +14,17 @@ from .components import connected_components
 
 HASHES, ROWS, BITS = 256, 6, 2
 BANDS = HASHES // ROWS
-#: Minima of the longer signatures that are made where stars leave a bucket in several components.
-FINE = 2048
-#: Rows of one side of a block of pairs.
-BLOCK = 128
-#: Slots of the bitmap of wanted ids: 1 MB in all, whatever the input.
+#: Members of one head that are confirmed in one group.
+GROUP = 256
+#: About the most classes, and shingles of them all, on one side of a block of pairs.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Slots of the bitmap of wanted texts: 1 MB in all, whatever the input.
 SLOTS = 1 << 23
+#: Names of classes that no id names lie above all ids.
+ABOVE = 1 << 62
 _KIND, _FOLD = byte_classes(punctuation=False), fold_table()
-_MUL = mix64(np.arange(1, FINE + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-_ADD = mix64(np.arange(10_001, FINE + 10_001, dtype=np.uint64)).astype(np.uint32)
+_MUL = mix64(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_ADD = mix64(np.arange(10_001, HASHES + 10_001, dtype=np.uint64)).astype(np.uint32)
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -43,14 +45,14 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def minima(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
-    """The least value of each of `hashes` hash functions over a set, 32 bits each."""
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each of the HASHES hash functions over a set, 32 bits each."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(hashes, 0xFFFFFFFF, np.uint32)
-    step = 65_536 // hashes
+    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    step = 65_536 // HASHES
     for i in range(0, len(low), step):
-        h = low[i : i + step, None] * _MUL[:hashes]
-        h += _ADD[:hashes]
+        h = low[i : i + step, None] * _MUL
+        h += _ADD
         h ^= h >> np.uint32(15)
         np.minimum(out, h.min(axis=0), out=out)
     return out
@@ -113,39 +115,72 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, th long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
 
 
-def _wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of `texts` whose id's hash is that of an end of some pair, so that few other texts are shuffled.
+def _classes(full: DataFrame) -> DataFrame:
+    """(f1, f2, n_shingles, doc_id, th, sig, bands, cls): a row for each distinct set; (doc_id, th) is one of its rows.
 
-    The hashes are gathered into bitmaps of a fixed size; past that size more texts pass, and none is lost.
+    The name cls is the class's least id. Classes without any id, and the further sets of an id that stands with several,
+    are named by their hash, above all ids.
     """
-    slot = F.pmod(F.xxhash64("cls"), F.lit(SLOTS))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).select(slot.alias("slot"))
-    maps = ends.groupBy(F.expr("bitmap_bucket_number(slot)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("_bits"))
-    found = texts.withColumn("slot", slot).withColumns({"_bucket": F.expr("bitmap_bucket_number(slot)"), "_at": F.expr("bitmap_bit_position(slot)")})
-    found = found.join(F.broadcast(maps), "_bucket")
+    found = full.groupBy("f1", "f2", "n_shingles").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("r"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+    )
+    found = written(found.select("f1", "f2", "n_shingles", "r.doc_id", "r.th", "sig", "bands"), "sets")
+    own = F.struct("f1", "f2", "n_shingles")
+    several = found.groupBy("doc_id").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter("doc_id is not null and first != last")
+    named = found.join(several.select("doc_id", "first"), "doc_id", "left")
+    other = F.col("doc_id").isNull() | F.coalesce(F.col("first") != own, F.lit(False))
+    cls = F.when(other, F.lit(ABOVE) + F.pmod(F.xxhash64("f1", "f2", "n_shingles"), F.lit(ABOVE - 1))).otherwise(F.col("doc_id"))
+    return named.select("f1", "f2", "n_shingles", "doc_id", "th", "sig", "bands", cls.alias("cls"))
+
+
+def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, text) of the classes in `need` (cls, doc_id, th), looked up in `docs` (doc_id, th, text).
+
+    Hashes of the needed rows are gathered into bitmaps of a fixed size, so that few other texts are shuffled;
+    past that size more texts pass, and none is lost.
+    """
+    slot = F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOTS))
+    bits = need.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("_bits"))
+    found = docs.withColumn("slot", slot).withColumns({"_bucket": F.expr("bitmap_bucket_number(slot)"), "_at": F.expr("bitmap_bit_position(slot)")})
+    found = found.join(F.broadcast(bits), "_bucket")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return found.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*texts.columns)
+    found = found.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select("doc_id", "th", "text").alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th"))
+    return written(found.join(need.alias("c"), same).select("cls", "text").dropDuplicates(["cls"]), "class-texts")
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole shingle sets reach the threshold. `texts`: (cls, th, text), `th` picks one row of a class."""
+    """(a, b) of the pairs (head, cls, salt) whose whole shingle sets reach the threshold.
+
+    A head's members are confirmed in salted groups; its text is sent to each group once, and a task holds one head's set
+    and one batch of members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, np.empty(0, np.uint64)
         for batch in batches:
+            heads, others, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             keep = []
-            for lo in range(0, batch.num_rows, 128):
-                left = shingle_sets(batch.column(2).slice(lo, 128).to_pylist(), words)
-                right = shingle_sets(batch.column(3).slice(lo, 128).to_pylist(), words)
-                for x, y in zip(left, right, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    texts = written(_wanted(texts, pairs), "pair-texts").dropDuplicates(["cls", "th"])
-    left = texts.select(F.col("cls").alias("a"), F.col("th").alias("ta"), F.col("text").alias("_x"))
-    right = texts.select(F.col("cls").alias("b"), F.col("th").alias("tb"), F.col("text").alias("_y"))
-    return pairs.join(left, ["a", "ta"]).join(right, ["b", "tb"]).select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+            for lo, hi in slices(texts):
+                for at, x in enumerate(shingle_sets(texts[lo:hi], words), lo):
+                    if others[at] is None:
+                        now, own = heads[at], x
+                    elif now == heads[at]:
+                        both = len(np.intersect1d(own, x, assume_unique=True))
+                        if both and 100 * both >= percent * (len(own) + len(x) - both):
+                            keep.append(at)
+            found = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(found), batch.column(1).take(found)], names=["a", "b"])
+
+    members = pairs.join(texts, "cls").select("head", "salt", "cls", "text")
+    heads = pairs.select("head", "salt").distinct().join(texts.withColumnRenamed("cls", "head"), "head")
+    both = heads.select("head", "salt", F.lit(None).cast("long").alias("cls"), "text").unionByName(members)
+    dealt = both.repartition(_parts(pairs), "head", "salt").sortWithinPartitions("head", "salt", F.col("cls").asc_nulls_first())
+    return dealt.select("head", "cls", "text").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -154,133 +189,159 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept): one row for each row of docs.
 
     Rows are linked if 100 * |intersection| >= percent * |union| of their shingle sets. Rows with equal sets form a class
-    first. Classes that share a band's key are candidates: each with its bucket's head, the class that meets most others, and, where a
-    bucket's classes are not in one component after these links, all pairs across components, in blocks,
-    that the estimate does not rule out. Every link is confirmed on the whole sets. At a similarity of 0.8 a pair
-    shares none of the 42 bands of 6 minima with a chance of 3 in a million.
+    first. Classes that share a band's key are candidates. In each bucket the class that meets most others is the head: the
+    others are compared with it. Where these links leave the rest of a bucket in several components, classes of different
+    components are compared in blocks; a block returns a spanning forest of its links, so rows never grow with the square of
+    a group. The packed signatures rule pairs out, and every link is confirmed on the whole sets. At a similarity of 0.8 a
+    pair shares none of the 42 bands of 6 minima with a chance of 3 in a million.
     Null, empty and blank texts have empty sets, link with nothing and keep their own id. Rows with null ids take part but
-    name no component: they get the least id that they reach, or null. Equal rows share a component.
+    name no component: they get the least id that they reach, or null. An id with several texts takes part with each.
+    Equal rows share a component. Ids are below 2^62.
     """
     rows = written(signatures(docs, words, id_col, text_col), "signatures")
-    full = rows.filter("n_shingles > 0")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("r"))
-    classes = written(classes.select("f1", "f2", "n_shingles", F.col("r.doc_id").alias("cls"), F.col("r.th").alias("th")), "classes")
-    named = classes.filter("cls is not null")
-    reps = full.join(named.withColumnRenamed("cls", "doc_id").select("doc_id", "f1", "f2", "th"), ["doc_id", "f1", "f2", "th"])
-    reps = reps.select(F.col("doc_id").alias("cls"), "th", "n_shingles", "sig", "bands").dropDuplicates(["cls"])
-    texts = docs.select(F.col(id_col).cast("long").alias("cls"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-
-    keys = reps.select("cls", F.explode("bands").alias("key"))
+    classes = written(_classes(rows.filter("n_shingles > 0")), "classes")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    places = classes.select("cls", "doc_id", "th")
+
+    keys = classes.select("cls", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(keys.join(shared, "key"), "buckets")
     # a text that others were edited from meets more texts than they meet each other, so it heads its buckets
     weight = members.groupBy("cls").agg(F.sum("n").alias("weight"))
-    weighed = members.join(weight, "cls")
-    heads = weighed.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "cls")).alias("h")).select("key", F.col("h.cls").alias("head"))
-    stars = members.join(heads, "key").filter("cls != head").select(F.least("head", "cls").alias("a"), F.greatest("head", "cls").alias("b")).distinct()
-    links = written(_confirmed(written(_likely(stars, reps, percent), "pairs"), texts, words, percent), "links")
+    heads = members.join(weight, "cls").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "cls")).alias("h"))
+    starred = written(members.join(heads.select("key", F.col("h.cls").alias("head")), "key").filter("cls != head"), "stars")
+    stars = starred.groupBy("head", "cls").agg(F.max("n").alias("n"))
+    pairs = written(_likely(stars, classes, percent), "pairs")
+    ends = pairs.select(F.col("head").alias("cls")).union(pairs.select("cls")).distinct()
+    links = written(_confirmed(pairs, _texts(places.join(ends, "cls"), texts), words, percent), "links")
     label = connected_components(links, "a", "b")
 
-    rest = members.join(label, members["cls"] == label["node"], "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
-    split = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    across = rest.join(split.select("key", "n"), "key").join(reps.select("cls", "bands"), "cls")
-    fine = written(_fine(across, texts, reps, words), "long-signatures")
-    more = written(_block_pairs(across.join(fine, "cls"), percent).distinct(), "pairs")
-    more = _confirmed(more, texts, words, percent)
-    label = connected_components(links.union(more), "a", "b")
+    # what the heads have not decided: buckets whose other members lie in several components, equal buckets once
+    rest = starred.join(label, starred["cls"] == label["node"], "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
+    split = rest.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("s2"),
+    ).filter("lo < hi")
+    split = split.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"))
+    across = written(rest.join(split.select("key"), "key"), "across")
+    if across.isEmpty():
+        more = links.limit(0)
+    else:
+        more = written(_across_links(across, classes, places, texts, words, percent), "more-links")
+        if not more.isEmpty():
+            label = connected_components(label.select("node", "component").union(more), "node", "component")
 
     own = rows.select("doc_id", "n_shingles", "f1", "f2")
     out = own.join(classes.select("f1", "f2", "n_shingles", "cls"), ["f1", "f2", "n_shingles"], "left")
-    out = out.join(label, out["cls"] == label["node"], "left")
-    component = F.coalesce("component", "cls", "doc_id")
+    out = out.join(label, out["cls"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("comp"))
+    # components of hashed names only are named by the least id of their rows
+    unnamed = out.filter(F.col("comp") >= ABOVE).groupBy("comp").agg(F.min("doc_id").alias("least"))
+    out = out.join(unnamed, "comp", "left")
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).when(F.col("comp") >= ABOVE, F.col("least")).otherwise(F.col("comp"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ta, tb): the pairs that packed signatures and set sizes do not rule out, with their texts' hashes."""
+def _likely(stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(head, cls, salt): the pairs that packed signatures and set sizes do not rule out; salts are dealt by the bucket's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                n, m = (batch.column(k).to_numpy() for k in (4, 5))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (3, 4))
+                n, m = (batch.column(k).to_numpy() for k in (5, 6))
                 keep = pa.array((estimate(x, y) >= passing(HASHES, percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
-                kept = [batch.column(k).filter(keep) for k in (0, 1, 6, 7)]
-                yield pa.RecordBatch.from_arrays(kept, names=["a", "b", "ta", "tb"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1, 2)], names=["head", "cls", "salt"])
 
-    left = reps.select(F.col("cls").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("n"), F.col("th").alias("ta"))
-    right = reps.select(F.col("cls").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("m"), F.col("th").alias("tb"))
-    sides = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m", "ta", "tb")
-    return sides.mapInArrow(run, "a long, b long, ta long, tb long")
+    left = classes.select(F.col("cls").alias("head"), F.col("sig").alias("x"), F.col("n_shingles").alias("nx"))
+    right = classes.select("cls", F.col("sig").alias("y"), F.col("n_shingles").alias("ny"))
+    salt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / GROUP))
+    sides = stars.join(right, "cls").join(left, "head").select("head", "cls", salt.alias("salt"), "x", "y", "nx", "ny")
+    return sides.mapInArrow(run, "head long, cls long, salt long")
 
 
-def _fine(across: DataFrame, texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(cls, th, n_shingles, sig): longer signatures of the classes in `across`."""
+class _Block:
+    """The classes of one key and one pair of blocks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for lo, hi in slices(texts):
-                sets = shingle_sets(texts[lo:hi], words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(minima(s, FINE)) for s in sets], pa.binary())],
-                    names=["cls", "th", "n_shingles", "sig"],
-                )
-
-    need = across.select("cls").distinct().join(reps.select("cls", "th"), "cls")
-    found = _wanted(texts, need.select(F.col("cls").alias("a"), F.col("cls").alias("b"))).join(need, ["cls", "th"], "left_semi")
-    return found.select("cls", "th", "text").mapInArrow(run, "cls long, th long, n_shingles long, sig binary").dropDuplicates(["cls"])
+    def __init__(self, rows: dict[str, np.ndarray], sets: list[np.ndarray], percent: int):
+        self.rows, self.sets, self.percent = rows, sets, percent
 
-
-def _block_pairs(across: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ta, tb): pairs of one key but different components that the estimate passes.
-
-    A large bucket is cut into blocks of about BLOCK rows, and each pair of blocks is a group of its own, so no task
-    holds a whole bucket. Pairs are compared where they meet; only those that pass become rows.
-    """
-    least = passing(FINE, percent)
-
-    def pairs(cls, comp, n, th, sig, bands, key, block, lo, hi) -> Iterator[tuple[np.ndarray, ...]]:
-        for i in np.flatnonzero(block == lo):
-            other = (block == hi) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+    def forest(self) -> Iterator[tuple[int, int]]:
+        """Links between classes of different components, at most one fewer than there are components."""
+        r, sizes = self.rows, np.array([len(s) for s in self.sets])
+        names, comp = np.unique(r["comp"], return_inverse=True)
+        lo, hi = r["pi"][0], r["pj"][0]
+        least, flat, ends = passing(HASHES, self.percent), None, np.cumsum(sizes)
+        for i in np.flatnonzero(r["block"] == lo):
+            other = (r["block"] == hi) & (comp != comp[i]) & (100 * np.minimum(sizes, sizes[i]) >= self.percent * np.maximum(sizes, sizes[i]))
             if lo == hi:
-                other &= cls > cls[i]
+                other[: i + 1] = False
             j = np.flatnonzero(other)
-            if len(j):
-                j = j[estimate(sig[i], sig[j]) >= least]
-                same = bands[j] == bands[i]
-                j = j[bands[i][same.argmax(axis=1)] == key]  # a pair that shares several keys is found at the first
-                up = cls[j] > cls[i]
-                yield np.where(up, cls[i], cls[j]), np.where(up, cls[j], cls[i]), np.where(up, th[i], th[j]), np.where(up, th[j], th[i])
+            j = j[estimate(r["sig"][i], r["sig"][j]) >= least] if len(j) else j
+            if not len(j):
+                continue
+            same = (r["bands"][j] == r["bands"][i]) & (r["bands"][i] != 0)
+            j = j[r["bands"][i][same.argmax(axis=1)] == r["key"][0]]  # a pair that shares several keys is compared at the first
+            if not len(j):
+                continue
+            if flat is None:
+                values, flat = np.unique(np.concatenate(self.sets), return_inverse=True)
+                mark = np.zeros(len(values), bool)
+            own = flat[ends[i] - sizes[i] : ends[i]]
+            mark[own] = True
+            for k in range(0, len(j), 64):
+                some = j[k : k + 64]
+                stop = np.cumsum(sizes[some])
+                at = np.arange(stop[-1]) + np.repeat(ends[some] - stop, sizes[some])
+                both = np.add.reduceat(mark[flat[at]].astype(np.int64), stop - sizes[some])
+                for x in some[100 * both >= self.percent * (sizes[i] + sizes[some] - both)]:
+                    if comp[x] != comp[i]:
+                        comp[comp == comp[x]] = comp[i]
+                        yield int(r["cls"][i]), int(r["cls"][x])
+            mark[own] = False
+
+
+def _across_links(across: DataFrame, classes: DataFrame, places: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links between classes of one key but different components (key, cls, comp), a spanning forest of each block.
+
+    A large bucket is cut into blocks by its classes and their shingles, and each pair of blocks is a group of its own, so no
+    task holds a whole bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept, sets = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names) if name not in ("sig", "bands")}
+            rows = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("key", "pi", "pj", "block", "cls", "comp")}
             rows["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             rows["bands"] = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, BANDS)
+            whole = batch.column("text").to_pylist()
+            for lo, hi in slices(whole):
+                sets += shingle_sets(whole[lo:hi], words)
             if kept is not None:
                 rows = {k: np.concatenate([kept[k], v]) for k, v in rows.items()}
             edge = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["pi"]) != 0) | (np.diff(rows["pj"]) != 0)) + 1
             ends = [0, *edge.tolist()]
-            yield from found(rows, ends)
-            kept = {k: v[ends[-1] :] for k, v in rows.items()}
+            yield from found(rows, sets, ends)
+            kept, sets = {k: v[ends[-1] :] for k, v in rows.items()}, sets[ends[-1] :]
         if kept is not None:
-            yield from found(kept, [0, len(kept["key"])])
+            yield from found(kept, sets, [0, len(sets)])
 
-    def found(rows: dict, ends: list[int]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for s, e in zip(ends[:-1], ends[1:], strict=True):
-            part = {k: v[s:e] for k, v in rows.items()}
-            out += pairs(part["cls"], part["comp"], part["n_shingles"], part["th"], part["sig"], part["bands"], part["key"][0], part["block"], part["pi"][0], part["pj"][0])
+    def found(rows: dict, sets: list, ends: list[int]) -> Iterator[pa.RecordBatch]:
+        out = [x for s, e in zip(ends[:-1], ends[1:], strict=True) for x in _Block({k: v[s:e] for k, v in rows.items()}, sets[s:e], percent).forest()]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["a", "b", "ta", "tb"])
-
-    cut = across.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    kept = across.groupBy("cls").agg(F.collect_list("key").alias("keys"))  # at most one for each band
+    bands = F.transform("bands", lambda b: F.when(F.array_contains("keys", b), b).otherwise(F.lit(0).cast("long")))
+    whole = kept.join(classes.select("cls", "n_shingles", "sig", "bands"), "cls").select("cls", "n_shingles", "sig", bands.alias("bands"))
+    found_texts = _texts(places.join(kept.select("cls"), "cls"), texts)
+    sized = across.join(whole.select("cls", "n_shingles"), "cls").groupBy("key").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    )
+    cut = across.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("pi"), F.greatest("block", "other").alias("pj"), "block", "cls", "comp", "n_shingles", "th", "sig", "bands")
-    parts = int(across.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = dealt.repartition(parts, "key", "pi", "pj").sortWithinPartitions("key", "pi", "pj")
-    return sides.mapInArrow(run, "a long, b long, ta long, tb long")
+    dealt = dealt.select("key", F.least("block", "other").alias("pi"), F.greatest("block", "other").alias("pj"), "block", "cls", "comp")
+    sides = dealt.join(whole, "cls").join(found_texts, "cls").select("key", "pi", "pj", "block", "cls", "comp", "sig", "bands", "text")
+    sides = sides.repartition(_parts(across), "key", "pi", "pj").sortWithinPartitions("key", "pi", "pj", "cls")
+    return sides.mapInArrow(run, "a long, b long")

@@ -411,6 +411,29 @@ def test_minhash_edges(spark, edge, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_links_rows_without_ids_and_all_texts_of_an_id(spark):
+    base = [f"w{i}" for i in range(40)]
+    near, far = " ".join([*base[:-1], "x"]), " ".join(f"z{i}" for i in range(40))
+    made = [(None, " ".join(base)), (None, near), (9, far), (9, " ".join([*base[:-1], "y"])), (3, far + " more"), (None, "alone here"), (None, "alone here")]
+    found = minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), words=2).collect()
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in found)
+    # both texts of id 9 take part: one with the rows without ids, one with id 3
+    assert got == sorted([("None", 39, "9", False)] * 2 + [("9", 39, "9", True), ("9", 39, "3", False), ("3", 40, "3", True)] + [("None", 1, "None", False)] * 2)
+
+
+def test_minhash_blocks_of_a_large_bucket(spark, monkeypatch):
+    rng, made, base = random.Random(8), [], [f"w{i}" for i in range(50)]
+    for i in range(240):  # few pairs reach 0.8, so one bucket holds many components
+        w = list(base)
+        for k in rng.sample(range(50), 5 + i % 3):
+            w[k] = f"x{rng.randrange(10**6)}"
+        made.append((i, " ".join(w)))
+    want = brute_components({d: shingles(t, 2) for d, t in made}, 80)
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, words=2).collect()} == want
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(5)
     got = []
