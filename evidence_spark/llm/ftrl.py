@@ -15,9 +15,9 @@ from .common import held_out, written
 class Ftrl:
     """FTRL-proximal with per-coordinate rates (McMahan et al., 2013). The last weight is the intercept."""
 
-    def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float, evidence_only: bool = False):
+    def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float):
         self.z, self.n, self.w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-        self.alpha, self.beta, self.l1, self.l2, self.evidence_only = alpha, beta, l1, l2, evidence_only
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def step(self, slots: np.ndarray, values: np.ndarray, label: float, weight: float = 1.0) -> None:
         p = 1 / (1 + np.exp(-np.clip(self.w[slots] @ values, -35, 35)))
@@ -29,22 +29,20 @@ class Ftrl:
         z = self.z[slots]
         bias = slots == len(self.w) - 1
         free = np.abs(z) - np.where(bias, 0.0, self.l1)
-        if self.evidence_only:  # no feature but the intercept speaks against label 1
-            free = np.where(bias | (z < 0), free, -1.0)
         self.w[slots] = np.where(free <= 0, 0.0, -np.sign(z) * free / ((self.beta + np.sqrt(more)) / self.alpha + self.l2))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, y, _shard): about `max_rows` labelled rows at most, none of them held out, chosen by a hash of the id.
 
     Only the ids and labels of the sample are broadcast: about `max_rows` rows, whatever the input.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y")).filter(
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).filter(
         F.col("y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))
     )
     n = known.count()
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(n, 1))))
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
 
 
 def train(
@@ -58,7 +56,6 @@ def train(
     l1: float = 0.5,
     l2: float = 0.0,
     positive: float = 1.0,
-    evidence_only: bool = False,
 ) -> np.ndarray:
     """Weights and, last, the intercept. The sample is dealt to a task for each `shard_rows` rows; their models are averaged.
 
@@ -69,7 +66,7 @@ def train(
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_order", kind="stable")
         made = features([t or "" for t in rows["text"]])
-        model = Ftrl(size, alpha, beta, l1, l2, evidence_only)
+        model = Ftrl(size, alpha, beta, l1, l2)
         for _ in range(epochs):
             for (slots, values), y in zip(made, rows["y"], strict=True):
                 model.step(np.append(slots, size), np.append(values, 1.0), float(y), positive if y else 1.0)

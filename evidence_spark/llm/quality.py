@@ -46,7 +46,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
     return train(labelled_sample(docs, labels, label, max_rows), lambda t: _features(t, bits), 1 << bits)
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """Adds `score` to every row of docs: the probability of label 1 for its whole text.
 
     Null and empty texts hold no n-grams and get the intercept's probability. Only the weights, 2^18 + 1

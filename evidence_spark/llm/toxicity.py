@@ -31,10 +31,14 @@ _L = "a-zß-öø-ÿ"
 _MARKS = "0-9@$!|+*#%&€£"
 _MID = re.compile(rf"[{_MARKS}](?=[{_L}])")
 _RUN = re.compile(rf"[{_L}{_MARKS}]+")
+# one or two marks that end a word; longer runs and exclamation marks are no letters
+_END = re.compile(rf"(?<=[{_L}])[0-9@$€£]{{1,2}}(?![{_L}{_MARKS}])")
 _REPEAT = re.compile(rf"([{_L}])\1\1")
 _SPACED = re.compile(rf"(?<![{_L}0-9])[{_L}0-9@$!](?:[ .\-_*][{_L}0-9@$!]){{3,}}(?![{_L}0-9])")
 _KIND = byte_classes(punctuation=True)
 BITS = 20
+#: A word tells more by standing in a text several times; up to so many times are told apart.
+TIMES = 3
 
 
 def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -69,36 +73,56 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def _lattice(span: str, spaced: bool) -> list[list[tuple[str, float]]]:
+def _lattice(span: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
     """The choices (text, log channel probability) for each part of a span."""
-    out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(span):
         c, j = span[i], i + 1
-        if c in _CODE:
+        if spaced and c in " .-_*":
+            yield [("", math.log(0.7)), (" ", math.log(0.3))]
+        elif c in _CODE:
             while j < len(span) and span[j] == c:
                 j += 1
             n = j - i
-            out.append([(c, math.log(0.7)), (c + c, math.log(0.3))] if n > 2 else [(c * n, 0.0)])
-        elif spaced and c in " .-_*":
-            out.append([("", math.log(0.7)), (" ", math.log(0.3))])
+            yield [(c, math.log(0.7)), (c + c, math.log(0.3))] if n > 2 else [(c * n, 0.0)]
         else:
             while j < len(span) and span[j] == c:
                 j += 1
             choices = [(x, math.log(0.8 / max(len(LEET.get(c, "")), 1))) for x in LEET.get(c, "")]
             if j - i > 1 and choices:
                 choices += [(x * 2, p - 1) for x, p in choices]
-            out.append([*choices, ("", math.log(0.002 if choices else 1.0))])
+            yield [*choices, ("", math.log(0.002 if choices else 1.0))]
         i = j
-    return out
 
 
-def viterbi(span: str, model: np.ndarray, spaced: bool = False) -> str:
-    """The likeliest letters behind a disguised span; it may drop marks, keep one or two of a repeated letter, or close gaps."""
-    lattice = _lattice(span, spaced)
+def _settled(back: list[dict], states: list) -> tuple[int, tuple[int, int] | None]:
+    """How many of the steps all paths to `states` share, and the state where they meet."""
+    now = set(states)
+    for k in range(len(back) - 1, -1, -1):
+        now = {back[k][s][0] for s in now}
+        if len(now) == 1:
+            return k, next(iter(now))
+    return 0, None
+
+
+def _walk(back: list[dict], at: tuple[int, int]) -> list[str]:
+    out = []
+    for step in reversed(back):
+        at, text = step[at]
+        out.append(text)
+    return out[::-1]
+
+
+def viterbi(span: str, model: np.ndarray, spaced: bool = False, window: int = 512) -> str:
+    """The likeliest letters behind a disguised span; it may drop marks, keep one or two of a repeated letter, or close gaps.
+
+    Back pointers are kept for a few windows only: every `window` parts, what all surviving paths share is put out, which
+    leaves the result as it is. Should they share nothing for 16 windows, the best path is taken so far.
+    """
     best: dict[tuple[int, int], float] = {(0, 0): 0.0}
     back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
-    for choices in lattice:
+    out: list[str] = []
+    for choices in _lattice(span, spaced):
         now: dict[tuple[int, int], float] = {}
         step: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
         for state, score in best.items():
@@ -113,12 +137,16 @@ def viterbi(span: str, model: np.ndarray, spaced: bool = False) -> str:
                     step[a, b] = (state, text)
         best = now
         back.append(step)
+        if len(back) % window == 0:
+            k, at = _settled(back, list(best))
+            if at is None and len(back) >= 16 * window:
+                top = max(best, key=lambda x: (best[x], x))
+                k, at, best = len(back), top, {top: best[top]}
+            if at is not None:
+                out += _walk(back[:k], at)
+                del back[:k]
     at = max(best, key=lambda k: (best[k] + float(model[k[0], k[1], 0]), k))
-    out = []
-    for step in reversed(back):
-        at, text = step[at]
-        out.append(text)
-    return "".join(reversed(out))
+    return "".join([*out, *_walk(back, at)])
 
 
 class Restorer:
@@ -154,11 +182,15 @@ class Restorer:
         text = (text or "").lower()
         text = _SPACED.sub(lambda m: self._decode(m[0], True), text)
         text = self._around(text, (m.start() for m in _REPEAT.finditer(text)))
-        return self._around(text, (m.start() for m in _MID.finditer(text)))
+        text = self._around(text, (m.start() for m in _MID.finditer(text)))
+        return self._around(text, (m.start() for m in _END.finditer(text)))
 
 
 def _slots(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, slot) of each word and of its first 4, 5 and 6 bytes, of restored texts."""
+    """(owner, slot) of the features of restored texts, each feature once for a text.
+
+    A word and its first 4, 5 and 6 bytes are features if they stand in a text once, twice and three times or more.
+    """
     data = [t.encode("utf-8", "replace") for t in texts]
     arr = np.frombuffer(b"\n".join(data), np.uint8)
     starts, ends = word_spans(arr, _KIND)
@@ -170,26 +202,34 @@ def _slots(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
         long = ends - starts >= n
         owners.append(owner[long])
         slots.append(mix64(span_hashes(arr, starts[long], starts[long] + n) + np.uint64(n)))
-    return np.concatenate(owners), (np.concatenate(slots) >> np.uint64(64 - bits)).astype(np.int64)
+    slot = (np.concatenate(slots) >> np.uint64(64 - bits)).astype(np.int64)
+    pair, times = np.unique((np.concatenate(owners).astype(np.int64) << bits) + slot, return_counts=True)
+    made = [pair]
+    for k in range(2, TIMES + 1):
+        often = pair[times >= k]
+        again = mix64(((often & ((1 << bits) - 1)).astype(np.uint64) << np.uint64(3)) + np.uint64(k)) >> np.uint64(64 - bits)
+        made.append((often >> bits << bits) + again.astype(np.int64))
+    pair = np.unique(np.concatenate(made))
+    return pair >> bits, pair & ((1 << bits) - 1)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_rows: int = 16_000, bits: int = BITS) -> np.ndarray:
-    """Weights on presence of words and word beginnings of restored texts, from at most about `max_rows` labelled rows."""
+    """Weights on words and word beginnings of restored texts, from at most about `max_rows` labelled rows."""
 
     def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         restorer, out = Restorer(model), []
         for text in texts:
-            at = np.unique(_slots([restorer.restore(text)], bits)[1])
+            at = _slots([restorer.restore(text)], bits)[1]
             out.append((at, np.ones(len(at))))
         return out
 
-    return train(labelled_sample(docs, labels, "toxic", max_rows), features, 1 << bits, epochs=6, alpha=0.3, l1=8.0, positive=8.0, evidence_only=True)
+    return train(labelled_sample(docs, labels, "toxic", max_rows), features, 1 << bits, epochs=6, alpha=0.3, l1=8.0, positive=4.0)
 
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray, model: np.ndarray, text_col: str = "text") -> DataFrame:
     """Adds `score` to every row: the probability that its whole text, restored, is toxic.
 
-    Null and empty texts get the intercept's probability; repeated words count once. The model (64^3 numbers) and
+    Null and empty texts get the intercept's probability; a word counts three times at most. The model (64^3 numbers) and
     the non-zero weights are sent to the tasks; a column named score is replaced, others pass through.
     """
     bits = (len(weights) - 1).bit_length() - 1
@@ -205,9 +245,7 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, model: np.ndarray, text
             texts, made = array.to_pylist(), []
             for lo, hi in slices(texts, 1 << 20):
                 owner, slot = _slots([restorer.restore(t) for t in texts[lo:hi]], bits)
-                hit = known[slot] != 0
-                pair = np.unique((owner[hit].astype(np.int64) << bits) + slot[hit])
-                total = np.bincount(pair >> bits, known[pair & ((1 << bits) - 1)], minlength=hi - lo)
+                total = np.bincount(owner, known[slot], minlength=hi - lo)
                 made.append(1 / (1 + np.exp(-np.clip(bias + total, -35, 35))))
             yield pa.array(np.concatenate(made) if made else [], pa.float64())
 
