@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +32,9 @@ def plausibility(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case `[a-z0-9]+` tokens, with words joined that a hyphen splits over a line end."""
-    joined = F.regexp_replace(text, "([A-Za-z])-\\s*\\n\\s*([A-Za-z])", "$1$2")
-    return F.regexp_extract_all(F.lower(joined), F.lit("[a-z0-9]+"), F.lit(0))
+    """`[a-z0-9]+` tokens in compatibility form without letter case, with words joined that a hyphen splits over a line end."""
+    joined = F.regexp_replace(nfkc(text), "([A-Za-z])-\\s*\\n\\s*([A-Za-z])", "$1$2")
+    return F.regexp_extract_all(F.replace(F.lower(joined), F.lit("ß"), F.lit("ss")), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def snippet(text: Column, n: int = 220) -> Column:
@@ -65,8 +69,48 @@ def content_id(prefix: str, **parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256))
 
 
+# Characters that NFKC leaves as they are, wherever they stand (ASCII, Latin letters, common marks, kana, CJK).
+STABLE = r"[\x00-\x9f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u012f\u0131\u2013\u2014\u2018-\u201e\u20ac\u3001-\u3011\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff]"
+
+
+def _normalised(text: Column, fold: bool) -> Column:
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            made = texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+            yield made.map(str.casefold, na_action="ignore") if fold else made
+
+    plain = F.rlike(text, F.lit(rf"\A{STABLE}*+\z"))
+    quick = F.replace(F.lower(text), F.lit("ß"), F.lit("ss")) if fold else text
+    return F.when(plain, quick).otherwise(run(F.when(~plain, text)))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility form. Only texts with other than stable characters leave the JVM."""
+    return _normalised(text, False)
+
+
+def folded(text: Column) -> Column:
+    """Compatibility form without letter case."""
+    return _normalised(text, True)
+
+
+# Fixed value: numbers with thousands separators and exponents; digits that belong to a name or a longer number are left out.
+NUMBER = r"(?<![A-Za-z0-9_.])[+-]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![A-Za-z0-9_.])"
+
+
+def canonical(number: Column) -> Column:
+    """One string for all spellings of a decimal: its digits without zeros at the ends, and the power of ten."""
+    bare = F.regexp_replace(number, "[,%+]", "")
+    whole = F.regexp_extract(bare, "^-?([0-9]+)", 1)
+    part = F.regexp_extract(bare, "^-?[0-9]+\\.([0-9]+)", 1)
+    power = F.coalesce(F.regexp_extract(bare, "[eE](-?[0-9]+)$", 1).try_cast("long"), F.lit(0).cast("long"))
+    digits = F.regexp_replace(F.concat(whole, part), "^0+", "")
+    short = F.regexp_replace(digits, "0+$", "")
+    sign = F.when(F.startswith(bare, F.lit("-")), "-").otherwise("")
+    return F.when(short == "", "0").otherwise(F.concat(sign, short, F.lit("e"), (power - F.length(part) + F.length(digits) - F.length(short)).cast("string")))
+
+
 def numbers(text: Column) -> Column:
-    """Sorted distinct numbers of a text in plain decimal form; digits that belong to a name are left out."""
-    found = F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9_.])-?[0-9]+(?:\\.[0-9]+)?(?![A-Za-z0-9_])"), F.lit(0))
-    plain = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "(\\.[0-9]*?)0+$", "$1"), "\\.$", ""), "^(-?)0+(?=[0-9])", "$1"))
-    return F.array_sort(F.array_distinct(plain))
+    """The distinct numbers of a text in canonical form."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(nfkc(text), F.lit(NUMBER), F.lit(0)), canonical))

@@ -25,13 +25,23 @@ def hash_embed(text: Column, dim: int = 256) -> Column:
             return seen[gram]
 
         for texts in batches:
-            out = []
-            for t in texts:
-                t = t or ""
-                hits = [slot(t[i : i + 2]) for i in range(len(t) - 1)] or [slot(t)]
-                v = np.bincount([s for s, _ in hits], [w for _, w in hits], minlength=dim)
-                out.append((v / (np.linalg.norm(v) or 1.0)).astype(np.float32))
-            yield pd.Series(out)
+            rows, made = [t or "" for t in texts], []
+            for lo in range(0, len(rows), 512):
+                part = rows[lo : lo + 512]
+                length = np.array([len(t) for t in part])
+                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                owner = np.repeat(np.arange(len(part)), length)
+                inside = owner[1:] == owner[:-1]
+                grams, at = np.unique(((codes[:-1] << 21) | codes[1:])[inside], return_inverse=True)
+                told = [slot(chr(g >> 21) + chr(g & 0x1FFFFF)) for g in grams.tolist()]
+                place, sign = np.array([s for s, _ in told], np.int64), np.array([w for _, w in told])
+                v = np.bincount(owner[:-1][inside] * dim + place[at], sign[at], len(part) * dim).reshape(len(part), dim) if len(at) else np.zeros((len(part), dim))
+                for k in np.flatnonzero(length < 2):
+                    s, w = slot(part[k])
+                    v[k, s] = w
+                norm = np.linalg.norm(v, axis=1)
+                made += list((v / np.where(norm > 0, norm, 1.0)[:, None]).astype(np.float32))
+            yield pd.Series(made, dtype=object)
 
     return run(text)
 

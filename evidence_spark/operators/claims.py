@@ -7,39 +7,42 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ends of a paragraph or sentence where a window may be cut.
-WINDOW_END = re.compile(r"\n\s*\n|[。！？!?；;.](?=\s|$)")
+from evidence_spark.functions import text
+
+# Ends of a paragraph or sentence, with the white space after them, where a window may be cut.
+WINDOW_END = re.compile(r"\n\s*\n|[.!?。！？](?:\s+|$)")
 
 
 @lru_cache(maxsize=16)  # quotes of a document stand together, so its text is read once
-def squeezed(text: str, fold: bool = False) -> tuple[str, list[int]]:
-    """The text in NFKC without white space, and for each of its characters the place it comes from."""
-    out, at = [], []
-    for i, ch in enumerate(text):
-        for c in unicodedata.normalize("NFKC", ch):
-            if not c.isspace():
-                c = c.casefold() if fold else c
-                out.append(c)
-                at += [i] * len(c)
-    return "".join(out), at
+def normal_form(text: str) -> tuple[str, np.ndarray]:
+    """The text in NFKC, character by character, and for each of its characters the place it comes from."""
+    if text.isascii():
+        return text, np.arange(len(text))
+    parts = [unicodedata.normalize("NFKC", c) for c in text]
+    return "".join(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
 def located(quote: str | None, text: str | None, fold: bool = False) -> tuple[int | None, int | None, str | None]:
-    """(start, end, reason): the one place of a quote in a text; offsets are those of the text."""
+    """(start, end, reason): the one place of a quote in a text; offsets are those of the text.
+
+    The quote's words must follow each other with white space of any kind and length between them; matches do not overlap.
+    """
     if text is None:
         return None, None, "unknown_evidence"
-    needle = squeezed(quote or "", fold)[0]
-    hay, at = squeezed(text, fold)
-    first = hay.find(needle) if needle else -1
-    if first < 0:
+    words = unicodedata.normalize("NFKC", quote or "").split()
+    if not words:
         return None, None, "quote_not_found"
-    if hay.find(needle, first + 1) >= 0:
-        return None, None, "ambiguous_quote"
-    return at[first], at[first + len(needle) - 1] + 1, None
+    plain, place = normal_form(text)
+    found = re.compile(r"\s+".join(map(re.escape, words)), re.IGNORECASE if fold else 0).finditer(plain)
+    first, second = next(found, None), next(found, None)
+    if first is None or second is not None:
+        return None, None, "ambiguous_quote" if first else "quote_not_found"
+    return int(place[first.start()]), int(place[first.end() - 1]) + 1, None
 
 
 def locate_quote(quote: Column, text: Column, fold: bool = False) -> Column:
@@ -54,6 +57,18 @@ def locate_quote(quote: Column, text: Column, fold: bool = False) -> Column:
     return run(quote, text)
 
 
+def locate_quotes(quotes: Column, text: Column, fold: bool = False) -> Column:
+    """locate_quote for an array of quotes of one text, in their order; the text is read once. Null arrays give null."""
+
+    @F.pandas_udf("array<struct<char_start:int,char_end:int,reason:string>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        names = ("char_start", "char_end", "reason")
+        for many, texts in batches:
+            yield pd.Series([None if qs is None else [dict(zip(names, located(q, t, fold), strict=True)) for q in qs] for qs, t in zip(many, texts)], dtype=object)
+
+    return run(quotes, text)
+
+
 def locate_anchors(gold: DataFrame, pages: DataFrame) -> DataFrame:
     """gold (anchor_id, doc_id, page, anchor) with the place of each anchor on its page; letter case does not count."""
     one = gold.join(pages.select("doc_id", "page", F.col("text").alias("_t")), ["doc_id", "page"], "left")
@@ -61,21 +76,25 @@ def locate_anchors(gold: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def quote_on_page(citations: DataFrame, pages: DataFrame) -> DataFrame:
-    """citations (citation_id, doc_id, page, quote) with ok: the page holds the quote, of three characters or more, blanks aside."""
-    flat = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    """citations (citation_id, doc_id, page, quote) with ok: the page holds the quote, of three characters or more.
+
+    Both are in compatibility form with each run of white space as one blank.
+    """
+    flat = lambda c: text.strip(F.regexp_replace(text.nfkc(c), r"(?U)\s+", " "))
     joined = citations.join(pages.select("doc_id", "page", F.col("text").alias("_t")), ["doc_id", "page"], "left")
     ok = (F.length(flat(F.col("quote"))) >= 3) & F.contains(flat(F.col("_t")), flat(F.col("quote")))
     return joined.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_t")
 
 
 def window_ranges(text: str | None, width: int) -> list[tuple[int, int]]:
-    """Windows that follow each other over the whole text, cut at the last end of a sentence in their second half, else hard."""
+    """Windows that follow each other over the whole text, cut after the last end of a sentence or paragraph in their second half, else hard."""
     out, at, text = [], 0, text or ""
     while at < len(text):
-        end = min(at + width, len(text))
-        if end < len(text):
-            cuts = [at + m.end() for m in WINDOW_END.finditer(text[at:end]) if m.end() * 2 >= width]
-            end = cuts[-1] if cuts else end
+        end = len(text)
+        if at + width < end:
+            end = at + width
+            last = max((m.end() for m in WINDOW_END.finditer(text[at:end])), default=0)
+            end = at + last if 2 * last >= width else end
         out.append((at, end))
         at = end
     return out
@@ -116,6 +135,12 @@ def source_spans(quotes: DataFrame, blocks: DataFrame, gap: int = 2) -> DataFram
     return cut.select("claim_id", "block_no", lo.alias("char_start"), hi.alias("char_end"), "page")
 
 
+def numeric_gate(statement: Column, quote: Column) -> Column:
+    """Null where each number of a statement stands in its quote, as an equal decimal, else `numeric_value_not_in_quote`. Null texts hold no numbers."""
+    told, shown = (text.numbers(F.coalesce(c, F.lit(""))) for c in (statement, quote))
+    return F.when(F.size(F.array_except(told, shown)) > 0, "numeric_value_not_in_quote")
+
+
 def dedupe_claims(drafts: DataFrame) -> DataFrame:
     """drafts (draft_no, doc_id, facet, reason) with duplicate_facet as the reason of all valid ones but the first of a document's facet.
 
@@ -231,7 +256,7 @@ def validate_relations(relations: DataFrame, chunks: DataFrame, most: int = 100)
 
 
 def entity_mentions(relations: DataFrame) -> DataFrame:
-    """(tenant, entity, label, mentions): names with blanks squeezed and in lower case, their first label and in how many relations they occur."""
+    """(tenant, entity, label, mentions): names in compatibility form with blanks squeezed and without letter case, their first label and in how many relations they occur."""
     rows = relations.select("tenant", "relation_id", F.explode(F.array("subject", "object")).alias("name"))
-    entity = F.lower(F.trim(F.regexp_replace("name", r"(?U)\s+", " ")))
+    entity = text.strip(F.regexp_replace(text.folded(F.col("name")), r"(?U)\s+", " "))
     return rows.withColumn("entity", entity).groupBy("tenant", "entity").agg(F.min_by("name", F.struct("relation_id", "name")).alias("label"), F.count_distinct("relation_id").alias("mentions"))

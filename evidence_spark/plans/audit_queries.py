@@ -168,7 +168,7 @@ def chk_compare_chunkers(spark, d):
  c AS (SELECT policy, context, g.query_id, (SELECT count(DISTINCT x) FROM (SELECT unnest(range(greatest(s, lo), least(e, hi))) AS x FROM top t WHERE t.query_id = g.query_id AND t.policy = a.policy AND t.context = b.context AND t.doc_id = g.doc_id)) = 20 AS ok,
  (SELECT coalesce(sum(e - s), 0) FROM top t WHERE t.query_id = g.query_id AND t.policy = a.policy AND t.context = b.context) AS chars FROM g, (VALUES ('near'), ('far')) a(policy), (VALUES ('child'), ('window')) b(context))
  SELECT policy, context, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) FILTER (ok) AS complete, count(*) AS scored, round(avg(chars), 6) AS chars FROM c GROUP BY CUBE (policy, context)""")
-def fus_retrieval_grid(spark, d, asked="vec_id < 20"):
+def fus_retrieval_grid(spark, d, asked="vec_id % 100 = 0"):
     from evidence_spark.operators.search import best
 
     e, q = labels_asked(spark, d, asked)
@@ -191,5 +191,5 @@ def clm_audit_conditions(spark, d):
     number = F.when(k == 3, F.col("o_custkey") + 1_000_000_000).otherwise(F.col("o_custkey"))
     said = F.when(k == 5, "Net reaches many").otherwise(F.concat(F.lit("Net reaches "), number, F.when(k == 1, "").when(k == 2, F.concat(F.lit(" not on "), corpus)).otherwise(F.concat(F.lit(" on "), corpus))))
     quote = F.concat(F.lit("Net (X = "), corpus, F.lit(")\r\n  "), "o_custkey", F.lit("\r\n"), F.col("o_totalprice").cast("string"), F.lit("\r\nOther\r\n-1"))
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), conditions.audit_conditions(F.when(k == 4, "method").otherwise("result"), said, quote).alias("x"))
-    return rows.select("claim_id", "x.status", "x.reason", F.array_join("x.missing", ",").alias("missing"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.when(k == 4, "method").otherwise("result").alias("facet"), said.alias("statement"), quote.alias("quote"))
+    return conditions.audit_conditions(rows).select("claim_id", "audit.status", "audit.reason", F.array_join("audit.missing", ",").alias("missing"))

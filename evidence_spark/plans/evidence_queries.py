@@ -8,7 +8,7 @@ from evidence_spark.functions import structure, text
 from evidence_spark.operators import evidence, search
 from evidence_spark.plans.base import query, table
 
-_TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_TOK = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')"
 
 # --- text and structured chunks
 
@@ -72,7 +72,7 @@ def chk_verify_chunks(spark, d):
 
 # --- retrieval
 
-_LABEL = """WITH h AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.vec_id % 4 AS member, e.vec_id % 9 AS doc_id, abs(e.vec_id - q.vec_id) AS far FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id < 20)"""
+_LABEL = """WITH h AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.vec_id % 4 AS member, e.vec_id % 9 AS doc_id, abs(e.vec_id - q.vec_id) AS far FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)"""
 
 
 def labels_asked(spark, d, asked: str):
@@ -84,7 +84,7 @@ def _row(hits):
     return hits.filter("query_id != id").select("query_id", "id", (F.col("id") % 4).alias("member"), (F.col("id") % 9).alias("doc_id"), F.abs(F.col("id") - F.col("query_id")).alias("far"))
 
 
-def labelled(spark, d, asked: str = "vec_id < 20"):
+def labelled(spark, d, asked: str = "vec_id % 100 = 0"):
     e, q = labels_asked(spark, d, asked)
     return _row(q.join(e.withColumnRenamed("vec_id", "id"), "label"))
 
@@ -102,7 +102,7 @@ def nearest(spark, d, asked: str, n: int, by: str | None = None):
 
 
 @query(_LABEL + """, a AS (SELECT *, row_number() OVER (PARTITION BY query_id, member ORDER BY far, doc_id, id) AS m FROM h), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, doc_id, id) AS rank FROM a WHERE m <= 8) SELECT query_id, member, id, rank FROM b WHERE rank <= 8""")
-def vec_search_members(spark, d, asked="vec_id < 20"):
+def vec_search_members(spark, d, asked="vec_id % 100 = 0"):
     hits = nearest(spark, d, asked, 8, "id % 4").select("query_id", "member", "doc_id", F.col("id").alias("chunk_index"), (-F.col("far")).alias("score"))
     return evidence.search_members(hits, 8).select("query_id", "member", F.col("chunk_index").alias("id"), "rank")
 
@@ -110,7 +110,7 @@ def vec_search_members(spark, d, asked="vec_id < 20"):
 @query(_LABEL + """, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, id) - 1 AS position FROM h), t AS (SELECT * FROM p WHERE position < 12),
  s AS (SELECT *, CASE WHEN query_id % 3 > 0 AND position % 2 = 0 THEN id % 7 END AS sc FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC NULLS LAST, position) AS rank FROM s WHERE query_id % 3 = 0 OR sc IS NOT NULL)
  SELECT query_id, id, rank, CASE WHEN query_id % 3 = 0 THEN 'rerank_unavailable' END AS warning FROM r WHERE rank <= 5""")
-def vec_apply_rerank(spark, d, asked="vec_id < 20"):
+def vec_apply_rerank(spark, d, asked="vec_id % 100 = 0"):
     hits = evidence.best(nearest(spark, d, asked, 12), ["query_id"], ["far", "id"], 12).select("query_id", (F.col("rank") - 1).alias("position"), "id")
     scores = hits.filter("query_id % 3 > 0 and position % 2 = 0").select("query_id", "position", (F.col("id") % 7).alias("score"))
     lost = scores.select("query_id", (F.col("position") + 100).alias("position"), "score")
@@ -126,7 +126,7 @@ def vec_parse_rerank(spark, d):
 
 @query(_LABEL + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, id) AS rank FROM h)
  SELECT query_id, string_agg('[' || rank || '] 《f' || doc_id || '》—— ' || CASE WHEN id % 2 = 0 THEN '第 ' || id || ' 页' ELSE '第 ' || id + 1 || ' 个片段' END || chr(10) || 't' || id, chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 5 GROUP BY query_id""")
-def vec_build_context(spark, d, asked="vec_id < 20"):
+def vec_build_context(spark, d, asked="vec_id % 100 = 0"):
     hits = evidence.best(nearest(spark, d, asked, 5), ["query_id"], ["far", "id"], 5)
     return evidence.build_context(hits.select("query_id", "rank", F.concat(F.lit("f"), "doc_id").alias("file_name"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("page"), F.col("id").alias("chunk_index"), F.concat(F.lit("t"), "id").alias("text")))
 
@@ -139,7 +139,7 @@ def lex_expand_concepts(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 1 WHEN doc_id % 5 = 0 THEN 2 WHEN doc_id % 5 = 1 AND NOT list_has_any(t, ['we', 'our']) THEN 0 ELSE CASE WHEN list_has_any(t, ['we', 'our']) AND list_has_any(t, ['apply', 'encode', 'build', 'refresh', 'update', 'offline', 'inference']) THEN 2 WHEN list_has_all(t, ['et', 'al']) AND list_has_any(t, ['their', 'they']) AND NOT list_has_any(t, ['we', 'our']) THEN 0 ELSE 1 END END AS role
- FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)""")
+ FROM (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+') AS t FROM documents)""")
 def lex_source_role(spark, d):
     more = F.when(F.col("doc_id") % 5 == 0, " we build").when(F.col("doc_id") % 5 == 1, " et al they").otherwise("")
     asked = F.when(F.col("doc_id") % 5 == 4, "Which latency?").otherwise("how")
@@ -147,7 +147,7 @@ def lex_source_role(spark, d):
 
 
 @query()
-def lex_repair_dense(spark, d, asked="vec_id < 20"):
+def lex_repair_dense(spark, d, asked="vec_id % 100 = 0"):
     ranked = evidence.best(nearest(spark, d, asked, 40), ["query_id"], ["far", "id"], 40)
     hits = ranked.select("query_id", F.when(F.col("rank") % 2 == 0, "dense").otherwise("sparse").alias("channel"), "rank", F.col("id").alias("chunk_id"), "doc_id", F.col("doc_id").alias("doc_order"), (F.col("id") % 3 == 0).alias("about_index"))
     return evidence.repair_dense(hits, 10)
@@ -157,13 +157,13 @@ def lex_repair_dense(spark, d, asked="vec_id < 20"):
 
 
 @query(_LABEL + " SELECT query_id, id FROM h WHERE doc_id IN (query_id % 9, (query_id + 1) % 9)")
-def fus_scope_filter(spark, d, asked="vec_id < 20"):
+def fus_scope_filter(spark, d, asked="vec_id % 100 = 0"):
     hits = labelled(spark, d, asked)
     scopes = labels_asked(spark, d, asked)[1].select("query_id").distinct().select("query_id", F.explode(F.array(F.col("query_id") % 9, (F.col("query_id") + 1) % 9)).alias("doc_id"))
     return evidence.scope_filter(hits, scopes).select("query_id", "id")
 
 
-def candidates(spark, d, asked="vec_id < 20"):
+def candidates(spark, d, asked="vec_id % 100 = 0"):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 400 + 1).alias("chars"))
     places = evidence.best(nearest(spark, d, asked, 20), ["query_id"], ["far", "id"], 20).withColumnRenamed("rank", "place")
     return places.join(docs, "id").select("query_id", "place", F.col("id").alias("chunk_id"), "doc_id", "chars")
@@ -173,14 +173,14 @@ def candidates(spark, d, asked="vec_id < 20"):
  w AS (SELECT query_id, 0::BIGINT AS n, 0::BIGINT AS total, 0::BIGINT AS items, ''::VARCHAR AS ids, CASE WHEN query_id % 2 = 0 THEN 800 ELSE 1000 END AS seed FROM (SELECT DISTINCT query_id FROM c)
  UNION ALL SELECT w.query_id, c.n, CASE WHEN ok THEN total + chars ELSE total END, CASE WHEN ok THEN items + 1 ELSE items END, CASE WHEN ok THEN ids || c.id || ' ' ELSE ids END, seed FROM w JOIN c ON c.query_id = w.query_id AND c.n = w.n + 1, LATERAL (SELECT items < 6 AND total + chars <= 1000 AND (items = 0 OR total + chars <= seed) AS ok))
  SELECT query_id, trim(ids) AS items, total AS chars FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC) AS z FROM w) WHERE z = 1""")
-def fus_select_evidence(spark, d, asked="vec_id < 20"):
+def fus_select_evidence(spark, d, asked="vec_id % 100 = 0"):
     hits = candidates(spark, d, asked)
     got = evidence.select_evidence(hits, 6, 1000, F.col("query_id") % 2 == 0)
     return got.select("query_id", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"), "chars")
 
 
 @query()
-def fus_expand_parents(spark, d, asked="vec_id < 20"):
+def fus_expand_parents(spark, d, asked="vec_id % 100 = 0"):
     """Children are sentences, parents the documents; windows hold the chosen sentences and a near one."""
     docs = table(spark, d, "documents").select("doc_id", "text", F.transform(text.sentences(F.col("text")), lambda s, i: F.struct(i.alias("chunk_index"), s.alias("text"))).alias("kids"))
     got = candidates(spark, d, asked).join(docs.withColumnRenamed("doc_id", "chunk_id"), "chunk_id").filter("size(kids) > 1")
@@ -195,7 +195,7 @@ def fus_expand_parents(spark, d, asked="vec_id < 20"):
 
 
 @query(_LABEL + """ SELECT query_id, string_agg('no_context_for_document:' || s, ',' ORDER BY 'no_context_for_document:' || s) AS warnings FROM (SELECT DISTINCT query_id, unnest(range(0, 12)) AS s FROM h) x WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = x.query_id AND h.doc_id = s AND far < 60) GROUP BY query_id""")
-def fus_coverage_warnings(spark, d, asked="vec_id < 20"):
+def fus_coverage_warnings(spark, d, asked="vec_id % 100 = 0"):
     e, q = labels_asked(spark, d, asked)
     ids = q.select("query_id", "label", F.explode(F.sequence(F.col("query_id") - 59, F.col("query_id") + 59)).alias("id"))
     near = _row(ids.join(e.withColumnRenamed("vec_id", "id"), ["label", "id"]))

@@ -16,12 +16,18 @@ def lines(spark, d):
     return rows.filter("trim(block) <> ''").withColumn("page", (F.floor(F.col("block_no") / 5) + 1).cast("int"))
 
 
-@query()
+@query(r"""WITH b AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_no, unnest(string_split(text, chr(10))) AS t FROM documents),
+ q AS (SELECT doc_id, text, block_no, array_to_string(list_transform(list_filter(regexp_split_to_array(substring(t, 1, 60), '\s+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '\s+') AS p FROM b WHERE trim(t) <> ''),
+ f AS (SELECT doc_id, block_no, p, len(regexp_extract_all(text, p)) AS n, length(regexp_extract(text, '(?s)^(.*?)(' || p || ')', 1)) AS before, length(regexp_extract(text, p)) AS found FROM q)
+ SELECT doc_id, block_no, CASE WHEN n = 1 AND p <> '' THEN before END AS char_start, CASE WHEN n = 1 AND p <> '' THEN before + found END AS char_end,
+ CASE WHEN p = '' OR n = 0 THEN 'quote_not_found' WHEN n > 1 THEN 'ambiguous_quote' END AS reason FROM f""")
 def cit_locate_quote(spark, d):
-    """The first words of each line, with other white space, in the whole text."""
-    quote = F.replace(F.substring("block", 1, 60), F.lit(" "), F.lit("\n  "))
-    rows = lines(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", "block_no", claims.locate_quote(quote, F.col("text")).alias("x")).select("doc_id", "block_no", "x.*")
+    """The first words of each line, with other white space, in the whole text, which is read once for all its lines."""
+    split = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("long").alias("block_no"), x.alias("block")))
+    rows = table(spark, d, "documents").select("doc_id", "text", F.filter(split, lambda x: F.trim(x["block"]) != "").alias("b"))
+    quotes = F.transform("b", lambda x: F.replace(F.substring(x["block"], 1, 60), F.lit(" "), F.lit("\n  ")))
+    found = rows.select("doc_id", F.explode(F.arrays_zip(F.col("b.block_no").alias("block_no"), claims.locate_quotes(quotes, F.col("text")).alias("x"))).alias("z"))
+    return found.select("doc_id", "z.block_no", "z.x.*")
 
 
 @query()
@@ -31,23 +37,24 @@ def cit_locate_anchors(spark, d):
     return claims.locate_anchors(gold, pages).select("doc_id", "page", "found.*")
 
 
-@query(r"""WITH b AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS t FROM documents), q AS (SELECT doc_id, n, t, CASE WHEN n % 4 = 0 THEN substring(t, 1, 2) WHEN n % 4 = 1 THEN substring(t, 1, 9) || '~~' ELSE '  ' || substring(t, 2, 20) END AS q FROM b WHERE trim(t) <> ''),
- f AS (SELECT *, regexp_replace(t, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g') AS ft, regexp_replace(q, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g') AS fq FROM q)
+@query(r"""WITH b AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS t FROM documents), q AS (SELECT doc_id, n, t, CASE WHEN n % 4 = 0 THEN substring(t, 1, 2) WHEN n % 4 = 1 THEN substring(t, 1, 9) || '~~' WHEN n % 4 = 2 THEN replace(substring(t, 1, 20), ' ', '') ELSE '  ' || replace(substring(t, 2, 20), ' ', '   ') END AS q FROM b WHERE trim(t) <> ''),
+ f AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(t, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> ''), ' ') AS ft, array_to_string(list_filter(regexp_split_to_array(q, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> ''), ' ') AS fq FROM q)
  SELECT doc_id, n - 1 AS page, length(fq) >= 3 AND contains(ft, fq) AS ok FROM f""")
 def cit_quote_on_page(spark, d):
     rows = lines(spark, d).select("doc_id", F.col("block_no").cast("long").alias("page"), F.col("block").alias("text"))
     n = (F.col("page") + 1) % 4
-    quote = F.when(n == 0, F.substring("text", 1, 2)).when(n == 1, F.concat(F.substring("text", 1, 9), F.lit("~~"))).otherwise(F.concat(F.lit("  "), F.substring("text", 2, 20)))
+    quote = F.when(n == 0, F.substring("text", 1, 2)).when(n == 1, F.concat(F.substring("text", 1, 9), F.lit("~~"))).when(n == 2, F.replace(F.substring("text", 1, 20), F.lit(" "), F.lit(""))).otherwise(F.concat(F.lit("  "), F.replace(F.substring("text", 2, 20), F.lit(" "), F.lit("   "))))
     return claims.quote_on_page(rows.select("doc_id", "page", quote.alias("quote")), rows).select("doc_id", "page", "ok")
 
 
-@query("""SELECT doc_id, length(text) AS chars, true AS whole FROM documents WHERE length(text) > 0""")
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+ w AS (SELECT doc_id, 0 AS start, 0 AS "end", text, n FROM t UNION ALL
+  SELECT doc_id, "end", "end" + CASE WHEN n - "end" <= 800 THEN n - "end" WHEN length(cut) > 0 AND 2 * length(cut) >= 800 THEN length(cut) ELSE 800 END, text, n
+  FROM (SELECT *, regexp_extract(substring(text, "end" + 1, 800), '(?s)^.*(\n\s*\n|[.!?。！？](\s+|$))') AS cut FROM w WHERE "end" < n))
+ SELECT doc_id, start, "end" FROM w WHERE "end" > start""")
 def cit_windows(spark, d):
-    """Windows stand next to each other and hold the whole text; none is wider than allowed."""
-    rows = table(spark, d, "documents").select("doc_id", "text", claims.citation_windows(F.col("text"), 800).alias("w")).filter("size(w) > 0")
-    joins = F.forall(F.arrays_zip(F.slice("w", 2, F.size("w")).alias("b"), F.slice("w", 1, F.size("w") - 1).alias("a")), lambda p: (p["a"]["end"] == p["b"]["start"]) & (p["b"]["end"] - p["b"]["start"] <= 800))
-    whole = joins & (F.col("w")[0]["start"] == 0) & (F.element_at("w", -1)["end"] == F.length("text"))
-    return rows.select("doc_id", F.aggregate("w", F.lit(0), lambda z, x: z + x["end"] - x["start"]).alias("chars"), whole.alias("whole"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(claims.citation_windows(F.col("text"), 800)).alias("w"))
+    return rows.select("doc_id", F.col("w.start").cast("long").alias("start"), F.col("w.end").cast("long").alias("end"))
 
 
 @query("""WITH p AS (SELECT l_orderkey AS claim_id, l_linenumber AS w FROM lineitem), s AS (SELECT claim_id, min(w) * 400 AS s, max(w) * 400 + 400 AS e, bool_or(w > 6) AS unknown, count(*) > count(DISTINCT w) AS twice FROM p GROUP BY claim_id),
@@ -226,9 +233,10 @@ def judged(spark, d):
 _JUDGED = "WITH j AS (SELECT lang || '/' || source AS query_id, CAST(doc_id AS VARCHAR) AS id, quality = 1 AS label, n_chars AS score FROM documents JOIN labels USING (doc_id))"
 
 
-@query(_JUDGED + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n, count(*) FILTER (label) OVER (PARTITION BY query_id) AS relevant FROM j) SELECT query_id, any_value(relevant) AS relevant, string_agg(id, ' ' ORDER BY n) AS ranked FROM r WHERE n <= 50 GROUP BY 1""")
+@query(_JUDGED + " SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place, id, label FROM j")
 def trn_ranking_rows(spark, d):
-    return review.ranking_rows(judged(spark, d), 50)
+    """A row for every valid id of a query."""
+    return review.ranking_places(judged(spark, d))
 
 
 @query(_JUDGED + " SELECT query_id, CASE WHEN count(*) FILTER (label) = 0 THEN 'no positive' ELSE 'no negative' END AS reason FROM j GROUP BY 1 HAVING count(*) FILTER (label) = 0 OR count(*) FILTER (NOT label) = 0")

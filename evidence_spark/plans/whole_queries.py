@@ -1,53 +1,15 @@
-"""Whole forms of queries whose given SQL names a fixed part of the input.
-
-That SQL stays as it is, and with it the rows of the queries it stands for. The forms here carry the same names with `_whole`;
-their SQL is that of the query without the cut.
-"""
+"""Second names of queries that once answered a fixed part of the input; now both names do the whole job."""
 
 from __future__ import annotations
 
-from functools import wraps
-
-from evidence_spark.operators import review
-from evidence_spark.plans.base import ORACLES, QUERIES, query
-from evidence_spark.plans.verify_queries import _JUDGED, judged
-
-#: All rows whose id is divisible by 100 are queries, against all rows.
-ASKED = "vec_id % 100 = 0"
-
-
-def whole(name: str, sql: dict[str, str], **more) -> None:
-    """Registers a query with other parameters; `sql` holds what they replace in its SQL."""
-    f = QUERIES[name]
-
-    @wraps(f)
-    def run(spark, d):
-        return f(spark, d, **more)
-
-    QUERIES[f"{name}_whole"] = run
-    if text := ORACLES.get(name):
-        for old, new in sql.items():
-            assert old in text, (name, old)
-            text = text.replace(old, new)
-        ORACLES[f"{name}_whole"] = text
-
-
-for _name in ("vec_cosine_topn", "fus_rrf", "fus_round_robin", "evl_ranking_metrics"):
-    whole(_name, {"vec_id < 10": ASKED}, asked=ASKED)
-
-for _name in (
-    "vec_search_members", "vec_apply_rerank", "vec_build_context", "lex_repair_dense", "fus_scope_filter", "fus_select_evidence", "fus_expand_parents", "fus_coverage_warnings", "fus_retrieval_grid",
-):
-    whole(_name, {"vec_id < 20": ASKED}, asked=ASKED)
-
-#: All words of the benchmark and of the documents.
-whole("lex_bm25", {"[1:8]": ""}, words=None)
-whole("grf_relations_for_query", {"substring(text, 1, 80)": "text"}, chars=None)
-
-#: All parts whose id is divisible by 100, over all neighbours.
-whole("grf_two_hop_paths", {"x.a >= 0 AND x.a <= 20": "x.a IN (SELECT p_partkey FROM part WHERE p_partkey % 100 = 0)", " WHERE i <= 5": ""}, asked="p_partkey % 100 = 0", degree=None)
+from evidence_spark.plans.base import ORACLES, QUERIES
 
+WHOLE = (
+    "vec_cosine_topn", "fus_rrf", "fus_round_robin", "evl_ranking_metrics", "vec_search_members", "vec_apply_rerank", "vec_build_context", "lex_repair_dense", "fus_scope_filter",
+    "fus_select_evidence", "fus_expand_parents", "fus_coverage_warnings", "fus_retrieval_grid", "lex_bm25", "grf_relations_for_query", "grf_two_hop_paths", "trn_ranking_rows",
+)
 
-@query(_JUDGED + " SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place, id, label FROM j")
-def trn_ranking_rows_whole(spark, d):
-    return review.ranking_places(judged(spark, d))
+for _name in WHOLE:
+    QUERIES[f"{_name}_whole"] = QUERIES[_name]
+    if _name in ORACLES:
+        ORACLES[f"{_name}_whole"] = ORACLES[_name]

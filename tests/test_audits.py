@@ -9,23 +9,54 @@ from evidence_spark.operators import audits, comparisons, conditions
 QUOTE = "Model (X = CorpusA)\r\n 12.5%\r\n1,300\n\nModel (X = CorpusB, Y = High beam)\n7e1\n"
 
 
-def test_conditions():
-    ask = lambda said, quote=QUOTE: conditions.audited("result", said, quote)[:2]
-    assert ask("12.5 on CorpusA")[0] == ask("1300 and 12.5 on corpusa")[0] == "passed"
-    assert conditions.audited("result", "70 on CorpusB", QUOTE) == ("missing", "explicit_row_condition_omitted", ["High beam"])
-    assert ask("70 with high beam on CorpusB")[0] == "passed" and ask("70 with high beam, CorpusB除外")[1] == "condition_occurrence_not_affirmed"
-    assert ask("12.5 on CorpusA2") == ("missing", "explicit_row_condition_omitted")
-    assert ask("12.5 on CorpusA with X = CorpusC")[1] == "explicit_condition_assignment_differs"
-    assert ask("12.5 and 12.5 on CorpusA")[1] == "numeric_row_not_located" and ask("5 ok", "A (b=c)\n5\nA (b=d)\n5")[1] == "ambiguous_numeric_rows"
-    assert ask("5 c", "A (b=c, d=)\n5")[1] == ask("5 c", "A\n5")[1] == "explicit_assignments_unavailable"
-    assert ask("3x better")[1] == "numeric_notation_unsupported" and ask("better")[0] == "not_applicable" and ask("5", None)[1] == "numeric_row_not_located"
-    assert conditions.audited(None, None, None)[0] == "not_applicable"
-
-
-def test_conditions_of_columns(spark):
-    df = spark.createDataFrame([("result", "12.5 on CorpusA", QUOTE), (None, None, None)], "f string, s string, q string")
-    got = df.select(conditions.audit_conditions(F.col("f"), F.col("s"), F.col("q")).alias("x")).select("x.status").collect()
-    assert [r.status for r in got] == ["passed", "not_applicable"]
+def audited(spark, rows):
+    """(status, reason, missing) of claims (facet, statement, quote), in order."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "claim_id int, facet string, statement string, quote string")
+    return [(r.audit.status, r.audit.reason, list(r.audit.missing)) for r in conditions.audit_conditions(df).orderBy("claim_id").collect()]
+
+
+TWO = "Model (X = CorpusA, Z = CorpusB)\n38.5\n52.0"
+CASES = [  # statement, quote, status, reason, missing
+    ("12.5 on CorpusA", QUOTE, "passed", "all_explicit_row_assignments_retained", []),
+    ("1300 and 12.5 on corpusa", QUOTE, "passed", "all_explicit_row_assignments_retained", []),
+    ("70 on CorpusB", QUOTE, "missing", "explicit_row_condition_omitted", ["High beam"]),
+    ("70 with high beam on CorpusB", QUOTE, "passed", "all_explicit_row_assignments_retained", []),
+    ("70 with high beam, CorpusB除外", QUOTE, "unknown", "condition_occurrence_not_affirmed", []),
+    ("12.5 on CorpusA2", QUOTE, "missing", "explicit_row_condition_omitted", ["CorpusA"]),
+    ("12.5 on CorpusA with X = CorpusC", QUOTE, "unknown", "explicit_condition_assignment_differs", []),
+    ("12.5 and 12.5 on CorpusA", QUOTE, "unknown", "numeric_row_not_located", []),
+    ("5 ok", "A (b=c)\n5\nA (b=d)\n5", "unknown", "ambiguous_numeric_rows", []),
+    ("5 c", "A (b=c, d=)\n5", "unknown", "explicit_assignments_unavailable", []),
+    ("5 c", "A\n5", "unknown", "explicit_assignments_unavailable", []),
+    ("3x better", QUOTE, "unknown", "numeric_notation_unsupported", []),
+    ("better", QUOTE, "not_applicable", "not_a_numeric_result", []),
+    ("5", None, "unknown", "numeric_row_not_located", []),
+    (None, None, "not_applicable", "not_a_numeric_result", []),
+    ("CorpusA yields 38.5 and 52.0.", TWO, "missing", "explicit_row_condition_omitted", ["CorpusB"]),
+    ("X = CorpusB, Z = CorpusA yield 38.5 and 52.0.", TWO, "unknown", "explicit_condition_assignment_differs", []),
+    ("CorpusA yields 38.5 and 52.0.", "Table results\r\n  Model (X = CorpusA)\r\n 38.5\r\n 52.0", "passed", "all_explicit_row_assignments_retained", []),
+    ("CorpusA yields 38.5 and 52.0.", "Model (X = CorpusA)\n3.85e1\n5.2E1", "passed", "all_explicit_row_assignments_retained", []),
+    ("CorpusA has 38m.", "Model (X = CorpusA)\n38", "unknown", "numeric_notation_unsupported", []),
+    ("模型没有使用CorpusA，38.5。", "Model (X = CorpusA)\n38.5", "unknown", "condition_occurrence_not_affirmed", []),
+    ("38.5 without CorpusA", "Model (X = CorpusA)\n38.5", "unknown", "condition_occurrence_not_affirmed", []),
+    ("38.5 cannot hold for CorpusA", "Model (X = CorpusA)\n38.5", "passed", "all_explicit_row_assignments_retained", []),
+    ("38.5 using CorpusA.", "Model (X = CorpusA)\n38.5", "passed", "all_explicit_row_assignments_retained", []),
+    ("38.5 using CorpusA.Extra.", "Model (X = CorpusA)\n38.5", "missing", "explicit_row_condition_omitted", ["CorpusA"]),
+    ("３８.５ on ＣorpusA", "Model (X = CorpusA)\n38.5", "passed", "all_explicit_row_assignments_retained", []),
+]
+
+
+def test_conditions(spark):
+    got = audited(spark, [("result", said, quote) for said, quote, *_ in CASES])
+    for case, found in zip(CASES, got, strict=True):
+        assert found == tuple(case[2:]), case
+    assert audited(spark, [(None, "12.5 on CorpusA", QUOTE), ("method", "12.5", QUOTE)]) == [("not_applicable", "not_a_numeric_result", [])] * 2
+
+
+def test_conditions_keep_other_columns(spark):
+    df = spark.createDataFrame([("result", "12.5 on CorpusA", QUOTE, 1, "x")], "facet string, statement string, quote string, `a.b` int, audit string")
+    got = conditions.audit_conditions(df)
+    assert got.columns == ["facet", "statement", "quote", "a.b", "audit"] and got.first().audit.status == "passed"
 
 
 def test_aligned(spark):

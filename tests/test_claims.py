@@ -8,10 +8,11 @@ from evidence_spark.streaming.ingest import ingest
 
 
 def test_located():
-    assert claims.located("ab cd", "x a b\nc d y") == (2, 9, None)
+    assert claims.located("ab cd", "x a b\nc d y")[2] == "quote_not_found" and claims.located("in form", "We inform you")[2] == "quote_not_found"
+    assert claims.located("a b c", "x a\n\t b\u00a0c y") == (2, 9, None)
     assert claims.located("ﬁne", "so ﬁne.") == (3, 6, None) and claims.located("fine", "so ﬁne.") == (3, 6, None)
     assert claims.located("AB", "ab")[2] == "quote_not_found" and claims.located("AB", "ab", True) == (0, 2, None)
-    assert claims.located("aa", "aaa")[2] == "ambiguous_quote" and claims.located("", "a")[2] == "quote_not_found" and claims.located("a", None)[2] == "unknown_evidence"
+    assert claims.located("aa", "xaaa") == (1, 3, None) and claims.located("aa", "aa aa")[2] == "ambiguous_quote" and claims.located("", "a")[2] == "quote_not_found" and claims.located("a", None)[2] == "unknown_evidence"
 
 
 def test_windows():
@@ -19,6 +20,8 @@ def test_windows():
     text = "One two. Three four five. " * 5
     cut = claims.window_ranges(text, 30)
     assert "".join(text[a:b] for a, b in cut) == text and all(text[a:b].endswith((".", ". ")) or b == len(text) for a, b in cut)
+    half = "a" * 900
+    assert claims.window_ranges(f"{half}. {half}", 1600) == [(0, 902), (902, 1802)] and claims.window_ranges(f"{half}; {half}", 1600)[0] == (0, 1600)
     assert claims.window_ranges("x" * 25, 10) == [(0, 10), (10, 20), (20, 25)]
 
 
@@ -28,6 +31,21 @@ def test_quotes_with_nulls(spark):
     assert [tuple(r) for r in got] == [(1, 2, 5, None), (2, None, None, "quote_not_found"), (3, None, None, "unknown_evidence")]
 
 
+def test_numeric_gate(spark):
+    rows = [("1,200", "1200.0"), ("1e3", "1,000"), ("52", "T5 52."), ("５２", "52"), ("-0.50", "-.5 -0.5"), ("3", "T3 3.1"), ("BERT-3 has 7", "7"), (None, None), ("1", None), ("0", "0.00"), ("1e-2", "0.01")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s string, q string")
+    got = [r[0] for r in df.select(claims.numeric_gate(F.col("s"), F.col("q"))).collect()]
+    bad = "numeric_value_not_in_quote"
+    assert got == [None, None, bad, None, None, bad, bad, None, bad, None, None]
+
+
+def test_quotes_on_pages(spark):
+    pages = spark.createDataFrame([(1, 1, "We  inform\n you: ﬁne"), (1, 2, None)], "doc_id int, page int, text string")
+    rows = [(1, 1, 1, "inform you"), (2, 1, 1, "in form"), (3, 1, 1, "fine"), (4, 1, 1, "We"), (5, 1, 2, "abc"), (6, 2, 1, "abc"), (7, 1, 1, None)]
+    got = claims.quote_on_page(spark.createDataFrame(rows, "citation_id int, doc_id int, page int, quote string"), pages).orderBy("citation_id").collect()
+    assert [r.ok for r in got] == [True, False, True, False, False, False, False]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.md").write_bytes("# 你好".encode("gb18030"))
     (tmp_path / "b.TXT").write_text("plain")
