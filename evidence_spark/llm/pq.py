@@ -15,6 +15,10 @@ from .components import connected_components
 
 #: Rows of one side of a block of pairs.
 BLOCK = 256
+#: Names of vectors that no id names lie above all ids.
+ABOVE = 1 << 62
+#: How many standard deviations of a neighbour's offset along one direction the probes reach.
+DEVIATIONS = 2.5
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -45,6 +49,9 @@ class Quantiser:
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
         d = sample.shape[1]
         parts = next(p for p in range(min(parts, d), 0, -1) if d % p == 0)
+        spread = np.linalg.eigvalsh(rest.T @ rest)
+        #: in how many directions vectors differ from their centres
+        self.dimension = float(spread.sum() ** 2 / max((spread**2).sum(), 1e-300))
         self.books = np.stack([kmeans(np.ascontiguousarray(r), words) for r in np.split(rest, parts, axis=1)])
 
     def encode(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +90,9 @@ class Quantiser:
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors in double precision, mask): rows that are null, of another length, zero or not finite are masked out."""
+    """(unit vectors in double precision, mask) of vectors of one length: rows that are null, zero or not finite are masked out."""
     rows = column.to_pylist()
-    d = next((len(r) for r in rows if r), 0)
+    d = max((len(r) for r in rows if r), default=0)
     out = np.zeros((len(rows), d))
     for i, r in enumerate(rows):
         if r is not None and len(r) == d and None not in r:
@@ -106,35 +113,66 @@ def near_vectors(
     max_lists: int = 4096,
     parts: int = 8,
     words: int = 16,
-    probe_share: float = 0.6,
+    probe_share: float | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of vectors.
 
-    The quantiser is fitted on about `sample_rows` vectors, chosen by a hash of the id (the documented bound); every
-    vector is indexed. Each vector is kept in its list's blocks and sent to the lists that a vector within
-    `probe_share` of the threshold's distance can lie in; 1.0 would make the search exact, and a neighbour's offset in
-    any one direction is far smaller than the whole, so 0.6 misses next to none. In a block, table lookups drop pairs
-    whose distance, less what the code leaves out, is over the threshold (no true pair), and the exact cosine decides. Blocks return
-    counts of links and a spanning forest of them, so rows do not grow with the square of a group.
-    Equal vectors are searched once, with their number as weight, so copies never meet each other; each copy gets the links of
-    all of them and the other copies.
-    Null, zero, null-holding and non-finite vectors, those of another length than most, and null ids link with nothing.
-    A repeated row is one more copy; an id that stands with several vectors gets the links of all of them.
+    The quantiser is fitted on about `sample_rows` vectors, chosen by a hash (the documented bound); every vector is
+    indexed. Each vector is kept in its list's blocks and sent to the lists that a vector within `probe_share` of the
+    threshold's distance can lie in. 1.0 makes the search exact. By default the share is DEVIATIONS / sqrt(d), at most 1, where d is
+    the number of directions in which vectors spread around their centres: a neighbour's offset in any one direction has
+    about 1 / sqrt(d) of the whole as its standard deviation, so few neighbours lie farther across a list's border. In a
+    block, table lookups drop pairs whose distance, less what the code leaves out, is over the threshold (no true pair), and the
+    exact cosine decides. Blocks return counts of links and a spanning forest of them, so rows do not grow with the square of
+    a group. Equal vectors are searched once, with their number as weight, so copies never meet each other; each copy gets the
+    links of all of them and the other copies.
+    Null, empty and zero vectors and those that hold nulls or non-finite numbers link with nothing. Vectors of each length are
+    indexed by themselves, in jobs of their own. Rows with null ids take part but name no component; an id with several vectors
+    takes part with each. A repeated row is one more copy. Ids are below 2^62.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    named = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-    sizes = named.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = sizes["d"] if sizes else 0
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
-    fit = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") == d) & ~odd, F.lit(False))
-    good = written(rows.filter(fit).groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "vectors")
-    n, total = good.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    fit = F.coalesce((F.size("v") > 0) & ~odd, F.lit(False))
+    found = rows.filter(fit).groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    found = written(found, "distinct-vectors")
+    several = found.groupBy("least_id").agg(F.min(F.xxhash64("v")).alias("first"), F.count(F.lit(1)).alias("n")).filter("least_id is not null and n > 1")
+    named = found.join(several.select("least_id", "first"), "least_id", "left")
+    other = F.col("least_id").isNull() | F.coalesce(F.col("first") != F.xxhash64("v"), F.lit(False))
+    name = F.when(other, F.lit(ABOVE) + F.pmod(F.xxhash64("v"), F.lit(ABOVE - 1))).otherwise(F.col("least_id"))
+    good = written(named.select(name.alias("vec_id"), "least_id", "copies", "v"), "vectors")
+    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("total")).orderBy("d").collect()
     alone = rows.filter(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if not n:
+    if not sizes:
         return alone
+    links = None
+    for size in sizes:
+        own = good if len(sizes) == 1 else good.filter(F.size("v") == size["d"])
+        one = _links(own, size["n"], cosine, sample_rows, per_list, max_lists, parts, words, probe_share)
+        links = one if links is None else links.unionByName(one)
+    total = sum(size["total"] for size in sizes)
+    counts = links.filter("n > 0").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    label = connected_components(links.filter("n = 0").select(F.col("vec_id").alias("a"), "b"), "a", "b")
+    out = good.join(counts, "vec_id", "left").join(label, good["vec_id"] == label["node"], "left")
+    out = out.select("v", "copies", "vec_id", "least_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("comp"))
+    # vectors of hashed names count by their ids
+    hashed = out.filter(F.col("vec_id") >= ABOVE).groupBy("comp").agg(F.min("least_id").alias("hashed_id"))
+    component = F.least(F.when(F.col("comp") < ABOVE, F.col("comp")), F.col("hashed_id"))
+    found = written(out.join(hashed, "comp", "left").select("v", "copies", "least_id", "n_links", component.alias("component_id")), "vector-classes")
+    single = found.filter("copies = 1").select(F.col("least_id").alias("vec_id"), "n_links", "component_id")
+    # fewer than 200 vectors have so many copies; they are broadcast, so that no task gets all rows of one
+    many = F.col("copies") > max(1000, total // 200)
+    classes = found.filter("copies > 1").drop("least_id")
+    hot, rest = F.broadcast(classes.filter(many)), classes.filter(~many)
+    shared = rows.filter(fit).join(hot, "v").unionByName(rows.filter(fit).join(rest, "v")).select("vec_id", "n_links", "component_id")
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
+    return single.unionByName(shared).withColumn("kept", kept).unionByName(alone)
+
+
+def _links(good: DataFrame, n: int, cosine: float, sample_rows: int, per_list: int, max_lists: int, parts: int, words: int, probe_share: float | None) -> DataFrame:
+    """(vec_id, n, b) for distinct vectors of one length: numbers of links that a block has found (n > 0), and links (n = 0, vec_id to b)."""
+    spark = good.sparkSession
     share = int(1_000_000 * min(1.0, sample_rows / n))
     picked = good.filter(F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1_000_000)) < share).select("v").toArrow()
     if not len(picked):  # so few vectors that a hash may pick none
@@ -144,6 +182,7 @@ def near_vectors(
     made = Quantiser(x[order], int(np.clip(n // per_list, 1, max_lists)), parts, words)
     sent = spark.sparkContext.broadcast(made)
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    probe_share = min(1.0, DEVIATIONS / max(made.dimension, 1.0) ** 0.5) if probe_share is None else probe_share
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
@@ -204,19 +243,7 @@ def near_vectors(
         })
 
     groups = as_member.unionByName(as_query).groupBy("list", "block", "slice")
-    found = written(groups.applyInPandas(compare, "vec_id long, n long, b long"), "vector-links")
-    counts = found.filter("n > 0").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    label = connected_components(found.filter("n = 0").select(F.col("vec_id").alias("a"), "b"), "a", "b")
-    out = good.join(counts, "vec_id", "left").join(label, good["vec_id"] == label["node"], "left")
-    found = out.select("v", "copies", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    found = written(found, "vector-classes")
-    single = found.filter("copies = 1").select("vec_id", "n_links", "component_id")
-    # fewer than 200 vectors have so many copies; they are broadcast, so that no task gets all rows of one
-    many = F.col("copies") > max(1000, total // 200)
-    classes = found.filter("copies > 1").drop("vec_id")
-    hot, rest = F.broadcast(classes.filter(many)), classes.filter(~many)
-    shared = rows.filter(fit).join(hot, "v").unionByName(rows.filter(fit).join(rest, "v")).select("vec_id", "n_links", "component_id")
-    return single.unionByName(shared).withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(alone)
+    return written(groups.applyInPandas(compare, "vec_id long, n long, b long"), "vector-links")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
