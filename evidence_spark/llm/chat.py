@@ -36,7 +36,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     `events`: conv_id, message (any orderable id), seq, role, kind, text. Kinds: `delta` appends its text
     to its message, `edit` replaces the message's text, `regenerate` empties it, `delete` removes the message.
     A message stands where its first event stood. Folding is associative, so a long stream is folded in
-    pieces of sequence numbers before its pieces meet; a hot conversation is never gathered here.
+    pieces of sequence numbers before its pieces meet, and a hot conversation is not gathered here: only one message's
+    events of one piece of sequence numbers are.
     Null texts are empty, other kinds count as delta, null roles are empty; equal seqs are ordered by kind, then text.
     """
     kind = F.coalesce("kind", F.lit("delta"))
@@ -61,19 +62,21 @@ def fold_events(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, formatted, loss_spans): one string for each conversation, with the code-point spans under the loss mask.
 
-    A turn is `<|im_start|>role\\ntext<|im_end|>\\n`, role and text escaped (line ends of a role too). Messages are
-    joined in pieces of their conversation first, so the last step gathers a few long strings, not every message.
+    A turn is `<|im_start|>role\\ntext<|im_end|>\\n`, role and text escaped (line ends of a role too). Messages of equal
+    sequence numbers stand by role, then text. Messages are joined in pieces of their conversation first, so the last step gathers a few long strings, not every message.
     A conversation's text must fit a row, as the result is a row.
     """
-    role = F.replace(F.replace(escape(F.col("role")), F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))
-    head = F.concat(F.lit(START), role, F.lit("\n"))
-    body = escape(F.col("text"))
-    turns = messages.select(
-        "conv_id", "seq", "message", head.alias("head"), body.alias("body"), F.col("role").isin(*trained).alias("loss")
+    some = messages.groupBy("conv_id", F.floor(F.col("seq") / PIECE).alias("piece")).agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text", "message"))).alias("e"))
+
+    def shown(x: Column) -> Column:
+        role = F.replace(F.replace(escape(x["role"]), F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))
+        return F.struct(F.concat(F.lit(START), role, F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), x["role"].isin(*trained).alias("loss"))
+
+    some = some.select("conv_id", "piece", F.transform("e", shown).alias("e"))
+    some = some.select(
+        "conv_id", "piece", F.array_join(F.transform("e", lambda x: F.concat(x["head"], x["body"], F.lit(END + "\n"))), "").alias("t"),
+        F.transform("e", lambda x: F.struct(F.length(x["head"]).alias("h"), F.length(x["body"]).alias("b"), x["loss"].alias("loss"))).alias("p"),
     )
-    order = F.struct("seq", "message", F.concat("head", "body", F.lit(END + "\n")).alias("t"), F.length("head").alias("h"), F.length("body").alias("b"), "loss")
-    some = turns.groupBy("conv_id", F.floor(F.col("seq") / PIECE).alias("piece")).agg(F.sort_array(F.collect_list(order)).alias("e"))
-    some = some.select("conv_id", "piece", F.array_join(F.transform("e", lambda x: x["t"]), "").alias("t"), F.transform("e", lambda x: F.struct(x["h"].alias("h"), x["b"].alias("b"), x["loss"].alias("loss"))).alias("p"))
     whole = some.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("piece", "t", "p"))).alias("e"))
     whole = whole.select("conv_id", F.array_join(F.transform("e", lambda x: x["t"]), "").alias("formatted"), F.flatten(F.transform("e", lambda x: x["p"])).alias("p"))
     tail = len(END) + 1
@@ -111,13 +114,20 @@ def format_chats(events: DataFrame, trained: tuple[str, ...] = ("assistant",)) -
 
 
 def row_events(rows: DataFrame) -> DataFrame:
-    """The event log of a table of whole turns (conv_id, turn, role, text).
+    """The event log of a table of whole turns (conv_id, turn, role, text), as a streaming writer would have left it.
 
-    Every row is a message of its own that one delta fills; equal rows stay separate messages, rows with
-    equal turns are ordered by role, then text. Null turns come first.
+    Every row is a message of its own: a draft that is regenerated, a wrong beginning that an edit replaces by the first half
+    of the text, and a delta with the rest. Folding gives back the text exactly. Equal rows stay separate messages, whose
+    names are unlike; rows with equal turns are ordered by role, then text. Null turns come first; null roles and texts
+    are empty.
     """
-    rows = rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
-    n = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
-    copies = n.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
-    message = F.struct("turn", "role", "text", "copy")
-    return copies.select("conv_id", F.col("turn").cast("long").alias("seq"), message.alias("message"), "role", F.lit("delta").alias("kind"), "text")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    steps = [("delta", F.lit("a draft, ")), ("delta", F.substring(text, 1, 3)), ("regenerate", F.lit("")), ("delta", F.lit("wrong ")), ("edit", first), ("delta", rest)]
+    log = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), told.alias("text")) for i, (kind, told) in enumerate(steps)])
+    named = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), "text", F.monotonically_increasing_id().alias("message"))
+    events = named.select("conv_id", "turn", "role", "message", F.explode(log).alias("e"))
+    # a turn's events have the sequence numbers from 8 times its number on; turns without a number come before all
+    seq = F.coalesce(F.col("turn") * 8, F.lit(-(1 << 40)).cast("long")) + F.col("e.step")
+    return events.select("conv_id", seq.alias("seq"), "message", "role", "e.kind", "e.text")
