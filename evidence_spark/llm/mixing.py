@@ -98,39 +98,17 @@ def _halves(node: Column, seed: int, level: int) -> Column:
     return F.when(node["n"] > 1, F.element_at(two, 1)).otherwise(F.array(F.struct(node["lo"].alias("lo"), node["n"].alias("n"), node["c"].alias("c"))))
 
 
-def mix_plan(
-    docs: DataFrame,
-    weights: tuple[int, ...] = (3, 1, 2),
-    share: float = 1.5,
-    limit: float = 2.0,
-    shards: int = 16,
-    blocks: int = 1024,
-    seed: int = 17,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """(doc_id, source, size, source_size, target, draws, _text): each document with the places it takes in the mix.
+def _source_key(source: Column) -> list[Column]:
+    """Two columns that are never null and equal for equal sources."""
+    return [F.coalesce(source, F.lit("")).alias("_s"), source.isNull().alias("_null")]
 
-    Size is the number of words (null text: 0). A seeded hash permutes each source's documents and deals
-    them into `blocks` blocks. A source's quota is its target in words: whole passes over its blocks,
-    then blocks of one more pass in a permuted order, the last of them cut at the document nearest to the
-    target. The quotas, in blocks, are split among the output shards by the tree; a shard draws the next
-    blocks of the source's permuted list, so draws are disjoint, and `draws` holds (repeat, shard, order):
-    sorting a shard by `order` shuffles it locally. Reruns agree, as all draws hash seed and row.
 
-    Null sources form one source, last in order. Null ids are documents like others; equal rows are each taken.
-    Sources without words have target 0. An empty table gives no rows.
+def _drawn_blocks(slim: DataFrame, weights: tuple[int, ...], share: float, limit: float, shards: int, seed: int) -> DataFrame:
+    """(_s, _null, _block, source_size, target, units): each source's blocks with their draws (repeat, shard, unit, left).
+
+    `slim`: source, size, _block of every row. Only sums by block, and rows of sources, are shuffled.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col)).alias("_perm"),
-        F.xxhash64(text_col).alias("_text"),
-    )
-    rows = written(rows.withColumn("_block", F.pmod("_perm", F.lit(blocks)).cast("int")), "mix-sizes")
-    per_block = rows.groupBy("source", "_block").agg(F.sum("size").alias("words"))
+    per_block = slim.groupBy("source", "_block").agg(F.sum("size").alias("words"))
     sources = per_block.groupBy("source").agg(F.sum("words").alias("source_size"))
     sources = written(_targets(sources, weights, share, limit), "mix-targets")
 
@@ -148,31 +126,96 @@ def mix_plan(
         .filter("left > 0")
     )
     listed = Window.partitionBy("_place").orderBy("repeat", "_key", "_block")
-    units = written(units.withColumn("_unit", F.row_number().over(listed) - 1), "mix-blocks")
+    units = written(units.withColumn("unit", F.row_number().over(listed) - 1), "mix-blocks")
     tree = _split_tree(units.groupBy("_place").agg(F.count(F.lit(1)).alias("units")), shards, seed)
-    drawn = units.join(tree, "_place").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_unit"))))
+    # a shard takes the next blocks of each source's permuted list, as many as its leaf of the tree says
+    drawn = units.join(tree, "_place").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("unit"))))
     # a list of `limit` entries at most for each source and block
-    drawn = drawn.groupBy("_place", "_block").agg(F.collect_list(F.struct("repeat", "shard", "left")).alias("_units"))
+    drawn = drawn.groupBy("_place", "_block").agg(F.sort_array(F.collect_list(F.struct("repeat", "shard", "unit", "left"))).alias("units"))
     drawn = per_block.join(sources, per_block["source"].eqNullSafe(sources["source"])).select(
         per_block["source"], "_block", "source_size", "target", "_place"
     ).join(drawn, ["_place", "_block"], "left")
-    keyed = drawn.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"), "_block", "source_size", "target", "_units")
-    rows = rows.withColumns({"_s": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()})
-    inside = Window.partitionBy("_s", "_null", "_block").orderBy("_perm", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(keyed, ["_s", "_null", "_block"]).withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    taken = F.filter(F.coalesce("_units", F.array().cast("array<struct<repeat:int,shard:int,left:double>>")), lambda u: (F.col("size") > 0) & (F.col("_at") + F.col("size") / 2 <= u["left"]))
-    draws = F.transform(taken, lambda u: F.struct(u["repeat"].alias("repeat"), u["shard"].alias("shard"), F.xxhash64(F.lit(seed + 1), "_perm", u["repeat"]).alias("order")))
-    return rows.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target", draws.alias("draws"), "_text")
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of the mix: documents' own columns, once for each draw, with `_shard` and `_order`."""
-    plan = mix_plan(docs, id_col=id_col, text_col=text_col, **options)
-    places = plan.select(F.col("doc_id").alias("_id"), "_text", F.explode("draws").alias("_d")).groupBy("_id", "_text", "_d.repeat").agg(
-        F.count(F.lit(1)).alias("_copies"), F.first("_d.shard").alias("_shard"), F.first("_d.order").alias("_order")
+    return drawn.select(*_source_key(F.col("source")), "_block", "source_size", "target", "units")
+
+
+def _placed(docs: DataFrame, carried: Column, weights, share, limit, shards, blocks, seed, id_col, text_col, source_col, keep: bool) -> DataFrame:
+    """(row, source, size, source_size, target, draws): `carried` of each row with the places that the mix gives it."""
+    perm = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))
+    rows = docs.select(
+        carried.alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), perm.alias("_perm"), F.pmod(perm, F.lit(blocks)).cast("int").alias("_block")
     )
-    # equal rows are drawn alike, so one of them stands for all
-    places = places.drop("_copies")
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.xxhash64(text_col)})
-    same = keyed["_id"].eqNullSafe(places["_id"]) & (keyed["_text"] == places["_text"])
-    return keyed.join(places, same).drop("_id", "_text", "repeat")
+    rows = written(rows, "mix-sizes") if keep else rows
+    slim = rows if keep else written(rows.groupBy("source", "_block").agg(F.sum("size").alias("size")), "mix-sizes")
+    drawn = _drawn_blocks(slim, weights, share, limit, shards, seed)
+    rows = rows.select("*", *_source_key(F.col("source")))
+    # equal rows stand side by side in this order, and each has its own place
+    inside = Window.partitionBy("_s", "_null", "_block").orderBy("_perm").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(drawn, ["_s", "_null", "_block"]).withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    none = F.array().cast("array<struct<repeat:int,shard:int,unit:int,left:double>>")
+    taken = F.filter(F.coalesce("units", none), lambda u: (F.col("size") > 0) & (F.col("_at") + F.col("size") / 2 <= u["left"]))
+    draws = F.transform(
+        taken,
+        lambda u: F.struct(u["repeat"].alias("repeat"), u["shard"].alias("shard"), F.col("_block").alias("block"), u["unit"].alias("unit"), F.xxhash64(F.lit(seed + 1), "_perm", "_at", u["repeat"]).alias("order")),
+    )
+    return rows.select("row", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target", draws.alias("draws"))
+
+
+def mix_plan(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    limit: float = 2.0,
+    shards: int = 16,
+    blocks: int = 1024,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, draws): a row for each document with the places it takes in the mix.
+
+    Size is the number of words (null text: 0). A seeded hash permutes each source's documents and deals
+    them into `blocks` blocks. A source's quota is its target in words: whole passes over its blocks,
+    then blocks of one more pass in a permuted order, the last of them cut at the document nearest to the
+    target. The quotas, in blocks, are split among the output shards by the tree; a shard draws the next
+    blocks of the source's permuted list, so draws are disjoint, and `draws` holds (repeat, shard, block, unit, order):
+    sorting a shard by `order` shuffles it locally. Reruns agree, as all draws hash seed and row.
+
+    Null sources form one source, last in order. Null ids are documents like others; equal rows are each taken, and which of
+    them takes which place makes no difference. Sources without words have target 0. An empty table gives no rows.
+    """
+    placed = _placed(docs, F.col(id_col).cast("long"), weights, share, limit, shards, blocks, seed, id_col, text_col, source_col, True)
+    return placed.withColumnRenamed("row", "doc_id")
+
+
+def mixed(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    limit: float = 2.0,
+    shards: int = 16,
+    blocks: int = 1024,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The rows of the mix: documents' own columns, once for each draw of mix_plan, with `_shard` and `_order`.
+
+    Each row carries its own draws, so equal rows, null ids and any other columns come through as they are; columns of
+    the names `_shard` and `_order` are replaced.
+    """
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("_shard", "_order")])
+    placed = _placed(docs, carried, weights, share, limit, shards, blocks, seed, id_col, text_col, source_col, False)
+    drawn = placed.select("row", F.explode("draws").alias("d"))
+    return drawn.select("row.*", F.col("d.shard").alias("_shard"), F.col("d.order").alias("_order"))
+
+
+def shuffled(mix: DataFrame, slices: int = 64) -> DataFrame:
+    """The rows of a mix, dealt by shard and a slice of its order, each in shuffled order: written out, a file holds parts of few shards.
+
+    `_shard` and `_order` are dropped.
+    """
+    parts = int(mix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = mix.withColumn("_slice", F.pmod("_order", F.lit(slices))).repartition(parts, "_shard", "_slice")
+    return dealt.sortWithinPartitions("_shard", "_slice", "_order").drop("_shard", "_slice", "_order")

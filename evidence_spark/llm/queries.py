@@ -27,7 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"))
+    # the words that each shard of the tree takes; `draws` lists them as repeat:shard:block:unit:order
+    taken = F.aggregate(F.transform("draws", lambda x: F.when(x["shard"].isNotNull(), F.col("size")).otherwise(0)), F.lit(0).cast("long"), lambda z, n: z + n)
+    draws = F.array_join(F.transform("draws", lambda x: F.concat_ws(":", *[x[k].cast("string") for k in ("repeat", "shard", "block", "unit", "order")])), ",")
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), draws.alias("draws"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
