@@ -156,6 +156,50 @@ def test_mixing_tree_gives_exact_disjoint_quotas(spark):
     assert mixing.mixed(docs, shards=5, blocks=64).count() == len(draws)
 
 
+def test_op3_rows_come_from_the_tree(spark):
+    """Draws of the query's own rows: disjoint blocks, shards that hold what the tree's leaves say, near equal loads."""
+    found = rows(queries.op3_mixing(spark, SMALL))
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    draws = [(source[r["doc_id"]], r["doc_id"], *map(int, d.split(":"))) for r in found for d in filter(None, r["draws"].split(","))]
+    assert sum(r["taken"] for r in found) == sum(r["size"] * len(r["draws"].split(",")) for r in found if r["draws"])
+    where = defaultdict(set)
+    for s, _, repeat, shard, block, unit, _ in draws:
+        where[s, unit].add((repeat, shard, block))
+    assert all(len(v) == 1 for v in where.values())  # a unit is one block of one pass, in one shard
+    units = {(s, *next(iter(v))): u for (s, u), v in where.items()}
+    assert len(units) == len(where) and len({(s, r, b) for s, r, _, b in units}) == len(where)
+    # a shard takes a run of each source's permuted list, and shards follow each other
+    for s in set(source.values()):
+        mine = sorted((u, sh) for (t, _, sh, _), u in units.items() if t == s)
+        assert [sh for _, sh in mine] == sorted(sh for _, sh in mine)
+    per_shard = Counter(sh for _, _, sh, _ in units)
+    assert set(per_shard) == set(range(16)) and max(per_shard.values()) - min(per_shard.values()) <= 0.5 * max(per_shard.values())
+
+
+def test_split_tree_gives_exact_sums(spark):
+    quotas = spark.createDataFrame([(0, 700), (1, 3), (2, 0), (3, 297)], "_place int, units long")
+    ends = {r["_place"]: r.ends for r in mixing._split_tree(quotas, 7, 5).collect()}
+    counts = {k: [b - a for a, b in zip([0, *v], v)] for k, v in ends.items()}
+    assert all(sum(counts[k]) == n and min(counts[k]) >= 0 for k, n in ((0, 700), (1, 3), (2, 0), (3, 297)))
+    per_shard = [sum(c[i] for c in counts.values()) for i in range(7)]
+    assert max(per_shard) - min(per_shard) <= 3 and len(set(counts[3])) > 1  # drawn, not dealt evenly
+
+
+def test_mixed_rows_equal_the_plan(spark):
+    same = [(5, "a b c d e f g h", "s", "x", 1, 2)] * 7
+    null = [(None, "q r s", src, "y", 3, 4) for src in ("s", "t", None)]
+    more = [(100 + i, f"w{i} " * (1 + i % 5), "stu"[i % 3], None, None, None) for i in range(60)]
+    docs = spark.createDataFrame(same + null + more + [(90, None, "s", "", 0, 0), (91, " ", "s", "", 0, 0)], "doc_id long, text string, source string, `repeat` string, _text int, _id int")
+    plan = rows(mixing.mix_plan(docs))
+    got = rows(mixing.mixed(docs))
+    want = Counter(r["doc_id"] for r in plan for _ in r["draws"])
+    assert Counter(r["doc_id"] for r in got) == want and sum(want.values()) == len(got)
+    assert {"repeat", "_text", "_id"} <= set(got[0]) and {r["repeat"] for r in got if r["doc_id"] == 5} == {"x"}
+    assert sorted((d["shard"], d["order"]) for r in plan for d in r["draws"]) == sorted((r["_shard"], r["_order"]) for r in got)
+    assert sorted(map(str, rows(mixing.shuffled(mixing.mixed(docs))))) == sorted(str({k: v for k, v in r.items() if k not in ("_shard", "_order")}) for r in got)
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 # --- packing
 
 
@@ -297,6 +341,17 @@ def test_chat_escapes_round_trip(spark):
     assert r.l == [t or "" for _, _, role, t in made if role == "assistant"]
 
 
+def test_chat_query_exercises_the_fold(spark):
+    made = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", None), (1, None, None, "x"), (1, 1, "assistant", "ab")], "conv_id int, turn int, role string, text string")
+    log = chat.row_events(made)
+    kinds = Counter(r.kind for r in log.collect())
+    assert kinds == {"delta": 16, "edit": 4, "regenerate": 4}
+    plain = "".join(r.text for r in log.filter("role = 'user'").orderBy("seq").collect())
+    assert plain != "hello there"
+    folded = sorted((r.seq, r.role, r.text) for r in chat.fold_events(log.repartition(5)).collect())
+    assert folded == [(-(1 << 40), "", "x"), (0, "user", "hello there"), (8, "assistant", ""), (8, "assistant", "ab")]
+
+
 def test_chat_folds_events(spark):
     log = [(1, 1, 0, "user", "delta", "Hi "), (1, 1, 1, "user", "delta", "there"), (1, 2, 2, "assistant", "delta", "bad"), (1, 2, 3, "assistant", "regenerate", None), (1, 2, 600, "assistant", "delta", "go"), (1, 2, 601, "assistant", "delta", "od"), (1, 1, 602, "user", "edit", "Hello"), (1, 1, 603, "user", "delta", "!"), (1, 3, 700, "user", "delta", "x"), (1, 3, 999, "user", "delete", None)]
     df = chat.fold_events(spark.createDataFrame(log, "conv_id int, message int, seq int, role string, kind string, text string"))
@@ -493,19 +548,23 @@ def test_ftrl_learns_a_line():
 
 
 def brute_vectors(vectors, cosine=0.95):
-    ids = [i for i, _ in vectors]
-    d = Counter(len(v) for _, v in vectors if v).most_common(1)[0][0]
-    good = [v is not None and len(v) == d and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float)) for _, v in vectors]
-    x = np.array([np.array(v, float) / np.linalg.norm(np.array(v, float)) if g else np.zeros(d) for (_, v), g in zip(vectors, good)])
-    hit = x @ x.T >= cosine
+    """Links between all rows whose vectors are sound and of equal length: (number of links, least id that is reached) by row."""
+    n = len(vectors)
+    ok = [v is not None and len(v) > 0 and None not in v and bool(np.isfinite(np.array(v, float)).all()) and bool(np.any(np.array(v, float))) for _, v in vectors]
+    hit = np.zeros((n, n), bool)
+    for d in {len(v) for (_, v), g in zip(vectors, ok) if g}:
+        at = [k for k in range(n) if ok[k] and len(vectors[k][1]) == d]
+        x = np.array([np.array(vectors[k][1], float) / np.linalg.norm(np.array(vectors[k][1], float)) for k in at])
+        hit[np.ix_(at, at)] = x @ x.T >= cosine
     np.fill_diagonal(hit, False)
-    comp = {i: i for i in ids}
-    for _ in ids:
-        new = {i: min([comp[i], *(comp[ids[j]] for j in np.flatnonzero(hit[k]))]) for k, i in enumerate(ids)}
-        if new == comp:
+    group = np.arange(n)
+    while True:
+        new = np.array([min(group[k], group[hit[k]].min(initial=n)) for k in range(n)])
+        if (new == group).all():
             break
-        comp = new
-    return {i: (int(hit[k].sum()), comp[i]) for k, i in enumerate(ids)}
+        group = new
+    least = {g: min((vectors[k][0] for k in np.flatnonzero(group == g) if vectors[k][0] is not None), default=None) for g in set(group.tolist())}
+    return [(vectors[k][0], int(hit[k].sum()), least[group[k]]) for k in range(n)]
 
 
 def test_vectors(spark):
@@ -516,7 +575,7 @@ def test_vectors(spark):
     made = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     made += [(8000 + k, made[k // 7][1]) for k in range(140)] + [(8500, made[450][1]), (8501, made[450][1])]  # exact copies
     made += [(9001, None), (9002, [0.0] * 32), (9003, [float("nan")] * 32), (9004, [1.0, None] + [0.0] * 30), (9005, []), (9006, [1.0])]
-    want = brute_vectors(made)
+    want = {i: (n, c) for i, n, c in brute_vectors(made)}
     df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
     got = {r.vec_id: r for r in pq.near_vectors(df, per_list=40).collect()}
     links = sum(w[0] for w in want.values())
@@ -528,12 +587,42 @@ def test_vectors(spark):
     assert all((exact[i].n_links, exact[i].component_id) == w for i, w in want.items())
 
 
+@pytest.mark.parametrize("dim", [8, 64])
+def test_vectors_recall_of_pairs_across_lists(spark, dim):
+    """Pairs of unlike vectors just over the threshold, counted only where both ends have other home lists."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(3000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(0.951, 0.97, size=(3000, 1))
+    y = c * x + np.sqrt(1 - c**2) * off
+    made = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in pq.near_vectors(df, per_list=60).collect()}
+    z = np.concatenate([x, y])
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    home = pq._nearest(z, pq.Quantiser(z[np.lexsort(z.T[:1])], 100, 8, 16).coarse)  # as the operator fits it
+    across = [i for i in range(3000) if home[i] != home[3000 + i]]
+    assert len(across) > 100
+    assert np.mean([got[i] == got[3000 + i] for i in across]) >= 0.97
+
+
+def test_vectors_of_several_lengths_and_without_ids(spark):
+    made = [(i, [1.0, 0.01 * i]) for i in range(6)] + [(100 + i, [1.0, 0.0, 0.01 * i]) for i in range(5)]
+    made += [(None, [1.0, 0.001]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 1.0]), (50, [0.0, 1.0]), (50, [0.0, -1.0]), (60, [0.001, -1.0]), (40, [0.002, -1.0]), (70, []), (71, None), (None, None)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = sorted(map(str, ((r.vec_id, r.n_links, r.component_id) for r in pq.near_vectors(df).collect())))
+    assert got == sorted(map(str, brute_vectors(made)))
+
+
 def test_vectors_edges(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert pq.near_vectors(none).count() == 0
     nulls = spark.createDataFrame([(1, None), (None, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, 4.0])], "vec_id long, embedding array<float>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pq.near_vectors(nulls).collect()}
-    assert got == {1: (0, 1, True), None: (0, None, False), 2: (1, 2, True), 3: (1, 2, False)}
+    assert got == {1: (0, 1, True), None: (2, 2, False), 2: (2, 2, True), 3: (2, 2, False)}
     copies = spark.createDataFrame([(i, [0.0, 1.0]) for i in range(3000)] + [(-1, [-0.0, 1.0]), (5000, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = {tuple(r)[1:3] for r in pq.near_vectors(copies).collect() if r.vec_id < 5000}
     assert got == {(3000, -1)}
