@@ -12,13 +12,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns from the labels of these documents."""
+    """Documents that the quality classifier does not reject; it learns from the labels of these documents.
+
+    A null or empty text is scored by the intercept alone; repeated rows are each kept or rejected alike. Without any labels no
+    document is rejected by evidence: all get a score of 0.5 and stay. An empty table gives no rows.
+    """
     scored = quality.classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
     return scored.filter("predicted = 1").select(*COLUMNS)
 
 
 #: Keys of rows that their id does not name lie above all ids.
-ABOVE = 1 << 62
+ABOVE = 1 << 61
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -32,27 +36,37 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more. A group without ids keeps one row too."""
-    rows = keyed(docs)
-    kept = minhash.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
-    left = rows.join(kept, "_key", "left_semi")
-    copies = F.col("doc_id").isNull() & (F.trim(F.coalesce("text", F.lit(""))) != "")
-    return left.filter(~copies).select(*COLUMNS).unionByName(left.filter(copies).dropDuplicates(["_key"]).select(*COLUMNS))
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.
+
+    Rows without ids and all texts of an id with several take part, and one row of each group stays, also of rows that are equal
+    throughout. Null, empty and blank texts have no shingles, so all their rows stay. An empty table gives no rows.
+    """
+    rows = keyed(docs.select(*COLUMNS))
+    found = minhash.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80).filter("kept")
+    # a key of several equal rows is kept several times
+    kept = found.groupBy(F.col("doc_id").alias("_key")).agg((F.count(F.lit(1)) > 1).alias("_many"), F.max("n_shingles").alias("_n"))
+    kept = written(kept, "kept")
+    twice = rows.join(kept.filter("_many and _n > 0").select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    return rows.join(kept.filter("not _many or _n = 0").select("_key"), "_key", "left_semi").select(*COLUMNS).unionByName(twice.select(*COLUMNS))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind; n_chars is counted anew. Null texts stay null, and every row stays."""
     clean = pii.redact(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the shares of their sources; a row for each time that the mix takes a document."""
-    return mixing.mixed(docs).select(*COLUMNS)
+    """Documents in the shares of their sources; a row for each time that the mix takes a document, shuffled within its shards.
+
+    The written files hold the shards in their shuffled order, so the packer reads mixed sources. Documents without words (null,
+    empty, blank) take no place; equal rows are each drawn; null sources form one source. An empty table gives no rows.
+    """
+    return mixing.shuffled(mixing.mixed(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token documents in context windows."""
+    """Pieces of token documents in context windows. A null or empty text is one end-of-text token; repeated rows are each packed."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
