@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,17 @@ CONTEXT = {
     "phone": ("call", "phone", "tel", "fax", "mobile"), "local_phone": ("call", "phone", "tel", "fax", "mobile"),
     "national_id": ("ssn", "social", "security", "tax"), "secret": ("key", "password", "secret", "token", "aws", "credential"),
 }
-#: Labelers, each of which votes 1 (personal), 0 (not) or -1 (abstains).
+# Cue words, and what the context labeler takes for a value after them.
+CUED = {
+    "local_phone": (("call ", "phone", "tel.", "tel:", "fax", "mobile"), re.compile(r"(?<!\w)(?:call|phone|tel|fax|mobile)[\s.:#]{1,3}(\(?[0-9][0-9() .-]{5,18}[0-9])(?![\w-])", re.I | re.ASCII)),
+    "national_id": (("ssn", "social security", "tax id"), re.compile(r"(?<!\w)(?:ssn|social security(?: number)?|tax id)[\s.:#]{1,3}([0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4})(?![\w-])", re.I | re.ASCII)),
+    "secret": (("password", "passwd", "secret", "token", "api key", "api_key"), re.compile(r"(?<!\w)(?:password|passwd|secret|token|api[ _]key)(?: is)?[\s:=]{1,3}[\"']?((?=[^\s\"']*[0-9])(?=[^\s\"']*[A-Za-z])[^\s\"']{8,128})", re.I)),
+}
+# An e-mail address told in words, which ends in a domain of the gazetteer; beginnings of known keys.
+SPOKEN = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+-]{{0,63}} at [A-Za-z0-9-]{{1,63}}(?: dot [A-Za-z0-9-]{{1,63}}){{0,7}} dot (?:{'|'.join(sorted(DOMAINS))})(?![\w-])", re.ASCII)
+KEY_STARTS = ("ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "rk_live_")
+KEYS = re.compile(rf"(?<![\w-])(?:{'|'.join(KEY_STARTS)})[A-Za-z0-9_-]{{16,128}}", re.ASCII)
+#: Labelers, each of which votes 1 (personal), 0 (not) or -1 (abstains). The first, third and fourth also propose spans.
 LABELERS = ("regex", "checksum", "gazetteer", "context", "shape")
 
 
@@ -78,34 +90,66 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, votes) of all spans the labelers vote on: the base matches and wider patterns that overlap none."""
-    base = base_spans(text)
-    out = [(s, e, k, votes(text, s, e, k)) for s, e, k in base]
-    taken = sorted((s, e) for s, e, _ in base)
-    starts = [s for s, _ in taken]
+def _proposals(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, labeler): what the regex, gazetteer and context labelers take for personal data."""
+    yield from ((s, e, k, "regex") for s, e, k in base)
     for kind, rx in _MORE.items():
-        if kind == "masked_email" and not re.search(r"[(\[{]\s?at\s?[)\]}]", text):
-            continue
-        for m in rx.finditer(text):
-            near = np.searchsorted(starts, m.end()) if starts else 0
-            if not any(e > m.start() for _, e in taken[max(0, near - 3) : near]):
-                out.append((m.start(), m.end(), kind, votes(text, m.start(), m.end(), kind)))
+        if kind != "masked_email" or re.search(r"[(\[{]\s?at\s?[)\]}]", text):
+            yield from ((m.start(), m.end(), kind, "regex") for m in rx.finditer(text))
+    low = text.lower()
+    if " dot " in low:
+        yield from ((m.start(), m.end(), "masked_email", "gazetteer") for m in SPOKEN.finditer(text))
+    if any(k in text for k in KEY_STARTS):
+        yield from ((m.start(), m.end(), "secret", "gazetteer") for m in KEYS.finditer(text))
+    for kind, (cues, rx) in CUED.items():
+        if any(c in low for c in cues):
+            yield from ((m.start(1), m.end(1), kind, "context") for m in rx.finditer(text))
+
+
+def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, votes, shape) of all proposed spans: the base matches, and others that overlap none of them.
+
+    Of overlapping proposals of one kind, the one of the first labeler stands.
+    """
+    out: list[tuple[int, int, str, str, str]] = []
+    base = base_spans(text)
+    taken: dict[str, list[tuple[int, int]]] = {"": sorted((s, e) for s, e, _ in base)}
+    for k, (s, e, kind, labeler) in enumerate(_proposals(text, base)):
+        if k >= len(base):
+            if any(_overlaps(taken.get(x, []), s, e) for x in ("", kind)):
+                continue
+            insort(taken.setdefault(kind, []), (s, e))
+        out.append((s, e, kind, votes(text, s, e, kind, labeler), shape(text, s, e)))
     return out
 
 
-def votes(text: str, start: int, end: int, kind: str) -> str:
-    """One character for each labeler: 1, 0 or - (abstains)."""
+def _overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether some of the spans, sorted by start, overlaps start to end; base kinds overlap each other a few deep at most."""
+    k = bisect_left(spans, (end,))
+    return any(e > start for _, e in spans[max(0, k - 4) : k])
+
+
+def shape(text: str, start: int, end: int) -> str:
+    """Five marks of a span: its length, its share of digits, how many characters differ, and the characters beside it."""
+    span = text[start:end]
+    digits = sum(c.isdigit() for c in span) / max(len(span), 1)
+    near = ["w" if c.isalnum() else "s" if not c or c.isspace() else "p" for c in (text[start - 1 : start], text[end : end + 1])]
+    return ("s" if len(span) < 12 else "m" if len(span) < 24 else "l") + ("n" if digits < 0.2 else "h" if digits < 0.7 else "d") + ("f" if len(set(span)) < 8 else "v") + "".join(near)
+
+
+def votes(text: str, start: int, end: int, kind: str, labeler: str = "regex") -> str:
+    """One character for each labeler: 1, 0 or - (abstains). Spans that only another labeler proposes get a 0 from the regex labeler."""
     span = text[start:end]
     digits = [c for c in span if c.isascii() and c.isdigit()]
-    regex = "1" if kind in KINDS[:4] or kind == "secret" else "-"
+    regex = "1" if labeler == "regex" else "0"
     if kind == "card":
         check = "1" if len(digits) in (15, 16) else "0"
     elif kind == "ip":
         parts = [int(p) for p in span.split(".")]
         check = "1" if parts[0] not in (0, 127, 255) and all(len(p) == 1 or p[0] != "0" for p in span.split(".")) else "0"
     elif kind == "national_id":
-        check = "0" if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else "1"
+        number = "".join(digits)
+        check = "0" if number[:3] in ("000", "666") or number[0] == "9" or number[3:5] == "00" or number[5:] == "0000" else "1"
     elif kind == "secret":
         check = "1" if len(set(span)) >= 8 else "0"
     else:
@@ -117,47 +161,53 @@ def votes(text: str, start: int, end: int, kind: str) -> str:
     elif kind in ("phone", "local_phone"):
         gazetteer = "1" if kind == "phone" and digits[0] != "0" else "-"
     elif kind == "secret":
-        gazetteer = "1" if re.match(r"AKIA|ASIA|password|passwd|secret|token|api_key", span) else "-"
+        gazetteer = "1" if labeler == "gazetteer" or re.match(r"AKIA|ASIA|password|passwd|secret|token|api_key", span) else "-"
     else:
         gazetteer = "-"
     around = (text[max(0, start - 40) : start] + " " + text[end : end + 20]).lower()
-    context = "1" if any(re.search(rf"(?<![^\W_]){re.escape(w)}", around) for w in CONTEXT[kind]) else "-"
+    context = "1" if labeler == "context" or any(re.search(rf"(?<![^\W_]){re.escape(w)}", around) for w in CONTEXT[kind]) else "-"
     before, after = text[start - 1 : start], text[end : end + 1]
-    shape = "0" if (before.isalnum() and kind != "secret") or (after.isalnum()) else "1"
-    return regex + check + gazetteer + context + shape
+    whole = "0" if (before.isalnum() and kind != "secret") or (after.isalnum()) else "1"
+    return regex + check + gazetteer + context + whole
 
 
 @dataclass
 class SpanModel:
-    """Reliabilities of the labelers and, for each (kind, votes) seen, the classifier's probability."""
+    """Reliabilities of the labelers and, for each (kind, votes, shape) seen, the classifier's probability."""
 
     reliability: dict[str, tuple[float, float]]
     weights: np.ndarray
-    known: dict[tuple[str, str], float]
+    known: dict[tuple[str, str, str], float]
 
-    def probability(self, kind: str, vote: str) -> float:
-        p = self.known.get((kind, vote))
-        return _sigmoid(_row(kind, vote) @ self.weights) if p is None else p
+    def probability(self, kind: str, vote: str, form: str) -> float:
+        p = self.known.get((kind, vote, form))
+        return _sigmoid(_row(kind, vote, form) @ self.weights) if p is None else p
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _row(kind: str, vote: str) -> np.ndarray:
-    """Features of a span: each labeler's vote for and against, the kind, and an intercept."""
-    return np.array([*(v == "1" for v in vote), *(v == "0" for v in vote), *(kind == k for k in KINDS), 1.0], float)
+#: The marks of each place of a shape.
+FORMS = ("sml", "nhd", "fv", "wsp", "wsp")
+FEATURES = 2 * len(LABELERS) + len(KINDS) + sum(map(len, FORMS)) + 1
+
+
+def _row(kind: str, vote: str, form: str) -> np.ndarray:
+    """Features of a span: each labeler's vote for and against, the kind, its shape and neighbours, and an intercept."""
+    marks = [c == m for c, some in zip(form, FORMS, strict=True) for m in some]
+    return np.array([*(v == "1" for v in vote), *(v == "0" for v in vote), *(kind == k for k in KINDS), *marks, 1.0], float)
 
 
-def fit_spans(counts: list[tuple[str, str, int]], rounds: int = 60) -> SpanModel:
+def fit_spans(counts: list[tuple[str, str, str, int]], rounds: int = 60) -> SpanModel:
     """Expectation-maximisation over counted votes (Dawid and Skene), then logistic regression on the posteriors.
 
-    `counts` holds (kind, votes, number of spans): at most 8 * 3^5 rows, whatever the input. Labelers start at
-    80 % hits and 20 % false alarms; none can pass 99.9 %.
+    `counts` holds (kind, votes, shape, number of spans): at most 8 * 3^5 * 162 rows, whatever the input. The classifier
+    learns the posteriors from votes, shape and neighbours of a span. Labelers start at 80 % hits and 20 % false alarms; none can pass 99.9 %.
     """
     if not counts:
-        return SpanModel({}, np.zeros(2 * len(LABELERS) + len(KINDS) + 1), {})
-    n = np.array([c[2] for c in counts], float)
+        return SpanModel({}, np.zeros(FEATURES), {})
+    n = np.array([c[3] for c in counts], float)
     one = np.array([[v == "1" for v in c[1]] for c in counts], float)
     nil = np.array([[v == "0" for v in c[1]] for c in counts], float)
     hit, alarm, prior = np.full(len(LABELERS), 0.8), np.full(len(LABELERS), 0.2), 0.7
@@ -169,7 +219,7 @@ def fit_spans(counts: list[tuple[str, str, int]], rounds: int = 60) -> SpanModel
         hit = np.clip(((n * q) @ one + 1.6) / ((n * q) @ voted + 2), 1e-3, 1 - 1e-3)
         alarm = np.clip(((n * (1 - q)) @ one + 0.4) / ((n * (1 - q)) @ voted + 2), 1e-3, 1 - 1e-3)
         prior = float(np.clip(((n * q).sum() + 0.7) / (n.sum() + 1), 0.01, 0.99))
-    rows = np.array([_row(k, v) for k, v, _ in counts])
+    rows = np.array([_row(*c[:3]) for c in counts])
     w, scale = np.zeros(rows.shape[1]), np.sqrt(n)  # common patterns count more, without drowning the rest
     for _ in range(200):  # Newton steps with a ridge
         p = _sigmoid(rows @ w)
@@ -180,7 +230,7 @@ def fit_spans(counts: list[tuple[str, str, int]], rounds: int = 60) -> SpanModel
         w -= step
         if np.abs(step).max() < 1e-7:
             break
-    known = {(k, v): float(_sigmoid(r @ w)) for (k, v, _), r in zip(counts, rows, strict=True)}
+    known = {c[:3]: float(_sigmoid(r @ w)) for c, r in zip(counts, rows, strict=True)}
     return SpanModel({name: (float(h), float(a)) for name, h, a in zip(LABELERS, hit, alarm, strict=True)}, w, known)
 
 
@@ -188,16 +238,15 @@ def learn_spans(docs: DataFrame, text_col: str = "text") -> SpanModel:
     """Gathers the votes on all spans of all texts, summed by kind and votes, and fits the model on the sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], int] = {}
+        seen: Counter[tuple[str, str, str]] = Counter()
         for batch in batches:
             for text in batch.column(0):
-                for _, _, kind, vote in candidates(text.as_py() or ""):
-                    seen[kind, vote] = seen.get((kind, vote), 0) + 1
-        kinds, vote, n = [k for k, _ in seen], [v for _, v in seen], list(seen.values())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(vote, pa.string()), pa.array(n, pa.int64())], names=["kind", "votes", "n"])
+                seen.update(c[2:] for c in candidates(text.as_py() or ""))
+        columns = [pa.array([k[i] for k in seen], pa.string()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(seen.values()), pa.int64())], names=["kind", "votes", "shape", "n"])
 
-    counts = docs.select(text_col).mapInArrow(run, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
-    return fit_spans([(r.kind, r.votes, r.n) for r in counts.orderBy("kind", "votes").collect()])
+    counts = docs.select(text_col).mapInArrow(run, "kind string, votes string, shape string, n long").groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n"))
+    return fit_spans([(r.kind, r.votes, r["shape"], r.n) for r in counts.orderBy("kind", "votes", "shape").collect()])
 
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_())])
@@ -207,8 +256,8 @@ def _decide(text: str, model: SpanModel, threshold: float) -> list[dict]:
     """The spans of a text: base matches always, others where the classifier says so, by start and kind."""
     found = [
         {"start": s, "end": e, "kind": k, "base": k in KINDS[:4]}
-        for s, e, k, v in candidates(text)
-        if k in KINDS[:4] or model.probability(k, v) >= threshold
+        for s, e, k, v, form in candidates(text)
+        if k in KINDS[:4] or model.probability(k, v, form) >= threshold
     ]
     return sorted(found, key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
