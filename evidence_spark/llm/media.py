@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def encode_ppm(pixels: np.ndarray) -> bytes:
@@ -127,12 +129,10 @@ def media_features(media: DataFrame, side: int = 8, media_col: str = "media") ->
     """Reads stored images back: adds payload figures, the NPY tile and its difference hash to the other columns.
 
     The samples are grayed (mean of channels), area-resized to (side, side + 1) and kept as an NPY file of
-    float32. Null or damaged media give nulls. Equal media give equal values.
+    float32. Null or damaged media give nulls. Equal media give equal values. Columns of the names that are added are replaced.
     """
-    from pyspark.sql.types import StructType
-
-    kept = [f for f in media.schema.fields if f.name != media_col]
-    added = StructType.fromDDL(FEATURES) if hasattr(StructType, "fromDDL") else None
+    added = StructType.fromDDL(FEATURES)
+    kept = [f for f in media.schema.fields if f.name != media_col and f.name not in added.names]
     schema = StructType([*kept, *added.fields])
 
     def features(data: bytes | None) -> tuple:
@@ -151,4 +151,6 @@ def media_features(media: DataFrame, side: int = 8, media_col: str = "media") ->
             own = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[f.name for f in schema.fields])
 
-    return media.select(*[f.name for f in kept], media_col).mapInArrow(run, schema)
+    # plain names on the way in, as names with dots can't be passed
+    plain = [F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate([*(f.name for f in kept), media_col])]
+    return media.select(*plain).mapInArrow(run, schema)

@@ -71,7 +71,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.store_texts(table(spark, sf_dir, "documents"))).drop("tile")
+    found = media.media_features(media.store_texts(table(spark, sf_dir, "documents")))
+    return found.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
