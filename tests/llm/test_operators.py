@@ -311,11 +311,35 @@ def test_pii_edges(spark, edge, empty):
 
 
 def test_em_trusts_labelers_that_agree():
-    model = pii.fit_spans([("email", "1-111", 900), ("email", "1-1-1", 800), ("email", "1-0-0", 40), ("local_phone", "---11", 50), ("local_phone", "----0", 60)])
-    assert model.probability("local_phone", "---11") > 0.5 > model.probability("local_phone", "----0")
+    model = pii.fit_spans([("email", "1-111", "mnvss", 900), ("email", "1-1-1", "mnvss", 800), ("email", "1-0-0", "mnvww", 40), ("local_phone", "---11", "mdfss", 50), ("local_phone", "----0", "mdfww", 60)])
+    assert model.probability("local_phone", "---11", "mdfss") > 0.5 > model.probability("local_phone", "----0", "mdfww")
     assert model.reliability["shape"][0] > model.reliability["shape"][1]
 
 
+def test_labelers_propose_spans(spark):
+    told = {
+        1: ("please call 262 5553752 now", "local_phone", "262 5553752"),
+        2: ("write to jane.doe at mail dot example dot com today", "masked_email", "jane.doe at mail dot example dot com"),
+        3: ("my ssn 123456789 is here", "national_id", "123456789"),
+        4: ("the password is hunter2hunter2", "secret", "hunter2hunter2"),
+        5: ("use ghp_abcdEFGH0123456789ijkl for it", "secret", "ghp_abcdEFGH0123456789ijkl"),
+    }
+    plain = {6: "the call came at noon and dot com firms fell", 7: "token rings and a secret garden", 8: "at 12 dot 5"}
+    made = [(i, t[0]) for i, t in told.items()] + list(plain.items()) + [(100 + i, f"mail user{i}@host{i}.org or +1 (262) 555-{1000 + i}") for i in range(40)]
+    found = {r.doc_id: [(x["kind"], x["start"], x["end"]) for x in r.spans] for r in pii.personal_spans(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for i, (t, kind, value) in told.items():
+        assert found[i] == [(kind, t.index(value), t.index(value) + len(value))], (i, found[i])
+        labelers = {x[3][0] for x in pii.candidates(t)}
+        assert labelers == {"0"}  # no regex of a kind proposes these
+    assert all(not found[i] for i in plain)
+
+
+def test_redact_edges(spark, edge, empty):
+    want = {r[0]: r[1] for r in EDGE}
+    assert all(r.text == want[r.doc_id] for r in pii.redact(edge).collect()) and pii.redact(edge).columns == edge.columns
+    assert pii.redact(empty).count() == 0
+
+
 # --- chats
 
 
@@ -381,6 +405,8 @@ def test_media_edges(spark, edge, empty):
     found = rows(media.media_features(media.store_texts(edge)))
     assert len(found) == len(EDGE) and all(r["payload_bytes"] % 192 == 0 for r in found)
     assert media.media_features(media.store_texts(empty)).count() == 0
+    clash = media.media_features(media.store_texts(edge).selectExpr("*", "1 as feature", "2 as tile", "3 as `a.b`"))
+    assert clash.columns.count("feature") == clash.columns.count("tile") == 1 and all(len(r.feature) == 16 and r["a.b"] == 3 for r in clash.collect())
     bad = spark.createDataFrame([(1, b"P6\n3"), (2, None), (3, b"BM"), (4, b"")], "doc_id long, media binary")
     assert all(r.feature is None for r in media.media_features(bad).collect())
 
