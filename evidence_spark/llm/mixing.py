@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import word_count, written
 
 
+#: Most rows of blocks (about 100 bytes each) that are broadcast: 1,024 for each of 200 sources.
+BROADCAST_BLOCKS = 1024 * 200
+
+
 def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, limit: float) -> DataFrame:
     """Adds each source's target: weighted shares of `share` times all sizes, none above `limit` times its own.
 
@@ -104,9 +108,10 @@ def _source_key(source: Column) -> list[Column]:
 
 
 def _drawn_blocks(slim: DataFrame, weights: tuple[int, ...], share: float, limit: float, shards: int, seed: int) -> DataFrame:
-    """(_s, _null, _block, source_size, target, units): each source's blocks with their draws (repeat, shard, unit, left).
+    """(_s, _null, _block, source_size, target, units, cut): each source's blocks with their draws (repeat, shard, unit, left).
 
-    `slim`: source, size, _block of every row. Only sums by block, and rows of sources, are shuffled.
+    `cut` marks the block in which a source's mix ends: only a part of it is drawn. `slim`: source, size, _block of every row.
+    Only sums by block, and rows of sources, are shuffled.
     """
     per_block = slim.groupBy("source", "_block").agg(F.sum("size").alias("words"))
     sources = per_block.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -133,9 +138,10 @@ def _drawn_blocks(slim: DataFrame, weights: tuple[int, ...], share: float, limit
     # a list of `limit` entries at most for each source and block
     drawn = drawn.groupBy("_place", "_block").agg(F.sort_array(F.collect_list(F.struct("repeat", "shard", "unit", "left"))).alias("units"))
     drawn = per_block.join(sources, per_block["source"].eqNullSafe(sources["source"])).select(
-        per_block["source"], "_block", "source_size", "target", "_place"
+        per_block["source"], "_block", "words", "source_size", "target", "_place"
     ).join(drawn, ["_place", "_block"], "left")
-    return drawn.select(*_source_key(F.col("source")), "_block", "source_size", "target", "units")
+    cut = F.exists("units", lambda u: u["left"] < F.col("words"))
+    return written(drawn.select(*_source_key(F.col("source")), "_block", "source_size", "target", "units", F.coalesce(cut, F.lit(False)).alias("cut")), "mix-draws")
 
 
 def _placed(docs: DataFrame, carried: Column, weights, share, limit, shards, blocks, seed, id_col, text_col, source_col, keep: bool) -> DataFrame:
@@ -147,17 +153,21 @@ def _placed(docs: DataFrame, carried: Column, weights, share, limit, shards, blo
     rows = written(rows, "mix-sizes") if keep else rows
     slim = rows if keep else written(rows.groupBy("source", "_block").agg(F.sum("size").alias("size")), "mix-sizes")
     drawn = _drawn_blocks(slim, weights, share, limit, shards, seed)
-    rows = rows.select("*", *_source_key(F.col("source")))
-    # equal rows stand side by side in this order, and each has its own place
-    inside = Window.partitionBy("_s", "_null", "_block").orderBy("_perm").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(drawn, ["_s", "_null", "_block"]).withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # a row for each block of a source; broadcast if it is known to be small, else joined on its key
+    drawn = F.broadcast(drawn) if drawn.count() <= BROADCAST_BLOCKS else drawn
+    rows = rows.select("*", *_source_key(F.col("source"))).join(drawn, ["_s", "_null", "_block"])
     none = F.array().cast("array<struct<repeat:int,shard:int,unit:int,left:double>>")
-    taken = F.filter(F.coalesce("units", none), lambda u: (F.col("size") > 0) & (F.col("_at") + F.col("size") / 2 <= u["left"]))
+    some = F.when(F.col("size") > 0, F.coalesce("units", none)).otherwise(none)
+    # only in the block where a source's mix ends does a row's place count; equal rows have places of their own
+    inside = Window.partitionBy("_s", "_null", "_block").orderBy("_perm").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.filter(~F.col("cut")).withColumn("taken", some)
+    ends = rows.filter("cut").withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    ends = ends.withColumn("taken", F.filter(some, lambda u: F.col("_at") + F.col("size") / 2 <= u["left"])).drop("_at")
     draws = F.transform(
-        taken,
-        lambda u: F.struct(u["repeat"].alias("repeat"), u["shard"].alias("shard"), F.col("_block").alias("block"), u["unit"].alias("unit"), F.xxhash64(F.lit(seed + 1), "_perm", "_at", u["repeat"]).alias("order")),
+        "taken",
+        lambda u: F.struct(u["repeat"].alias("repeat"), u["shard"].alias("shard"), F.col("_block").alias("block"), u["unit"].alias("unit"), F.xxhash64(F.lit(seed + 1), "_perm", u["repeat"]).alias("order")),
     )
-    return rows.select("row", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target", draws.alias("draws"))
+    return whole.unionByName(ends).select("row", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target", draws.alias("draws"))
 
 
 def mix_plan(
