@@ -233,11 +233,14 @@ def near_duplicates(
 
     own = rows.select("doc_id", "n_shingles", "f1", "f2")
     out = own.join(classes.select("f1", "f2", "n_shingles", "cls"), ["f1", "f2", "n_shingles"], "left")
-    out = out.join(label, out["cls"] == label["node"], "left").select("doc_id", "n_shingles", "cls", F.coalesce("component", "cls").alias("comp"))
-    # rows of hashed names count by their ids
-    hashed = out.filter(F.col("cls") >= ABOVE).groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = out.join(hashed, "comp", "left")
-    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.least(F.when(F.col("comp") < ABOVE, F.col("comp")), F.col("least")))
+    out = out.join(label, out["cls"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("comp"))
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.when(F.col("comp") < ABOVE, F.col("comp")))
+    # classes of hashed names count by their least ids
+    hashed = classes.filter(F.col("cls") >= ABOVE).select("cls", F.col("doc_id").alias("own"))
+    if not hashed.isEmpty():
+        least = hashed.join(label, hashed["cls"] == label["node"], "left").groupBy(F.coalesce("component", "cls").alias("comp")).agg(F.min("own").alias("least"))
+        out = out.join(least, "comp", "left")
+        component = F.least(component, "least")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
