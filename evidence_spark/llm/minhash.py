@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_classes, fold_table, mix64, slices, word_hashes, written
+from .common import byte_classes, discard, fold_table, mix64, slices, word_hashes, written
 from .components import connected_components
 
 HASHES, ROWS, BITS = 256, 6, 2
@@ -130,7 +130,9 @@ def _classes(full: DataFrame) -> DataFrame:
     named = found.join(several.select("doc_id", "first"), "doc_id", "left")
     other = F.col("doc_id").isNull() | F.coalesce(F.col("first") != own, F.lit(False))
     cls = F.when(other, F.lit(ABOVE) + F.pmod(F.xxhash64("f1", "f2", "n_shingles"), F.lit(ABOVE - 1))).otherwise(F.col("doc_id"))
-    return named.select("f1", "f2", "n_shingles", "doc_id", "th", "sig", "bands", cls.alias("cls"))
+    made = written(named.select("f1", "f2", "n_shingles", "doc_id", "th", "sig", "bands", cls.alias("cls")), "classes")
+    discard(found)
+    return made
 
 
 def _texts(need: DataFrame, docs: DataFrame) -> DataFrame:
@@ -196,10 +198,13 @@ def near_duplicates(
     pair shares none of the 42 bands of 6 minima with a chance of 3 in a million.
     Null, empty and blank texts have empty sets, link with nothing and keep their own id. Rows with null ids take part but
     name no component: they get the least id that they reach, or null. An id with several texts takes part with each.
-    Equal rows share a component. Ids are below 2^62.
+    Equal rows share a component. Ids are below 2^62. Tables between the steps are removed as soon as the next one is written; three
+    narrow ones stay, from which the result is read.
     """
     rows = written(signatures(docs, words, id_col, text_col), "signatures")
-    classes = written(_classes(rows.filter("n_shingles > 0")), "classes")
+    classes = _classes(rows.filter("n_shingles > 0"))
+    own = written(rows.select("doc_id", "n_shingles", "f1", "f2"), "rows")
+    discard(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     places = classes.select("cls", "doc_id", "th")
 
@@ -210,11 +215,15 @@ def near_duplicates(
     weight = members.groupBy("cls").agg(F.sum("n").alias("weight"))
     heads = members.join(weight, "cls").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "cls")).alias("h"))
     starred = written(members.join(heads.select("key", F.col("h.cls").alias("head")), "key").filter("cls != head"), "stars")
+    discard(members)
     stars = starred.groupBy("head", "cls").agg(F.max("n").alias("n"))
     pairs = written(_likely(stars, classes, percent), "pairs")
     ends = pairs.select(F.col("head").alias("cls")).union(pairs.select("cls")).distinct()
-    links = written(_confirmed(pairs, _texts(places.join(ends, "cls"), texts), words, percent), "links")
+    whole = _texts(places.join(ends, "cls"), texts)
+    links = written(_confirmed(pairs, whole, words, percent), "links")
     label = connected_components(links, "a", "b")
+    for table in (pairs, whole, links):
+        discard(table)
 
     # what the heads have not decided: buckets whose other members lie in several components, equal buckets once
     rest = starred.join(label, starred["cls"] == label["node"], "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
@@ -224,19 +233,23 @@ def near_duplicates(
     ).filter("lo < hi")
     split = split.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"))
     across = written(rest.join(split.select("key"), "key"), "across")
-    if across.isEmpty():
-        more = links.limit(0)
-    else:
-        more = written(_across_links(across, classes, places, texts, words, percent), "more-links")
+    discard(starred)
+    if not across.isEmpty():
+        whole = _texts(places.join(across.select("cls").distinct(), "cls"), texts)
+        more = written(_across_links(across, classes, whole, words, percent), "more-links")
+        discard(whole)
         if not more.isEmpty():
             label = connected_components(label.select("node", "component").union(more), "node", "component")
+        discard(more)
+    discard(across)
+    named = written(classes.select("f1", "f2", "n_shingles", "doc_id", "cls"), "names")
+    discard(classes)
 
-    own = rows.select("doc_id", "n_shingles", "f1", "f2")
-    out = own.join(classes.select("f1", "f2", "n_shingles", "cls"), ["f1", "f2", "n_shingles"], "left")
+    out = own.join(named.select("f1", "f2", "n_shingles", "cls"), ["f1", "f2", "n_shingles"], "left")
     out = out.join(label, out["cls"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("comp"))
     component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.when(F.col("comp") < ABOVE, F.col("comp")))
     # classes of hashed names count by their least ids
-    hashed = classes.filter(F.col("cls") >= ABOVE).select("cls", F.col("doc_id").alias("own"))
+    hashed = named.filter(F.col("cls") >= ABOVE).select("cls", F.col("doc_id").alias("own"))
     if not hashed.isEmpty():
         least = hashed.join(label, hashed["cls"] == label["node"], "left").groupBy(F.coalesce("component", "cls").alias("comp")).agg(F.min("own").alias("least"))
         out = out.join(least, "comp", "left")
@@ -303,7 +316,7 @@ class _Block:
             mark[own] = False
 
 
-def _across_links(across: DataFrame, classes: DataFrame, places: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _across_links(across: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): links between classes of one key but different components (key, cls, comp), a spanning forest of each block.
 
     A large bucket is cut into blocks by its classes and their shingles, and each pair of blocks is a group of its own, so no
@@ -338,13 +351,12 @@ def _across_links(across: DataFrame, classes: DataFrame, places: DataFrame, text
     kept = across.groupBy("cls").agg(F.collect_list("key").alias("keys"))  # at most one for each band
     bands = F.transform("bands", lambda b: F.when(F.array_contains("keys", b), b).otherwise(F.lit(0).cast("long")))
     whole = kept.join(classes.select("cls", "n_shingles", "sig", "bands"), "cls").select("cls", "n_shingles", "sig", bands.alias("bands"))
-    found_texts = _texts(places.join(kept.select("cls"), "cls"), texts)
     sized = across.join(whole.select("cls", "n_shingles"), "cls").groupBy("key").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     cut = across.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("pi"), F.greatest("block", "other").alias("pj"), "block", "cls", "comp")
-    sides = dealt.join(whole, "cls").join(found_texts, "cls").select("key", "pi", "pj", "block", "cls", "comp", "sig", "bands", "text")
+    sides = dealt.join(whole, "cls").join(texts, "cls").select("key", "pi", "pj", "block", "cls", "comp", "sig", "bands", "text")
     sides = sides.repartition(_parts(across), "key", "pi", "pj").sortWithinPartitions("key", "pi", "pj", "cls")
     return sides.mapInArrow(run, "a long, b long")
