@@ -121,3 +121,13 @@ def admit_by_quota(tasks: DataFrame, limit: int = 8) -> DataFrame:
 def delete_document(index: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
     """The index without the records of removed documents, in the versions that the keys name."""
     return index.join(removed.select(*keys), keys, "left_anti")
+
+
+def drop_owners(index: DataFrame, owners: DataFrame, owner: str) -> DataFrame:
+    """The index without all records of some owners, in every version."""
+    return index.join(owners.select(owner), owner, "left_anti")
+
+
+def count_index(index: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, records, documents): the numbers of records and of documents in each index. `index`: keys, doc_id."""
+    return index.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("doc_id").alias("documents"))

@@ -66,3 +66,30 @@ def message_log(messages: DataFrame, citations: str) -> DataFrame:
     """Messages with their place in the session and parsed citations (null where the text is no such JSON)."""
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("created_at", "id"))
     return messages.withColumns({"place": place, "citations": F.from_json("citations", citations)})
+
+
+def _like(rows: DataFrame, col: str, keyword: str) -> DataFrame:
+    return rows.filter(F.col(col).like(f"%{keyword.strip()}%")) if keyword.strip() else rows
+
+
+def users_page(users: DataFrame, docs: DataFrame, owner: str, keyword: str = "", limit: int = 20, offset: int = 0) -> DataFrame:
+    """(owner, user_id, place, total, documents): a page of the users whose email holds the keyword, newest first; 0 for no documents.
+
+    `users`: owner, user_id, email, created_at; `docs`: user_id. The total counts the owner's users that hold the keyword.
+    """
+    cut = page(_like(users, "email", keyword), owner, [F.desc("created_at"), F.desc("user_id")], limit, offset)
+    n = docs.groupBy("user_id").agg(F.count(F.lit(1)).alias("documents"))
+    return cut.join(n, "user_id", "left").select(owner, "user_id", "place", "total", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+def sessions_page(sessions: DataFrame, messages: DataFrame, owner: str, keyword: str = "", limit: int = 20, offset: int = 0) -> DataFrame:
+    """(owner, session_id, place, total, preview): a page of the sessions that are not deleted, last updated first.
+
+    The keyword is looked up in titles; the preview is the start of the last assistant message in one line, or empty.
+    `sessions`: owner, session_id, title, is_deleted, created_at, updated_at; `messages`: session_id, role, content, created_at, id.
+    """
+    order = [F.desc("updated_at"), F.desc("created_at"), F.desc("session_id")]
+    cut = page(_like(sessions.filter("not is_deleted"), "title", keyword), owner, order, limit, offset)
+    said = messages.filter("role = 'assistant'").withColumn("content", F.substring(F.replace(F.coalesce("content", F.lit("")), F.lit("\n"), F.lit(" ")), 1, 60))
+    last = said.groupBy("session_id").agg(F.max(F.struct("created_at", "id", "content"))["content"].alias("preview"))
+    return cut.join(last, "session_id", "left").select(owner, "session_id", "place", "total", F.coalesce("preview", F.lit("")).alias("preview"))

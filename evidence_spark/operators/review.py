@@ -69,6 +69,22 @@ def paired_plan(questions: DataFrame, variants: tuple[str, str]) -> DataFrame:
     return questions.select("pack_id", "question_id", pair.alias("v")).select("pack_id", "question_id", F.posexplode("v").alias("slot", "variant"))
 
 
+def paired_faults(questions: DataFrame, hits: DataFrame, variants: tuple[str, str], k: int, budget: int) -> DataFrame:
+    """(question_id, variant, fault) of pairs that are missing or foreign, lack k unique first hits, or exceed the budget of characters.
+
+    `questions`: question_id; `hits`: question_id, variant, rank (from 1), id, text.
+    """
+    asked = questions.select("question_id").distinct().select("question_id", F.explode(F.array(*map(F.lit, variants))).alias("variant"), F.lit(True).alias("asked"))
+    first = F.col("rank") <= k
+    sums = hits.groupBy("question_id", "variant").agg(
+        F.count_if(first).alias("n"), F.count_distinct(F.when(first, F.col("id"))).alias("ids"), F.coalesce(F.sum(F.when(first, F.length("text"))), F.lit(0)).alias("chars")
+    )
+    fault = (
+        F.when(F.col("asked").isNull(), "foreign").when(F.col("n").isNull(), "missing").when((F.col("n") != k) | (F.col("ids") != k), "hits").when(F.col("chars") > budget, "budget")
+    )
+    return asked.join(sums, ["question_id", "variant"], "full").select("question_id", "variant", fault.alias("fault")).filter("fault is not null")
+
+
 def ranking_rows(judged: DataFrame, keep: int) -> DataFrame:
     """(query_id, relevant, ranked): the number of relevant ids, and the first `keep` valid ids by score, joined by blanks; `keep` bounds what a row holds."""
     valid = judged.filter("id is not null and trim(coalesce(text, '')) <> ''").select("query_id", "id", "label", F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -112,9 +128,11 @@ def _blank(c: Column) -> Column:
 
 
 def training_faults(kind: str) -> Column:
-    """Null, or what is wrong with a row of triplets (anchor, positive, negative) or pairs (query, passage, label)."""
+    """Null, or what is wrong with a row of triplets (anchor, positive, negative), pairs (query, passage, label) or chats (messages, text)."""
     if kind == "triplet":
         return F.when(_blank(F.col("anchor")) | _blank(F.col("positive")) | _blank(F.col("negative")), "blank")
+    if kind == "chat":
+        return F.when((F.coalesce(F.size("messages"), F.lit(0)) < 1) & _blank(F.col("text")), "no messages or text")
     value = F.col("label").cast("string").try_cast("double")
     return F.when(_blank(F.col("query")) | _blank(F.col("passage")), "blank").when(~F.coalesce(value.isin(0.0, 1.0), F.lit(False)), "label")
 

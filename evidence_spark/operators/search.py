@@ -165,6 +165,27 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
     return words.mapInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double")
 
 
+def bm25_scoped(queries: DataFrame, chunks: DataFrame, scope: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, score) of the chunks of each query's own documents that share a word with it.
+
+    The number of chunks, their mean length and the chunks with a word are counted within a query's documents. Tokens are counted
+    by chunk before any shuffle, and only words that some query asks for go on. A query that asks for no word gets no rows.
+    `queries`: query_id, terms (array); `chunks`: chunk_id, doc_id, tokens (array); `scope`: query_id, doc_id.
+    """
+    scope = scope.select("query_id", "doc_id").distinct()
+    terms = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    size = F.size("tokens").alias("size")
+    by_doc = chunks.select("doc_id", size).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"))
+    stats = scope.join(by_doc, "doc_id").groupBy("query_id").agg(F.sum("n").alias("n"), (F.sum("sizes") / F.sum("n")).alias("mean"))
+    words = chunks.select("doc_id", "chunk_id", size, F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    tf = words.groupBy("doc_id", "chunk_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    met = tf.join(scope, "doc_id").join(terms, ["query_id", "term"])
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    known = met.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "query_id").select("query_id", "term", "mean", idf)
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    return met.join(known, ["query_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+
+
 def _scores(parts: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"query_id": np.concatenate([x[0] for x in parts]), "chunk_id": [c for x in parts for c in x[1]], "score": np.concatenate([x[2] for x in parts])})
 

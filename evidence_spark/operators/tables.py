@@ -79,3 +79,27 @@ def recent_history(messages: DataFrame, rounds: int) -> DataFrame:
     """The last 2 * rounds messages of each session."""
     w = Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("id"))
     return messages.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2 * rounds).drop("_n")
+
+
+def explore_paths(edges: DataFrame, seeds: DataFrame, limit: int = 20) -> DataFrame:
+    """(seed, place, mid, node, first, second): the first `limit` undirected simple paths of one or two relations of each seed.
+
+    Breadth first: paths of one relation (mid and second are null) by its id, then those of two by the ids of both. A node in the
+    middle needs `limit` relations to each neighbour and, as a seed shuts out one neighbour only, twice as many in all; further
+    ones can't be among the first `limit` paths, so hot nodes are cut before the join and before the shuffle.
+    `edges`: relation_id, a, b; `seeds`: seed.
+    """
+    near = edges.select("relation_id", "a", "b").unionByName(edges.select("relation_id", F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b")
+
+    def first(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+    one = near.join(seeds.select(F.col("seed").alias("a")).distinct(), "a", "left_semi")
+    one = first(one, ["a"], ["relation_id", "b"], limit).select(F.col("a").alias("seed"), F.col("b").alias("mid"), F.col("relation_id").alias("first"))
+    via = first(first(near, ["a", "b"], ["relation_id"], limit), ["a"], ["relation_id", "b"], 2 * limit)
+    two = one.join(via.select(F.col("a").alias("mid"), F.col("b").alias("node"), F.col("relation_id").alias("second")), "mid").filter("node != seed and first != second")
+    none = F.lit(None)
+    single = one.select("seed", none.cast(dict(one.dtypes)["mid"]).alias("mid"), F.col("mid").alias("node"), "first", none.cast(dict(one.dtypes)["first"]).alias("second"))
+    paths = single.unionByName(two.select(single.columns))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.col("mid").isNotNull(), "first", F.col("second").asc_nulls_first(), "node"))
+    return paths.withColumn("place", place).filter(F.col("place") <= limit)

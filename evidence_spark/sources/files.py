@@ -23,11 +23,18 @@ def write_jsonl(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def admit_files(files: DataFrame, allowed: tuple[str, ...], max_bytes: int) -> DataFrame:
-    """files (name, size) with the reason for which each is turned away, or null."""
+def admit_files(files: DataFrame, allowed: tuple[str, ...], max_bytes: int, max_per_batch: int | None = None) -> DataFrame:
+    """files (name, size and, for a limit on batches, batch) with the reason for which each is turned away, or null.
+
+    A batch of more files than the limit is turned away as a whole.
+    """
     ext = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
     reason = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "blank name").when(~ext.isin(*allowed), "extension").when(F.col("size") == 0, "empty").when(F.col("size") > max_bytes, "too large")
-    return files.withColumn("reason", reason)
+    if max_per_batch is None:
+        return files.withColumn("reason", reason)
+    crowded = files.groupBy("batch").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_per_batch).select(F.col("batch").alias("_batch"), F.lit(True).alias("_crowded"))
+    joined = files.join(crowded, F.col("batch").eqNullSafe(F.col("_batch")), "left")
+    return joined.withColumn("reason", F.when(F.col("_crowded"), "too many files").otherwise(reason)).drop("_batch", "_crowded")
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
