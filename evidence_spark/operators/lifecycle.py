@@ -85,6 +85,13 @@ def replay_switches(events: DataFrame) -> DataFrame:
     )
 
 
+def stale_switches(requests: DataFrame, pointers: DataFrame) -> DataFrame:
+    """Adds conflict: the revision that a request expects isn't that of its owner's pointer (0 for none). `requests`: owner, expected; `pointers`: owner, revision."""
+    now = pointers.select("owner", F.col("revision").alias("_revision"))
+    stale = ~F.coalesce(F.col("expected"), F.lit(-1)).eqNullSafe(F.coalesce("_revision", F.lit(0)))
+    return requests.join(now, "owner", "left").withColumn("conflict", stale).drop("_revision")
+
+
 def corpus_changes(frozen: DataFrame, current: DataFrame) -> DataFrame:
     """(doc_id, change): added, removed, content or renamed. Both: doc_id, file_name, sha256."""
     a = frozen.select("doc_id", F.struct("file_name", "sha256").alias("a"))

@@ -138,13 +138,15 @@ def training_faults(kind: str) -> Column:
 
 
 def block_faults(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block_id, fault). `blocks`: doc_id, block_id, kind, level, text, page_start, page_end."""
+    """(doc_id, block_id, fault). `blocks`: doc_id, block_id, kind, level, text, page_start, page_end and, if pages are to lie within it, page_count."""
     same = blocks.groupBy("doc_id", "block_id").agg(F.count(F.lit(1)).alias("same"))
     head = F.col("kind") == "heading"
     fault = (
         F.when(head != F.col("level").isNotNull(), "level").when(head & _blank(F.col("text")), "blank heading").when(F.col("page_start").isNull() != F.col("page_end").isNull(), "one page")
         .when(F.col("page_end") < F.col("page_start"), "page order").when(F.col("same") > 1, "duplicate")
     )
+    if "page_count" in blocks.columns:
+        fault = fault.when(F.col("page_end") > F.col("page_count"), "page count")
     return blocks.join(same, ["doc_id", "block_id"]).select("doc_id", "block_id", fault.alias("fault")).filter("fault is not null")
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from evidence_spark.operators import operations, review, search, tables
+from evidence_spark.operators import lifecycle, operations, review, search, tables
 from evidence_spark.sources import files
 
 
@@ -70,3 +70,14 @@ def test_faults_of_pairs_chats_and_batches(spark):
     named = spark.createDataFrame([(1, "a.txt", 1), (1, "b.txt", 1), (2, "c.txt", 0), (None, "d.txt", 1), (None, "e.txt", 1)], "batch long, name string, size long")
     got = {r.name: r.reason for r in files.admit_files(named, (".txt",), 9, max_per_batch=1).collect()}
     assert got == {"a.txt": "too many files", "b.txt": "too many files", "c.txt": "empty", "d.txt": "too many files", "e.txt": "too many files"}
+
+
+def test_page_counts_and_stale_switches(spark):
+    blocks = spark.createDataFrame([(1, "a", 1, 3, 3), (1, "b", 1, 4, 3), (2, "a", None, None, 1)], "doc_id long, block_id string, page_start int, page_end int, page_count int")
+    blocks = blocks.selectExpr("*", "'paragraph' as kind", "cast(null as int) as level", "'t' as text")
+    assert [tuple(r) for r in review.block_faults(blocks).collect()] == [(1, "b", "page count")]
+    assert review.block_faults(blocks.drop("page_count")).count() == 0
+
+    asked = spark.createDataFrame([("u", 2), ("u", 1), ("v", 0), ("v", 1), ("v", None), (None, 0)], "owner string, expected long")
+    got = lifecycle.stale_switches(asked, spark.createDataFrame([("u", 2)], "owner string, revision long")).collect()
+    assert {(r.owner, r.expected): r.conflict for r in got} == {("u", 2): False, ("u", 1): True, ("v", 0): False, ("v", 1): True, ("v", None): True, (None, 0): False}
