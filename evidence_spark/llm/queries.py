@@ -1,11 +1,11 @@
-"""The queries of the ten operators, and the SQL that gives the same rows where SQL can express them."""
+"""The queries of the thirteen operators, and the SQL that gives the same rows where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, minhash, mixing, packing, pii, pq, quality, sharding, toxicity
+from . import chat, media, minhash, mixing, negatives, oracles, packing, pii, pq, quality, repair, sharding, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +88,27 @@ def op10_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_mixing, op4_packing, op5_pii, op6_chat, op7_media, op8_minhash, op9_quality, op10_pq)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_toxicity, op3_mixing, op4_packing, op5_pii, op6_chat, op7_media, op8_minhash, op9_quality, op10_pq, op11_repair, op12_tokens, op13_negatives)
+}
+
 
 _ESC = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 
@@ -105,4 +125,6 @@ ORACLES = {
             sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
             CAST(sum(length('{chat.START}{chat.END}') + 2 + length({_ESC.format('role')}) + length({_ESC.format('text')})) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id""",
+    "op11_repair": oracles.REPAIR,
+    "op13_negatives": oracles.NEGATIVES,
 }
