@@ -4,14 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, starts) of text files: lines with file, block, place; starts has the number of the line before each block's first.
+
+    A line's number is `before + place - first + 1` of the row of `starts` with its file and block, so files may be split at any byte, and
+    only the lines that need a number are joined. Lines end at LF, CR or CR LF, as universal newlines do.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
+    )
+    # one row for each block of a file: the lines are counted where they are read
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines, blocks.select("file", "block", "first", before.alias("before"))
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of a file of JSON objects: blank lines are skipped, other lines that are no object are errors."""
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file")).filter("trim(value) <> ''")
+    """(rows, errors) of files of JSON objects: blank lines are skipped, other lines that are no object are errors (file, line, value)."""
+    lines, starts = numbered_lines(spark, path)
+    lines = lines.filter(~F.col("value").rlike(r"(?U)^\s*\z"))
     parsed = lines.withColumn("_row", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("_row").isNull() | F.col("_row._bad").isNotNull() | ~F.col("value").rlike(r"^\s*\{")
-    return parsed.filter(~bad).select("_row.*").drop("_bad"), parsed.filter(bad).select("file", "value")
+    errors = parsed.filter(bad).select("file", "block", "place", "value").join(starts, ["file", "block"])
+    number = F.col("before") + F.col("place") - F.col("first") + 1
+    return parsed.filter(~bad).select("_row.*").drop("_bad"), errors.select("file", number.alias("line"), "value")
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
