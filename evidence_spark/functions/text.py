@@ -16,7 +16,7 @@ SENTENCE_END = "[。！？!?；;.\\n]"
 
 def strip(text: Column) -> Column:
     """Removes white space of any script from both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+", ""), r"(?U)[\s\x1c-\x1f]+\z", "")
 
 
 def clean_text(text: Column) -> Column:
