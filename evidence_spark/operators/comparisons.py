@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidence_spark.functions import chunks, structure
+from evidence_spark.functions import chunks
+from evidence_spark.operators import sections
 from evidence_spark.operators.evaluation import anchor_coverage
 
 
@@ -23,13 +24,13 @@ def aligned(text: Column, pieces: Column) -> Column:
 def compare_chunkers(docs: DataFrame, size: int = 600, overlap: int = 60, parent: int = 1800) -> DataFrame:
     """(policy, chunks, max_chars, located): flat and structured chunks of the same blocks, how long they get and how many have a place.
 
-    `docs`: doc_id, blocks (array of block_no, kind, level, text, page). Documents without blocks have no chunks.
+    `docs`: doc_id (a row for each), blocks (array of block_no, kind, level, text, page). Documents without blocks have no chunks.
     """
     flat = docs.select("doc_id", F.explode("blocks").alias("b")).select(F.col("b.text").alias("t"), chunks.chunk_flat(F.col("b.text"), size, overlap).alias("pieces"))
     flat = flat.select(F.explode(F.arrays_zip("pieces", aligned(F.col("t"), F.col("pieces")).alias("at"))).alias("x"))
     flat = flat.select(F.lit("flat").alias("policy"), F.length("x.pieces").alias("n"), F.col("x.at").isNotNull().alias("placed"))
-    tree = docs.select(F.explode(structure.chunk_structured(F.col("blocks"), size, parent)).alias("c")).filter("not c.is_parent")
-    tree = tree.select(F.lit("structured").alias("policy"), F.length("c.text").alias("n"), (F.size("c.spans") > 0).alias("placed"))
+    tree = sections.structured_chunks(docs.select("doc_id", F.inline("blocks")), size, parent).filter("not is_parent")
+    tree = tree.select(F.lit("structured").alias("policy"), F.length("text").alias("n"), (F.size("spans") > 0).alias("placed"))
     return flat.unionByName(tree).groupBy("policy").agg(F.count(F.lit(1)).alias("chunks"), F.max("n").alias("max_chars"), F.count_if("placed").alias("located"))
 
 

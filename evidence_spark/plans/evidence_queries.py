@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence_spark.functions import structure, text
-from evidence_spark.operators import evidence, search
+from evidence_spark.operators import evidence, search, sections
 from evidence_spark.plans.base import query, table
 
 _TOK = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')"
@@ -19,13 +19,49 @@ def txt_markdown_to_text(spark, d):
     return table(spark, d, "documents").select("doc_id", structure.markdown_to_text(marked).alias("plain"))
 
 
-@query()
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+
+
+def _markdown_sql(marked: str) -> str:
+    """Blocks by lines: a count of fence lines tells code, flags of headings and blank lines tell where blocks begin, a line before an underline is a heading."""
+    marks = (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", r"(?m)^[ \t]{0,3}>[ \t]?")
+    plain = "t"
+    for mark in marks:
+        plain = f"regexp_replace({plain}, '{mark}', '', 'g')"
+    for mark, new in ((r"(?m)^[ \t]*[-*+][ \t]+", "• "), (r"!\[[^\]\n]*\]\([^)\n]*\)", ""), (r"\[([^\]\n]*)\]\([^)\n]*\)", r"\1"), ("[*_`]", ""), (r"[ \t\x{00a0}]+", " ")):
+        plain = f"regexp_replace({plain}, '{mark}', '{new}', 'g')"
+    plain = f"trim(regexp_replace({plain}, '\n{{3,}}', chr(10) || chr(10), 'g'), {_WS})"
+    return rf"""WITH l AS (SELECT doc_id, unnest(string_split(m, chr(10))) AS line, generate_subscripts(string_split(m, chr(10)), 1) AS n FROM (SELECT doc_id, {marked} AS m FROM documents)),
+ f AS (SELECT *, regexp_matches(line, '^[ \t]{{0,3}}(```|~~~)') AS fence FROM l),
+ c AS (SELECT *, sum(CAST(fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS inside FROM f),
+ k AS (SELECT *, CASE WHEN fence THEN 'fence' WHEN inside THEN 'code' WHEN regexp_matches(line, '^[ \t]{{0,3}}#{{1,6}}[ \t]+.+$') THEN 'heading' WHEN trim(line, {_WS}) = '' THEN 'blank' ELSE 'paragraph' END AS kind FROM c),
+ u AS (SELECT *, kind = 'paragraph' AND coalesce(lag(kind) OVER w, 'blank') <> 'paragraph' AND lead(kind) OVER w = 'paragraph' AND regexp_matches(lead(line) OVER w, '^[ \t]{{0,3}}(=+|-+)[ \t]*$') AS under FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+ v AS (SELECT *, coalesce(lag(under) OVER (PARTITION BY doc_id ORDER BY n), false) AS skip FROM u),
+ s AS (SELECT *, CASE WHEN under THEN 'heading' ELSE kind END AS sort, under OR skip OR kind IN ('heading', 'blank', 'fence') OR coalesce(lag(CASE WHEN under OR skip OR kind IN ('heading', 'blank', 'fence') THEN 'x' ELSE kind END) OVER (PARTITION BY doc_id ORDER BY n), 'x') <> kind AS begins FROM v),
+ g AS (SELECT *, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM s),
+ b AS (SELECT doc_id, grp, any_value(sort) AS kind, max(CASE WHEN under THEN 0 WHEN sort = 'heading' THEN length(regexp_extract(line, '#+')) END) AS marks, string_agg(line, chr(10) ORDER BY n) AS raw,
+   any_value(n) AS n FROM g WHERE sort NOT IN ('fence', 'blank') AND NOT skip GROUP BY doc_id, grp),
+ t AS (SELECT doc_id, grp, kind, raw, CASE WHEN marks > 0 THEN regexp_replace(regexp_replace(raw, '^[ \t]{{0,3}}#{{1,6}}[ \t]+', ''), '[ \t]+#+[ \t]*$', '') ELSE raw END AS t,
+   CASE WHEN marks = 0 THEN (SELECT CASE WHEN line LIKE '%=%' THEN 1 ELSE 2 END FROM l WHERE l.doc_id = b.doc_id AND l.n = b.n + 1) ELSE marks END AS level FROM b),
+ p AS (SELECT doc_id, grp, kind, level, CASE WHEN kind = 'code' THEN raw ELSE {plain} END AS text FROM t)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS INTEGER) AS block_no, kind, CAST(level AS INTEGER) AS level, text FROM p WHERE trim(text, {_WS}) <> ''"""
+
+
+@query(_markdown_sql("'# Top' || chr(10) || replace(text, '. ', '.' || chr(10) || chr(10) || '## Part ')"))
 def txt_markdown_blocks(spark, d):
     marked = F.concat(F.lit("# Top\n"), F.replace("text", F.lit(". "), F.lit(".\n\n## Part ")))
     rows = table(spark, d, "documents").select("doc_id", F.explode(structure.markdown_blocks(marked)).alias("b"))
     return rows.select("doc_id", "b.block_no", "b.kind", "b.level", "b.text")
 
 
+@query(_markdown_sql("'Top' || chr(10) || '===' || chr(10) || '```py' || chr(10) || '# code' || chr(10) || chr(10) || doc_id || chr(10) || '````' || chr(10) || '#  ' || chr(10) || replace(text, chr(10), chr(10) || '~~~' || chr(10))"))
+def txt_markdown_fences(spark, d):
+    """An underlined heading, a fence that a longer one closes, a heading without a title, and fences between all lines."""
+    head = F.concat(F.lit("Top\n===\n```py\n# code\n\n"), F.col("doc_id").cast("string"), F.lit("\n````\n#  \n"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(structure.markdown_blocks(F.concat(head, F.replace("text", F.lit("\n"), F.lit("\n~~~\n"))))).alias("b"))
+    return rows.select("doc_id", "b.block_no", "b.kind", "b.level", "b.text")
+
+
 @query("""SELECT doc_id, trim(source) || ' | ' || CAST(n_chars AS VARCHAR) || CASE WHEN trim(lang) <> '' THEN ' | ' || trim(lang) ELSE '' END AS row_text FROM documents""")
 def txt_table_rows(spark, d):
     cells = F.array(F.concat(F.lit(" "), "source", F.lit("\n")), F.lit("  "), F.col("n_chars").cast("string"), F.col("lang"))
@@ -44,13 +80,46 @@ def txt_decode_bytes(spark, d):
     return table(spark, d, "documents").select("doc_id", structure.decode_bytes(F.encode("text", "utf-8")).alias("decoded"))
 
 
-def structured(spark, d):
+def line_blocks(spark, d):
+    """The lines of documents as blocks of several kinds."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    blocks = F.transform(lines, lambda t, i: F.struct(
-        i.alias("block_no"), F.when(i % 7 == 0, "heading").when(i % 11 == 5, "code").otherwise("paragraph").alias("kind"),
-        F.when(i % 7 == 0, i % 3 + 1).cast("int").alias("level"), t.alias("text"), (F.floor(i / 5) + 1).cast("int").alias("page")))
-    rows = table(spark, d, "documents").select("doc_id", F.explode(structure.chunk_structured(blocks)).alias("c"))
-    return rows.select("doc_id", "c.*")
+    i = F.col("block_no")
+    return table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("block_no", "text")).select(
+        "doc_id", "block_no", F.when(i % 7 == 0, "heading").when(i % 11 == 5, "code").otherwise("paragraph").alias("kind"),
+        F.when(i % 7 == 0, i % 3 + 1).cast("int").alias("level"), "text", (F.floor(i / 5) + 1).cast("int").alias("page"))
+
+
+_LINES = rf"""WITH l AS (SELECT doc_id, unnest(x) AS text, generate_subscripts(x, 1) - 1 AS block_no FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda t: trim(t) <> '') AS x FROM documents)),
+ b AS (SELECT *, CASE WHEN block_no % 7 = 0 THEN 'heading' WHEN block_no % 11 = 5 THEN 'code' ELSE 'paragraph' END AS kind, CASE WHEN block_no % 7 = 0 THEN block_no % 3 + 1 END AS level FROM l WHERE trim(text, {_WS}) <> ''),
+ h AS (SELECT doc_id, block_no, level, trim(text, {_WS}) AS title, (SELECT min(o.block_no) FROM b o WHERE o.doc_id = b.doc_id AND o.block_no > b.block_no AND o.level <= b.level) AS until FROM b WHERE level IS NOT NULL),
+ p AS (SELECT b.doc_id, b.block_no, any_value(b.kind) AS kind, any_value(b.text) AS text, coalesce(string_agg(title, ' / ' ORDER BY h.level), '') AS path FROM b LEFT JOIN h ON h.doc_id = b.doc_id AND h.block_no <= b.block_no AND (until IS NULL OR b.block_no < until) GROUP BY b.doc_id, b.block_no),
+ n AS (SELECT *, CAST(kind <> 'paragraph' OR coalesce(lag(kind) OVER w, 'code') = 'code' OR lag(path) OVER w <> path AS INTEGER) AS begins FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
+ g AS (SELECT doc_id, block_no, text, path, CAST(sum(begins) OVER (PARTITION BY doc_id ORDER BY block_no) - 1 AS BIGINT) AS group_no FROM n)"""
+
+
+@query(_LINES + " SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, group_no, path AS section_path FROM g")
+def chk_section_groups(spark, d):
+    """Here the titles that are still open are found by what ends them, in the operator by the last heading of each level."""
+    found = sections.section_groups(line_blocks(spark, d))
+    return found.select("doc_id", "block_no", "group_no", F.array_join("section_path", " / ").alias("section_path"))
+
+
+@query(_LINES + """, o AS (SELECT *, sum(length(text) + 2) OVER (PARTITION BY doc_id, group_no ORDER BY block_no) - length(text) - 2 AS a FROM g),
+ z AS (SELECT doc_id, group_no, sum(length(text) + 2) - 2 AS size FROM g GROUP BY doc_id, group_no),
+ c AS (SELECT doc_id, group_no, size, unnest(range(0, CAST(size AS BIGINT), 450)) AS s FROM z)
+ SELECT doc_id || ':' || c.group_no || ':' || s AS chunk_id, doc_id, c.group_no, CAST(block_no AS INTEGER) AS block_no, CAST(greatest(s, a) - a AS BIGINT) AS char_start, CAST(least(s + 500, a + length(text)) - a AS BIGINT) AS char_end
+ FROM c JOIN o USING (doc_id) WHERE o.group_no = c.group_no AND greatest(s, a) < least(s + 500, size, a + length(text))""")
+def chk_chunk_spans(spark, d):
+    """Windows of 500 characters over each section, every 450, traced back to its blocks."""
+    offsets = sections.block_offsets(sections.section_groups(line_blocks(spark, d)))
+    size = offsets.groupBy("doc_id", "group_no").agg(F.max("char_end").alias("size"))
+    chunks = size.select("doc_id", "group_no", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(450))).alias("start"))
+    name = F.concat_ws(":", *[F.col(c).cast("string") for c in ("doc_id", "group_no", "start")])
+    return sections.chunk_spans(chunks.select(name.alias("chunk_id"), "doc_id", "group_no", "start", F.least(F.col("start") + 500, "size").alias("end")), offsets)
+
+
+def structured(spark, d):
+    return sections.structured_chunks(line_blocks(spark, d))
 
 
 @query()

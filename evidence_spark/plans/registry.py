@@ -355,4 +355,3 @@ def w2_retrieve_and_cite(spark, d):
     return flagship(spark, d)
 
 
-from evidence_spark.plans import whole_queries  # noqa: E402, F401  (needs the queries above)

@@ -1,4 +1,4 @@
-"""Second names of queries that once answered a fixed part of the input; now both names do the whole job."""
+"""Second names of queries that once answered a fixed part of the input, for callers that still use them; `queries()` has the first ones."""
 
 from __future__ import annotations
 
