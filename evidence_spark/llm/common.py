@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 SPACE = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_RECORDS: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +41,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _RECORDS:
+        paths.append(path)
     made = spark.read.schema(df.schema).parquet(path)
     _PATHS[made] = path
     return made
@@ -56,6 +60,22 @@ def discard(table: DataFrame) -> None:
         _remove(table.sparkSession, path)
 
 
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Appends to `paths` the tables written meanwhile, for `remove_paths` once the results that read them are stored."""
+    _RECORDS.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDS.remove(paths)
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Removes the listed tables, if they are still there, and empties the list."""
+    while paths:
+        _remove(spark, paths.pop())
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all tables that this application has written. Call it once the results that read them are stored."""
     _remove(spark, shared_folder(spark))
