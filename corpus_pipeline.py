@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_spark.llm import minhash, mixing, packing, pii, quality
-from evidence_spark.llm.common import written
+from evidence_spark.llm.common import discard, recorded, remove_paths, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Tables that the last stage has written on its way.
+_LEFT: list[str] = []
+
+
+def _stage(make):
+    """A stage begins when the rows of the stage before are stored, so the tables which that one was made from go first."""
+
+    @wraps(make)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_paths(spark, _LEFT)
+        with recorded(_LEFT):
+            return make(spark, docs, sf_dir)
+
+    return begun
+
+
+@_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labels of these documents.
 
@@ -35,6 +54,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return known.withColumn("_key", key).drop("_first")
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.
 
@@ -50,12 +70,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(kept.filter("not _many or _n = 0").select("_key"), "_key", "left_semi").select(*COLUMNS).unionByName(twice.select(*COLUMNS))
 
 
+@_stage
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; n_chars is counted anew. Null texts stay null, and every row stays."""
     clean = pii.redact(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the shares of their sources; a row for each time that the mix takes a document, shuffled within its shards.
 
@@ -65,6 +87,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.shuffled(mixing.mixed(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
+@_stage
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token documents in context windows. A null or empty text is one end-of-text token; repeated rows are each packed."""
     import public_tokenizers
@@ -85,8 +108,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read again."""
+    """All stages over documents; each is written as Parquet and read again, and goes once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        last, docs = docs, written(stage(spark, docs, sf_dir), name)
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
