@@ -67,7 +67,7 @@ def recorded(paths: list[str]) -> Iterator[None]:
     try:
         yield
     finally:
-        _RECORDS.remove(paths)
+        _RECORDS.pop()
 
 
 def remove_paths(spark: SparkSession, paths: list[str]) -> None:
