@@ -72,6 +72,17 @@ def list_versions(versions: DataFrame, members: DataFrame, pointers: DataFrame)
     return full.select("owner", "version_id", place.alias("place"), active.alias("active"), F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
+def with_integrity(versions: DataFrame, faults: DataFrame) -> DataFrame:
+    """Adds integrity: invalid for versions whose stored manifest has a fault, whose number of documents is then unknown; valid for others.
+
+    `versions`: what `list_versions` gives; `faults`: version_id and fault, as `audits.manifest_faults` gives them.
+    """
+    broken = faults.groupBy("version_id").agg(F.lit(True).alias("_broken"))
+    joined = versions.join(broken, "version_id", "left")
+    documents = F.when(F.col("_broken").isNull(), F.col("documents"))
+    return joined.withColumns({"documents": documents, "integrity": F.when(F.col("_broken"), "invalid").otherwise("valid")}).drop("_broken")
+
+
 def replay_switches(events: DataFrame) -> DataFrame:
     """(owner, active, revision, valid): the version at the highest revision; valid if revisions rise by one and each names the version before.
 
