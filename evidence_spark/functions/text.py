@@ -95,6 +95,23 @@ def folded(text: Column) -> Column:
     return _normalised(text, True)
 
 
+def casefolded(text: Column) -> Column:
+    """Without letter case, in no other form. Only texts with other than stable characters leave the JVM."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(str.casefold, na_action="ignore")
+
+    plain = F.rlike(text, F.lit(rf"\A{STABLE}*+\z"))
+    return F.when(plain, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(run(F.when(~plain, text)))
+
+
+def any_words(text: Column) -> Column:
+    """Runs of letters, digits and underscores of any script, without letter case."""
+    return F.regexp_extract_all(casefolded(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 # Fixed value: numbers with thousands separators and exponents; digits that belong to a name or a longer number are left out.
 NUMBER = r"(?<![A-Za-z0-9_.])[+-]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![A-Za-z0-9_.])"
 

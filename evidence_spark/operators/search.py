@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.text import snippet
+from evidence_spark.sources.scratch import scratch_folder
 
 #: Most bytes of query vectors that are sent to every task at once; larger batches of queries go in several passes.
 QUERY_BYTES = 64 << 20
@@ -122,97 +122,107 @@ def nearest_ids(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     return rows.select("id", "key").mapInPandas(run, "query_id long, id long")
 
 
-def asked_words(queries: DataFrame, words: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The ids of the queries, and the places of the queries that ask for a word."""
-    q = queries.select("query_id", F.explode(words).alias("w")).distinct().toPandas()
-    ids, at = np.unique(q["query_id"].to_numpy(), return_inverse=True)
-    return ids, {w: at[rows] for w, rows in q.groupby("w").indices.items()}
+#: Bytes of the words that queries ask for up to which they are sent to every task; beyond it they are joined by a shuffle.
+ASKED_BYTES = 32 << 20
+#: A word is frequent if more than one row in so many holds it.
+FREQUENT = 20
+ALL = ""  # stands for every row in a table of postings
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score) of all chunks with a score, over (query_id, terms array) and (chunk_id, tokens array).
+def _sent(asked: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it is small enough; its size is checked."""
+    held = asked.agg(F.sum(F.length("term") + 40).alias("n")).first()["n"] or 0
+    return F.broadcast(asked) if held <= ASKED_BYTES else asked
 
-    A chunk is scored for all queries where it is read, so no word is dealt out, however frequent; only numbers of chunks
-    by word are shuffled. Queries and these numbers are sent to the tasks. `chunk_id` is unique.
+
+def postings(rows: DataFrame, asked: DataFrame, kept: list[str], words: str) -> DataFrame:
+    """(kept columns, size, term, tf): how often each row holds each word asked for, and one posting of every row under the word ALL.
+
+    Rows are read once; words that nobody asks for go where they are read, the others are counted before they are shuffled, by the
+    first of the kept columns, which names a row. The table is written, so sums over it don't read the texts again.
     """
-    ids, asked = asked_words(queries, "terms")
-    n, avg_len = chunks.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    wanted = F.broadcast(queries.select(F.explode("terms").alias("term")).distinct())
-    df = chunks.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").count().collect()
-    idf = {r["term"]: float(np.log(1 + (n - r["count"] + 0.5) / (r["count"] + 0.5))) for r in df}
+    spark = rows.sparkSession
+    told = asked.select("term").unionByName(spark.createDataFrame([(ALL,)], "term string")).distinct()
+    some = F.coalesce(F.col(words), F.array().cast("array<string>"))
+    flat = rows.select(*kept, F.size(some).alias("size"), F.explode(F.concat(some, F.array(F.lit(ALL)))).alias("term"))
+    found = flat.join(_sent(told), "term", "left_semi").groupBy(*kept, "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    path = scratch_folder(spark, "postings")
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out, held = [], 0
-            for chunk, text, size in zip(rows["chunk_id"], rows["text"], rows["size"]):
-                tf = Counter(w for w in text.split(" ") if w in idf)
-                if tf:
-                    norm = k1 * (1 - b + b * size / avg_len)
-                    at = [asked[w] for w in tf]
-                    part = np.repeat([idf[w] * c * (k1 + 1) / (c + norm) for w, c in tf.items()], [len(x) for x in at])
-                    score = np.bincount(np.concatenate(at), part, len(ids))
-                    got = np.flatnonzero(score > 0)
-                    out.append((ids[got], [chunk] * len(got), score[got]))
-                    held += len(got)
-                if held > 100_000:
-                    yield _scores(out)
-                    out, held = [], 0
-            if out:
-                yield _scores(out)
-
-    kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-    words = chunks.filter("size(tokens) > 0").select("chunk_id", F.array_join("tokens", " ").alias("text"), F.size("tokens").alias("size"))
-    return words.mapInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double")
+
+def _terms(queries: DataFrame, words: str) -> DataFrame:
+    return queries.select("query_id", F.explode(words).alias("term")).filter(F.col("term") != ALL).distinct()
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, n: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) of all chunks with a score, or of the best n of each query, over (query_id, terms array) and (chunk_id, tokens array).
+
+    Postings of the words asked for meet the queries' words, which are broadcast only below a checked size; scores are summed where
+    a chunk's postings lie, as they are dealt by chunk. `chunk_id` is unique.
+    """
+    terms = _terms(queries, "terms")
+    found = postings(chunks, terms, ["chunk_id"], "tokens")
+    total, mean = found.filter(F.col("term") == ALL).agg(F.count(F.lit(1)), F.avg("size")).first()
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    norm = k1 * (1 - b + b * F.col("size") / (mean or 1.0))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    scores = found.repartition("chunk_id").join(_sent(weighed), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
+    return scores if n is None else best(scores, ["query_id"], [F.desc("score"), "chunk_id"], n).drop("rank")
 
 
 def bm25_scoped(queries: DataFrame, chunks: DataFrame, scope: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score) of the chunks of each query's own documents that share a word with it.
 
-    The number of chunks, their mean length and the chunks with a word are counted within a query's documents. Tokens are counted
-    by chunk before any shuffle, and only words that some query asks for go on. A query that asks for no word gets no rows.
+    The number of chunks, their mean length and the chunks with a word are counted within a query's documents. Chunks are read once, for
+    their postings. A query that asks for no word gets no rows.
     `queries`: query_id, terms (array); `chunks`: chunk_id, doc_id, tokens (array); `scope`: query_id, doc_id.
     """
     scope = scope.select("query_id", "doc_id").distinct()
-    terms = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    size = F.size("tokens").alias("size")
-    by_doc = chunks.select("doc_id", size).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"))
+    terms = _terms(queries, "terms")
+    found = postings(chunks, terms, ["chunk_id", "doc_id"], "tokens")
+    by_doc = found.filter(F.col("term") == ALL).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"))
     stats = scope.join(by_doc, "doc_id").groupBy("query_id").agg(F.sum("n").alias("n"), (F.sum("sizes") / F.sum("n")).alias("mean"))
-    words = chunks.select("doc_id", "chunk_id", size, F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = words.groupBy("doc_id", "chunk_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-    met = tf.join(scope, "doc_id").join(terms, ["query_id", "term"])
+    met = found.filter(F.col("term") != ALL).join(scope, "doc_id").join(terms, ["query_id", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     known = met.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "query_id").select("query_id", "term", "mean", idf)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     return met.join(known, ["query_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def _scores(parts: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({"query_id": np.concatenate([x[0] for x in parts]), "chunk_id": [c for x in parts for c in x[1]], "score": np.concatenate([x[2] for x in parts])})
-
-
-def most_shared(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(query_id, id, overlap): the n rows that share most distinct words with a query, ties by id; each task keeps its n best. `queries`: query_id, tokens; `rows`: id, tokens."""
-    ids, asked = asked_words(queries, "tokens")
+def most_shared(queries: DataFrame, rows: DataFrame, n: int, frequent: int = FREQUENT) -> DataFrame:
+    """(query_id, id, overlap): the n rows that share most distinct words with a query, ties by id. `queries`: query_id, tokens; `rows`: id, tokens.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in batches:
-            names, step = batch["id"].to_numpy(), max(1, BLOCK_BYTES // (8 * max(1, len(ids))))
-            for start in range(0, len(batch), step):
-                found = [kept] if kept else []
-                for name, text in zip(names[start : start + step], batch["text"].iloc[start : start + step]):
-                    if at := [asked[w] for w in set(text.split(" ")) if w in asked]:
-                        overlap = np.bincount(np.concatenate(at), minlength=len(ids))
-                        got = np.flatnonzero(overlap)
-                        found.append((got, np.full(len(got), name), overlap[got]))
-                kept = _merge(found, n) if found else None
-        if kept:
-            yield pd.DataFrame({"query_id": ids[kept[0]], "id": kept[1], "overlap": kept[2]})
-
-    kind = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["id"]
-    words = rows.filter("size(tokens) > 0").select("id", F.array_join("tokens", " ").alias("text"))
-    found = words.mapInPandas(run, f"query_id {kind[0]}, id {kind[1]}, overlap long")
-    return best(found, ["query_id"], [F.desc("overlap"), "id"], n).drop("rank")
+    Rare words are joined first. A row that shares only frequent words with a query has no more of them than the query has, so if the
+    n-th row by rare words has more, no such row can be among the first n, and frequent words are looked up for the rows
+    found only. Queries for which this doesn't hold are joined by all their words. Nothing is left out.
+    """
+    terms = _terms(queries, "tokens")
+    found = postings(rows, terms, ["id"], "tokens").select("id", "term")
+    total = found.filter(F.col("term") == ALL).count()
+    counts = found.filter(F.col("term") != ALL).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = terms.join(counts, "term").withColumn("often", F.col("df") * frequent > total).drop("df")
+    path = scratch_folder(rows.sparkSession, "asked")
+    asked.write.parquet(path)
+    asked = rows.sparkSession.read.schema(asked.schema).parquet(path)
+
+    def shared(some: DataFrame) -> DataFrame:
+        """Rows and queries that share some of the words, and how many."""
+        return found.repartition("id").join(_sent(some.select("query_id", "term")), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("overlap"))
+
+    rare = shared(asked.filter("not often"))
+    nth = best(rare, ["query_id"], [F.desc("overlap"), "id"], n).filter(F.col("rank") == n).select("query_id", F.col("overlap").alias("least"))
+    often = asked.groupBy("query_id").agg(F.count_if("often").alias("most"))
+    bound = often.join(nth, "query_id", "left").withColumn("sure", F.coalesce(F.col("least") > F.col("most"), F.lit(False)))
+    sure, rest = bound.filter("sure").select("query_id", "least", "most"), bound.filter("not sure").select("query_id")
+    held = rare.join(sure, "query_id").filter(F.col("overlap") + F.col("most") >= F.col("least")).select("query_id", "id", "overlap")
+    more = held.select("query_id", "id").join(asked.filter("often").select("query_id", "term"), "query_id").join(found, ["id", "term"])
+    more = more.select("query_id", "id", F.lit(1).cast("long").alias("overlap"))
+    known = held.unionByName(more).groupBy("query_id", "id").agg(F.sum("overlap").alias("overlap"))
+    whole = known.unionByName(shared(asked.join(rest, "query_id", "left_semi")))
+    return best(whole, ["query_id"], [F.desc("overlap"), "id"], n).drop("rank")
 
 
 def rrf(hits: DataFrame, k: int = 60) -> DataFrame:

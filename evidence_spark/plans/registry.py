@@ -276,13 +276,17 @@ def clm_comparison_table(spark, d):
     return tables.comparison(claims, facets)
 
 
-@query("""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+'))) AS word FROM benchmark),
- r AS (SELECT doc_id AS relation_id, unnest(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+'))) AS word FROM documents),
+_ANY = r"regexp_split_to_array(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_]+')"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter({_ANY}, lambda w: w <> ''))) AS word FROM benchmark),
+ r AS (SELECT doc_id AS relation_id, unnest(list_distinct(list_filter({_ANY}, lambda w: w <> ''))) AS word FROM documents),
  h AS (SELECT query_id, relation_id, count(*) AS overlap FROM q JOIN r USING (word) GROUP BY query_id, relation_id)
  SELECT query_id, relation_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, relation_id) AS n FROM h) WHERE n <= 10""")
 def grf_relations_for_query(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.words(F.col("text")).alias("tokens"))
-    r = table(spark, d, "documents").select(F.col("doc_id").alias("relation_id"), text.words(F.col("text")).alias("tokens"))
+    """Words of any script: here runs are taken out, in the SQL texts are split at what is none."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.any_words(F.col("text")).alias("tokens"))
+    r = table(spark, d, "documents").select(F.col("doc_id").alias("relation_id"), text.any_words(F.col("text")).alias("tokens"))
     return tables.relations_for_query(q, r, 10)
 
 
