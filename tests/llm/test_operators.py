@@ -734,3 +734,17 @@ def test_quality_scores_equal_plain_sums(spark, docs):
             assert len(slot) == max(2 * len(grams) - 1, 0)
         want = 1 / (1 + np.exp(-np.clip(weights[-1] + quality.SCALE * weights[:-1][slot].sum() / max(len(slot), 1), -35, 35)))
         assert abs(got[r.doc_id] - want) < 1e-9
+
+
+def test_long_secrets_and_addresses_are_covered_to_their_end(spark):
+    cases = [
+        ("x password=" + "a1b2" * 90 + " end", (2, 371, "secret")), ("key ghp_" + "aB3_" * 50 + " end", (4, 208, "secret")), ("my token is " + "z9" * 200, (12, 412, "secret")), ('"' + "0af3" * 40 + '"', (0, 162, "secret")),
+        ("write " + "n" * 300 + " at " + "d" * 200 + " dot sub" * 30 + " dot com now", (6, 758, "masked_email")), ("m" * 200 + " (at) host" + " (dot) x" * 20 + " (dot) org z", (0, 380, "masked_email")),
+    ]
+    for text, want in cases:
+        assert [c[:3] for c in pii.candidates(text)] == [want]
+    for text in ("a at b" + " dot x" * 40_000, "x (at) " * 40_000, "password=" * 40_000, "a (at) b" + " (dot) c" * 40_000):
+        pii.candidates(text)  # linear in the text
+    docs = spark.createDataFrame([(i, f"{t} and more") for i, (t, _) in enumerate(cases)] * 5 + [(100 + i, f"mail me at me{i}@host.org or call") for i in range(60)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert "a1b2" not in left[0] and "aB3_" not in left[1]
