@@ -80,6 +80,15 @@ def txt_decode_bytes(spark, d):
     return table(spark, d, "documents").select("doc_id", structure.decode_bytes(F.encode("text", "utf-8")).alias("decoded"))
 
 
+@query("""SELECT doc_id, text AS decoded FROM documents""")
+def txt_decode_utf16(spark, d):
+    """Every second text of plain characters only comes as UTF-16, others as UTF-8."""
+    said = F.col("text")
+    plain = said.rlike(r"\A[\x01-\x7f]+\z")
+    raw = F.when(plain & (F.col("doc_id") % 2 == 0), F.encode(said, "UTF-16")).otherwise(F.encode(said, "UTF-8"))
+    return table(spark, d, "documents").select("doc_id", structure.decode_bytes(raw).alias("decoded"))
+
+
 def line_blocks(spark, d):
     """The lines of documents as blocks of several kinds."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")

@@ -27,3 +27,16 @@ def src_read_jsonl(spark, d):
     counts = good.groupBy((F.col("conv_id") % 16).alias("part")).agg(F.count(F.lit(1)).alias("good"))
     part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("long")
     return bad.select(part.alias("part"), "line", "value").join(counts, "part").select("part", "line", "value", "good")
+
+
+@query("""WITH f AS (SELECT doc_id, source || '/' || lang || '/' || (doc_id % 20) || '/' || doc_id || '.txt' AS file FROM documents)
+ SELECT file, CASE WHEN doc_id % 20 = 1 THEN 'missing' WHEN doc_id % 20 = 2 THEN 'changed' END AS state FROM f WHERE doc_id % 40 IN (1, 2)
+ UNION ALL SELECT file || '.new', 'extra' FROM f WHERE doc_id % 40 = 3""")
+def src_diff_manifest(spark, d):
+    """Files in directories by source, language and the rest of their number; some are lost, changed or new, most directories are as they were."""
+    n = F.col("doc_id")
+    file = F.concat_ws("/", "source", "lang", (n % 20).cast("string"), F.concat(n.cast("string"), F.lit(".txt")))
+    told = table(spark, d, "documents").select("doc_id", file.alias("file"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha256"))
+    kept = told.filter(n % 40 != 1).withColumn("sha256", F.when(n % 40 == 2, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    new = told.filter(n % 40 == 3).withColumn("file", F.concat("file", F.lit(".new")))
+    return files.diff_manifest(told.drop("doc_id"), kept.unionByName(new).drop("doc_id"))

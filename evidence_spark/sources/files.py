@@ -69,3 +69,37 @@ def tree_manifest(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = path.rstrip("/") + "/"
     return files.select(F.substring_index("path", root, -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def directory_digests(manifest: DataFrame) -> DataFrame:
+    """(directory, files, digest) of each directory below the root and of the root itself (an empty name), over all files beneath it.
+
+    The digest hashes the sums of the eight words of each file's own hash (of its name, size and contents), so a directory of any number of
+    files is summed up where its rows are read. Store it with a manifest: `diff_manifest` then compares directories first.
+    """
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    own = F.sha2(F.concat_ws("|", "file", F.col("size").cast("string"), "sha256"), 256)
+    rows = manifest.select(F.explode(above).alias("directory"), own.alias("_own"))
+    words = [F.sum(F.conv(F.substring("_own", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"_{i}") for i in range(8)]
+    sums = rows.groupBy("directory").agg(F.count(F.lit(1)).alias("files"), *words)
+    return sums.select("directory", "files", F.sha2(F.concat_ws(",", F.col("files").cast("string"), *[F.col(f"_{i}").cast("string") for i in range(8)]), 256).alias("digest"))
+
+
+def diff_manifest(expected: DataFrame, actual: DataFrame, expected_dirs: DataFrame | None = None, actual_dirs: DataFrame | None = None) -> DataFrame:
+    """(file, state): files that are missing, extra or changed (in size or contents) between two manifests of file, size, sha256.
+
+    Files in directories whose digests are equal on both sides are left out before the files are joined; give the digests that were
+    stored with the manifests, else they are made here.
+    """
+    one = directory_digests(expected) if expected_dirs is None else expected_dirs
+    other = directory_digests(actual) if actual_dirs is None else actual_dirs
+    same = one.join(other, ["directory", "files", "digest"], "left_semi").select(F.col("directory").alias("_directory"))
+
+    def open_files(manifest: DataFrame, name: str) -> DataFrame:
+        told = manifest.select("file", F.struct("size", "sha256").alias(name), F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("_directory"))
+        return told.join(same, "_directory", "left_anti").drop("_directory")
+
+    state = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(F.col("_e") != F.col("_a"), "changed")
+    met = open_files(expected, "_e").join(open_files(actual, "_a"), "file", "full")
+    return met.select("file", state.alias("state")).filter("state is not null")
