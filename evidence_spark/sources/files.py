@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,8 +69,9 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 def tree_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, size, sha256) of all files below a path, names relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.rstrip("/") + "/"
-    return files.select(F.substring_index("path", root, -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    root = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", path).rstrip("/") + "/"
+    name = F.substring("path", F.locate(root, F.col("path")) + len(root), F.length("path"))
+    return files.select(name.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def directory_digests(manifest: DataFrame) -> DataFrame:
