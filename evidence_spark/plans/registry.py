@@ -248,7 +248,7 @@ def cit_exact_slice(spark, d):
     return tables.exact_slice(claims, docs).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("ok") | (F.length("quote") < 3)).otherwise(F.col("ok")).alias("ok"))
 
 
-_SAID = ("'T5 has ' || n_chars || '.50 of 1' || lpad((n_chars % 1000)::VARCHAR, 3, '0') || ' in v2.1, 3e2.'", "CASE doc_id % 6 WHEN 0 THEN n_chars || '.5' WHEN 1 THEN '1,' || lpad((n_chars % 1000)::VARCHAR, 3, '0') WHEN 2 THEN 'T6 300' WHEN 3 THEN n_chars || '.51' WHEN 4 THEN '2.1' ELSE substring(text, 1, 300) END")
+_SAID = ("'T5 has ' || n_chars || '.50 of 1' || lpad((n_chars % 1000)::VARCHAR, 3, '0') || ' in v2.1, 3e2.'", "CASE doc_id % 6 WHEN 0 THEN n_chars || '.5' WHEN 1 THEN '1,' || lpad((n_chars % 1000)::VARCHAR, 3, '0') WHEN 2 THEN 'T6 300' WHEN 3 THEN n_chars || '.51' WHEN 4 THEN '2.1' ELSE text END")
 
 
 @query(rf"""WITH t AS (SELECT doc_id, {_SAID[0]} AS quote, {_SAID[1]} AS said FROM documents),
