@@ -24,6 +24,25 @@ def search_members(hits: DataFrame, n: int) -> DataFrame:
     return best(best(hits, ["query_id", "member"], order, n).drop("rank"), ["query_id"], order, n)
 
 
+def foreign_hits(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """(query_id, member, doc_id, n): hits that a member's own document did not give; each makes the search of its query an error.
+
+    `hits`: query_id, member, doc_id; `members`: member, document_id. Hits of members that the index doesn't name are foreign too.
+    """
+    named = members.select("member", F.col("document_id").alias("_own"))
+    other = ~F.coalesce(F.col("doc_id") == F.col("_own"), F.lit(False))
+    return hits.join(named, "member", "left").filter(other).groupBy("query_id", "member", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def search_whole_members(hits: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(found, errors): `search_members` for the queries all of whose hits lie in the document of their member, and the hits that do not.
+
+    A query with a foreign hit gets no rows, as its index is not what it says.
+    """
+    errors = foreign_hits(hits, members)
+    return search_members(hits.join(errors.select("query_id").distinct(), "query_id", "left_anti"), n), errors
+
+
 def apply_rerank(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     """The k first candidates in the order of a reranker; queries it gave nothing for keep their dense order, with a warning.
 
@@ -215,6 +234,17 @@ def coverage_warnings(selected: DataFrame, scopes: DataFrame) -> DataFrame:
     return lost.groupBy("query_id").agg(F.array_sort(F.collect_set(text)).alias("warnings"))
 
 
+def context_report(selected: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(query_id, items, chars, warnings): what a query's context holds in all, and the sorted distinct warnings of documents without an item.
+
+    `selected`: query_id, doc_id, text; `scopes`: query_id, doc_id. A row for each query of `scopes`.
+    """
+    sums = selected.groupBy("query_id").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    asked = scopes.select("query_id").distinct().join(sums, "query_id", "left").join(coverage_warnings(selected, scopes), "query_id", "left")
+    none = F.array().cast("array<string>")
+    return asked.select("query_id", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("warnings", none).alias("warnings"))
+
+
 def verify_chunks(chunks: DataFrame, child: int, parent: int) -> DataFrame:
     """(doc_id, problems): rules that a document's chunks break: index, budget, parent.
 

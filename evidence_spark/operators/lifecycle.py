@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidence_spark.functions.vectors import faults as vector_faults
+
 
 def build_records(chunks: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks with their vectors and document data; a chunk without a vector keeps null, so that a check can refuse it.
@@ -146,6 +148,27 @@ def drop_owners(index: DataFrame, owners: DataFrame, owner: str) -> DataFrame:
     return index.join(owners.select(owner), owner, "left_anti")
 
 
+def read_records(index: DataFrame, versions: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """All records of the versions named by keys, with the columns asked for: a full read for checks, not a search.
+
+    Versions without records have none, and nothing is left out; a record of a version that is named twice comes once.
+    """
+    return index.join(versions.select(*keys).distinct(), keys, "left_semi").select(*keys, *columns)
+
+
+def vector_set_faults(inputs: DataFrame, vectors: DataFrame, build: str, dim: int) -> DataFrame:
+    """(build, inputs, vectors, faulty, problem): each build's inputs and vectors; their numbers must be equal and every vector valid.
+
+    `inputs`: build, a row for each text; `vectors`: build, vector. Builds that only one side has are named too.
+    """
+    bad = F.size(vector_faults(F.col("vector"), dim)) > 0
+    given = inputs.groupBy(build).agg(F.count(F.lit(1)).alias("inputs"))
+    made = vectors.groupBy(build).agg(F.count(F.lit(1)).alias("vectors"), F.count_if(bad).alias("faulty"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("inputs", "vectors", "faulty")]
+    full = given.join(made, build, "full").select(build, *zero)
+    return full.withColumn("problem", F.when(F.col("inputs") != F.col("vectors"), "count").when(F.col("faulty") > 0, "vectors"))
+
+
 def count_index(index: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, records, documents): the numbers of records and of documents in each index. `index`: keys, doc_id."""
     return index.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("doc_id").alias("documents"))

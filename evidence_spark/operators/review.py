@@ -85,6 +85,29 @@ def paired_faults(questions: DataFrame, hits: DataFrame, variants: tuple[str, st
     return asked.join(sums, ["question_id", "variant"], "full").select("question_id", "variant", fault.alias("fault")).filter("fault is not null")
 
 
+def present_hit_faults(hits: DataFrame, chunks: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(question_id, variant, rank, fault): stored hits that differ from the chunks of today.
+
+    unknown: the variant has no chunk of this id; changed: one of the columns differs; pages: a hit has not exactly one span, with a page.
+    `hits`: question_id, variant, rank, id, spans (array of structs with page) and the columns; `chunks`: variant, id and the columns.
+    """
+    now = chunks.select("variant", "id", F.struct(*columns).alias("_now"))
+    paged = (F.coalesce(F.size("spans"), F.lit(0)) == 1) & F.try_element_at("spans", F.lit(1))["page"].isNotNull()
+    fault = F.when(F.col("_now").isNull(), "unknown").when(~F.struct(*columns).eqNullSafe(F.col("_now")), "changed").when(~paged, "pages")
+    return hits.join(now, ["variant", "id"], "left").select("question_id", "variant", "rank", fault.alias("fault")).filter("fault is not null")
+
+
+def training_set_faults(rows: DataFrame, kind: str, sets: DataFrame) -> DataFrame:
+    """(set_id, rows, faulty, problem): each named set with its rows and those with a fault; a set without rows is empty, which is an error.
+
+    `rows`: set_id and the columns that `training_faults` reads; `sets`: set_id.
+    """
+    sums = rows.withColumn("_fault", training_faults(kind)).groupBy("set_id").agg(F.count(F.lit(1)).alias("rows"), F.count("_fault").alias("faulty"))
+    joined = sets.select("set_id").distinct().join(sums, "set_id", "left")
+    problem = F.when(F.col("rows").isNull(), "empty").when(F.col("faulty") > 0, "rows")
+    return joined.select("set_id", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("faulty", F.lit(0)).alias("faulty"), problem.alias("problem"))
+
+
 def ranking_rows(judged: DataFrame, keep: int) -> DataFrame:
     """(query_id, relevant, ranked): the number of relevant ids, and the first `keep` valid ids by score, joined by blanks; `keep` bounds what a row holds."""
     valid = judged.filter("id is not null and trim(coalesce(text, '')) <> ''").select("query_id", "id", "label", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -46,6 +46,11 @@ def relations_for_query(queries: DataFrame, relations: DataFrame, n: int) -> Dat
     return most_shared(queries, relations.withColumnRenamed("relation_id", "id"), n).withColumnRenamed("id", "relation_id")
 
 
+def remove_document_relations(relations: DataFrame, removed: DataFrame) -> DataFrame:
+    """The relations without those of a tenant's removed documents, in every corpus. `relations`: tenant, doc_id; `removed`: tenant, doc_id."""
+    return relations.join(removed.select("tenant", "doc_id"), ["tenant", "doc_id"], "left_anti")
+
+
 def two_hop_paths(edges: DataFrame, seeds: DataFrame, degree: int | None = None) -> DataFrame:
     """(seed, mid, node): undirected simple paths of two relations, all of them or, with `degree`, those over each node's first neighbours.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidence_spark.functions import chunks, text, vectors
 from evidence_spark.operators import claims, evaluation, search, tables
-from evidence_spark.plans import audit_queries, evidence_queries, identity_queries, operation_queries, page_queries, source_queries, stream_queries, verify_queries  # noqa: F401  (they register themselves)
+from evidence_spark.plans import audit_queries, evidence_queries, identity_queries, operation_queries, page_queries, rule_queries, source_queries, stream_queries, verify_queries  # noqa: F401  (they register themselves)
 from evidence_spark.plans.base import ORACLES, QUERIES, query, table  # noqa: F401
 from evidence_spark.sources import files
 from evidence_spark.streaming import usage
