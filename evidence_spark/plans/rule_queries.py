@@ -38,13 +38,13 @@ def vec_foreign_hits(spark, d):
     return evidence.search_whole_members(member_hits(spark, d), members(spark), 3)[1]
 
 
-@query("""WITH s AS (SELECT o_orderkey AS query_id, unnest([0, 1, 2]) AS doc_id FROM orders), h AS (SELECT l_orderkey AS query_id, l_partkey % 5 AS doc_id, length(l_shipmode) AS n FROM lineitem WHERE l_orderkey % 8 > 0),
+@query("""WITH s AS (SELECT o_orderkey AS query_id, unnest([0, 1, 2]) AS doc_id FROM orders), h AS (SELECT l_orderkey AS query_id, l_partkey % 5 AS doc_id, length(l_returnflag || l_partkey) AS n FROM lineitem WHERE l_orderkey % 8 > 0),
  c AS (SELECT query_id, count(*) AS items, sum(n) AS chars FROM h GROUP BY query_id),
  w AS (SELECT s.query_id, string_agg('no_context_for_document:' || s.doc_id, ',' ORDER BY s.doc_id) AS warnings FROM s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = s.query_id AND h.doc_id = s.doc_id) GROUP BY s.query_id)
  SELECT o_orderkey AS query_id, coalesce(items, 0) AS items, CAST(coalesce(chars, 0) AS BIGINT) AS chars, coalesce(warnings, '') AS warnings FROM orders LEFT JOIN c ON c.query_id = o_orderkey LEFT JOIN w ON w.query_id = o_orderkey""")
 def fus_context_report(spark, d):
     scopes = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("doc_id"))
-    chosen = table(spark, d, "lineitem").filter("l_orderkey % 8 > 0").select(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") % 5).alias("doc_id"), F.col("l_shipmode").alias("text"))
+    chosen = table(spark, d, "lineitem").filter("l_orderkey % 8 > 0").select(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") % 5).alias("doc_id"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text"))
     return evidence.context_report(chosen, scopes).withColumn("warnings", F.array_join("warnings", ","))
 
 
