@@ -19,6 +19,8 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "", "#": "", "%": "", "&": "", "€": "e", "£": "l",
 }
+#: Marks that hide a letter between others, up to so many in a row; longer rows are ornaments and dropped.
+MASKS, MASKED = "*#%&", 3
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
 _SYMBOLS = 64
 _TABLE = np.zeros(0x250, np.uint8)
@@ -73,6 +75,15 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def _tells(c: str) -> bool:
+    """Whether a character is a letter or stands for one."""
+    return c in _CODE or bool(LEET.get(c))
+
+
+#: What a mask may stand for: any plain letter, or, seldom, nothing.
+_ANY = [(x, math.log(0.998 / 26)) for x in "abcdefghijklmnopqrstuvwxyz"] + [("", math.log(0.002))]
+
+
 def _lattice(span: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
     """The choices (text, log channel probability) for each part of a span."""
     i = 0
@@ -88,6 +99,11 @@ def _lattice(span: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
         else:
             while j < len(span) and span[j] == c:
                 j += 1
+            if c in MASKS and j - i <= MASKED and 0 < i and j < len(span) and _tells(span[i - 1]) and _tells(span[j]):
+                for _ in range(j - i):
+                    yield _ANY
+                i = j
+                continue
             choices = [(x, math.log(0.8 / max(len(LEET.get(c, "")), 1))) for x in LEET.get(c, "")]
             if j - i > 1 and choices:
                 choices += [(x * 2, p - 1) for x, p in choices]

@@ -748,3 +748,11 @@ def test_long_secrets_and_addresses_are_covered_to_their_end(spark):
     docs = spark.createDataFrame([(i, f"{t} and more") for i, (t, _) in enumerate(cases)] * 5 + [(100 + i, f"mail me at me{i}@host.org or call") for i in range(60)], "doc_id long, text string")
     left = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert "a1b2" not in left[0] and "aB3_" not in left[1]
+
+
+def test_masks_stand_for_letters(spark):
+    docs = spark.createDataFrame([("the stupid idiot and the worthless moron this " * 80,), ("plain words of a text that says nothing at all " * 80,)], "text string")
+    own = toxicity.Restorer(toxicity.language_model(toxicity.count_trigrams(docs)))
+    for told, meant in (("st*pid", "stupid"), ("st**id", "stupid"), ("w%rthl*ss", "worthless"), ("m&r#n", "moron"), ("w0rthl*$s", "worthless"), ("50% of *** c#", "50% of *** c#"), ("pl*in words", "plain words")):
+        assert own.restore(told) == meant
+    assert own.restore("st****pid") == "stpid"  # a longer row is an ornament
