@@ -756,3 +756,25 @@ def test_masks_stand_for_letters(spark):
     for told, meant in (("st*pid", "stupid"), ("st**id", "stupid"), ("w%rthl*ss", "worthless"), ("m&r#n", "moron"), ("w0rthl*$s", "worthless"), ("50% of *** c#", "50% of *** c#"), ("pl*in words", "plain words")):
         assert own.restore(told) == meant
     assert own.restore("st****pid") == "stpid"  # a longer row is an ornament
+
+
+def test_long_streams_that_arrive_out_of_order(spark):
+    """Streams over many pieces of sequence numbers, shuffled and dealt to many partitions, against a plain fold."""
+    rnd, events = random.Random(12), []
+    for conv in range(3):
+        for message in range(4):
+            start = rnd.randint(0, 5000)
+            for step in range(rnd.choice((1, 300, 1100))):
+                kind = "delta" if step == 0 else rnd.choices(("delta", "edit", "regenerate", "odd"), (97, 1, 1, 1))[0]
+                events.append((conv, message, start + step, ("user", "assistant")[message % 2], kind, f"{step}é "))
+    events.append((9, 0, 10, "user", "delta", "gone"))
+    events.append((9, 0, 700, "user", "delete", None))
+    want = {}
+    for conv, message, seq, role, kind, text in sorted(events, key=lambda e: (e[0], e[1], e[2])):
+        first, said, r = want.get((conv, message), (seq, "", role))
+        said = None if kind == "delete" else text if kind == "edit" else "" if kind == "regenerate" else (said or "") + (text or "")
+        want[conv, message] = (first, said, r)
+    want = {k: v for k, v in want.items() if v[1] is not None}
+    rnd.shuffle(events)
+    df = spark.createDataFrame(events, "conv_id long, message long, seq long, role string, kind string, text string").repartition(9)
+    assert {(r.conv_id, r.message): (r.seq, r.text, r.role) for r in chat.fold_events(df).collect()} == want
