@@ -20,15 +20,20 @@ def build_records(chunks: DataFrame, vectors: DataFrame, docs: DataFrame) -> Dat
 
 
 def verify_records(expected: DataFrame, actual: DataFrame, dim: int, rel: float = 1e-5, tiny: float = 1e-7) -> DataFrame:
-    """(id, fault): records missing, extra, with another text, or with a vector of another length or not close. Both: id, text, vector."""
-    a = expected.select("id", F.struct("text", "vector").alias("a"))
-    b = actual.select("id", F.struct("text", "vector").alias("b"))
+    """(id, fault): records missing, extra, with another text or other metadata, or with a vector of another length or not close.
+
+    Both: id, text, vector and, if both have it, metadata.
+    """
+    told = ["text", "vector", *(["metadata"] if "metadata" in expected.columns and "metadata" in actual.columns else [])]
+    a = expected.select("id", F.struct(*told).alias("a"))
+    b = actual.select("id", F.struct(*told).alias("b"))
+    other = ~F.col("a.metadata").eqNullSafe(F.col("b.metadata")) if "metadata" in told else F.lit(False)
     near = F.forall(
         F.zip_with(F.col("a.vector"), F.col("b.vector"), lambda x, y: F.coalesce(F.abs(x.cast("double") - y) <= tiny + rel * F.abs(y.cast("double")), F.lit(False))),
         lambda ok: ok,
     )
     fault = (
-        F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(~F.col("a.text").eqNullSafe(F.col("b.text")), "text")
+        F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(~F.col("a.text").eqNullSafe(F.col("b.text")), "text").when(other, "metadata")
         .when(F.coalesce(F.size("b.vector"), F.lit(-1)) != dim, "dimension").when(~F.coalesce(near, F.lit(False)), "vector")
     )
     return a.join(b, "id", "full").select("id", fault.alias("fault")).filter("fault is not null")
@@ -47,6 +52,20 @@ def index_manifest(index: DataFrame, build: str, columns: list[str]) -> DataFram
     return sums.select(build, "records", F.sha2(F.concat_ws(",", *parts), 256).alias("digest"))
 
 
+def build_summary(index: DataFrame, build: str, key: str, vector: str, versions: list[str]) -> DataFrame:
+    """(build, records, dimension, ids_digest, versions): what a manifest says of each build. A build of several dimensions has none.
+
+    The digest covers the ids in no order, as in `index_manifest`; versions are the distinct values of the named columns, in order.
+    """
+    ids = index_manifest(index, build, [key]).select(F.col(build).alias("_build"), F.col("digest").alias("ids_digest"))
+    size = F.size(vector)
+    told = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in versions])
+    sums = index.groupBy(build).agg(
+        F.count(F.lit(1)).alias("records"), F.when(F.min(size) == F.max(size), F.max(size)).alias("dimension"), F.array_sort(F.collect_set(told)).alias("versions")
+    )
+    return sums.join(ids, F.col(build).eqNullSafe(F.col("_build"))).select(build, "records", "dimension", "ids_digest", "versions")
+
+
 def seal_version(builds: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, problem): documents that keep a version from being sealed. `builds`: doc_id, build_id, state, spec; `docs`: doc_id.
 

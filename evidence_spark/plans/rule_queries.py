@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidence_spark.functions import vectors
 from evidence_spark.operators import evidence, lifecycle, review, tables
 from evidence_spark.plans.base import query, table
+from evidence_spark.plans.operation_queries import _WORDS
 
 
 def member_hits(spark, d):
@@ -122,3 +123,30 @@ def emb_embed_batches(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("|"), (F.col("doc_id") % 7).cast("string")).alias("text"))
     made = evidence.embed_batches(rows, lambda texts: [[float(len(t.rsplit("|", 1)[0])), float(t.rsplit("|", 1)[1])] for t in texts], 2)
     return made.select("doc_id", F.get("vector", F.lit(0)).cast("long").alias("first"), F.get("vector", F.lit(1)).cast("long").alias("second"), F.size("vector").alias("size"))
+
+
+@query("""SELECT CAST(vec_id AS VARCHAR) AS id, CASE vec_id % 20 WHEN 1 THEN 'missing' WHEN 2 THEN 'metadata' WHEN 3 THEN 'dimension' WHEN 4 THEN 'text' END AS fault FROM embeddings WHERE vec_id % 20 BETWEEN 1 AND 4
+ UNION ALL SELECT 'x' || vec_id, 'extra' FROM embeddings WHERE vec_id % 20 = 5""")
+def idx_verify_metadata(spark, d):
+    n = F.col("vec_id") % 20
+    kept = table(spark, d, "embeddings").select(
+        "vec_id", F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("text"), F.col("embedding").alias("vector"), F.to_json(F.struct("label", "vec_id")).alias("metadata")
+    )
+    found = kept.filter(n != 1).withColumns({
+        "metadata": F.when(n == 2, "{}").otherwise(F.col("metadata")), "vector": F.when(n == 3, F.slice("vector", 1, 60)).otherwise(F.col("vector")), "text": F.when(n == 4, "other").otherwise(F.col("text")),
+    })
+    more = kept.filter(n == 5).withColumn("id", F.concat(F.lit("x"), "id"))
+    return lifecycle.verify_records(kept, found.unionByName(more), 64)
+
+
+@query(f"""WITH r AS (SELECT label, sha256(sha256(CAST(vec_id AS VARCHAR))) AS r FROM embeddings), s AS (SELECT label, count(*) AS records, {_WORDS} FROM r GROUP BY label),
+ m AS (SELECT label, CASE WHEN min(n) = max(n) THEN max(n) END AS dimension, string_agg(DISTINCT v, ',' ORDER BY v) AS versions FROM (SELECT label, 64 - CASE WHEN label = 3 AND vec_id % 2 = 0 THEN 1 ELSE 0 END AS n, 'v' || (vec_id % 3) || '/c' || (label % 2) AS v FROM embeddings) GROUP BY label)
+ SELECT s.label, records, CAST(dimension AS INTEGER) AS dimension, sha256(CAST(records AS VARCHAR) || ',' || {" || ',' || ".join(f"w{i}" for i in range(8))}) AS ids_digest, versions FROM s JOIN m ON s.label IS NOT DISTINCT FROM m.label""")
+def idx_build_summary(spark, d):
+    """Builds by label; one has vectors of two lengths."""
+    short = (F.col("label") == 3) & (F.col("vec_id") % 2 == 0)
+    rows = table(spark, d, "embeddings").select(
+        "label", "vec_id", F.when(short, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("vector"),
+        F.concat(F.lit("v"), (F.col("vec_id") % 3).cast("string")).alias("model"), F.concat(F.lit("c"), (F.col("label") % 2).cast("string")).alias("chunking"),
+    )
+    return lifecycle.build_summary(rows, "label", "vec_id", "vector", ["model", "chunking"]).withColumn("versions", F.array_join("versions", ","))

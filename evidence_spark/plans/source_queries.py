@@ -40,3 +40,25 @@ def src_diff_manifest(spark, d):
     kept = told.filter(n % 40 != 1).withColumn("sha256", F.when(n % 40 == 2, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
     new = told.filter(n % 40 == 3).withColumn("file", F.concat("file", F.lit(".new")))
     return files.diff_manifest(told.drop("doc_id"), kept.unionByName(new).drop("doc_id"))
+
+
+@query("""WITH f AS (SELECT doc_id % 256 AS part, string_agg(doc_id || ' ' || lang || ' é', chr(10) ORDER BY doc_id, lang) || chr(10) AS text FROM documents GROUP BY doc_id % 256)
+ SELECT part, octet_length(encode(text)) AS size, text FROM f""")
+def src_read_text_files(spark, d):
+    """Lines of documents in text files by the rest of their number, read back as whole files; files of other kinds are left out."""
+    out = scratch_folder(spark, "texts")
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), "lang", F.lit(" é"))
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 256).alias("part"), "doc_id", "lang", line.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id", "lang").select("part", "value").write.partitionBy("part").text(out)
+    rows.select("value").write.mode("append").option("compression", "gzip").text(f"{out}/packed")
+    found = files.read_text_files(spark, out)
+    return found.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part"), "size", "text")
+
+
+@query("""SELECT count(*) AS told, count(*) AS read, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT doc_id) AS ids FROM documents""")
+def src_write_jsonl(spark, d):
+    """The number of lines that writing tells, and what a strict reader finds in them."""
+    out = scratch_folder(spark, "jsonl")
+    told = files.write_jsonl(table(spark, d, "documents").select("doc_id", "text"), out)
+    rows, _ = files.read_jsonl_strict(spark, out, "doc_id long, text string")
+    return rows.agg(F.count(F.lit(1)).alias("read"), F.sum(F.length("text")).alias("chars"), F.count_distinct("doc_id").alias("ids")).select(F.lit(told).cast("long").alias("told"), "read", "chars", "ids")
