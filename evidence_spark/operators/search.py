@@ -146,31 +146,63 @@ def postings(rows: DataFrame, asked: DataFrame, kept: list[str], words: str) ->
     some = F.coalesce(F.col(words), F.array().cast("array<string>"))
     flat = rows.select(*kept, F.size(some).alias("size"), F.explode(F.concat(some, F.array(F.lit(ALL)))).alias("term"))
     found = flat.join(_sent(told), "term", "left_semi").groupBy(*kept, "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-    path = scratch_folder(spark, "postings")
-    found.write.parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
+    return _written(found, "postings")
 
 
 def _terms(queries: DataFrame, words: str) -> DataFrame:
     return queries.select("query_id", F.explode(words).alias("term")).filter(F.col("term") != ALL).distinct()
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, n: int | None = None) -> DataFrame:
+def _written(table: DataFrame, name: str) -> DataFrame:
+    path = scratch_folder(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def _first(found: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, score): the n rows of each query with the highest sums of parts, to nine digits, ties by id.
+
+    `found`: id, term, part (above 0); `asked`: query_id, term, often, most (the term's largest part). Rare terms are summed first. A row that
+    has only frequent terms of a query gets no more than their largest parts together, so if the n-th row by rare terms has more, no
+    such row can be among the first n, and frequent terms are looked up only for rows that can still be. Queries for which this
+    doesn't hold are summed over all their terms. Nothing is left out.
+    """
+
+    def summed(some: DataFrame) -> DataFrame:
+        return found.repartition("id").join(_sent(some.select("query_id", "term")), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+
+    rare = summed(asked.filter("not often"))
+    nth = best(rare, ["query_id"], [F.desc("score"), "id"], n).filter(F.col("rank") == n).select("query_id", F.col("score").alias("least"))
+    often = asked.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("often"), F.col("most"))), F.lit(0)).alias("most"))
+    # sums of floats differ in their last digits with the order of their parts
+    bound = often.join(nth, "query_id", "left").withColumn("least", F.col("least") * (1 - 1e-9)).withColumn("sure", F.coalesce(F.col("least") > F.col("most"), F.lit(False)))
+    sure, rest = bound.filter("sure").select("query_id", "least", "most"), bound.filter("not sure").select("query_id")
+    held = rare.join(sure, "query_id").filter(F.col("score") + F.col("most") >= F.col("least")).select("query_id", "id", "score")
+    more = held.select("query_id", "id").join(asked.filter("often").select("query_id", "term"), "query_id").join(found, ["id", "term"])
+    known = held.unionByName(more.select("query_id", "id", F.col("part").alias("score"))).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+    whole = known.unionByName(summed(asked.join(rest, "query_id", "left_semi")))
+    return best(whole, ["query_id"], [F.desc(F.round("score", 9)), "id"], n).drop("rank")
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, n: int | None = None, frequent: int = FREQUENT) -> DataFrame:
     """(query_id, chunk_id, score) of all chunks with a score, or of the best n of each query, over (query_id, terms array) and (chunk_id, tokens array).
 
     Postings of the words asked for meet the queries' words, which are broadcast only below a checked size; scores are summed where
-    a chunk's postings lie, as they are dealt by chunk. `chunk_id` is unique.
+    a chunk's postings lie, as they are dealt by chunk. For the best n, frequent words are pruned by their largest parts. `chunk_id` is unique.
     """
     terms = _terms(queries, "terms")
     found = postings(chunks, terms, ["chunk_id"], "tokens")
     total, mean = found.filter(F.col("term") == ALL).agg(F.count(F.lit(1)), F.avg("size")).first()
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    df = found.filter(F.col("term") != ALL).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.select("term", "df", F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     norm = k1 * (1 - b + b * F.col("size") / (mean or 1.0))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scores = found.repartition("chunk_id").join(_sent(weighed), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
-    return scores if n is None else best(scores, ["query_id"], [F.desc("score"), "chunk_id"], n).drop("rank")
+    if n is None:
+        weighed = terms.join(idf, "term").select("query_id", "term", "idf")
+        return found.repartition("chunk_id").join(_sent(weighed), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
+    parts = _written(found.join(_sent(idf), "term").select(F.col("chunk_id").alias("id"), "term", part.alias("part")), "parts")
+    most = parts.groupBy("term").agg(F.max("part").alias("most"), (F.count(F.lit(1)) * frequent > total).alias("often"))
+    return _first(parts, _written(terms.join(most, "term"), "asked"), n).withColumnRenamed("id", "chunk_id")
 
 
 def bm25_scoped(queries: DataFrame, chunks: DataFrame, scope: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -193,36 +225,12 @@ def bm25_scoped(queries: DataFrame, chunks: DataFrame, scope: DataFrame, k1: flo
 
 
 def most_shared(queries: DataFrame, rows: DataFrame, n: int, frequent: int = FREQUENT) -> DataFrame:
-    """(query_id, id, overlap): the n rows that share most distinct words with a query, ties by id. `queries`: query_id, tokens; `rows`: id, tokens.
-
-    Rare words are joined first. A row that shares only frequent words with a query has no more of them than the query has, so if the
-    n-th row by rare words has more, no such row can be among the first n, and frequent words are looked up for the rows
-    found only. Queries for which this doesn't hold are joined by all their words. Nothing is left out.
-    """
+    """(query_id, id, overlap): the n rows that share most distinct words with a query, ties by id; frequent words are pruned. `queries`: query_id, tokens; `rows`: id, tokens."""
     terms = _terms(queries, "tokens")
-    found = postings(rows, terms, ["id"], "tokens").select("id", "term")
+    found = postings(rows, terms, ["id"], "tokens").select("id", "term", F.lit(1).cast("long").alias("part"))
     total = found.filter(F.col("term") == ALL).count()
-    counts = found.filter(F.col("term") != ALL).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = terms.join(counts, "term").withColumn("often", F.col("df") * frequent > total).drop("df")
-    path = scratch_folder(rows.sparkSession, "asked")
-    asked.write.parquet(path)
-    asked = rows.sparkSession.read.schema(asked.schema).parquet(path)
-
-    def shared(some: DataFrame) -> DataFrame:
-        """Rows and queries that share some of the words, and how many."""
-        return found.repartition("id").join(_sent(some.select("query_id", "term")), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("overlap"))
-
-    rare = shared(asked.filter("not often"))
-    nth = best(rare, ["query_id"], [F.desc("overlap"), "id"], n).filter(F.col("rank") == n).select("query_id", F.col("overlap").alias("least"))
-    often = asked.groupBy("query_id").agg(F.count_if("often").alias("most"))
-    bound = often.join(nth, "query_id", "left").withColumn("sure", F.coalesce(F.col("least") > F.col("most"), F.lit(False)))
-    sure, rest = bound.filter("sure").select("query_id", "least", "most"), bound.filter("not sure").select("query_id")
-    held = rare.join(sure, "query_id").filter(F.col("overlap") + F.col("most") >= F.col("least")).select("query_id", "id", "overlap")
-    more = held.select("query_id", "id").join(asked.filter("often").select("query_id", "term"), "query_id").join(found, ["id", "term"])
-    more = more.select("query_id", "id", F.lit(1).cast("long").alias("overlap"))
-    known = held.unionByName(more).groupBy("query_id", "id").agg(F.sum("overlap").alias("overlap"))
-    whole = known.unionByName(shared(asked.join(rest, "query_id", "left_semi")))
-    return best(whole, ["query_id"], [F.desc("overlap"), "id"], n).drop("rank")
+    counts = found.filter(F.col("term") != ALL).groupBy("term").agg((F.count(F.lit(1)) * frequent > total).alias("often"), F.lit(1).cast("long").alias("most"))
+    return _first(found, _written(terms.join(counts, "term"), "asked"), n).withColumnRenamed("score", "overlap")
 
 
 def rrf(hits: DataFrame, k: int = 60) -> DataFrame:

@@ -144,10 +144,10 @@ def emb_hash_embed(spark, d):
     return table(spark, d, "documents").select("doc_id", F.transform(vectors.hash_embed(F.col("text")), lambda x: F.round(x, 6)).alias("vector"))
 
 
-def lexical(spark, d):
+def lexical(spark, d, n=None):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), text.words(F.col("text")).alias("tokens"))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.words(F.col("text")).alias("terms"))
-    return search.bm25(q, docs)
+    return search.bm25(q, docs, n=n)
 
 
 _BM25 = """WITH c AS (SELECT doc_id AS chunk_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+') AS tokens FROM documents),
@@ -164,6 +164,12 @@ def lex_bm25(spark, d):
     return lexical(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(_BM25 + " SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS n FROM r WHERE score > 0) WHERE n <= 20")
+def lex_bm25_best(spark, d):
+    """The first 20 chunks of each query: frequent words are looked up only where they can matter."""
+    return lexical(spark, d, 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def channel_hits(spark, d, asked: str = "vec_id % 100 = 0") -> DataFrame:
     dense = dense_hits(spark, d, 20, asked).select("query_id", F.col("id").alias("chunk_id"), F.lit("vector").alias("channel"), (F.col("rank") - 1).alias("rank"))
     label = table(spark, d, "embeddings").select("vec_id", "label")

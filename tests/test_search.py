@@ -58,5 +58,6 @@ def test_bm25_best(spark, monkeypatch):
     for limit in (32 << 20, 0):  # sent to every task, or joined
         monkeypatch.setattr(search, "ASKED_BYTES", limit)
         assert {(r.query_id, r.chunk_id): round(r.score, 9) for r in search.bm25(queries, chunks).collect()} == want
-    best = {(r.query_id, r.chunk_id) for r in search.bm25(queries, chunks, n=3).collect()}
-    assert best == {(q, i) for q, _ in asked for _, i in sorted((-s, i) for (p, i), s in want.items() if p == q)[:3]}
+    for frequent in (2, 20, 10_000):
+        best = {(r.query_id, r.chunk_id) for r in search.bm25(queries, chunks, n=3, frequent=frequent).collect()}
+        assert best == {(q, i) for q, _ in asked for _, i in sorted((-round(s, 7), i) for (p, i), s in want.items() if p == q)[:3]}
