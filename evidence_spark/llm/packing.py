@@ -205,17 +205,19 @@ def pack_documents(
     step_groups: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: int = 500_000,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, context, step_group.
 
     Each task packs the documents it reads, so nothing is shuffled; at most `hold` ids wait in it, besides
     one document. A sequence id is the task's number and a count. Every window is full but for what is left at a
     task's end, which is cut into powers of two, so no window needs padding. A null text is an empty
-    document of one id (the end mark); null ids stay null; equal rows are packed each. No rows, no pieces.
+    document of one id (the end mark); null ids stay null; equal rows are packed each. No rows, no pieces. A task keeps the ids of at
+    most `keep` words, which costs memory and saves time, and changes no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = WordTokens(tokenizer, keep)
         packer = Packer(largest, smallest, hold, step_groups, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
