@@ -92,7 +92,8 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Pieces of token documents in context windows. A null or empty text is one end-of-text token; repeated rows are each packed."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the workers have served the other stages before and hold some of their memory
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=200_000)
 
 
 STAGES = [
