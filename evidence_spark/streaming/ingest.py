@@ -22,6 +22,10 @@ KINDS = ("parsed", "vectorized", "error", "submitted")
 
 EVENT = "doc_id long, kind string, attempt int, n int, place long, message string, text string"
 STATE = "status string, attempt int, n int"
+#: The states of the documents of a bucket, and until when (in milliseconds) those that wait will do so.
+BUCKET = "ids array<long>, status array<string>, attempt array<int>, n array<int>, due array<long>"
+#: Buckets into which documents are dealt by the hash of their ids; a checkpoint keeps to the number it began with.
+BUCKETS = 1024
 MOVE = "doc_id long, step int, state string, attempt int, reason string, place long, text string"
 
 
@@ -61,35 +65,52 @@ def moves(held: Held, kind: str, attempt: int | None, n: int | None, message: st
     return (held._replace(status="failed"), [("failed", failed)]) if failed else (held, [])
 
 
-def document_moves(events: DataFrame, patience: str = "10 minutes") -> DataFrame:
+def document_moves(events: DataFrame, patience: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """A stream of events (see EVENT) as a stream of moves (see MOVE); `step` orders the moves of a document.
 
-    The state of a document is its status and two numbers, whatever its texts, so a batch costs what its events cost. A document
-    that waits longer than `patience` (processing time) for a report fails, and its next file starts a new attempt. A move to
-    parsing carries the text; of several texts that come together the least is taken.
+    The state of a document is its status, three numbers and its id, whatever its texts. A keyed state holds the documents of a bucket, as
+    a call for a key costs some ten milliseconds however little it holds; so a batch costs what its events and the states of their
+    buckets cost. A document that waits longer than `patience` (processing time) for a report fails, and its next file starts
+    a new attempt. A move to parsing carries the text; of several texts that come together the least is taken.
     """
     wait = int(pd.Timedelta(patience).total_seconds() * 1000)
+    names = ["doc_id", "kind", "attempt", "n", "message", "place", "text"]
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = Held(*state.get) if state.exists else Held()
+        now = state.getCurrentProcessingTimeMs()
+        ids, *held, due = state.get if state.exists else ([], [], [], [], [])
+        docs = {d: (Held(*h), until) for d, *h, until in zip(ids, *held, due, strict=True)}
+        told: dict[int | None, list[tuple]] = {}
+        if not state.hasTimedOut:
+            seen = pd.concat(list(frames))[names]
+            whole = lambda c: [None if pd.isna(x) else int(x) for x in seen[c].tolist()]
+            plain = lambda c: [x if isinstance(x, str) else None for x in seen[c].tolist()]
+            for doc, *event in zip(*((plain if c in ("kind", "message", "text") else whole)(c) for c in names), strict=True):
+                told.setdefault(doc, []).append(tuple(event))
+            for found in told.values():
+                found.sort(key=lambda e: (KINDS.index(e[0]), e[1] or 0, e[5] or ""))
+        for doc, (_, until) in docs.items():  # reports that come with the end of the wait are in time
+            if until is not None and until <= now and doc not in told:
+                told[doc] = [("timeout", None, None, None, None, None)]
         rows: list[tuple] = []
-        if state.hasTimedOut:
-            told = [("timeout", None, None, None, None, None)]
-        else:
-            seen = pd.concat(list(frames))[["kind", "attempt", "n", "message", "place", "text"]]
-            seen = seen.astype(object).where(seen.notna(), None)
-            told = sorted(seen.itertuples(index=False, name=None), key=lambda e: (KINDS.index(e[0]), e[1] or 0, e[5] or ""))
-        for kind, attempt, n, message, place, text in told:
-            held, made = moves(held, kind, attempt, n, message)
-            for name, reason in made:
-                rows.append((key[0], len(rows), name, held.attempt, reason, place, text if name == "parsing" else None))
-        if held.status:
-            state.update(tuple(held))
-            if held.status in WAITING:
-                state.setTimeoutDuration(wait)
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in MOVE.split(", ")]).astype({"place": "Int64"})
-
-    return events.groupBy("doc_id").applyInPandasWithState(advance, MOVE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        for doc, found in told.items():
+            one, step = docs.get(doc, (Held(), None))[0], 0
+            for kind, attempt, n, message, place, text in found:
+                one, made = moves(one, kind, attempt, n, message)
+                for name, reason in made:
+                    rows.append((doc, step, name, one.attempt, reason, place, text if name == "parsing" else None))
+                    step += 1
+            if one.status:
+                docs[doc] = (one, now + wait if one.status in WAITING else None)
+        if docs:
+            state.update((list(docs), *map(list, zip(*(h for h, _ in docs.values()), strict=True)), [until for _, until in docs.values()]))
+            first = min((until for _, until in docs.values() if until is not None), default=None)
+            if first is not None:
+                state.setTimeoutDuration(max(1, first - now))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in MOVE.split(", ")]).astype({"doc_id": "Int64", "place": "Int64"})
+
+    dealt = events.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(buckets))))
+    return dealt.groupBy("bucket").applyInPandasWithState(advance, MOVE, BUCKET, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def ingest(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -91,3 +91,48 @@ def test_steps_that_never_report(spark, tmp_path):
         run.stop()
     assert [t for t in found if t[0] == 1] == [(1, 1, "failed", "timed out in parsing"), (1, 1, "parsing", None), (1, 1, "pending", None)]
     assert {(t[1], t[2]) for t in found if t[0] == 2} >= {(1, "failed"), (2, "pending"), (2, "parsing")}
+
+
+def test_documents_of_a_bucket_have_states_of_their_own(spark, tmp_path):
+    """All documents in one bucket: some report in time, one never does, and a file of a third comes while the second waits."""
+    path = str(tmp_path / "events")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(path)
+
+    arrive([(2**60 + d, "submitted", None, None, None, None, "t") for d in range(40)])
+    moved = document_moves(spark.readStream.schema(EVENT).parquet(path), "8 seconds", buckets=1)
+    run = moved.writeStream.format("memory").queryName("bucket_moves").outputMode("append").start()
+
+    def told():
+        return sorted((r.doc_id - 2**60, r.attempt, r.step, r.state, r.reason) for r in spark.table("bucket_moves").collect())
+
+    try:
+        end = time.time() + 90
+        while len(told()) < 80 and time.time() < end:
+            time.sleep(0.5)
+        arrive([(2**60 + d, kind, 1, 3, 0, None, None) for d in range(1, 40) for kind in ("vectorized", "parsed")])
+        while sum(t[3] in ("ready", "failed") for t in told()) < 40 and time.time() < end:
+            time.sleep(0.5)
+            arrive([(2**60 + 1, "submitted", None, None, None, None, "again")])  # a repeat that keeps the bucket busy
+        found = told()
+    finally:
+        run.stop()
+    assert [t[3:] for t in found if t[0] == 0] == [("pending", None), ("parsing", None), ("failed", "timed out in parsing")] or [t[3:] for t in found if t[0] == 0] == [("failed", "timed out in parsing"), ("pending", None), ("parsing", None)]
+    assert all(sorted(t[3] for t in found if t[0] == d) == ["parsing", "pending", "ready", "vectorizing"] for d in range(1, 40))
+
+
+def test_calls_do_not_grow_with_documents(spark, tmp_path):
+    """The state is keyed by buckets, so a bucket's documents cost one call."""
+    path = str(tmp_path / "many")
+    spark.range(500).selectExpr("id AS doc_id", "'submitted' AS kind", "CAST(NULL AS int) AS attempt", "CAST(NULL AS int) AS n", "CAST(NULL AS long) AS place", "CAST(NULL AS string) AS message", "'t' AS text").write.parquet(path)
+    moved = document_moves(spark.readStream.schema(EVENT).parquet(path), buckets=8)
+    run = moved.writeStream.format("memory").queryName("few_calls").outputMode("append").start()
+    try:
+        end = time.time() + 60
+        while spark.table("few_calls").count() < 1000 and time.time() < end:
+            time.sleep(0.5)
+        states = max((op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"]), default=0)
+    finally:
+        run.stop()
+    assert 0 < states <= 8
