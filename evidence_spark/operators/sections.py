@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from evidence_spark.operators.scan import running
 
 #: Levels of headings, and characters of a bin when intervals meet.
 LEVELS, BIN = 6, 4096
+#: Characters of sections whose slices are Python objects at once.
+PIECE = 4 << 20
 JOIN = 2  # characters between the texts of two blocks of a section
 
 
@@ -75,23 +77,53 @@ def chunk_spans(chunks: DataFrame, offsets: DataFrame, bin_size: int = BIN) -> D
 
 
 def _ranges(text: Column, keep_space: Column, starts: Column, child: int, parent: int) -> Column:
-    """(is_parent, start, end, first, last) slices of a section's text, each parent followed by its children, with the places of their blocks."""
+    """(is_parent, start, end, first, last, parents, text) slices of a section's text, each parent followed by its children.
 
-    @F.pandas_udf("array<struct<is_parent:boolean,start:int,end:int,first:int,last:int>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    first, last: places of their blocks; parents: those up to this slice, itself included. Results leave Python's objects every few megabytes.
+    """
+    kind = pa.struct([("is_parent", pa.bool_()), *((c, pa.int32()) for c in ("start", "end", "first", "last", "parents")), ("text", pa.string())])
+
+    def table(rows: list[tuple], sizes: list[int]) -> pa.Array:
+        columns = zip(*rows, strict=True) if rows else [()] * len(kind)
+        made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), made)
+
+    @F.arrow_udf("array<struct<is_parent:boolean,start:int,end:int,first:int,last:int,parents:int,text:string>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, keeps, begins in batches:
-            made = []
-            for t, keep, begin in zip(texts, keeps, begins, strict=True):
+            done, rows, sizes, held = [], [], [], 0
+            for i in range(len(texts)):
+                t, keep, begin = texts[i].as_py(), bool(keeps[i].as_py()), np.asarray(begins[i].values)
                 own = []
-                for lo, hi in token_ranges(t, parent, keep_space=bool(keep)):
-                    own += [(True, lo, hi), *((False, lo + a, lo + b) for a, b in token_ranges(t[lo:hi], child, keep_space=bool(keep)))]
+                for n, (lo, hi) in enumerate(token_ranges(t, parent, keep_space=keep), 1):
+                    own += [(True, lo, hi, n), *((False, lo + a, lo + b, n) for a, b in token_ranges(t[lo:hi], child, keep_space=keep))]
                 first, last = np.searchsorted(begin, [x[1] for x in own], "right") - 1, np.searchsorted(begin, [x[2] for x in own]) - 1
-                made.append([{"is_parent": p, "start": lo, "end": hi, "first": f, "last": e} for (p, lo, hi), f, e in zip(own, first.tolist(), last.tolist(), strict=True)])
-            yield pd.Series(made, dtype=object)
+                rows += [(p, lo, hi, f, e, n, t[lo:hi]) for (p, lo, hi, n), f, e in zip(own, first.tolist(), last.tolist(), strict=True)]
+                sizes.append(len(own))
+                held += len(t)
+                if held > PIECE:
+                    done.append(table(rows, sizes))
+                    rows, sizes, held = [], [], 0
+            yield pa.concat_arrays([*done, table(rows, sizes)])
 
     return run(text, keep_space, starts)
 
 
+def _placed(ranges: Column, b: Column) -> Column:
+    """The ranges with the parts of the blocks b that each touches, and their pages; made before they become rows, so no row holds the section."""
+
+    def one(r: Column) -> Column:
+        lo, hi = r["start"], r["end"]
+        near = F.slice(b, r["first"] + 1, r["last"] - r["first"] + 1)
+        touched = F.filter(near, lambda x: F.greatest(x["char_start"], lo) < F.least(x["char_end"], hi))
+        spans = F.transform(touched, lambda x: F.struct(
+            x["block_no"].cast("int").alias("block_no"), (F.greatest(x["char_start"], lo) - x["char_start"]).cast("int").alias("char_start"), (F.least(x["char_end"], hi) - x["char_start"]).cast("int").alias("char_end")
+        ))
+        return F.struct(r["is_parent"].alias("is_parent"), r["parents"].alias("parents"), r["text"].alias("text"), (hi - lo).alias("tokens"), F.transform(touched, lambda x: x["page"]).alias("pages"), spans.alias("spans"))
+
+    return F.transform(ranges, one)
+
+
 def structured_chunks(blocks: DataFrame, child: int = 256, parent: int = 1024) -> DataFrame:
     """Parents inside sections and children inside parents: doc_id, is_parent, chunk_index, parent_index, title, section_path, text, tokens, page_start, page_end, spans.
 
@@ -105,25 +137,14 @@ def structured_chunks(blocks: DataFrame, child: int = 256, parent: int = 1024) -
     )
     whole = F.array_join(F.transform(b, lambda x: x["text"]), "\n\n")
     cut = grouped.withColumns({"whole": whole, "ranges": _ranges(whole, F.get(b, F.lit(0))["kind"] == "code", F.transform(b, lambda x: x["char_start"]), child, parent)})
-    cut = cut.withColumn("_parents", F.size(F.filter("ranges", lambda r: r["is_parent"])).cast("long")).withColumn("_children", F.size("ranges") - F.col("_parents"))
+    cut = cut.withColumn("_parents", F.coalesce(F.try_element_at("ranges", F.lit(-1))["parents"], F.lit(0)).cast("long")).withColumn("_children", F.size("ranges") - F.col("_parents"))
+    cut = cut.select("doc_id", "group_no", "section_path", "_parents", "_children", _placed(F.col("ranges"), b).alias("ranges"))
     cut = running(cut, ["doc_id"], "group_no", {"_earlier": ("sum", F.col("_parents")), "_older": ("sum", F.col("_children"))}, before=True)
-    flat = cut.select(
-        "doc_id", "section_path", "whole", "b", F.coalesce("_earlier", F.lit(0)).alias("_earlier"), F.coalesce("_older", F.lit(0)).alias("_older"), F.posexplode("ranges").alias("_at", "r"),
-        F.transform("ranges", lambda r: r["is_parent"].cast("int")).alias("_kinds"),
-    )
-    # parents up to this range, itself included
-    known = F.aggregate(F.slice("_kinds", 1, F.col("_at") + 1), F.lit(0), lambda z, x: z + x)
-    place = (F.col("_earlier") + known - 1).cast("int")
-    lo, hi = F.col("r.start"), F.col("r.end")
-    touched = F.filter(F.slice(b, F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1), lambda x: (F.greatest(x["char_start"], lo) < F.least(x["char_end"], hi)))
-    flat = flat.withColumn("_touched", touched)
-    pages = F.transform("_touched", lambda x: x["page"])
-    spans = F.transform("_touched", lambda x: F.struct(
-        x["block_no"].cast("int").alias("block_no"), (F.greatest(x["char_start"], lo) - x["char_start"]).cast("int").alias("char_start"), (F.least(x["char_end"], hi) - x["char_start"]).cast("int").alias("char_end")
-    ))
+    flat = cut.select("doc_id", "section_path", F.coalesce("_earlier", F.lit(0)).alias("_earlier"), F.coalesce("_older", F.lit(0)).alias("_older"), F.posexplode("ranges").alias("_at", "r"))
+    place = (F.col("_earlier") + F.col("r.parents") - 1).cast("int")
     return flat.select(
         "doc_id", F.col("r.is_parent").alias("is_parent"),
-        F.when(F.col("r.is_parent"), place).otherwise((F.col("_older") + F.col("_at") - known).cast("int")).alias("chunk_index"),
+        F.when(F.col("r.is_parent"), place).otherwise((F.col("_older") + F.col("_at") - F.col("r.parents")).cast("int")).alias("chunk_index"),
         F.when(~F.col("r.is_parent"), place).alias("parent_index"), F.try_element_at("section_path", F.lit(-1)).alias("title"), "section_path",
-        F.substring("whole", lo + 1, hi - lo).alias("text"), (hi - lo).alias("tokens"), F.array_min(pages).alias("page_start"), F.array_max(pages).alias("page_end"), spans.alias("spans"),
+        F.col("r.text").alias("text"), F.col("r.tokens").alias("tokens"), F.array_min("r.pages").alias("page_start"), F.array_max("r.pages").alias("page_end"), F.col("r.spans").alias("spans"),
     )

@@ -83,3 +83,16 @@ def test_structured_chunks(spark):
     assert found.keys() == want.keys() and len(found) > 100
     for k, c in want.items():
         assert {n: found[k][n] for n in c} == c
+
+
+def test_slices_of_characters_need_no_table_of_stops(monkeypatch):
+    """Slices counted in characters are those of the general way, which finds all stops of a text first."""
+    import random
+
+    from evidence_spark.functions import structure
+
+    rng = random.Random(5)
+    cases = [("".join(rng.choices(alphabet, k=rng.randrange(0, 90))), rng.randrange(1, 30), keep) for alphabet in ("a \n", "ab .\n\t", "a\u3000\x1c\u0085。\n", "abc\n\n\n  ", "abcdef.") for _ in range(400) for keep in (False, True)]
+    slow = [structure.token_ranges(t, limit, lambda x: len(x), keep) for t, limit, keep in cases]
+    monkeypatch.setattr(structure, "Stops", None)
+    assert [structure.token_ranges(t, limit, keep_space=keep) for t, limit, keep in cases] == slow
