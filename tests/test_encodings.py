@@ -26,3 +26,23 @@ def test_texts_are_read(spark):
     assert [got[i] for i in range(len(rows))] == [t for t, _ in rows]
     assert got[90] == "" and got[91] is None and got[92] == "ÿ"
     assert decoded(TEXTS["koi8-r"].encode("koi8-r")) != TEXTS["koi8-r"]  # no CJK and hardly any ASCII: another reading is plainer
+
+
+def test_utf8_stays_in_the_jvm(spark, monkeypatch):
+    """Only bytes that are no UTF-8 go to Python; overlong forms, surrogates and cut characters are none."""
+    from pyspark.sql import functions as F
+
+    from evidence_spark.functions import encodings
+
+    rows = [b"", "héllo 中文 😀".encode(), b"\xc0\x80", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"abc\xe4\xb8", "中文".encode("utf-16"), None]
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, raw binary")
+    found = {r.id: r.t for r in table.select("id", encodings.decode_bytes(F.col("raw")).alias("t")).collect()}
+    assert found == {i: encodings.decoded(r) for i, r in enumerate(rows)}
+
+    def broken(raw):
+        if raw is not None:
+            raise RuntimeError("sent to Python")
+
+    monkeypatch.setattr(encodings, "decoded", broken)
+    assert table.filter("id < 2").select(encodings.decode_bytes(F.col("raw")).alias("t")).count() == 2
+    assert [r.t for r in table.filter("id < 2").orderBy("id").select(encodings.decode_bytes(F.col("raw")).alias("t")).collect()] == ["", "héllo 中文 😀"]
