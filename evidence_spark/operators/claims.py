@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +58,31 @@ def locate_quote(quote: Column, text: Column, fold: bool = False) -> Column:
     return run(quote, text)
 
 
+def _lists(values: Iterable[list[tuple] | None], kind: pa.StructType) -> pa.Array:
+    """Arrow lists of structs from lists of tuples, one value at a time: only its numbers are kept, neither texts nor objects of rows."""
+    columns: list[list] = [[] for _ in kind]
+    ends: list[int | None] = [0]
+    for value in values:
+        for row in value or ():
+            for column, x in zip(columns, row, strict=True):
+                column.append(x)
+        if value is None:
+            ends[-1] = None  # a null list begins nowhere
+        ends.append(len(columns[0]))
+    made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
+
+
 def locate_quotes(quotes: Column, text: Column, fold: bool = False) -> Column:
     """locate_quote for an array of quotes of one text, in their order; the text is read once. Null arrays give null."""
 
-    @F.pandas_udf("array<struct<char_start:int,char_end:int,reason:string>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        names = ("char_start", "char_end", "reason")
+    kind = pa.struct([("char_start", pa.int32()), ("char_end", pa.int32()), ("reason", pa.string())])
+
+    @F.arrow_udf("array<struct<char_start:int,char_end:int,reason:string>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for many, texts in batches:
-            yield pd.Series([None if qs is None else [dict(zip(names, located(q, t, fold), strict=True)) for q in qs] for qs, t in zip(many, texts)], dtype=object)
+            rows = ((qs.as_py(), t.as_py()) for qs, t in zip(many, texts, strict=True))
+            yield _lists((None if qs is None else [located(q, t, fold) for q in qs] for qs, t in rows), kind)
 
     return run(quotes, text)
 
@@ -103,10 +121,12 @@ def window_ranges(text: str | None, width: int) -> list[tuple[int, int]]:
 def citation_windows(text: Column, width: int = 1600) -> Column:
     """Array of windows (start, end) of a text."""
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield texts.map(lambda t: [{"start": a, "end": b} for a, b in window_ranges(t, width)])
+            yield _lists((window_ranges(t.as_py(), width) for t in texts), kind)
 
     return run(text)
 

@@ -68,3 +68,21 @@ def test_stream_of_documents(spark, tmp_path):
     assert status == [(1, "ready"), (2, "failed"), (2, "ready"), (3, "ready")]
     chunks = spark.read.parquet(f"{out}/chunks")
     assert {r.doc_id for r in chunks.collect()} == {1, 2, 3} and chunks.filter("doc_id = 1").count() > 1
+
+
+def test_quotes_and_windows_leave_python_as_columns(spark):
+    """Lists of null, empty and filled values in one batch; no list of rows is held as objects."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from evidence_spark.operators import claims
+
+    kind = pa.struct([("a", pa.int32()), ("b", pa.string())])
+    values = [None, [], [(1, None)], None, [(2, "x"), (None, "y")], None]
+    assert claims._lists(iter(values), kind).to_pylist() == [None if v is None else [{"a": a, "b": b} for a, b in v] for v in values]
+    rows = [(0, "one two. three", ["two.", "one   three", "", None]), (1, None, ["a"]), (2, "a", None), (3, "a a", ["a"]), (4, "", [])]
+    table = spark.createDataFrame(rows, "id int, t string, q array<string>").coalesce(1)
+    found = table.select("id", claims.locate_quotes(F.col("q"), F.col("t")).alias("x"), claims.citation_windows(F.col("t"), 4).alias("w")).collect()
+    for (_, t, q), r in zip(rows, sorted(found), strict=True):
+        assert r.x == (None if q is None else [claims.located(s, t) for s in q])
+        assert r.w == claims.window_ranges(t, 4)
