@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import SENTENCE_END
 
+#: Characters of blocks whose chunks are Python objects at once.
+PIECE = 4 << 20
 _SENTENCE = re.compile(f"(?<={SENTENCE_END})")
 
 
@@ -37,9 +39,17 @@ def flat_pieces(text: str, size: int, overlap: int) -> list[str]:
 def chunk_flat(text: Column, size: int = 600, overlap: int = 60) -> Column:
     """Array of the chunks of a block; null and blank blocks have none."""
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield texts.map(lambda t: flat_pieces(t or "", size, overlap))
+            done, made, held = [], [], 0
+            for t in texts:
+                block = t.as_py() or ""
+                made.append(flat_pieces(block, size, overlap))
+                held += len(block)
+                if held > PIECE:
+                    done.append(pa.array(made, pa.list_(pa.string())))
+                    made, held = [], 0
+            yield pa.concat_arrays([*done, pa.array(made, pa.list_(pa.string()))])
 
     return run(text)

@@ -96,3 +96,23 @@ def test_slices_of_characters_need_no_table_of_stops(monkeypatch):
     slow = [structure.token_ranges(t, limit, lambda x: len(x), keep) for t, limit, keep in cases]
     monkeypatch.setattr(structure, "Stops", None)
     assert [structure.token_ranges(t, limit, keep_space=keep) for t, limit, keep in cases] == slow
+
+
+def test_flat_chunks_leave_python_in_parts(spark, monkeypatch):
+    """A batch of more characters than are kept as objects gives the same chunks; a batch is one Arrow array in the function."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from evidence_spark.functions import chunks
+
+    monkeypatch.setattr(chunks, "PIECE", 500)
+    texts = ["one. two. " * 80, None, "", " ", "three", "中文。" * 200, "x" * 900, None]
+    batches = []
+    real = pa.concat_arrays
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: lambda column: batches.append(f) or column)
+    chunks.chunk_flat(F.col("t"), 100, 10)
+    assert len(batches) == 1
+    parts = []
+    monkeypatch.setattr(chunks.pa, "concat_arrays", lambda arrays: parts.append(len(arrays)) or real(arrays))
+    (made,) = batches[0](iter([pa.array(texts)]))
+    assert parts[0] > 2 and made.to_pylist() == [chunks.flat_pieces(t or "", 100, 10) for t in texts]
