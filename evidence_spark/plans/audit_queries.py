@@ -172,7 +172,9 @@ def fus_retrieval_grid(spark, d, asked="vec_id % 100 = 0"):
     from evidence_spark.operators.search import best
 
     e, q = labels_asked(spark, d, asked)
-    ends = best(e, ["label"], ["vec_id"], 11).unionByName(best(e, ["label"], [F.desc("vec_id")], 11)).select("label", F.col("vec_id").alias("chunk_id")).distinct()
+    # one window for both ends: a join over a union of two windows failed where it was no broadcast
+    ways = e.select("label", "vec_id", F.posexplode(F.array("vec_id", F.bitwise_not("vec_id"))).alias("way", "at"))
+    ends = best(ways, ["label", "way"], ["at"], 11).select("label", F.col("vec_id").alias("chunk_id")).distinct()
     rows = nearest(spark, d, asked, 10).select("query_id", F.col("id").alias("chunk_id"), "far")
     away = q.join(ends, "label").filter("query_id != chunk_id").select("query_id", "chunk_id", F.abs(F.col("chunk_id") - F.col("query_id")).alias("far"))
     hits = best(rows, ["query_id"], ["far", "chunk_id"], 10).withColumn("policy", F.lit("near")).unionByName(best(away, ["query_id"], [F.desc("far"), "chunk_id"], 10).withColumn("policy", F.lit("far")))

@@ -1,10 +1,12 @@
 """Goldens of audits, conditions and comparisons."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.chunks import flat_pieces
 from evidence_spark.functions.structure import structured_rows
 from evidence_spark.operators import audits, comparisons, conditions
+from evidence_spark.plans import registry
 
 QUOTE = "Model (X = CorpusA)\r\n 12.5%\r\n1,300\n\nModel (X = CorpusB, Y = High beam)\n7e1\n"
 
@@ -91,3 +93,16 @@ def test_rendered_order(spark):
     cells = spark.createDataFrame([(1, 1, "A", "x", "supported", "s1"), (1, 1, "A", "y", "supported", "s2"), (1, 2, "B", "x", "supported", "s3"), (1, 2, "B", "y", "supported", "s4")], "artifact_id int, doc_id int, title string, facet string, state string, statement string")
     r = audits.render_comparison(cells, ["y", "x"], {}).first()
     assert (r.status, r.gaps, r.markdown) == ("ready_for_review", [], "| A | s2 [1] | s1 [2] |\n| B | s4 [3] | s3 [4] |")
+
+
+def test_grid_without_broadcasts(spark):
+    """Tables beyond the size of a broadcast, which fus_retrieval_grid meets at 1 GB."""
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{at}/embeddings.parquet'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, registry.QUERIES["fus_retrieval_grid"](spark, at).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(con.execute(registry.ORACLES["fus_retrieval_grid"]).fetchall(), key=repr)
