@@ -66,12 +66,35 @@ def parse_rerank_payload(payload: Column) -> Column:
     return F.filter(pairs, lambda x: x["position"].isNotNull())
 
 
+#: Scored pairs that a task holds before it keeps the first k of each query; what is still more than half goes on to the window.
+HELD_PAIRS = 1 << 18
+
+
 def rank_pairs(pairs: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Series], k: int) -> DataFrame:
-    """The k passages of each query that a scoring function likes best. `pairs`: query_id, id, query, passage."""
+    """The k passages of each query that a scoring function likes best. `pairs`: query_id, id, query, passage.
+
+    Each task keeps the k best of its queries as pairs pass, so a window sorts these and not all pairs.
+    """
+    most = HELD_PAIRS
+
+    def first(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts).sort_values("id", na_position="first").sort_values("score", ascending=False, kind="stable")
+        return rows.groupby("query_id", sort=False, dropna=False).head(k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n, least = [], 0, None
         for rows in batches:
-            yield pd.DataFrame({"query_id": rows["query_id"], "id": rows["id"], "score": score(rows["query"], rows["passage"]).astype("float64")})
+            rows = pd.DataFrame({"query_id": rows["query_id"], "id": rows["id"], "score": score(rows["query"], rows["passage"]).astype("float64")})
+            held.append(rows if least is None else rows[~(rows["score"] < rows["query_id"].map(least))])
+            n += len(held[-1])
+            if n > most:
+                held = [first(held)]
+                n, least = len(held[0]), held[0].groupby("query_id").nth(k - 1).set_index("query_id")["score"]
+                if 2 * n > most:
+                    yield held[0]
+                    held, n = [], 0
+        if held:
+            yield first(held)
 
     kinds = dict(pairs.dtypes)
     scored = pairs.select("query_id", "id", "query", "passage").mapInPandas(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")

@@ -110,10 +110,12 @@ def emb_l2_normalize(spark, d):
 @query("""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, CAST(abs(e.vec_id - q.vec_id) % 13 AS DOUBLE) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)
  SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 4""")
 def vec_rank_pairs(spark, d):
-    """Pairs of one label; the injected scorer reads both texts of a pair, which are numbers here."""
+    """Pairs of one label, in salted groups, as labels are few; the injected scorer reads both texts of a pair, which are numbers here."""
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    pairs = e.join(q, "label").filter("vec_id != query_id").select("query_id", F.col("vec_id").alias("id"), F.col("query_id").cast("string").alias("query"), F.col("vec_id").cast("string").alias("passage"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
+    # a stated number of tasks, as the input of a join is small and its output is not
+    e = e.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32)).cast("int")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "salt")
+    pairs = e.join(q, ["label", "salt"]).filter("vec_id != query_id").select("query_id", F.col("vec_id").alias("id"), F.col("query_id").cast("string").alias("query"), F.col("vec_id").cast("string").alias("passage"))
     return evidence.rank_pairs(pairs, lambda a, b: (a.astype("int64") - b.astype("int64")).abs() % 13, 4)
 
 

@@ -1,5 +1,7 @@
 """Goldens of structure, selection and checks."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from evidence_spark.functions import structure
@@ -87,3 +89,22 @@ def test_broken_chunks(spark):
     rows = [(1, True, 0, None, ["a"], "xyz", 3), (1, False, 0, 0, ["a"], "xy", 2), (2, True, 1, None, ["a"], "xyz", 3), (2, False, 0, 1, ["b"], "xy", 9)]
     df = spark.createDataFrame(rows, "doc_id int, is_parent boolean, chunk_index int, parent_index int, section_path array<string>, text string, tokens int")
     assert [tuple(r) for r in evidence.verify_chunks(df, 5, 5).collect()] == [(2, ["index", "budget", "parent"])]
+
+
+def test_pairs_are_ranked_as_they_pass(spark, monkeypatch):
+    """With few or many pairs held at once, over several tasks and batches, ties by id and unscored pairs last."""
+    rnd = random.Random(3)
+    rows = [(q, i, str(rnd.randint(0, 4)) if i % 9 else "nan", "1") for q in range(40) for i in rnd.sample(range(500), rnd.randint(1, 60))] + [(99, None, "4", "1")]
+    want = set()
+    for q in {r[0] for r in rows}:
+        own = sorted(((r for r in rows if r[0] == q)), key=lambda r: (r[2] == "nan", -float(r[2]) if r[2] != "nan" else 0, r[1] or -1))[:5]
+        want |= {(q, r[1], k + 1) for k, r in enumerate(own)}
+    pairs = spark.createDataFrame([(q, None if i is None else str(i).zfill(3), a, b) for q, i, a, b in rows], "query_id long, id string, query string, passage string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for held in (10, 150, 1 << 18):
+            monkeypatch.setattr(evidence, "HELD_PAIRS", held)
+            got = evidence.rank_pairs(pairs, lambda a, b: a.astype("float64") * b.astype("float64"), 5).collect()
+            assert {(r.query_id, None if r.id is None else int(r.id), r["rank"]) for r in got} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
