@@ -131,13 +131,20 @@ def citation_windows(text: Column, width: int = 1600) -> Column:
     return run(text)
 
 
+#: Parts into which the picks of one window are dealt by their claim, so that a window that many claims name is in no single task.
+SALTS = 32
+
+
 def resolve_support(picks: DataFrame, windows: DataFrame, limit: int = 1600) -> DataFrame:
     """(claim_id, char_start, char_end, reason): the interval that encloses a claim's windows, if all are known, differ and it is short.
 
-    `picks`: claim_id, window_id; `windows`: window_id, start, end.
+    `picks`: claim_id, window_id; `windows`: window_id, start, end. Picks of a hot window are dealt into salted parts.
     """
-    joined = picks.join(windows, "window_id", "left").groupBy("claim_id").agg(
-        F.min("start").alias("s"), F.max("end").alias("e"), F.bool_or(F.col("start").isNull()).alias("unknown"), (F.count(F.lit(1)) > F.count_distinct("window_id")).alias("twice")
+    known = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # equal picks are counted first, so no claim's distinct windows are kept beside its sums
+    named = picks.groupBy("claim_id", "window_id").agg(F.count(F.lit(1)).alias("n")).withColumn("salt", F.pmod(F.xxhash64("claim_id"), F.lit(SALTS)).cast("int"))
+    joined = named.join(known, ["window_id", "salt"], "left").groupBy("claim_id").agg(
+        F.min("start").alias("s"), F.max("end").alias("e"), F.bool_or(F.col("start").isNull()).alias("unknown"), (F.max("n") > 1).alias("twice")
     )
     reason = F.when(F.col("unknown"), "unknown_window").when(F.col("twice"), "duplicate_window").when(F.col("e") - F.col("s") > limit, "too_long")
     return joined.select("claim_id", F.when(reason.isNull(), F.col("s")).alias("char_start"), F.when(reason.isNull(), F.col("e")).alias("char_end"), reason.alias("reason"))

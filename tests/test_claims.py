@@ -86,3 +86,23 @@ def test_quotes_and_windows_leave_python_as_columns(spark):
     for (_, t, q), r in zip(rows, sorted(found), strict=True):
         assert r.x == (None if q is None else [claims.located(s, t) for s in q])
         assert r.w == claims.window_ranges(t, 4)
+
+
+def test_hot_windows_are_dealt_into_parts(spark):
+    """Nine in ten claims name one window, which is too much for one task at size; twice, unknown and null windows keep their reasons."""
+    rows = [(c, 0) for c in range(4000)] + [(c, 1) for c in range(0, 4000, 10)] + [(1, 0), (2, 9), (2, 9), (3, None), (5, 2), (6, 1), (6, 1)]
+    picks = spark.createDataFrame(rows, "claim_id long, window_id long")
+    windows = spark.createDataFrame([(0, 0, 800), (1, 800, 1600), (2, 1600, 2400)], "window_id long, start int, end int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = claims.resolve_support(picks, windows)
+        got = {r.claim_id: (r.char_start, r.char_end, r.reason) for r in found.collect()}
+        met = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(window_id" in x]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {c: (0, 800, None) if c % 10 else (0, 1600, None) for c in range(4000)}
+    want |= {1: (None, None, "duplicate_window"), 2: (None, None, "unknown_window"), 3: (None, None, "unknown_window"), 5: (None, None, "too_long"), 6: (None, None, "duplicate_window")}
+    assert got == want
+    assert met and all("salt" in x for x in met)  # no join deals picks by their window alone
