@@ -1,5 +1,7 @@
 """Goldens of the library's functions and the registered queries against DuckDB."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -50,6 +52,24 @@ def test_union_coverage(spark):
     assert got == {1: (0.0, False), 2: (0.5, False), 3: (1.0, True)}
 
 
+def test_coverage_needs_one_join_and_no_window(spark):
+    """Gaps, neighbours, spans in one another and below k, against sets of places."""
+    rnd = random.Random(6)
+    gold = [(q, d, 1, a, a + rnd.randint(1, 12)) for q in range(6) for d in range(4) for a in (rnd.randint(0, 20), 30)] + [(9, None, 1, 0, 4)]
+    hits = [(q, r, rnd.randint(0, 3), 1, a, a + rnd.randint(1, 14)) for q in range(6) for r in range(1, 30) for a in [rnd.randint(0, 38)]] + [(9, 1, None, 1, 0, 9)]
+    found = evaluation.anchor_coverage(
+        spark.createDataFrame(gold + gold[:3], "query_id int, doc_id int, page int, g_start int, g_end int"), spark.createDataFrame(hits, "query_id int, rank int, doc_id int, page int, s_start int, s_end int"), (3, 12, 25)
+    )
+    want = {}
+    for q in {g[0] for g in gold}:
+        for k in (3, 12, 25):
+            told = [set(range(a, e)) <= {x for h in hits if h[0] == q and h[1] <= k and d is not None and h[2] == d for x in range(h[4], h[5])} for p, d, _, a, e in set(gold) if p == q]
+            want[q, k] = (round(sum(told) / len(told), 6), all(told))
+    assert {(r.query_id, r.k): (r.recall, r.complete) for r in found.collect()} == want and len({r for r, _ in want.values()}) > 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" not in plan
+
+
 def test_ranking_golden(spark):
     ranked = spark.createDataFrame([("q", "b", 1), ("q", "a", 2), ("q", "c", 3)], "query_id string, id string, rank int")
     got = {r.k: (r.recall, r.mrr) for r in evaluation.ranking_metrics(ranked, spark.createDataFrame([("q", "a")], "query_id string, id string"), (1, 2)).collect()}
