@@ -28,6 +28,19 @@ def normal_form(text: str) -> tuple[str, np.ndarray]:
     return "".join(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
+# Fixed value: characters whose letter case is one character each way; compared in lower case they match as a pattern without case does.
+PLAIN_CASE = re.compile(r"[\x00-\xb4\xb6-\u012f\u0132-\u0148\u014a-\u017e\u2010-\u2027\u2030-\u205e\u3000-\u30ff\u4e00-\u9fff]*")
+
+
+@lru_cache(maxsize=16)
+def flat_form(plain: str, fold: bool) -> str | None:
+    """The text with single blanks between its words and, with `fold`, in lower case; null where that doesn't match as a pattern does."""
+    if fold and not PLAIN_CASE.fullmatch(plain):
+        return None
+    flat = " ".join(plain.split())
+    return flat.lower() if fold else flat
+
+
 def located(quote: str | None, text: str | None, fold: bool = False) -> tuple[int | None, int | None, str | None]:
     """(start, end, reason): the one place of a quote in a text; offsets are those of the text.
 
@@ -39,6 +52,15 @@ def located(quote: str | None, text: str | None, fold: bool = False) -> tuple[in
     if not words:
         return None, None, "quote_not_found"
     plain, place = normal_form(text)
+    flat, sought = flat_form(plain, fold), flat_form(" ".join(words), fold)
+    if flat is not None and sought is not None:  # most quotes need no pattern, which takes longer to make than to use
+        at = flat.find(sought)
+        if at < 0:
+            return None, None, "quote_not_found"
+        if flat.find(sought, at + len(sought)) >= 0:
+            return None, None, "ambiguous_quote"
+        if len(flat) == len(plain):  # blanks stand alone, so places are the same
+            return int(place[at]), int(place[at + len(sought) - 1]) + 1, None
     found = re.compile(r"\s+".join(map(re.escape, words)), re.IGNORECASE if fold else 0).finditer(plain)
     first, second = next(found, None), next(found, None)
     if first is None or second is not None:

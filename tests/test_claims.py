@@ -1,5 +1,9 @@
 """Goldens of quotes, windows, files and the stream of documents."""
 
+import random
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from evidence_spark.operators import claims
@@ -106,3 +110,27 @@ def test_hot_windows_are_dealt_into_parts(spark):
     want |= {1: (None, None, "duplicate_window"), 2: (None, None, "unknown_window"), 3: (None, None, "unknown_window"), 5: (None, None, "too_long"), 6: (None, None, "duplicate_window")}
     assert got == want
     assert met and all("salt" in x for x in met)  # no join deals picks by their window alone
+
+
+def test_quotes_without_a_pattern():
+    """The quick way gives what the pattern gives, for all characters it is meant for, and takes no pattern for most lines."""
+    plain = [chr(c) for c in range(0x3100) if claims.PLAIN_CASE.fullmatch(chr(c))]
+    assert all(len(c.lower()) == 1 for c in plain)
+    cased = [c for c in plain if c.lower() != c or c.upper() != c]
+    for c in cased:
+        assert set(re.findall(re.escape(c), "".join(cased), re.IGNORECASE)) == {x for x in cased if x.lower() == c.lower()}
+
+    def by_pattern(quote, text, fold):
+        form, place = claims.normal_form(text)
+        found = list(re.finditer(r"\s+".join(map(re.escape, unicodedata.normalize("NFKC", quote).split())), form, re.IGNORECASE if fold else 0))
+        return (int(place[found[0].start()]), int(place[found[0].end() - 1]) + 1, None) if len(found) == 1 else (None, None, "ambiguous_quote" if found else "quote_not_found")
+
+    rnd = random.Random(2)
+    parts = ["a", "B", "ab", " ", " ", "  ", "\n", "\t", "É", "é", "ß", "ﬁ", "İ", "ſ", "s", "中", ".", "\x1f", "ΣΑΣ", "½"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        at = rnd.randint(0, len(text) - 1)
+        quote = rnd.choice([str.upper, str.lower, str])(text[at : at + rnd.randint(1, 5)])
+        for fold in (False, True):
+            if quote.split():
+                assert claims.located(quote, text, fold) == by_pattern(quote, text, fold), (quote, text, fold)
