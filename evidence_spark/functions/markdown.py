@@ -53,7 +53,8 @@ def markdown_to_text(text: Column) -> Column:
             t = F.regexp_replace(t, "(?dmU)" + pattern.format(w=_JAVA), new.replace("\\", "$"))
         return t
 
-    joined = F.array_join(F.transform(parts, lambda t, i: F.when(i % 2 == 0, prose(t)).otherwise(t)), "")
+    marked = lambda t: t.rlike(r"[#>*+\[_`-]")  # noqa: E731  (each pattern needs one of these)
+    joined = F.array_join(F.transform(parts, lambda t, i: F.when((i % 2 == 0) & marked(t), prose(t)).otherwise(t)), "")
     return F.when(text.rlike(rf"(?dmU)^{_JAVA}*```[^\n]*\z"), F.regexp_replace(joined, r"\n\z", "")).otherwise(joined)
 
 
@@ -77,22 +78,29 @@ def markdown_blocks(text: Column) -> Column:
         underlined = rf"(?dU)\G\n?([^\n]+\n{_patterns(_JAVA)['underline']})(?=\n|\z)"
         return F.flatten(F.transform(F.split(marked, CUT), lambda x: F.split(F.regexp_replace(x, underlined, f"{CUT}$1{CUT}"), CUT)))
 
-    def typed(x: Column) -> Column:
+    # each step takes a piece's values from the step before, as a value that a lambda names twice is worked out twice
+    def read(x: Column) -> Column:
         under = rf"(?dU)\A([^\n]+)\n{_patterns(_JAVA)['underline']}\z"
+        return F.struct(x.alias("x"), F.length(F.regexp_extract(x, _J["title"], 1)).alias("marks"), F.regexp_extract(x, under, 1).alias("under"))
+
+    def told(p: Column) -> Column:
+        x, marks, under = p["x"], p["marks"], p["under"]
         title = F.regexp_replace(F.regexp_extract(x, _J["title"], 2), _J["closing"], "")
-        marks = F.length(F.regexp_extract(x, _J["title"], 1))
         return F.struct(
-            F.when((marks > 0) | x.rlike(under), "heading").otherwise("paragraph").alias("kind"),
-            F.when(marks > 0, marks).when(x.rlike(under), F.when(F.contains(F.substring_index(x, "\n", -1), F.lit("=")), 1).otherwise(2)).cast("int").alias("level"),
-            clean_text(markdown_to_text(F.when(marks > 0, title).when(x.rlike(under), F.regexp_extract(x, under, 1)).otherwise(x))).alias("text"),
+            F.when((marks > 0) | (under != ""), "heading").otherwise("paragraph").alias("kind"),
+            F.when(marks > 0, marks).when(under != "", F.when(F.contains(F.substring_index(x, "\n", -1), F.lit("=")), 1).otherwise(2)).cast("int").alias("level"),
+            F.when(marks > 0, title).when(under != "", under).otherwise(x).alias("text"),
         )
 
-    def part(prose: Column, i: Column) -> Column:
-        blocks = F.transform(pieces(prose), typed)
-        fenced = _block("code", None, F.regexp_replace(F.try_element_at(code, i + 1), r"\n\z", ""))
-        return F.when(i < F.size(code), F.concat(blocks, F.array(fenced))).otherwise(blocks)
+    def plain(p: Column) -> Column:
+        return F.struct(p["kind"].alias("kind"), p["level"].alias("level"), clean_text(markdown_to_text(p["text"])).alias("text"))
+
+    def part(z: Column) -> Column:
+        blocks = F.transform(F.transform(F.transform(pieces(z["prose"]), read), told), plain)
+        fenced = _block("code", None, F.regexp_replace(z["code"], r"\n\z", ""))
+        return F.when(z["code"].isNotNull(), F.concat(blocks, F.array(fenced))).otherwise(blocks)
 
-    found = F.flatten(F.transform(F.split(lines, _J["fence"]), part))
+    found = F.flatten(F.transform(F.arrays_zip(F.split(lines, _J["fence"]).alias("prose"), code.alias("code")), part))
     kept = F.filter(found, lambda b: b["text"].rlike(r"(?U)[^\s\x1c-\x1f]"))
     return F.transform(kept, lambda b, i: F.struct(
         i.cast("int").alias("block_no"), b["kind"].alias("kind"), b["level"].alias("level"), b["text"].alias("text"), F.lit(None).cast("int").alias("page")

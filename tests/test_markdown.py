@@ -1,6 +1,7 @@
 """Blocks of Markdown: goldens, and the column against the plain function."""
 
 import random
+import time
 
 import pytest
 
@@ -43,3 +44,13 @@ def test_column(spark):
         assert blocks(got[i]) == want
     for i, t in enumerate(texts):
         assert [b.asDict() for b in got[i]] == markdown.markdown_rows(t), repr(t)
+
+
+def test_many_fences_take_no_square_time(spark):
+    """All code of a text was once cut out again for each of its fences."""
+    texts = [f"line {i}\n~~~\n" * 12_000 for i in range(2)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    began = time.time()
+    got = df.select(F.size(markdown.markdown_blocks(F.col("t"))).alias("n")).collect()
+    assert [r.n for r in got] == [len(markdown.markdown_rows(t)) for t in texts]
+    assert time.time() - began < 60
