@@ -263,6 +263,16 @@ def test_word_tokens_equal_the_tokenizer(tokenizer):
         assert own.ids(t).tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_tokens_of_many_texts(tokenizer):
+    # small letters beyond the table, short forms, texts that only UTF-16 holds, groups of a few texts, words that are not kept
+    own = packing.WordTokens(tokenizer, keep=20, group=40)
+    texts = ["Ɓa Ⱥb", "x's's ''s !'s 'll'RE'd1 'somewhere", "œuvre Œ's", "", "  ", "\n", "<|endoftext|>x", "日本 a", "a\xa0b\xad c"]
+    texts += [f"{chr(c)}a {chr(c)}'S1{chr(c)}" for c in range(1, 0x260)] + ["one two three one", "two"] * 3
+    for t, got in zip(texts, own.many(texts), strict=True):
+        assert got.tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert len(own.at) == 20
+
+
 # --- personal data
 
 
