@@ -17,11 +17,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _LEFT: list[str] = []
 
 
+#: Bytes after which an Arrow batch ends. Python workers serve all stages and keep what their largest batches took.
+BATCH = "4m"
+
+
 def _stage(make):
-    """A stage begins when the rows of the stage before are stored, so the tables which that one was made from go first."""
+    """A stage begins when the rows of the stage before are stored, so the tables which that one was made from go first.
+
+    The session's Arrow batches are bounded from then on, as a stage's rows are made when they are asked for.
+    """
 
     @wraps(make)
     def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
         remove_paths(spark, _LEFT)
         with recorded(_LEFT):
             return make(spark, docs, sf_dir)

@@ -189,3 +189,18 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_batches_of_a_stage_are_bounded(spark):
+    import corpus_pipeline as p
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    stage = p._stage(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n long"))
+    docs = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("some text "), 1000).alias("text"))
+    found = [r.n for r in stage(spark, docs, "").collect()]
+    assert sum(found) >= 30_000_000 and max(found) < 5_000_000
