@@ -281,3 +281,19 @@ def verify_chunks(chunks: DataFrame, child: int, parent: int) -> DataFrame:
     rules = joined.groupBy("doc_id").agg(F.bool_or(orphan).alias("orphan"), F.bool_or(over).alias("over"), (gaps(F.col("is_parent")) | gaps(~F.col("is_parent"))).alias("gap"))
     found = F.array_compact(F.array(F.when(F.col("gap"), "index"), F.when(F.col("over"), "budget"), F.when(F.col("orphan"), "parent")))
     return rules.select("doc_id", found.alias("problems")).filter("size(problems) > 0")
+
+
+def index_gaps(chunks: DataFrame, each: dict[str, Column], all_: dict[str, Column]) -> DataFrame:
+    """(doc_id, gap, ...): whether the indexes of a document's parents, or those of its children, are other than 0, 1, 2 and so on, each once.
+
+    Sums go by index (`each`: their other columns) and then by document (`all_`: sums of these), so chunks that are dealt by document are
+    not shuffled, and others are not by document alone. The first sums have is_parent and n, the number of chunks.
+    """
+    kind = F.col("is_parent")
+    sums = chunks.groupBy("doc_id", "is_parent", "chunk_index").agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in each.items()])
+
+    def gap(k: Column) -> Column:
+        n = F.coalesce(F.sum(F.when(k, F.col("n"))), F.lit(0))
+        return (n != F.coalesce(F.max(F.when(k, F.col("chunk_index"))) + 1, F.lit(0))) | (n != F.count_if(k & F.col("chunk_index").isNotNull()))
+
+    return sums.groupBy("doc_id").agg((gap(kind) | gap(~kind)).alias("gap"), *[c.alias(name) for name, c in all_.items()])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.canonical import canonical_json, float_bits, nested_id
+from evidence_spark.operators.evidence import index_gaps
 from evidence_spark.sources.scratch import scratch_folder
 
 # --- chunks
@@ -19,17 +22,26 @@ def _named(rows: DataFrame, prefix: str, *columns: str) -> Column:
     return nested_id(prefix, F.struct(*columns), kept.schema)
 
 
+def _families(chunks: DataFrame) -> DataFrame:
+    """Names a column by which chunks meet their parents, so that windows over it share a sort."""
+    return chunks if "_family" in chunks.columns else chunks.withColumn("_family", F.coalesce("parent_index", "chunk_index"))
+
+
+def _of_parent(value: Column) -> Column:
+    """What a chunk's parent has; of chunks from `_families`."""
+    return F.max(F.when(F.col("is_parent"), value)).over(Window.partitionBy("doc_id", "_family"))
+
+
 def expected_chunk_ids(chunks: DataFrame) -> DataFrame:
     """Adds expected_parent and expected_id: a chunk's id covers its input, all that it says and its parent's id.
 
     `chunks`: what `structured_chunks` gives, with input_id. A parent and its children share a window, so nothing is joined.
     """
-    chunks = chunks.withColumn("_none", F.lit(None).cast("string"))
-    parent = F.max(F.when(F.col("is_parent"), F.col("_own"))).over(Window.partitionBy("doc_id", F.coalesce("parent_index", "chunk_index")))
+    chunks = _families(chunks).withColumn("_none", F.lit(None).cast("string"))
     first = chunks.withColumn("_own", F.when(F.col("is_parent"), _named(chunks, "chunk_", *CHUNK, "input_id", "_none")))
-    known = first.withColumn("expected_parent", F.when(~F.col("is_parent"), parent))
+    known = first.withColumn("expected_parent", F.when(~F.col("is_parent"), _of_parent(F.col("_own"))))
     own = _named(known.withColumnRenamed("expected_parent", "_p").withColumn("_none", F.col("_p")), "chunk_", *CHUNK, "input_id", "_none")
-    return known.withColumn("_none", F.col("expected_parent")).withColumn("expected_id", own).drop("_none", "_own")
+    return known.withColumn("_none", F.col("expected_parent")).withColumn("expected_id", F.when(F.col("is_parent"), F.col("_own")).otherwise(own)).drop("_none", "_own", "_family")
 
 
 def chunk_stats(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -43,6 +55,43 @@ def chunk_stats(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     return given.join(sums, "doc_id", "left").select("doc_id", "input_blocks", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
 
 
+#: Numbers of `chunk_stats`, and faults of `chunk_faults` in their order.
+STATS, FAULTS = ("input_blocks", "parent_count", "child_count", "parent_tokens", "child_tokens"), ("id", "duplicate", "index", "budget", "parent", "stats")
+
+
+def chunk_rules(chunks: DataFrame, child: int, parent: int, told: str | None = None) -> DataFrame:
+    """(doc_id, id, duplicate, index, budget, parent, parent_count, child_count, parent_tokens, child_tokens): rules that chunks break, and their numbers.
+
+    `chunks`: those of `chunk_faults`. `told`: a column of tokens, whose sums are told_parent_tokens and told_child_tokens. Chunks that are
+    dealt by document, as those of `structured_chunks`, are read once and not shuffled.
+    """
+    seen = expected_chunk_ids(_families(chunks).withColumns({"_path": _of_parent(F.col("section_path")), "_text": _of_parent(F.col("text")), "_above": _of_parent(F.col("chunk_id"))}))
+    kind = F.col("is_parent")
+    orphan = ~kind & ~F.coalesce((F.col("_path") == F.col("section_path")) & F.contains("_text", "text") & (F.col("_above") == F.col("parent_chunk_id")), F.lit(False))
+    over = F.col("tokens") > F.when(kind, parent).otherwise(child)
+    sizes = {"tokens": F.col("tokens")} | ({"told": F.col(told)} if told else {})
+    slim = seen.select(
+        "doc_id", "is_parent", "chunk_index", "chunk_id", (~F.col("chunk_id").eqNullSafe(F.col("expected_id"))).alias("id"), over.alias("budget"), orphan.alias("parent"), *[c.alias(k) for k, c in sizes.items()]
+    )
+    twice = F.col("chunk_id").isNull() | (F.count(F.lit(1)).over(Window.partitionBy("doc_id", "chunk_id")) > 1)
+    flags = ("id", "duplicate", "budget", "parent")
+    each = {c: F.bool_or(c) for c in flags} | {k: F.sum(k) for k in sizes}
+    number = lambda k, c: F.coalesce(F.sum(F.when(k, F.col(c))), F.lit(0))
+    totals = {"parent_count": number(kind, "n"), "child_count": number(~kind, "n"), "parent_tokens": number(kind, "tokens"), "child_tokens": number(~kind, "tokens")}
+    totals |= {"told_parent_tokens": number(kind, "told"), "told_child_tokens": number(~kind, "told")} if told else {}
+    return index_gaps(slim.withColumn("duplicate", twice), each, {c: F.bool_or(c) for c in flags} | totals).withColumnRenamed("gap", "index")
+
+
+def name_faults(rules: DataFrame, told: Mapping[str, Column]) -> DataFrame:
+    """(doc_id, problems) of `chunk_rules` with input_blocks, if what is told of their numbers (null: nothing) is other than these."""
+    same = lambda now, then: F.struct(*[now[c].cast("long").alias(c) for c in STATS]).eqNullSafe(F.struct(*[then[c].cast("long").alias(c) for c in STATS]))
+    none = lambda numbers: numbers["input_blocks"].isNull()
+    now = {"input_blocks": F.col("input_blocks")} | {c: F.coalesce(c, F.lit(0)) for c in STATS[1:]}
+    stats = F.when(none(now) | none(told), none(now) != none(told)).otherwise(~same(now, told))
+    found = rules.withColumn("stats", stats)
+    return found.select("doc_id", F.array_compact(F.array(*[F.when(F.col(c), c) for c in FAULTS])).alias("problems")).filter("size(problems) > 0")
+
+
 def chunk_faults(chunks: DataFrame, stored: DataFrame, blocks: DataFrame, child: int, parent: int) -> DataFrame:
     """(doc_id, problems): rules that a document's chunks break: id, duplicate, index, budget, parent, stats.
 
@@ -50,26 +99,10 @@ def chunk_faults(chunks: DataFrame, stored: DataFrame, blocks: DataFrame, child:
     recomputed from contents, so any change of a chunk, its parent or its input shows. A child needs a parent with the same path and
     a text that holds its own. Documents that are not stored, or stored without chunks, break stats.
     """
-    known = expected_chunk_ids(chunks)
-    place = Window.partitionBy("doc_id", F.coalesce("parent_index", "chunk_index"))
-    above = lambda c: F.max(F.when(F.col("is_parent"), F.col(c))).over(place)
-    seen = known.withColumns({"_path": above("section_path"), "_text": above("text"), "_above": above("chunk_id")})
-    orphan = ~F.col("is_parent") & ~F.coalesce((F.col("_path") == F.col("section_path")) & F.contains("_text", "text") & (F.col("_above") == F.col("parent_chunk_id")), F.lit(False))
-    over = F.col("tokens") > F.when(F.col("is_parent"), parent).otherwise(child)
-    kind = F.col("is_parent")
-    gaps = lambda k: (F.count_if(k) != F.coalesce(F.max(F.when(k, F.col("chunk_index"))) + 1, F.lit(0))) | (F.count_distinct(F.when(k, F.col("chunk_index"))) != F.count_if(k))
-    rules = seen.groupBy("doc_id").agg(
-        F.bool_or(~F.col("chunk_id").eqNullSafe(F.col("expected_id"))).alias("id"), (F.count_distinct("chunk_id") < F.count(F.lit(1))).alias("duplicate"),
-        (gaps(kind) | gaps(~kind)).alias("index"), F.bool_or(over).alias("budget"), F.bool_or(orphan).alias("parent"),
-    )
-    counted = chunk_stats(chunks, blocks)
-    names = [c for c in counted.columns if c != "doc_id"]
-    now = counted.select("doc_id", F.struct(*[F.col(c).cast("long").alias(c) for c in names]).alias("_now"))
-    told = stored.select("doc_id", F.struct(*[F.col(c).cast("long").alias(c) for c in names]).alias("_told"))
-    numbers = now.join(told, "doc_id", "full").select("doc_id", (~F.col("_now").eqNullSafe(F.col("_told"))).alias("stats"))
-    found = rules.join(numbers, "doc_id", "full")
-    order = ("id", "duplicate", "index", "budget", "parent", "stats")
-    return found.select("doc_id", F.array_compact(F.array(*[F.when(F.col(c), c) for c in order])).alias("problems")).filter("size(problems) > 0")
+    given = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("input_blocks"))
+    told = stored.select("doc_id", *[F.col(c).alias(f"_told_{c}") for c in STATS])
+    found = chunk_rules(chunks, child, parent).join(given, "doc_id", "full").join(told, "doc_id", "full")
+    return name_faults(found, {c: F.col(f"_told_{c}") for c in STATS})
 
 
 # --- reviews

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidence_spark.functions.structure import ALONE, token_ranges
+from evidence_spark.functions.structure import ALONE, SPACES, slices
 from evidence_spark.functions.text import strip
 from evidence_spark.operators.scan import running
 
 #: Levels of headings, and characters of a bin when intervals meet.
 LEVELS, BIN = 6, 4096
-#: Characters of sections whose slices are Python objects at once.
-PIECE = 4 << 20
 JOIN = 2  # characters between the texts of two blocks of a section
 
 
@@ -76,69 +70,84 @@ def chunk_spans(chunks: DataFrame, offsets: DataFrame, bin_size: int = BIN) -> D
     return met.filter((left < right) & first).select("chunk_id", "doc_id", "group_no", "block_no", (left - F.col("_from")).alias("char_start"), (right - F.col("_from")).alias("char_end"))
 
 
-def _ranges(text: Column, keep_space: Column, starts: Column, child: int, parent: int) -> Column:
-    """(is_parent, start, end, first, last, parents, text) slices of a section's text, each parent followed by its children.
+def _ranges(text: Column, keep_space: Column, b: Column, block: str, child: int, parent: int) -> Column:
+    """(is_parent, parents, text, tokens, pages, spans) slices of a section's text, each parent followed by its children.
 
-    first, last: places of their blocks; parents: those up to this slice, itself included. Results leave Python's objects every few megabytes.
+    parents: those up to this slice, itself included; b: the section's blocks, of the type `block`. Built-in functions only, as rows that
+    have been in Python must be dealt anew. Blocks hold a character at least and stand JOIN apart, so a parent looks at so many.
     """
-    kind = pa.struct([("is_parent", pa.bool_()), *((c, pa.int32()) for c in ("start", "end", "first", "last", "parents")), ("text", pa.string())])
-
-    def table(rows: list[tuple], sizes: list[int]) -> pa.Array:
-        columns = zip(*rows, strict=True) if rows else [()] * len(kind)
-        made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), made)
-
-    @F.arrow_udf("array<struct<is_parent:boolean,start:int,end:int,first:int,last:int,parents:int,text:string>>")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, keeps, begins in batches:
-            done, rows, sizes, held = [], [], [], 0
-            for i in range(len(texts)):
-                t, keep, begin = texts[i].as_py(), bool(keeps[i].as_py()), np.asarray(begins[i].values)
-                own = []
-                for n, (lo, hi) in enumerate(token_ranges(t, parent, keep_space=keep), 1):
-                    own += [(True, lo, hi, n), *((False, lo + a, lo + b, n) for a, b in token_ranges(t[lo:hi], child, keep_space=keep))]
-                first, last = np.searchsorted(begin, [x[1] for x in own], "right") - 1, np.searchsorted(begin, [x[2] for x in own]) - 1
-                rows += [(p, lo, hi, f, e, n, t[lo:hi]) for (p, lo, hi, n), f, e in zip(own, first.tolist(), last.tolist(), strict=True)]
-                sizes.append(len(own))
-                held += len(t)
-                if held > PIECE:
-                    done.append(table(rows, sizes))
-                    rows, sizes, held = [], [], 0
-            yield pa.concat_arrays([*done, table(rows, sizes)])
-
-    return run(text, keep_space, starts)
-
-
-def _placed(ranges: Column, b: Column) -> Column:
-    """The ranges with the parts of the blocks b that each touches, and their pages; made before they become rows, so no row holds the section."""
-
-    def one(r: Column) -> Column:
-        lo, hi = r["start"], r["end"]
-        near = F.slice(b, r["first"] + 1, r["last"] - r["first"] + 1)
-        touched = F.filter(near, lambda x: F.greatest(x["char_start"], lo) < F.least(x["char_end"], hi))
-        spans = F.transform(touched, lambda x: F.struct(
+    near = parent // (JOIN + 1) + 5
+
+    def pieces(whole: Column, limit: int) -> Column:
+        return F.when(keep_space, slices(whole, limit, True)).otherwise(slices(whole, limit))
+
+    def solid(x: Column) -> Column:
+        return F.when(keep_space, x).otherwise(F.btrim(x, F.lit(SPACES)))
+
+    def begin(x: Column) -> Column:
+        return F.when(keep_space, 0).otherwise(F.length(x) - F.length(F.ltrim(x, F.lit(SPACES))))
+
+    def touched(blocks: Column, lo: Column, hi: Column) -> Column:
+        return F.filter(blocks, lambda x: F.greatest(x["char_start"], lo) < F.least(x["char_end"], hi))
+
+    # each step takes its values from the step before, as a value that a lambda names twice is worked out twice
+    def stepped(whole: Column, limit: int) -> Column:
+        """(lo, hi, text) of each slice."""
+        one = F.transform(pieces(whole, limit), lambda x: F.struct(F.length(x).alias("size"), begin(x).alias("skip"), solid(x).alias("text")))
+
+        def add(so_far: Column, x: Column) -> Column:
+            lo = so_far["at"] + x["skip"]
+            return F.struct((so_far["at"] + x["size"]).alias("at"), F.concat(so_far["out"], F.array(F.struct(lo.alias("lo"), (lo + F.length(x["text"])).alias("hi"), x["text"].alias("text")))).alias("out"))
+
+        none = F.array().cast("array<struct<lo:int,hi:int,text:string>>")
+        return F.aggregate(one, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda x: x["out"])
+
+    def placed(slice_: Column, is_parent: bool, n: Column, blocks: Column) -> Column:
+        lo, hi = slice_["lo"], slice_["hi"]
+        spans = F.transform(blocks, lambda x: F.struct(
             x["block_no"].cast("int").alias("block_no"), (F.greatest(x["char_start"], lo) - x["char_start"]).cast("int").alias("char_start"), (F.least(x["char_end"], hi) - x["char_start"]).cast("int").alias("char_end")
         ))
-        return F.struct(r["is_parent"].alias("is_parent"), r["parents"].alias("parents"), r["text"].alias("text"), (hi - lo).alias("tokens"), F.transform(touched, lambda x: x["page"]).alias("pages"), spans.alias("spans"))
-
-    return F.transform(ranges, one)
+        return F.struct(
+            F.lit(is_parent).alias("is_parent"), n.alias("parents"), slice_["text"].alias("text"), (hi - lo).alias("tokens"), F.transform(blocks, lambda x: x["page"]).alias("pages"), spans.alias("spans")
+        )
+
+    def family(p: Column) -> Column:
+        """A parent and its children, which touch blocks of their parent only."""
+        moved = F.transform(stepped(p["slice"]["text"], child), lambda c: F.struct((c["lo"] + p["slice"]["lo"]).alias("lo"), (c["hi"] + p["slice"]["lo"]).alias("hi"), c["text"].alias("text")))
+        met = F.transform(moved, lambda c: F.struct(c.alias("slice"), touched(p["own"], c["lo"], c["hi"]).alias("own")))
+        return F.concat(F.array(placed(p["slice"], True, p["n"], p["own"])), F.transform(met, lambda c: placed(c["slice"], False, p["n"], c["own"])))
+
+    def meet(so_far: Column, x: Column) -> Column:
+        """The blocks of the next parent; `past` of them end before it, so none is looked at by all parents."""
+        rest = F.slice(b, so_far["past"] + 1, near)
+        n = F.size(so_far["out"]) + 1
+        return F.struct(
+            (so_far["past"] + F.size(F.filter(rest, lambda y: y["char_end"] <= x["hi"]))).alias("past"),
+            F.concat(so_far["out"], F.array(F.struct(x.alias("slice"), n.alias("n"), touched(rest, x["lo"], x["hi"]).alias("own")))).alias("out"),
+        )
+
+    none = F.array().cast(f"array<struct<slice:struct<lo:int,hi:int,text:string>,n:int,own:array<{block}>>>")
+    parents = F.aggregate(stepped(text, parent), F.struct(F.lit(0).alias("past"), none.alias("out")), meet, lambda x: x["out"])
+    return F.flatten(F.transform(parents, family))
 
 
 def structured_chunks(blocks: DataFrame, child: int = 256, parent: int = 1024) -> DataFrame:
     """Parents inside sections and children inside parents: doc_id, is_parent, chunk_index, parent_index, title, section_path, text, tokens, page_start, page_end, spans.
 
     `blocks`: those of `section_groups`, with page. Tokens are characters. Blocks are shuffled once, by document: sections, offsets and
-    numbers of chunks are windows over the same order. One section's text is a value, and only its cutting is a Python function.
-    spans: (block_no, char_start, char_end).
+    numbers of chunks are windows over the same order. One section's text is a value. Rows stay dealt by document, so windows and sums
+    over documents or their parts need no other shuffle. spans: (block_no, char_start, char_end).
     """
     b = F.col("b")
     grouped = block_offsets(section_groups(blocks)).groupBy("doc_id", "group_no").agg(
         F.sort_array(F.collect_list(F.struct("block_no", "kind", "text", "page", "char_start", "char_end"))).alias("b"), F.first("section_path").alias("section_path")
     )
     whole = F.array_join(F.transform(b, lambda x: x["text"]), "\n\n")
-    cut = grouped.withColumns({"whole": whole, "ranges": _ranges(whole, F.get(b, F.lit(0))["kind"] == "code", F.transform(b, lambda x: x["char_start"]), child, parent)})
+    slim = F.transform(b, lambda x: F.struct(x["block_no"].alias("block_no"), x["page"].alias("page"), x["char_start"].cast("int").alias("char_start"), x["char_end"].cast("int").alias("char_end")))
+    joined = grouped.select("doc_id", "group_no", "section_path", whole.alias("whole"), (F.get(b, F.lit(0))["kind"] == "code").alias("keep"), slim.alias("b"))
+    block = joined.schema["b"].dataType.elementType.simpleString()
+    cut = joined.select("doc_id", "group_no", "section_path", _ranges(F.col("whole"), F.col("keep"), b, block, child, parent).alias("ranges"))
     cut = cut.withColumn("_parents", F.coalesce(F.try_element_at("ranges", F.lit(-1))["parents"], F.lit(0)).cast("long")).withColumn("_children", F.size("ranges") - F.col("_parents"))
-    cut = cut.select("doc_id", "group_no", "section_path", "_parents", "_children", _placed(F.col("ranges"), b).alias("ranges"))
     cut = running(cut, ["doc_id"], "group_no", {"_earlier": ("sum", F.col("_parents")), "_older": ("sum", F.col("_children"))}, before=True)
     flat = cut.select("doc_id", "section_path", F.coalesce("_earlier", F.lit(0)).alias("_earlier"), F.coalesce("_older", F.lit(0)).alias("_older"), F.posexplode("ranges").alias("_at", "r"))
     place = (F.col("_earlier") + F.col("r.parents") - 1).cast("int")

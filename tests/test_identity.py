@@ -120,3 +120,30 @@ def test_a_changed_component_is_always_another_number(spark, tmp_path):
     rows = [(97 * k + 2, [0.1] * 7 + [v] + [0.2] * 3, k % 3) for k, v in enumerate(values)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {(r.id, r.state) for r in idx_tree_differences(spark, str(tmp_path)).collect()} == {(str(r[0]), "changed") for r in rows}
+
+
+def test_chunks_are_not_shuffled_for_their_rules(spark):
+    """Ids, rules and statistics of chunks are found where these are made: texts move once, as blocks, and no chunk is stored between."""
+    from evidence_spark.operators import sections
+
+    blocks = [(d, i, "heading" if i % 4 == 0 else "paragraph", 1 if i % 4 == 0 else None, f'Say "{i}"\x1f \\u00 ' * 9, None) for d in range(6) for i in range(9)]
+    df = spark.createDataFrame(blocks, "doc_id long, block_no int, kind string, level int, text string, page int")
+    chunks = identity.expected_chunk_ids(sections.structured_chunks(df, 30, 100).withColumn("input_id", F.lit("i")))
+    named = chunks.withColumnsRenamed({"expected_id": "chunk_id", "expected_parent": "parent_chunk_id"})
+    rules = identity.chunk_rules(named, 30, 100, "tokens")
+    plan = rules._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "EvalPython" not in plan
+    flags = ("id", "duplicate", "index", "budget", "parent")
+    for r in rules.collect():
+        assert not any(r[f] for f in flags) and r.told_parent_tokens == r.parent_tokens > 0 and r.told_child_tokens == r.child_tokens > 0
+    twice = named.withColumn("chunk_id", F.expr("if(doc_id = 1 and not is_parent, 'x', if(doc_id = 2 and chunk_index = 0, null, chunk_id))"))
+    assert {r.doc_id for r in identity.chunk_rules(twice, 30, 100).filter("duplicate").collect()} == {1, 2}
+
+
+def test_json_of_rows_written_at_once(spark):
+    """Rows without maps are written at once, with keys in order at each level, small digits of codes and nulls."""
+    rows = [(t, [(1, t), (None, None)], [t, None], None) for t in (*map(chr, range(128)), "\\u001F", "\\u00", "é中😀 /", None)]
+    df = spark.createDataFrame(rows, "b string, a array<struct<y:int,x:string>>, d array<string>, c boolean")
+    for r in df.select(canonical_json(F.struct(*df.columns), df.schema).alias("j"), "b").collect():
+        want = {"b": r.b, "a": [{"y": 1, "x": r.b}, {"y": None, "x": None}], "d": [r.b, None], "c": None}
+        assert r.j == json.dumps(want, ensure_ascii=False, sort_keys=True, separators=(",", ":"))

@@ -116,3 +116,29 @@ def test_flat_chunks_leave_python_in_parts(spark, monkeypatch):
     monkeypatch.setattr(chunks.pa, "concat_arrays", lambda arrays: parts.append(len(arrays)) or real(arrays))
     (made,) = batches[0](iter([pa.array(texts)]))
     assert parts[0] > 2 and made.to_pylist() == [chunks.flat_pieces(t or "", 100, 10) for t in texts]
+
+
+def test_slices_by_patterns(spark):
+    """Slices that a pattern finds are those of the plain function, also in code, where white space stays."""
+    from evidence_spark.functions import structure
+
+    rng = random.Random(5)
+    alphabets = ("a \n", "ab .\n\t", "a　\x1c\u0085。\n", "abc\n\n\n  ", "abcdef.", "a😀 \n.", "\n ", " .\n")
+    df = spark.createDataFrame([("".join(rng.choices(x, k=rng.randrange(90))),) for x in alphabets for _ in range(150)], "t string").cache()
+    for limit in (1, 2, 7, 29):
+        for keep in (False, True):
+            for r in df.select("t", structure.slices(F.col("t"), limit, keep).alias("x")).collect():
+                at, found = 0, []
+                for x in r.x:
+                    assert r.t[at : at + len(x)] == x
+                    shown, lo = (x, at) if keep else (x.strip(), at + len(x) - len(x.lstrip()))
+                    found.append((lo, lo + len(shown)))
+                    at += len(x)
+                assert found == structure.token_ranges(r.t, limit, keep_space=keep)
+
+
+def exchanges(df):
+    """Shuffles of a plan; Python functions would lose how rows are dealt."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+    return plan.count("Exchange ")
