@@ -273,12 +273,13 @@ def verify_chunks(chunks: DataFrame, child: int, parent: int) -> DataFrame:
 
     `chunks`: doc_id, is_parent, chunk_index, parent_index, section_path, text, tokens.
     """
-    above = chunks.filter("is_parent").select("doc_id", F.col("chunk_index").alias("parent_index"), F.col("section_path").alias("p_path"), F.col("text").alias("p_text"))
-    joined = chunks.join(above, ["doc_id", "parent_index"], "left")
-    orphan = ~F.col("is_parent") & ~F.coalesce((F.col("p_path") == F.col("section_path")) & F.contains("p_text", "text"), F.lit(False))
+    place = Window.partitionBy("doc_id", F.when(F.col("is_parent"), F.col("chunk_index")).otherwise(F.col("parent_index")))
+    own = F.collect_list(F.when(F.col("is_parent"), F.struct("section_path", "text"))).over(place)
+    seen = chunks.select("doc_id", "is_parent", "chunk_index", "parent_index", "section_path", "text", "tokens", own.alias("_own"))
+    whole = lambda p: F.coalesce((p["section_path"] == F.col("section_path")) & F.contains(p["text"], F.col("text")), F.lit(False))
+    orphan = ~F.col("is_parent") & (F.col("parent_index").isNull() | (F.size("_own") == 0) | ~F.forall("_own", whole))
     over = F.col("tokens") > F.when(F.col("is_parent"), parent).otherwise(child)
-    gaps = lambda kind: (F.count_if(kind) != F.coalesce(F.max(F.when(kind, F.col("chunk_index"))) + 1, F.lit(0))) | (F.count_distinct(F.when(kind, F.col("chunk_index"))) != F.count_if(kind))
-    rules = joined.groupBy("doc_id").agg(F.bool_or(orphan).alias("orphan"), F.bool_or(over).alias("over"), (gaps(F.col("is_parent")) | gaps(~F.col("is_parent"))).alias("gap"))
+    rules = index_gaps(seen, {"orphan": F.bool_or(orphan), "over": F.bool_or(over)}, {"orphan": F.bool_or("orphan"), "over": F.bool_or("over")})
     found = F.array_compact(F.array(F.when(F.col("gap"), "index"), F.when(F.col("over"), "budget"), F.when(F.col("orphan"), "parent")))
     return rules.select("doc_id", found.alias("problems")).filter("size(problems) > 0")
 

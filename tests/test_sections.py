@@ -142,3 +142,16 @@ def exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
     return plan.count("Exchange ")
+
+
+def test_chunks_are_not_shuffled_to_be_verified(spark):
+    """Texts move once, as blocks; chunks, which hold them twice with their titles, stay where they are made."""
+    from evidence_spark.operators import evidence
+
+    chunks = sections.structured_chunks(spark.createDataFrame(made(docs=25, seed=4), SCHEMA), 30, 100)
+    assert exchanges(chunks) == 1 and exchanges(evidence.verify_chunks(chunks, 30, 100)) == 1
+    assert evidence.verify_chunks(chunks, 30, 100).count() == 0
+    bad = chunks.filter("not (doc_id = 3 and not is_parent and chunk_index = 1)").withColumn("section_path", F.expr("if(doc_id = 5 and not is_parent, array('other'), section_path)"))
+    bad = bad.withColumn("tokens", F.expr("if(doc_id = 6 and is_parent, 101, tokens)")).unionByName(bad.filter("doc_id = 7 and is_parent and chunk_index = 0"))
+    found = {r.doc_id: r.problems for r in evidence.verify_chunks(bad, 30, 100).collect()}
+    assert found == {3: ["index"], 5: ["parent"], 6: ["budget"], 7: ["index"]}
